@@ -24,6 +24,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true")
           .config("spark.sql.execution.pythonUDF.arrow.enabled", "true"))
+    if master and master.startswith("local"):
+        b = b.config("spark.driver.memory", "16g")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
