@@ -53,15 +53,22 @@ def to_wide(df: DataFrame, ids: Sequence[str], metrics: Sequence[str],
 
 
 def rnd(c, scale: int = 6) -> Column:
-    """Round a double for stable comparison with the SQL oracle."""
-    return F.round(as_col(c).cast("double"), scale)
+    """Round a double half away from zero on its binary value scaled by
+    10^scale (round(x * 10^s) / 10^s), for stable comparison of results.
+    Spark's own `round` goes through the shortest decimal string instead,
+    which differs on values like 1.0455765."""
+    x = as_col(c).cast("double")
+    f = float(10 ** scale)
+    y = x * f
+    r = F.when(y >= 0, F.floor(y + 0.5)).otherwise(-F.floor(-y + 0.5))
+    return F.when(x.isNull() | F.isnan(x), x).otherwise(r / f)
 
 
 def round_doubles(df: DataFrame, scale: int = 6) -> DataFrame:
     out = []
     for f in df.schema.fields:
         if f.dataType.typeName() in ("double", "float"):
-            out.append(F.round(F.col(f.name).cast("double"), scale).alias(f.name))
+            out.append(rnd(f.name, scale).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)

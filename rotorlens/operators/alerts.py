@@ -86,9 +86,11 @@ def check_thresholds(df: DataFrame, key_cols, order_cols, metrics: Sequence[str]
     metric name; that table has one row per metric (bounded), so it is
     broadcast."""
     mi = F.array_position(F.array(*[F.lit(m) for m in metrics]), F.col("M"))
-    long = df.select(*key_cols, *order_cols,
+    # Order columns travel in one struct: a metric may also be an order key.
+    long = df.select(*key_cols, F.struct(*order_cols).alias("_o"),
                      *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(
-        [*key_cols, *order_cols], list(metrics), "M", "_v")
+        [*key_cols, "_o"], list(metrics), "M", "_v")
+    order_cols = [F.col(f"_o.{c}").alias(c) for c in order_cols]
     j = long.join(F.broadcast(thresholds), on="M", how="inner")
     v, w, c, lb = F.col("_v"), F.col("warning"), F.col("critical"), F.col("lower_is_bad")
     is_crit = c.isNotNull() & F.when(lb, v < c).otherwise(v > c)
@@ -163,23 +165,39 @@ def greedy_keep(df: DataFrame, key: Sequence[str], order: Sequence[str], pos: Co
     quiet = prev.isNull() | (F.col("_p") >= prev + g)
     p = p.withColumn("_q", quiet.cast("int"))
     p = p.withColumn("_burst", F.sum("_q").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    bk = [*key, "_burst"]
-    rows = F.sort_array(F.collect_list(F.struct(*[F.col(o).alias(f"_o{i}") for i, o in
-                                                  enumerate(order)], F.col("_p").alias("p"),
-                                                F.col("_q").alias("q"), F.struct(*df.columns)
-                                                .alias("row"))))
-    bursts = p.groupBy(*bk).agg(rows.alias("_rows"))
-    init = F.struct(F.lit(None).cast(p.schema["_p"].dataType).alias("last"),
-                    F.array().cast(bursts.schema["_rows"].dataType).alias("kept"))
-
-    def step(acc, r):
-        ok = F.when(acc["last"].isNull(), r["q"] == 1).otherwise(r["p"] >= acc["last"] + g)
-        return F.struct(F.when(ok, r["p"]).otherwise(acc["last"]).alias("last"),
-                        F.when(ok, F.concat(acc["kept"], F.array(r))).otherwise(acc["kept"])
-                        .alias("kept"))
-
-    kept = bursts.select(F.explode(F.aggregate("_rows", init, step)["kept"]).alias("_r"))
-    return kept.select("_r.row.*")
+    # Burst sizes: a burst of one row is kept outright, longer bursts go
+    # through a linear pass in order (one pandas group per burst).
+    p = p.withColumn("_bn", F.count(F.lit(1)).over(Window.partitionBy(*key, "_burst")))
+    single = p.filter(F.col("_bn") == 1).select(*df.columns)
+    multi = p.filter(F.col("_bn") > 1)
+    # positions as plain numbers for the pass: doubles, or epoch microseconds
+    pnum = F.col("_p") if numeric else F.unix_micros(F.col("_p"))
+    gnum = float(gap) if numeric else float(_interval_micros(gap))
+    multi = multi.select(*df.columns, pnum.cast("double").alias("_pn"),
+                         F.col("_burst").alias("_b"),
+                         *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)])
+    sort_cols = [f"_o{i}" for i in range(len(order))]
+    out_schema = df.schema
+
+    def fold(pdf):
+        pdf = pdf.sort_values(sort_cols, kind="mergesort")
+        keep, last = [], None
+        for v in pdf["_pn"].to_numpy():
+            ok = last is None or v >= last + gnum
+            keep.append(ok)
+            if ok:
+                last = v
+        return pdf.loc[keep, [f.name for f in out_schema.fields]]
+
+    kept = multi.groupBy(*key, "_b").applyInPandas(fold, out_schema)
+    return single.unionByName(kept)
+
+
+def _interval_micros(gap: str) -> int:
+    n, unit = gap.split()
+    mult = {"second": 1, "seconds": 1, "minute": 60, "minutes": 60, "hour": 3600, "hours": 3600,
+            "day": 86400, "days": 86400}[unit.lower()]
+    return int(n) * mult * 1_000_000
 
 
 def cooldown(cands: DataFrame, minutes: int = COOLDOWN_MINUTES, time_col: str = "T",
