@@ -47,7 +47,8 @@ def severity_of(hours: Column) -> Column:
 
 def recommendations(severity: Column, hours: Column, feature: Column) -> Column:
     """EW7."""
-    h = fmt_fixed(hours, 0)
+    # hours are whole horizons: the text is the integer part
+    h = hours.cast("bigint").cast("string")
 
     def render(texts):
         items = []
@@ -65,16 +66,20 @@ def recommendations(severity: Column, hours: Column, feature: Column) -> Column:
              .otherwise(render(RECOMMENDATIONS["info"])))
 
 
-def predict_feature(n: Column, slope: Column, intercept: Column, current: Column,
-                    base_mean: Column, base_std: Column, warn: Column, feature: Column,
-                    horizons: Sequence[int] = HORIZONS,
-                    confidence_threshold: float = CONFIDENCE_THRESHOLD) -> Column:
-    """EW5: the first horizon whose projected value crosses the warning
-    threshold with enough confidence, as a struct (null when none).
+def add_prediction(df: DataFrame, out: str, *args, **kw) -> DataFrame:
+    """EW5: add column `out` = the first horizon whose projected value
+    crosses the warning threshold with enough confidence, as a struct (null
+    when none). Arguments as `prediction_spec`."""
+    return add_predictions(df, [prediction_spec(out, *args, **kw)])
 
-    Direction gate: the value is above its baseline mean and rising, or at or
-    below it and not rising. Lower-is-bad compares with -threshold (kept as
-    the reference does)."""
+
+def prediction_spec(out: str, n: Column, slope: Column, intercept: Column, current: Column,
+                    base_mean: Column, base_std: Column, warn: Column, feature: Column,
+                    ok: Column | None = None, horizons: Sequence[int] = HORIZONS,
+                    confidence_threshold: float = CONFIDENCE_THRESHOLD) -> dict:
+    """Direction gate: the value is above its baseline mean and rising, or
+    at or below it and not rising. Lower-is-bad compares with -threshold
+    (kept as the reference does)."""
     spp = F.greatest(F.lit(1.0), n / 24.0)
     higher = current > base_mean
     gate = (higher & (slope > 0)) | (~higher & (slope <= 0))
@@ -89,15 +94,34 @@ def predict_feature(n: Column, slope: Column, intercept: Column, current: Column
                         pred.alias("predicted"), (exceed & (conf >= confidence_threshold)).alias("ok"))
 
     hs = F.array(*[F.lit(int(h)) for h in horizons])
-    hits = F.filter(F.transform(hs, cand), lambda s: s["ok"])
-    first = F.get(hits, 0)
-    sev = severity_of(first["hours"])
-    pred = F.struct(
-        feature.alias("metric"), first["hours"].alias("predicted_time_hours"),
-        first["confidence"].alias("confidence"), sev.alias("severity"),
-        current.alias("current_value"), first["predicted"].alias("predicted_value"),
-        warn.alias("threshold"), recommendations(sev, first["hours"], feature).alias("recommendations"))
-    return F.when(gate & warn.isNotNull() & (F.size(hits) > 0), pred)
+    cond = gate & warn.isNotNull()
+    if ok is not None:
+        cond = cond & ok
+    first = F.get(F.filter(F.transform(hs, cand), lambda s: s["ok"]), 0)
+    return {"out": out, "first": F.when(cond, first), "current": current, "warn": warn,
+            "feature": feature}
+
+
+def add_predictions(df: DataFrame, specs: Sequence[dict]) -> DataFrame:
+    """Finish several EW5 predictions with three projections in total (the
+    first hit and its severity are computed once, then referenced)."""
+    t = df.select("*", *[s["first"].alias(f"_h_{s['out']}") for s in specs])
+    t = t.select("*", *[severity_of(F.col(f"_h_{s['out']}")["hours"]).alias(f"_s_{s['out']}")
+                        for s in specs])
+    outs = []
+    for s in specs:
+        h, sev = F.col(f"_h_{s['out']}"), F.col(f"_s_{s['out']}")
+        pred = F.struct(
+            s["feature"].alias("metric"), h["hours"].alias("predicted_time_hours"),
+            h["confidence"].alias("confidence"), sev.alias("severity"),
+            s["current"].alias("current_value"), h["predicted"].alias("predicted_value"),
+            s["warn"].alias("threshold"),
+            recommendations(sev, h["hours"], s["feature"]).alias("recommendations"))
+        outs.append(F.when(h.isNotNull(), pred).alias(s["out"]))
+    t = t.select("*", *outs)
+    return t.drop(*[f"_{x}_{s['out']}" for s in specs for x in ("h", "s")])
+
+
 
 
 def degradation_rate(n: Column, slope: Column, mean_hist: Column) -> Column:
@@ -162,11 +186,10 @@ def early_warning(df: DataFrame, params: DataFrame, key: Sequence[str], order: S
     n, b, a = F.col("n").cast("double"), F.col("slope"), F.col("intercept")
     ok = F.col("n") >= min_samples
     pos = F.array_position(F.array(*[F.lit(m) for m in metrics]), F.col(M))
+    tr = add_prediction(tr, "pred", n, b, a, F.col("current"), F.col("_bmean"), F.col("_bstd"),
+                        F.col("_warn"), F.col(M), ok, horizons, confidence_threshold)
     per = tr.select(
-        *key, M, F.col("n"), pos.alias("_pos"),
-        F.when(ok, predict_feature(n, b, a, F.col("current"), F.col("_bmean"), F.col("_bstd"),
-                                   F.col("_warn"), F.col(M), horizons, confidence_threshold)
-               ).alias("pred"),
+        *key, M, F.col("n"), pos.alias("_pos"), "pred",
         F.when(ok, degradation_rate(n, b, F.col("mean_hist"))).alias("deg"),
         F.when(ok, remaining_life(n, b, a, F.col("current"), F.col("_crit"))).alias("rul"))
     g = per.groupBy(*key).agg(
@@ -210,17 +233,17 @@ def _frame_sums(df: DataFrame, key, order, metrics, history):
     w = series_window(key, order)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumn("_g", (F.row_number().over(w) - 1).cast("long"))
+    sums = []
     for m in metrics:
         y = F.col(m).cast("decimal(20,8)")
         gy = y * F.col("_g").cast("decimal(10,0)")
-        out = (out.withColumn(f"_sy_{m}", F.sum(y).over(run).cast("decimal(36,8)"))
-                  .withColumn(f"_sgy_{m}", F.sum(gy).over(run).cast("decimal(36,8)")))
+        sums += [F.sum(y).over(run).cast("decimal(36,8)").alias(f"_sy_{m}"),
+                 F.sum(gy).over(run).cast("decimal(36,8)").alias(f"_sgy_{m}")]
+    out = out.select("*", *sums)
     zero = F.lit(0).cast("decimal(36,8)")
-    for m in metrics:
-        for s in ("sy", "sgy"):
-            back = F.coalesce(F.lag(f"_{s}_{m}", history).over(w), zero)
-            out = out.withColumn(f"_f{s[1:]}_{m}", F.col(f"_{s}_{m}") - back)
-    return out
+    frames = [(F.col(f"_{s}_{m}") - F.coalesce(F.lag(f"_{s}_{m}", history).over(w), zero))
+              .alias(f"_f{s[1:]}_{m}") for m in metrics for s in ("sy", "sgy")]
+    return out.select("*", *frames)
 
 
 def warning_rolling(df: DataFrame, params: DataFrame, key: Sequence[str], order: Sequence[str],
@@ -250,37 +273,36 @@ def warning_rolling(df: DataFrame, params: DataFrame, key: Sequence[str], order:
     sx = sx_l.cast("double")
     # Materialise the per-metric line first so the prediction expressions
     # below refer to plain columns (keeps the analysed plan small).
+    slopes = []
     for m in metrics:
         fy = F.col(f"_fy_{m}").cast("decimal(26,8)")
         sxy = (F.col(f"_fgy_{m}") - fy * start).cast("decimal(28,8)")
         num = (nl.cast("decimal(6,0)") * sxy
                - sx_l.cast("decimal(12,0)") * fy.cast("decimal(24,8)"))
-        sy = F.col(f"_fy_{m}").cast("double")
-        j = j.withColumn(f"_b_{m}", F.when(den > 0, num.cast("double") / den).otherwise(0.0))
-        j = (j.withColumn(f"_a_{m}", (sy - F.col(f"_b_{m}") * sx) / n)
-              .withColumn(f"_mh_{m}", sy / n))
-    preds, degs, ruls = [], [], []
-    for m in metrics:
-        slope, inter, mean_hist = F.col(f"_b_{m}"), F.col(f"_a_{m}"), F.col(f"_mh_{m}")
-        cur = F.col(m)
-        ok = n >= min_samples
-        preds.append(F.when(ok, predict_feature(
-            n, slope, inter, cur, F.col(f"{m}__mean"), F.col(f"{m}__std"), F.col(f"{m}__warn"),
-            F.lit(m), horizons, confidence_threshold)))
-        degs.append(F.when(ok, degradation_rate(n, slope, mean_hist)))
-        ruls.append(F.when(ok, remaining_life(n, slope, inter, cur, F.col(f"{m}__crit"))))
-    plist = F.filter(F.array(*preds), lambda p: p.isNotNull())
+        slopes.append(F.when(den > 0, num.cast("double") / den).otherwise(0.0).alias(f"_b_{m}"))
+    j = j.select("*", *slopes)
+    j = j.select("*", *[((F.col(f"_fy_{m}").cast("double") - F.col(f"_b_{m}") * sx) / n)
+                        .alias(f"_a_{m}") for m in metrics],
+                 *[(F.col(f"_fy_{m}").cast("double") / n).alias(f"_mh_{m}") for m in metrics])
+    ok = n >= min_samples
+    j = add_predictions(j, [prediction_spec(
+        f"_p_{m}", n, F.col(f"_b_{m}"), F.col(f"_a_{m}"), F.col(m), F.col(f"{m}__mean"),
+        F.col(f"{m}__std"), F.col(f"{m}__warn"), F.lit(m), ok, horizons, confidence_threshold)
+        for m in metrics])
+    degs = [F.when(ok, degradation_rate(n, F.col(f"_b_{m}"), F.col(f"_mh_{m}"))) for m in metrics]
+    ruls = [F.when(ok, remaining_life(n, F.col(f"_b_{m}"), F.col(f"_a_{m}"), F.col(m),
+                                      F.col(f"{m}__crit"))) for m in metrics]
+    plist = F.filter(F.array(*[F.col(f"_p_{m}") for m in metrics]), lambda p: p.isNotNull())
     dl = F.filter(F.array(*degs), lambda d: d.isNotNull())
     avg_deg = F.when(F.size(dl) > 0, F.aggregate(dl, F.lit(0.0), lambda a, x: a + x) / F.size(dl))
-    min_rul = F.array_min(F.array(*ruls))
-    out = (j.withColumn("predictions", plist)
-            .withColumn("degradation_rate", avg_deg)
-            .withColumn("remaining_useful_life_hours", min_rul))
-    out = (out.withColumn("has_warning", F.size("predictions") > 0)
-              .withColumn("earliest_anomaly_hours", F.array_min(
-                  F.transform("predictions", lambda p: p["predicted_time_hours"])))
-              .withColumn("overall_risk_score", F.when(n >= min_samples, risk_score(
-                  F.col("predictions"), F.col("degradation_rate"),
-                  F.col("remaining_useful_life_hours"))).otherwise(0.0)))
+    out = j.select("*", plist.alias("predictions"), avg_deg.alias("degradation_rate"),
+                   F.array_min(F.array(*ruls)).alias("remaining_useful_life_hours"))
+    out = out.select(
+        "*", (F.size("predictions") > 0).alias("has_warning"),
+        F.array_min(F.transform("predictions", lambda p: p["predicted_time_hours"]))
+        .alias("earliest_anomaly_hours"),
+        F.when(ok, risk_score(F.col("predictions"), F.col("degradation_rate"),
+                              F.col("remaining_useful_life_hours"))).otherwise(0.0)
+        .alias("overall_risk_score"))
     drop = [c for c in out.columns if c.startswith("_") or "__" in c]
     return out.drop(*drop)
