@@ -108,11 +108,18 @@ def embedding_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """daily revenue per order priority."""
+    """daily revenue (thousands) per order priority."""
     o = table(spark, sf_dir, "orders")
     return (o.groupBy(F.col("o_orderpriority").alias(E),
                       F.date_trunc("day", "o_orderdate").cast("timestamp_ntz").alias(T))
-             .agg(F.sum("o_totalprice").alias(V)))
+             .agg((F.sum("o_totalprice") / 1000.0).alias(V)))
+
+
+def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hourly mean event value per event type (non-empty hours)."""
+    ev = table(spark, sf_dir, "events")
+    t = F.window(F.col("ts").cast("timestamp"), "1 hour")["start"].cast("timestamp_ntz")
+    return ev.groupBy(F.col("event_type").alias(E), t.alias(T)).agg(F.avg("value").alias(V))
 
 
 # SQL twins of the fixture adapters, for oracle queries.
@@ -125,4 +132,6 @@ EVENTS_ORDER_SQL = "T, event_id"
 EMBED_SQL = ("SELECT CAST(label AS BIGINT) AS E, vec_id AS snapshot, "
              "list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS samples FROM embeddings")
 ORDERS_SQL = ("SELECT o_orderpriority AS E, date_trunc('day', o_orderdate) AS T, "
-              "sum(o_totalprice) AS V FROM orders GROUP BY 1, 2")
+              "sum(o_totalprice) / 1000.0 AS V FROM orders GROUP BY 1, 2")
+HOURLY_SQL = ("SELECT event_type AS E, time_bucket(INTERVAL 1 HOUR, ts) AS T, avg(value) AS V "
+              "FROM events GROUP BY 1, 2")
