@@ -31,4 +31,4 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every plan module so its queries register."""
     from . import (q_core, q_cleaning, q_signals, q_warning, q_alerts,  # noqa: F401
-                   q_monitor, q_forecast, q_models, q_io)
+                   q_monitor, q_forecast, q_models, q_io, q_stream)
