@@ -201,3 +201,41 @@ def q_saved_params(spark, sf):
 register("saved_params", f"WITH {li_src()}, {fit_cte('src', 'E', LI_ORDER, LI_METRICS, 100)} SELECT E, M, "
          f"n, {r('mean')} AS mean, {r('std')} AS std, {r('q1')} AS q1, {r('q3')} AS q3 FROM fit")(
     q_saved_params)
+
+
+def q_health_messages(spark, sf):
+    """SNK4: health score and components of every events reading as a
+    message (scores rounded to 6 decimals in the payload)."""
+    from .q_alerts import scored_events
+    s = scored_events(spark, sf)
+    s = s.withColumn("health_score", rnd("health_score")).withColumn("comp_V", F.col("health_score"))
+    return sm.to_health_messages(s, ["V"])
+
+
+def _health_msg_sql():
+    from .q_alerts import SCORED_SQL
+    return (f"WITH {SCORED_SQL} SELECT 'equipment/' || E || '/health' AS topic, '{{\"timestamp\":\"' || "
+            "strftime(T, '%Y-%m-%dT%H:%M:%S.%f') || '\",\"equipment_id\":\"' || E || '\",\"health_score\":' "
+            "|| CAST(round(hs, 6) AS VARCHAR) || ',\"components\":{\"V\":' || CAST(round(hs, 6) AS VARCHAR) "
+            "|| '}}' AS payload FROM sc")
+
+
+register("health_messages", _health_msg_sql())(q_health_messages)
+
+
+def q_batch_analysis(spark, sf):
+    """PIP2: snapshots [0, 40) of every machine -> time features -> baseline
+    on the first 20 -> anomaly votes and health per snapshot (rows-only;
+    each step has its own oracle)."""
+    from ..operators import signals as sg
+    from . import pipeline as pl
+    s = sn.slice_snapshots(snapshots(spark, sf), 0, 40)
+    mets = ["rms", "kurtosis", "peak_to_peak", "energy"]
+    tf = sg.time_domain(s).select("E", "T", "snapshot", "file_idx", *mets)
+    p = bl.fit_baseline(tf, K, ["T"], mets, n=20)
+    out = pl.process_samples(tf, p, K, ["T"], mets, with_warning=False)
+    return out.select("E", "file_idx", "T", "is_anomaly", rnd("health_score").alias("health_score"),
+                      "status")
+
+
+register("batch_analysis")(q_batch_analysis)
