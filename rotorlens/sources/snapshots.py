@@ -23,8 +23,8 @@ def read_snapshots(spark: SparkSession, path: str, equipment: str | None = None,
                    channels: Sequence[str] = CHANNELS) -> DataFrame:
     """SRC1: files directly in `path` whose name parses as a snapshot time
     (others skipped). Output: E, T, file, channel, samples."""
-    raw = (spark.read.option("wholetext", True).option("recursiveFileLookup", False)
-           .text(path).select("value", F.col("_metadata.file_name").alias("file")))
+    raw = (spark.read.option("recursiveFileLookup", False)
+           .text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file")))
     raw = raw.withColumn("T", parse_snapshot_ts("file")).filter(F.col("T").isNotNull())
     lines = F.filter(F.split(F.regexp_replace("value", "\r", ""), "\n"), lambda s: F.trim(s) != "")
     rows = F.transform(lines, lambda s: F.split(F.trim(s), "\t"))
