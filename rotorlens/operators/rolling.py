@@ -53,10 +53,28 @@ def ema(col: str, key, order, span: int = ROLLING_WINDOW) -> Column:
 
 def rolling_features(df: DataFrame, key: Sequence[str], order: Sequence[str],
                      metrics: Sequence[str], window: int = ROLLING_WINDOW,
-                     with_ema: bool = True) -> DataFrame:
+                     with_ema: bool = True, chunk_rows: int | None = None) -> DataFrame:
     """ROL1-ROL8 for every metric: rolling mean/std(sample)/min/max, diff,
     pct_change (on the forward-filled series; a zero predecessor gives
-    null), ema and rolling z-score."""
+    null), ema and rolling z-score.
+
+    With `chunk_rows`, series are cut into chunks of that many rows with a
+    halo of the frame length (see operators.series), so a hot machine is
+    spread over many tasks; the forward fill uses a carry across chunks.
+    The values are identical either way."""
+    if chunk_rows is None:
+        return _rolling(df, key, order, metrics, window, with_ema)
+    from .series import carry_last, chunked
+    back = max(window - 1, ema_frame_length(window) - 1 if with_ema else 0, 1)
+    c = chunked(df, key, order, back, 0, chunk_rows)
+    k2 = [*key, "_chunk"]
+    for m in metrics:
+        c = carry_last(c, key, m, f"_ff_{m}")
+    out = _rolling(c, k2, ["_g"], metrics, window, with_ema, fill_prefix="_ff_")
+    return out.filter("_own").drop("_own", "_chunk", "_g", *[f"_ff_{m}" for m in metrics])
+
+
+def _rolling(df, key, order, metrics, window, with_ema, fill_prefix=None):
     w = series_window(key, order)
     fr = rows_frame(key, order, -(window - 1), 0)
     out = df
@@ -69,7 +87,8 @@ def rolling_features(df: DataFrame, key: Sequence[str], order: Sequence[str],
                   .withColumn(f"{m}_rolling_min", F.when(full, F.min(m).over(fr)))
                   .withColumn(f"{m}_rolling_max", F.when(full, F.max(m).over(fr)))
                   .withColumn(f"{m}_diff", F.col(m) - F.lag(m, 1).over(w)))
-        filled = F.last(m, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        filled = (F.col(f"{fill_prefix}{m}") if fill_prefix else
+                  F.last(m, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
         out = out.withColumn("_f", filled)
         prev = F.lag("_f", 1).over(w)
         out = out.withColumn(f"{m}_pct_change",

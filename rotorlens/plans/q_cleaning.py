@@ -323,3 +323,16 @@ def _rolling_sql():
 
 
 register("rolling_features", _rolling_sql())(q_rolling_features)
+
+
+def q_rolling_features_chunked(spark, sf):
+    """ROL1-ROL8 through the skew-safe path: series cut into chunks of 25
+    rows with a frame-long halo (tiny chunks so every series is cut many
+    times here); same values as rolling_features."""
+    ev = events_readings(spark, sf).select(
+        "E", "T", "event_id", F.when(F.expr(RHOLE), F.lit(None)).otherwise(F.col("V")).alias("V"))
+    out = rolling_features(ev, K, EO, ["V"], 10, chunk_rows=25)
+    return round_doubles(out.drop("T"))
+
+
+register("rolling_features_chunked", _rolling_sql())(q_rolling_features_chunked)
