@@ -7,12 +7,12 @@ bounded frame needs across each cut (the halo), so window functions run per
 (machine, chunk) and give exactly the same values:
 
 1. `series_index`: the 0-based position of every row in its series, without
-   a per-machine window - a range partitioning on (key, order) spreads even a
-   single machine over many tasks; positions are per-task offsets plus the
-   row's place inside its task.
-2. `chunked`: chunk = position // chunk_rows; rows within `back` of a chunk's
-   end are copied into the next chunk, rows within `fwd` of its start into
-   the previous one (flag `_own` marks the original).
+   a per-machine window: row numbers inside (machine, time bucket) plus the
+   machine's row count in earlier buckets (a scan over the small count
+   table). Deterministic, so recomputed tasks agree.
+2. `chunked`: chunk = position // chunk_rows; each row is also copied into
+   the later chunks whose frames reach back to it (and the earlier chunks
+   whose frames reach forward to it); `_own` marks the original.
 3. `carry_last`: an unbounded forward fill made exact across chunks with a
    carry from earlier chunks (a scan over the small chunk table).
 """
@@ -26,24 +26,29 @@ from pyspark.sql import functions as F
 
 
 def series_index(df: DataFrame, key: Sequence[str], order: Sequence[str],
-                 partitions: int | None = None, out: str = "_g") -> DataFrame:
-    """Add `out` = position of the row within its series (0-based)."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = [*key, *order]
-    s = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
-           .withColumn("_pid", F.spark_partition_id())
-           .withColumn("_mono", F.monotonically_increasing_id()))
-    # local position = id minus the partition's first id (ids are pid << 33 + i)
-    s = s.withColumn("_loc", F.col("_mono") - F.shiftleft(F.col("_pid").cast("long"), 33))
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))  # one row per task
-    offs = counts.select("_pid", (F.sum("_c").over(Window.orderBy("_pid").rowsBetween(
-        Window.unboundedPreceding, -1))).alias("_off"))  # a table of `n` rows
-    s = s.join(F.broadcast(offs), "_pid").withColumn(
-        "_gg", F.coalesce(F.col("_off"), F.lit(0)) + F.col("_loc"))
-    first = s.groupBy(*key).agg(F.min("_gg").alias("_first"))
-    return (s.join(first, on=list(key)).withColumn(out, F.col("_gg") - F.col("_first"))
-             .drop("_pid", "_mono", "_loc", "_off", "_gg", "_first"))
+                 bucket: float = 3600.0, out: str = "_g") -> DataFrame:
+    """Add `out` = position of the row within its series (0-based).
+
+    The first order column is cut into buckets of width `bucket` (seconds
+    for timestamps, plain units for numbers). Positions are the row number
+    inside (key, bucket) plus the number of the key's rows in earlier
+    buckets (a running sum over the small per-bucket count table). Every
+    step is deterministic, so a recomputed task gives the same positions."""
+    lead = order[0]
+    dtype = df.schema[lead].dataType.typeName() if isinstance(lead, str) else "double"
+    v = F.col(lead)
+    if dtype.startswith("timestamp") or dtype == "date":
+        v = F.unix_micros(v.cast("timestamp")) / 1e6
+    b = F.floor(v / float(bucket)).cast("long")
+    t = df.withColumn("_b", b)
+    local = F.row_number().over(Window.partitionBy(*key, "_b").orderBy(*order)) - 1
+    t = t.withColumn("_loc", local.cast("long"))
+    counts = t.groupBy(*key, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    offs = counts.select(*key, "_b", F.coalesce(F.sum("_c").over(
+        Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("_off"))
+    return (t.join(offs, on=[*key, "_b"]).withColumn(out, F.col("_off") + F.col("_loc"))
+             .drop("_b", "_loc", "_off"))
 
 
 def chunked(df: DataFrame, key: Sequence[str], order: Sequence[str], back: int, fwd: int = 0,
@@ -51,19 +56,23 @@ def chunked(df: DataFrame, key: Sequence[str], order: Sequence[str], back: int,
     """Rows tagged with `_chunk` plus halo copies (`_own = false`) so that a
     frame of `back` preceding and `fwd` following rows is complete for every
     owned row inside its (key, _chunk) partition."""
-    if back > chunk_rows or fwd > chunk_rows:
-        raise ValueError("the frame must be shorter than a chunk")
     g = series_index(df, key, order)
-    c = F.floor(F.col("_g") / chunk_rows).cast("long")
-    pos = F.col("_g") % chunk_rows
+    C = int(chunk_rows)
+    c = F.floor(F.col("_g") / C).cast("long")
     base = g.withColumn("_chunk", c).withColumn("_own", F.lit(True))
     parts = [base]
+    # row g is needed by every later chunk c' with c'*C - back <= g, and by
+    # every earlier chunk c' whose last row + fwd >= g (a frame longer than
+    # a chunk copies a row into several chunks)
     if back > 0:
-        parts.append(base.filter(pos >= chunk_rows - back)
-                     .withColumn("_chunk", F.col("_chunk") + 1).withColumn("_own", F.lit(False)))
+        last = F.floor((F.col("_g") + back) / C).cast("long")
+        parts.append(base.filter(last > F.col("_chunk")).withColumn(
+            "_chunk", F.explode(F.sequence(F.col("_chunk") + 1, last))).withColumn("_own", F.lit(False)))
     if fwd > 0:
-        parts.append(base.filter((pos < fwd) & (F.col("_chunk") > 0))
-                     .withColumn("_chunk", F.col("_chunk") - 1).withColumn("_own", F.lit(False)))
+        first = F.greatest(F.lit(0).cast("long"),
+                           F.ceil((F.col("_g") - fwd - (C - 1)) / C).cast("long"))
+        parts.append(base.filter(first < F.col("_chunk")).withColumn(
+            "_chunk", F.explode(F.sequence(first, F.col("_chunk") - 1))).withColumn("_own", F.lit(False)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

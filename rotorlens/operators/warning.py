@@ -224,7 +224,7 @@ def history_summary(df: DataFrame, key: Sequence[str], order: Sequence[str], tim
 
 # ------------------------------------------------------ rolling (EW11) ---
 
-def _frame_sums(df: DataFrame, key, order, metrics, history):
+def _frame_sums(df: DataFrame, key, order, metrics, history, has_index: bool = False):
     """Exact frame sums of y and g*y (g = row index) per metric: running
     decimal sums minus the same sums `history` rows back, O(1) per row.
 
@@ -232,7 +232,7 @@ def _frame_sums(df: DataFrame, key, order, metrics, history):
     intermediate type is chosen so no decimal operation drops digits."""
     w = series_window(key, order)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("_g", (F.row_number().over(w) - 1).cast("long"))
+    out = df if has_index else df.withColumn("_g", (F.row_number().over(w) - 1).cast("long"))
     sums = []
     for m in metrics:
         y = F.col(m).cast("decimal(20,8)")
@@ -249,20 +249,32 @@ def _frame_sums(df: DataFrame, key, order, metrics, history):
 def warning_rolling(df: DataFrame, params: DataFrame, key: Sequence[str], order: Sequence[str],
                     metrics: Sequence[str], history: int = HISTORY, min_samples: int = MIN_SAMPLES,
                     horizons: Sequence[int] = HORIZONS,
-                    confidence_threshold: float = CONFIDENCE_THRESHOLD) -> DataFrame:
+                    confidence_threshold: float = CONFIDENCE_THRESHOLD,
+                    chunk_rows: int | None = None) -> DataFrame:
     """EW11: EW2-EW10 as of every sample (the live loop's view), wide form.
 
     For the frame of the last n = min(history, g+1) rows ending at row g,
     with x = 0..n-1: Sx = n(n-1)/2, n*Sxx - Sx^2 = n^2(n^2-1)/12 and
     Sxy = S(g*y) - start*S(y). The slope numerator n*Sxy - Sx*Sy is formed
-    in exact decimals, so a flat frame gives a slope of exactly 0."""
+    in exact decimals, so a flat frame gives a slope of exactly 0.
+
+    With `chunk_rows`, each series is cut into chunks that carry the
+    previous `history` rows as a halo (operators.series): running sums
+    restart at each chunk's halo, so the frame sums - and all results - are
+    unchanged while a hot machine spreads over many tasks."""
     if history >= 10 ** 6:
         raise ValueError("history must stay below 10^6 rows")
     stats = ["mean", "std", "warn", "crit"]
     pw = params.groupBy(*key).agg(*[F.max(F.when(F.col(M) == m, F.col(s))).alias(f"{m}__{s}")
                                     for m in metrics for s in stats])
     j = df.join(pw, on=list(key), how="left")
-    j = _frame_sums(j, key, order, metrics, history)
+    if chunk_rows:
+        from .series import chunked
+        j = chunked(j, key, order, history, 0, chunk_rows)
+        j = _frame_sums(j, [*key, "_chunk"], ["_g"], metrics, history, has_index=True)
+        j = j.filter("_own")  # halo rows only fed the frame sums
+    else:
+        j = _frame_sums(j, key, order, metrics, history)
     j = j.withColumn("_nl", F.least(F.col("_g") + 1, F.lit(history)))
     j = j.withColumn("_n", F.col("_nl").cast("double"))
     n, nl = F.col("_n"), F.col("_nl")

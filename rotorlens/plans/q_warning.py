@@ -216,3 +216,21 @@ register("history_summary",
          "BY T DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC) <= 500) "
          "SELECT E, count(*) AS samples, min(T) AS oldest, max(T) AS newest, "
          f"'{','.join(LI_METRICS)}' AS features FROM tl GROUP BY E")(q_history_summary)
+
+
+def q_warning_rolling_chunked(spark, sf):
+    """EW11 through the skew-safe path (chunks of 500 rows carrying a
+    500-row halo); same values as warning_rolling."""
+    f = lineitem_features(spark, sf)
+    p = bl.fit_baseline(f, K, LO, LM, n=100, pct=95.0)
+    out = ew.warning_rolling(f, p, K, LO, LM, history=500, chunk_rows=500)
+    return out.select(
+        "E", "T", "l_orderkey", "l_linenumber", "l_partkey", "has_warning",
+        rnd("earliest_anomaly_hours").alias("earliest_anomaly_hours"),
+        rnd("degradation_rate").alias("degradation_rate"),
+        rnd("remaining_useful_life_hours").alias("remaining_useful_life_hours"),
+        rnd("overall_risk_score").alias("overall_risk_score"),
+        F.size("predictions").cast("bigint").alias("n_predictions"))
+
+
+register("warning_rolling_chunked", _rolling_sql())(q_warning_rolling_chunked)
