@@ -113,13 +113,19 @@ def anomaly_report(df: DataFrame, params: DataFrame, key: Sequence[str], order:
 
 def monitor(report: DataFrame, key: Sequence[str], order: Sequence[str],
             window: int = 10, alert_threshold: float = 0.5,
-            vote_col: str = "ensemble_prediction", score_col: str | None = None) -> DataFrame:
+            vote_col: str = "ensemble_prediction", score_col: str | None = None,
+            chunk_rows: int | None = None) -> DataFrame:
     """ANO10: rolling anomaly rate and mean score over the last `window` rows
     (fewer at the start), alert flag and level.
 
     With no forest fitted the reference's score falls back to 0; pass
-    `score_col` to average a real score instead.
+    `score_col` to average a real score instead. `chunk_rows` runs the
+    windows per (machine, chunk) with a halo (operators.series).
     """
+    if chunk_rows:
+        from .series import on_chunks
+        return on_chunks(report, key, order, window - 1, 0, lambda d, k, o: monitor(
+            d, k, o, window, alert_threshold, vote_col, score_col), chunk_rows)
     w = series_window(key, order).rowsBetween(-(window - 1), 0)
     score = F.col(score_col) if score_col else F.lit(0.0)
     rate = F.avg(F.when(F.col(vote_col) == -1, 1.0).otherwise(0.0)).over(w)

@@ -110,12 +110,20 @@ def _interp(c: str, key, order, limit) -> Column:
 
 
 def impute(df: DataFrame, key: Sequence[str], order: Sequence[str], metrics: Sequence[str],
-           method: str = "forward_fill", max_gap: int | None = None) -> DataFrame:
+           method: str = "forward_fill", max_gap: int | None = None,
+           chunk_rows: int | None = None) -> DataFrame:
     """CLN6-CLN10: ffill then bfill / bfill then ffill / linear (+bfill,
     ffill) / series mean / series median, each fill limited to `max_gap`
-    consecutive nulls where the method has a limit."""
+    consecutive nulls where the method has a limit.
+
+    `chunk_rows` (limited forward/backward fills) runs the fills per
+    (machine, chunk) with a halo of `max_gap` rows on both sides."""
     if method not in IMPUTERS:
         raise ValueError(f"Unknown imputation method: {method}")
+    if chunk_rows and method in ("forward_fill", "backward_fill") and max_gap is not None:
+        from .series import on_chunks
+        return on_chunks(df, key, order, max_gap, max_gap,
+                         lambda d, k, o: impute(d, k, o, metrics, method, max_gap), chunk_rows)
     out = df
     if method in ("mean", "median"):
         aggs = [(F.avg(m) if method == "mean" else F.percentile(m, 0.5)).alias(f"{m}__fill")
@@ -200,11 +208,16 @@ def moving_average_valid(df: DataFrame, key, order, col: str, w: int, out: str =
 
 
 def filter_moving_average(df: DataFrame, key, order, metrics: Sequence[str],
-                          window: int = 5) -> DataFrame:
+                          window: int = 5, chunk_rows: int | None = None) -> DataFrame:
     """CLN14: centred moving average with zero padding at the edges (the
-    'same' mode of a discrete convolution)."""
+    'same' mode of a discrete convolution). `chunk_rows`: per (machine,
+    chunk) with a halo on both sides."""
     before = window - 1 - (window - 1) // 2
     after = (window - 1) // 2
+    if chunk_rows:
+        from .series import on_chunks
+        return on_chunks(df, key, order, before, after,
+                         lambda d, k, o: filter_moving_average(d, k, o, metrics, window), chunk_rows)
     fr = rows_frame(key, order, -before, after)
     out = df
     for m in metrics:

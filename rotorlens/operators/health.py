@@ -112,9 +112,14 @@ def health_score(df: DataFrame, params: DataFrame | None, key: Sequence[str],
 
 
 def health_trend(df: DataFrame, key: Sequence[str], order: Sequence[str],
-                 window: int = 10, score_col: str = "health_score") -> DataFrame:
+                 window: int = 10, score_col: str = "health_score",
+                 chunk_rows: int | None = None) -> DataFrame:
     """HLT7: (last - first) / count over the last `window` scores:
     > 1 improving, < -1 degrading, else stable (stable with < 2 scores)."""
+    if chunk_rows:
+        from .series import on_chunks
+        return on_chunks(df, key, order, window - 1, 0,
+                         lambda d, k, o: health_trend(d, k, o, window, score_col), chunk_rows)
     w = series_window(key, order).rowsBetween(-(window - 1), 0)
     first = F.first(score_col).over(w)
     cnt = F.count(score_col).over(w)

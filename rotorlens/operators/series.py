@@ -94,3 +94,15 @@ def carry_last(df: DataFrame, key: Sequence[str], col: str, out: str,
         Window.partitionBy(*key).orderBy(chunk_col).rowsBetween(Window.unboundedPreceding, -1)))
     j = df.join(carry.select(*key, chunk_col, "_carry"), on=[*key, chunk_col], how="left")
     return j.withColumn(out, F.coalesce(last_in, F.col("_carry"))).drop("_carry")
+
+
+def on_chunks(df: DataFrame, key: Sequence[str], order: Sequence[str], back: int, fwd: int,
+              fn, chunk_rows: int | None) -> DataFrame:
+    """Run `fn(frame, key, order)` - an operator whose values depend only on
+    rows within `back` before and `fwd` after each row - per (key, chunk)
+    instead of per key; without `chunk_rows` it runs on the plain series."""
+    if not chunk_rows:
+        return fn(df, list(key), list(order))
+    c = chunked(df, key, order, back, fwd, chunk_rows)
+    out = fn(c, [*key, "_chunk"], ["_g"])
+    return out.filter("_own").drop("_own", "_chunk", "_g")
