@@ -267,3 +267,71 @@ def expire_alerts(alerts: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
 def recent_alerts(alerts: DataFrame, n: int = 100) -> DataFrame:
     """ALR15: newest n (a top-k: TakeOrderedAndProject)."""
     return alerts.orderBy(F.col("T").desc(), F.col("alert_id").desc()).limit(n)
+
+
+def candidates_one_pass(df: DataFrame, key_cols, order_cols, metrics: Sequence[str],
+                        thresholds: DataFrame, score_col: str = "health_score",
+                        flag_col: str = "is_anomaly", anomaly_score: str = "anomaly_score",
+                        preds_col: str | None = "predictions", health_warning: float = 50.0,
+                        health_critical: float = 30.0) -> DataFrame:
+    """ALR1-ALR6 in a single scan of the scored rows: every check becomes a
+    nullable struct of one array, exploded once - the same rows, columns and
+    per-sample order as the union of the check_* functions, without reading
+    the input four times. The thresholds table (one row per metric) is read
+    into the plan as literals."""
+    th = {r["M"]: r for r in thresholds.collect()}  # bounded: one row per metric
+
+    def item(ord_, kind, sev, msg, src, thr, metric, cond):
+        return F.when(cond, F.struct(
+            ord_.cast("int").alias("ord") if isinstance(ord_, Column) else F.lit(ord_).alias("ord"),
+            F.lit(kind).alias("alert_type"), sev.alias("severity"), msg.alias("message"),
+            src.cast("double").alias("source_value"), thr.cast("double").alias("threshold"),
+            metric.cast("string").alias("metric")))
+
+    h = F.col(score_col)
+    crit_h = h < health_critical
+    items = [item(0, "health_score", F.when(crit_h, "critical").otherwise("warning"),
+                  F.when(crit_h, F.concat(F.lit("Equipment health critically low: "),
+                                          fmt_fixed(h, 1), F.lit("%")))
+                  .otherwise(F.concat(F.lit("Equipment health warning: "), fmt_fixed(h, 1), F.lit("%"))),
+                  h, F.when(crit_h, F.lit(health_critical)).otherwise(F.lit(health_warning)),
+                  F.lit(None), h < health_warning)]
+    s = F.col(anomaly_score) if anomaly_score else F.lit(None).cast("double")
+    items.append(item(1, "anomaly", F.when(s < -1, "critical").otherwise("warning"),
+                      F.lit("Anomaly detected in sensor readings"), s, F.lit(None), F.lit(None),
+                      F.col(flag_col)))
+    for i, m in enumerate(metrics):
+        if m not in th:
+            continue
+        r = th[m]
+        v = F.col(m).cast("double")
+        w, c = r["warning"], r["critical"]
+
+        def bad(x):
+            return (v < x) if r["lower_is_bad"] else (v > x)
+
+        is_c = bad(F.lit(c)) if c is not None else F.lit(False)
+        is_w = bad(F.lit(w)) if w is not None else F.lit(False)
+        items.append(item(2 + i, "threshold", F.when(is_c, "critical").otherwise("warning"),
+                          F.when(is_c, F.concat(F.lit(f"{m} is at critical level: "), fmt_fixed(v, 2)))
+                          .otherwise(F.concat(F.lit(f"{m} is elevated: "), fmt_fixed(v, 2))), v,
+                          F.when(is_c, F.lit(c)).otherwise(F.lit(w)), F.lit(m), is_c | is_w))
+    arr = F.array(*items)
+    if preds_col and preds_col in df.columns:
+        base = 2 + len(metrics)
+
+        def ew_item(p, i):
+            hrs, conf = p["predicted_time_hours"], p["confidence"]
+            sev = F.when(hrs <= 6, "critical").when(hrs <= 24, "warning").otherwise("info")
+            head = (F.when(hrs <= 6, F.lit("EARLY WARNING: Anomaly predicted in "))
+                     .when(hrs <= 24, F.lit("Early Warning: Anomaly predicted in "))
+                     .otherwise(F.lit("Advisory: Potential anomaly in ")))
+            msg = F.concat(head, fmt_fixed(hrs, 1), F.lit(" hours (Affected: "), p["metric"],
+                           F.lit(", Confidence: "), fmt_fixed(conf * 100.0, 0), F.lit("%)"))
+            return item(i + base, "early_warning", sev, msg, hrs, conf, p["metric"],
+                        hrs.isNotNull() & (conf >= 0.5) & (hrs <= 48))
+
+        arr = F.concat(arr, F.transform(preds_col, ew_item))
+    return (df.select(*key_cols, *order_cols, F.explode(F.filter(arr, lambda x: x.isNotNull()))
+                      .alias("_c"))
+              .select(*key_cols, *order_cols, "_c.*"))

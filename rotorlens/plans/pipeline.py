@@ -50,13 +50,8 @@ def pipeline_alerts(samples: DataFrame, key: Sequence[str], order: Sequence[str]
                     cooldown_minutes: int = al.COOLDOWN_MINUTES, time_col: str = "T") -> DataFrame:
     """ALR6 + ALR7 + ALR8 on PIP1 output: candidates in per-sample order
     (health, anomaly, thresholds, early warnings), cooled down, numbered."""
-    parts = [al.check_health(samples, key, order, ord_=0),
-             al.check_anomaly(samples, key, order, ord_=1),
-             al.check_thresholds(samples, key, order, metrics, thresholds, ord_base=2)]
-    if "predictions" in samples.columns:
-        parts.append(al.check_early_warning(samples, key, order, "predictions",
-                                            ord_base=2 + len(metrics)))
-    cands = al.candidate_alerts(parts)
+    cands = al.candidates_one_pass(samples, key, order, metrics, thresholds,
+                                   preds_col="predictions")
     seq = [c for c in order if c != time_col] + ["ord"]
     kept = al.cooldown(cands, cooldown_minutes, time_col, seq)
     return al.assign_ids(kept, [time_col, *seq])

@@ -306,3 +306,16 @@ def _ew_alert_sql():
 
 
 register("early_warning_alerts", _ew_alert_sql())(q_early_warning_alerts)
+
+
+def q_alert_candidates_one_pass(spark, sf):
+    """ALR1-ALR6 in one scan (array of checks, one explode); same rows as
+    alert_candidates."""
+    s = scored_events(spark, sf)
+    th = al.thresholds_table(spark, EV_THRESHOLDS)
+    c = al.candidates_one_pass(s, ["E"], ["T", "event_id"], ["V"], th, preds_col=None)
+    return _cands_out(c)
+
+
+register("alert_candidates_one_pass", f"WITH {SCORED_SQL}, {CANDS_SQL} SELECT {CANDS_COLS} FROM cands")(
+    q_alert_candidates_one_pass)
