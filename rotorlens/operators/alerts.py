@@ -146,12 +146,14 @@ def candidate_alerts(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def greedy_keep(df: DataFrame, key: Sequence[str], order: Sequence[str], pos: Column,
-                gap, start=None) -> DataFrame:
+                gap, start=None, chunk_rows: int | None = None) -> DataFrame:
     """Keep a row when `pos - last kept pos >= gap` (the first row is kept
     unless `start` is given, then it needs `pos - start >= gap`).
 
     `pos` is a timestamp (gap: interval string such as '15 minutes') or a
-    number (gap: number). Returns the kept rows only."""
+    number (gap: number). Returns the kept rows only. With `chunk_rows`
+    the burst numbering runs per (key, chunk) with a one-row halo and a
+    carry of earlier chunks' burst counts (operators.series)."""
     w = Window.partitionBy(*key).orderBy(*order)
     numeric = not isinstance(gap, str)
     p = df.withColumn("_p", pos.cast("double") if numeric else pos.cast("timestamp"))
@@ -161,10 +163,17 @@ def greedy_keep(df: DataFrame, key: Sequence[str], order: Sequence[str], pos: Co
         # kept, and such rows never influence later decisions.
         st = F.lit(float(start)) if numeric else F.lit(start).cast("timestamp")
         p = p.filter(F.col("_p") >= st + g)
-    prev = F.lag("_p").over(w)
-    quiet = prev.isNull() | (F.col("_p") >= prev + g)
-    p = p.withColumn("_q", quiet.cast("int"))
-    p = p.withColumn("_burst", F.sum("_q").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if chunk_rows:
+        from .series import carry_sum, chunked
+        c = chunked(p, key, order, 1, 0, chunk_rows)
+        prev = F.lag("_p").over(Window.partitionBy(*key, "_chunk").orderBy("_g"))
+        c = c.withColumn("_q", (prev.isNull() | (F.col("_p") >= prev + g)).cast("int"))
+        p = carry_sum(c, key, "_q", "_burst").drop("_own", "_chunk", "_g")
+    else:
+        prev = F.lag("_p").over(w)
+        quiet = prev.isNull() | (F.col("_p") >= prev + g)
+        p = p.withColumn("_q", quiet.cast("int"))
+        p = p.withColumn("_burst", F.sum("_q").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     # Burst sizes: a burst of one row is kept outright, longer bursts go
     # through a linear pass in order (one pandas group per burst).
     p = p.withColumn("_bn", F.count(F.lit(1)).over(Window.partitionBy(*key, "_burst")))
@@ -201,11 +210,11 @@ def _interval_micros(gap: str) -> int:
 
 
 def cooldown(cands: DataFrame, minutes: int = COOLDOWN_MINUTES, time_col: str = "T",
-             seq: Sequence[str] = ("ord",)) -> DataFrame:
+             seq: Sequence[str] = ("ord",), chunk_rows: int | None = None) -> DataFrame:
     """ALR7: per (E, alert_type, severity) keep an alert only when at least
     `minutes` passed since the last kept one; same-time order by `seq`."""
     return greedy_keep(cands, ["E", "alert_type", "severity"], [time_col, *seq],
-                       F.col(time_col), f"{int(minutes)} minutes")
+                       F.col(time_col), f"{int(minutes)} minutes", chunk_rows=chunk_rows)
 
 
 def assign_ids(alerts: DataFrame, order: Sequence[str] = ("T", "ord")) -> DataFrame:

@@ -106,3 +106,19 @@ def on_chunks(df: DataFrame, key: Sequence[str], order: Sequence[str], back: int
     c = chunked(df, key, order, back, fwd, chunk_rows)
     out = fn(c, [*key, "_chunk"], ["_g"])
     return out.filter("_own").drop("_own", "_chunk", "_g")
+
+
+def carry_sum(df: DataFrame, key: Sequence[str], col: str, out: str,
+              chunk_col: str = "_chunk", pos_col: str = "_g") -> DataFrame:
+    """Exact running sum of `col` (from the series start) over owned rows
+    of a chunked frame: the sum inside the chunk plus the totals of all
+    earlier chunks (scan over one row per chunk)."""
+    own = df.filter("_own")
+    w_in = Window.partitionBy(*key, chunk_col).orderBy(pos_col).rowsBetween(
+        Window.unboundedPreceding, 0)
+    tot = own.groupBy(*key, chunk_col).agg(F.sum(col).alias("_tot"))
+    carry = tot.withColumn("_carry", F.coalesce(F.sum("_tot").over(
+        Window.partitionBy(*key).orderBy(chunk_col).rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)))
+    j = own.join(carry.select(*key, chunk_col, "_carry"), on=[*key, chunk_col], how="left")
+    return j.withColumn(out, F.sum(col).over(w_in) + F.col("_carry")).drop("_carry")

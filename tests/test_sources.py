@@ -77,3 +77,15 @@ def test_check_thresholds_order_and_levels(spark):
                    (2, "temperature", "critical")]
     msgs = [r.message for r in c.collect()]
     assert msgs[0] == "rms is at critical level: 0.30"
+
+
+def test_greedy_keep_chunked_equals_plain(spark):
+    rng = np.random.default_rng(7)
+    xs = np.unique(rng.integers(0, 5000, size=900))
+    df = spark.createDataFrame([(1, int(x)) for x in xs] + [(2, int(x)) for x in xs[:40]],
+                               "E long, p long")
+    plain = sorted(tuple(r) for r in al.greedy_keep(df, ["E"], ["p"], F.col("p"), 25).collect())
+    chunk = sorted(tuple(r) for r in al.greedy_keep(df, ["E"], ["p"], F.col("p"), 25,
+                                                    chunk_rows=97).collect())
+    assert plain == chunk
+    assert [p for e, p in plain if e == 1] == greedy_python(list(xs), 25)
