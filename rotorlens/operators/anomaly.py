@@ -104,11 +104,16 @@ def detect(df: DataFrame, params: DataFrame, key: Sequence[str], metrics: Sequen
 
 def anomaly_report(df: DataFrame, params: DataFrame, key: Sequence[str], order: Sequence[str],
                    metrics: Sequence[str], methods: Sequence[str] = ("zscore", "iqr"),
-                   **kw) -> DataFrame:
+                   skew_safe: bool = False, **kw) -> DataFrame:
     """ANO9: per row index (0-based within the machine), votes, score,
-    ensemble and flag."""
+    ensemble and flag. `skew_safe` numbers rows with the bucketed series
+    index (operators.series) instead of one window per machine."""
+    d = detect(df, params, key, metrics, methods, **kw)
+    if skew_safe:
+        from .series import series_index
+        return series_index(d, key, order, out="index")
     idx = (F.row_number().over(series_window(key, order)) - 1).cast("bigint")
-    return detect(df, params, key, metrics, methods, **kw).withColumn("index", idx)
+    return d.withColumn("index", idx)
 
 
 def monitor(report: DataFrame, key: Sequence[str], order: Sequence[str],

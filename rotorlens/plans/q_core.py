@@ -11,7 +11,7 @@ from ..model import (E, LINEITEM_METRICS as LM, LINEITEM_ORDER as LO, EVENTS_ORD
 from ..operators import anomaly as ano
 from ..operators import baseline as bl
 from ..operators import health as hl
-from .registry import register
+from .registry import ORACLES, register
 from .sql import (LI_KEYS, EV_ORDER, LI_METRICS, LI_ORDER, ev_src, fit_cte, iqr_out, li_src,
                   max_abs_z, nz, r, stat_component, status, unpivot, wide_cte)
 
@@ -442,3 +442,16 @@ register("moving_average_valid",
          f"(PARTITION BY E ORDER BY {EV_ORDER}) AS rn, count(*) OVER (PARTITION BY E) AS n, V FROM src) "
          "SELECT E, event_id, round(CASE WHEN n < 5 THEN V ELSE ma END, 6) AS ma FROM w "
          "WHERE n < 5 OR rn >= 5")(q_moving_average_valid)
+
+
+def q_anomaly_report_skew_safe(spark, sf):
+    """ANO9 with the bucketed (skew-safe) row index; same rows as
+    anomaly_report."""
+    f, p, j = li_attached(spark, sf)
+    rep = ano.anomaly_report(j, None, K, LO, LM, attached=True, skew_safe=True)
+    return rep.select("E", "index", "T", F.col("zscore_prediction").cast("int"),
+                      F.col("iqr_prediction").cast("int"), rnd("zscore_score").alias("anomaly_score"),
+                      F.col("ensemble_prediction").cast("int"), "is_anomaly")
+
+
+register("anomaly_report_skew_safe", ORACLES["anomaly_report"])(q_anomaly_report_skew_safe)
