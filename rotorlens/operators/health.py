@@ -195,12 +195,18 @@ def health_history(df: DataFrame, params: DataFrame | None, key: Sequence[str],
 
 def remaining_steps(df: DataFrame, key: Sequence[str], order: Sequence[str],
                     score_col: str = "health_score", failure: float = 30.0,
-                    min_samples: int = 10) -> DataFrame:
+                    min_samples: int = 10, skew_safe: bool = False) -> DataFrame:
     """EW13: per series, steps until the fitted health line reaches
     `failure`; null with < min_samples, when not degrading (last >= first)
-    or with a non-negative slope."""
-    x = (F.row_number().over(series_window(key, order)) - 1).cast("double")
-    s = df.withColumn("_x", x)
+    or with a non-negative slope. The fit itself is a grouped aggregate
+    (partial aggregation splits a hot machine); `skew_safe` also takes the
+    positions from the bucketed series index."""
+    if skew_safe:
+        from .series import series_index
+        s = series_index(df, key, order, out="_x").withColumn("_x", F.col("_x").cast("double"))
+    else:
+        x = (F.row_number().over(series_window(key, order)) - 1).cast("double")
+        s = df.withColumn("_x", x)
     first_last = [F.min_by(score_col, "_x").alias("first"), F.max_by(score_col, "_x").alias("last")]
     g = s.groupBy(*key).agg(F.count(score_col).alias("n"),
                             F.regr_slope(score_col, "_x").alias("slope"),

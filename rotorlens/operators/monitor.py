@@ -38,12 +38,18 @@ def upload_stats(df: DataFrame, key: Sequence[str], order: Sequence[str], col: s
 
 
 def monitor_scores(df: DataFrame, stats: DataFrame, key: Sequence[str], order: Sequence[str],
-                   col: str = "rms", threshold: float = Z_THRESHOLD) -> DataFrame:
+                   col: str = "rms", threshold: float = Z_THRESHOLD,
+                   skew_safe: bool = False) -> DataFrame:
     """MON2 + MON3: z against the baseline, anomaly flag, health, failure
-    probability and remaining samples, plus the 0-based index."""
+    probability and remaining samples, plus the 0-based index (`skew_safe`:
+    bucketed series index instead of one window per machine)."""
     j = df.join(stats.select(*key, "baseline_mean", "baseline_std"), on=list(key), how="left")
     z = F.abs(F.col(col) - F.col("baseline_mean")) / F.greatest(F.col("baseline_std"), F.lit(1e-9))
-    j = j.withColumn("idx", (F.row_number().over(series_window(key, order)) - 1).cast("bigint"))
+    if skew_safe:
+        from .series import series_index
+        j = series_index(j, key, order, out="idx")
+    else:
+        j = j.withColumn("idx", (F.row_number().over(series_window(key, order)) - 1).cast("bigint"))
     j = j.withColumn("z_score", z)
     h = clamp(100.0 - F.col("z_score") * 12.0, 0.0, 100.0)
     j = (j.withColumn("is_anomaly", F.col("z_score") > threshold)

@@ -183,3 +183,20 @@ def test_chunked_operators_equal_plain(spark):
         same(cl.impute(df, key, order, ["v"], m, 2), cl.impute(df, key, order, ["v"], m, 2, chunk_rows=19))
     same(cl.filter_moving_average(df.fillna(0.0), key, order, ["v"], 5),
          cl.filter_moving_average(df.fillna(0.0), key, order, ["v"], 5, chunk_rows=17))
+
+
+def test_skew_safe_indexes_equal_plain(spark):
+    from rotorlens.operators import health as hl
+    from rotorlens.operators import monitor as mo
+    rows = [(e, i, float(RNG.normal() * 10 + 60 - 0.05 * i)) for e, n in ((1, 400), (2, 50))
+            for i in range(n)]
+    df = spark.createDataFrame(rows, "E long, i long, rms double")
+    a = hl.remaining_steps(df.withColumnRenamed("rms", "health_score"), ["E"], ["i"]).orderBy("E")
+    b = hl.remaining_steps(df.withColumnRenamed("rms", "health_score"), ["E"], ["i"],
+                           skew_safe=True).orderBy("E")
+    assert [tuple(r) for r in a.collect()] == [tuple(r) for r in b.collect()]
+    st = mo.upload_stats(df, ["E"], ["i"])
+    x = mo.monitor_scores(df, st, ["E"], ["i"]).select("E", "i", "idx").orderBy("E", "i").collect()
+    y = mo.monitor_scores(df, st, ["E"], ["i"], skew_safe=True).select("E", "i", "idx") \
+        .orderBy("E", "i").collect()
+    assert x == y
