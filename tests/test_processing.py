@@ -194,7 +194,12 @@ def test_skew_safe_indexes_equal_plain(spark):
     a = hl.remaining_steps(df.withColumnRenamed("rms", "health_score"), ["E"], ["i"]).orderBy("E")
     b = hl.remaining_steps(df.withColumnRenamed("rms", "health_score"), ["E"], ["i"],
                            skew_safe=True).orderBy("E")
-    assert [tuple(r) for r in a.collect()] == [tuple(r) for r in b.collect()]
+    # same positions; the regression sums may merge in another order (1e-15)
+    for ra, rb in zip(a.collect(), b.collect()):
+        assert ra.E == rb.E and ra.n == rb.n
+        assert (ra.remaining_steps is None) == (rb.remaining_steps is None)
+        if ra.remaining_steps is not None:
+            assert abs(ra.remaining_steps - rb.remaining_steps) < 1e-9
     st = mo.upload_stats(df, ["E"], ["i"])
     x = mo.monitor_scores(df, st, ["E"], ["i"]).select("E", "i", "idx").orderBy("E", "i").collect()
     y = mo.monitor_scores(df, st, ["E"], ["i"], skew_safe=True).select("E", "i", "idx") \
