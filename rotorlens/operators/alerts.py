@@ -163,6 +163,9 @@ def greedy_keep(df: DataFrame, key: Sequence[str], order: Sequence[str], pos: Co
         # kept, and such rows never influence later decisions.
         st = F.lit(float(start)) if numeric else F.lit(start).cast("timestamp")
         p = p.filter(F.col("_p") >= st + g)
+    if chunk_rows == "auto":
+        from .series import resolve_chunk_rows
+        chunk_rows = resolve_chunk_rows(p, key, chunk_rows)
     if chunk_rows:
         from .series import carry_sum, chunked
         c = chunked(p, key, order, 1, 0, chunk_rows)

@@ -62,9 +62,10 @@ def rolling_features(df: DataFrame, key: Sequence[str], order: Sequence[str],
     halo of the frame length (see operators.series), so a hot machine is
     spread over many tasks; the forward fill uses a carry across chunks.
     The values are identical either way."""
+    from .series import carry_last, chunked, resolve_chunk_rows
+    chunk_rows = resolve_chunk_rows(df, key, chunk_rows)
     if chunk_rows is None:
         return _rolling(df, key, order, metrics, window, with_ema)
-    from .series import carry_last, chunked
     back = max(window - 1, ema_frame_length(window) - 1 if with_ema else 0, 1)
     c = chunked(df, key, order, back, 0, chunk_rows)
     k2 = [*key, "_chunk"]

@@ -100,7 +100,9 @@ def on_chunks(df: DataFrame, key: Sequence[str], order: Sequence[str], back: int
               fn, chunk_rows: int | None) -> DataFrame:
     """Run `fn(frame, key, order)` - an operator whose values depend only on
     rows within `back` before and `fwd` after each row - per (key, chunk)
-    instead of per key; without `chunk_rows` it runs on the plain series."""
+    instead of per key; without `chunk_rows` it runs on the plain series
+    (`"auto"`: chunk only when a series is longer than AUTO_CHUNK_ROWS)."""
+    chunk_rows = resolve_chunk_rows(df, key, chunk_rows)
     if not chunk_rows:
         return fn(df, list(key), list(order))
     c = chunked(df, key, order, back, fwd, chunk_rows)
@@ -122,3 +124,16 @@ def carry_sum(df: DataFrame, key: Sequence[str], col: str, out: str,
         F.lit(0)))
     j = own.join(carry.select(*key, chunk_col, "_carry"), on=[*key, chunk_col], how="left")
     return j.withColumn(out, F.sum(col).over(w_in) + F.col("_carry")).drop("_carry")
+
+
+AUTO_CHUNK_ROWS = 2_000_000
+
+
+def resolve_chunk_rows(df: DataFrame, key: Sequence[str], chunk_rows, target: int = AUTO_CHUNK_ROWS):
+    """`chunk_rows="auto"`: measure the largest series (one small aggregate)
+    and cut series into `target`-row chunks only when some machine holds more
+    rows than that; otherwise keep one window per machine."""
+    if chunk_rows != "auto":
+        return chunk_rows
+    biggest = df.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+    return target if biggest > target else None

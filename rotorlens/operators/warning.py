@@ -268,6 +268,9 @@ def warning_rolling(df: DataFrame, params: DataFrame, key: Sequence[str], order:
     pw = params.groupBy(*key).agg(*[F.max(F.when(F.col(M) == m, F.col(s))).alias(f"{m}__{s}")
                                     for m in metrics for s in stats])
     j = df.join(pw, on=list(key), how="left")
+    if chunk_rows == "auto":
+        from .series import resolve_chunk_rows
+        chunk_rows = resolve_chunk_rows(df, key, chunk_rows)
     if chunk_rows:
         from .series import chunked
         j = chunked(j, key, order, history, 0, chunk_rows)
