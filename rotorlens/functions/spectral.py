@@ -14,18 +14,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import as_col
 
 
-def _stack(s: pd.Series):
-    """Group a batch by signal length so each group is one 2-D FFT."""
-    lens = s.map(lambda a: -1 if a is None else len(a))
-    return lens
+def _lengths(s: pd.Series) -> pd.Series:
+    return s.map(lambda a: -1 if a is None else len(a))
 
 
 def _rows_fft(s: pd.Series, fn) -> pd.Series:
+    """Apply `fn` to the batch grouped by signal length, so each group is
+    one 2-D NumPy call."""
     out = [None] * len(s)
-    lens = _stack(s)
+    lens = _lengths(s)
     for n in lens.unique():
         idx = np.flatnonzero(lens.to_numpy() == n)
         if n <= 0:
@@ -96,7 +95,3 @@ def arr_quantile(a: Column, p: float) -> Column:
 def positive_freqs(mag: Column, n: Column, rate: float) -> Column:
     """Frequencies (Hz) of the bins returned by fft_magnitude."""
     return F.transform(mag, lambda x, i: (i + 1) * F.lit(float(rate)) / n)
-
-
-def as_array(c) -> Column:
-    return as_col(c)

@@ -19,7 +19,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import fmt_fixed
 from ..model import M, V, series_window, to_long
 from .baseline import tail_rows
 

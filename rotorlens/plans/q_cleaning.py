@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..model import (E, EVENTS_ORDER as EO, LINEITEM_METRICS as LM, LINEITEM_ORDER as LO,
-                     events_readings, lineitem_features, rnd, round_doubles)
+from ..model import (E, EVENTS_ORDER as EO, LINEITEM_METRICS as LM, events_readings,
+                     lineitem_features, rnd, round_doubles)
 from ..operators import cleaning as cl
 from ..operators.rolling import ema_frame_length, rolling_features
 from .registry import register
-from .sql import EV_ORDER, LI_KEYS, LI_METRICS, LI_ORDER, ev_src, li_src, nz, r
+from .sql import EV_ORDER, LI_KEYS, LI_METRICS, ev_src, li_src, nz, r
 
 K = [E]
 LI_ID = ["E", "T", "l_orderkey", "l_linenumber", "l_partkey"]

@@ -295,10 +295,6 @@ register("health_trend", _li_base_sql(stats=("mean", "std")) +
     q_health_trend)
 
 
-def _report_cols(metrics):
-    return metrics
-
-
 def q_health_report(spark, sf):
     """HLT8-HLT10: report with recommendations and alerts, flattened to text
     so it compares as scalars."""

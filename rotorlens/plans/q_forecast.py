@@ -3,8 +3,6 @@ hourly event means per event type (F5)."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..model import E, HOURLY_SQL, ORDERS_SQL, hourly_events, order_series, rnd
 from ..operators import forecast as fc
 from .registry import register

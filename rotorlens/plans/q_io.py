@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..model import (E, EVENTS_ORDER as EO, LINEITEM_METRICS as LM, LINEITEM_ORDER as LO,
+from ..model import (E, LINEITEM_METRICS as LM, LINEITEM_ORDER as LO,
                      embedding_signals, events_readings, lineitem_features, rnd, round_doubles,
                      table)
 from ..operators import baseline as bl

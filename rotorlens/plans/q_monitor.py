@@ -11,7 +11,7 @@ from ..operators import alerts as al
 from ..operators import monitor as mo
 from . import pipeline as pl
 from .registry import register
-from .sql import LI_ORDER, li_src, r, status
+from .sql import r, status
 
 K = [E]
 ORD = "T, l_orderkey, l_linenumber, l_partkey, l_extendedprice"

@@ -14,10 +14,9 @@ from ..operators import alerts as al
 from ..operators import baseline as bl
 from ..session import scratch_path
 from ..streaming import streams as st
-from .q_alerts import (CANDS_SQL, EV_THRESHOLDS, KEPT_SQL, SCORED_SQL, WEAR_RATE, WEAR_SQL,
-                       wear_events)
+from .q_alerts import CANDS_SQL, EV_THRESHOLDS, KEPT_SQL, SCORED_SQL, WEAR_SQL, wear_events
 from .registry import register
-from .sql import EV_ORDER, ev_src, fit_cte, iqr_out, max_abs_z, r, stat_component, wide_cte
+from .sql import EV_ORDER, ev_src, fit_cte, iqr_out, max_abs_z, wide_cte
 
 K = [E]
 
