@@ -120,10 +120,11 @@ def impute(df: DataFrame, key: Sequence[str], order: Sequence[str], metrics: Seq
     (machine, chunk) with a halo of `max_gap` rows on both sides."""
     if method not in IMPUTERS:
         raise ValueError(f"Unknown imputation method: {method}")
-    if chunk_rows and method in ("forward_fill", "backward_fill") and max_gap is not None:
-        from .series import on_chunks
-        return on_chunks(df, key, order, max_gap, max_gap,
-                         lambda d, k, o: impute(d, k, o, metrics, method, max_gap), chunk_rows)
+    if chunk_rows and method in ("forward_fill", "backward_fill", "interpolate"):
+        from .series import resolve_chunk_rows
+        cr = resolve_chunk_rows(df, key, chunk_rows)
+        if cr:
+            return _impute_chunked(df, key, order, metrics, method, max_gap, cr)
     out = df
     if method in ("mean", "median"):
         aggs = [(F.avg(m) if method == "mean" else F.percentile(m, 0.5)).alias(f"{m}__fill")
@@ -157,6 +158,47 @@ def impute(df: DataFrame, key: Sequence[str], order: Sequence[str], metrics: Seq
     return out
 
 
+def _impute_chunked(df, key, order, metrics, method, max_gap, chunk_rows):
+    """Fills and interpolation on chunked series: the nearest valid value
+    before / after each row (with its position) comes from in-chunk scans
+    plus carries across chunks, so every fill is exact without a halo."""
+    from .series import carry_first, carry_last, chunked
+    c = chunked(df, key, order, 0, 0, chunk_rows)
+    g = F.col("_g")
+
+    def nearest(c, m, forward):
+        vs = F.when(F.col(m).isNotNull(), F.struct(g.alias("p"), F.col(m).alias("v")))
+        c = c.withColumn("_vs", vs)
+        c = (carry_last if forward else carry_first)(c, key, "_vs", "_near")
+        return c.drop("_vs")
+
+    def fill(c, m, forward):
+        c = nearest(c, m, forward)
+        near = F.col("_near")
+        dist = (g - near["p"]) if forward else (near["p"] - g)
+        ok = near.isNotNull() if max_gap is None else near.isNotNull() & (dist <= max_gap)
+        return c.withColumn(m, F.when(F.col(m).isNotNull(), F.col(m)).when(ok, near["v"])) \
+                .drop("_near")
+
+    for m in metrics:
+        if method == "interpolate":
+            c = nearest(c, m, True).withColumnRenamed("_near", "_prev")
+            c = nearest(c, m, False).withColumnRenamed("_near", "_next")
+            p, n = F.col("_prev"), F.col("_next")
+            lin = p["v"] + (n["v"] - p["v"]) * (g - p["p"]) / (n["p"] - p["p"])
+            ok = p.isNotNull()
+            if max_gap is not None:
+                ok = ok & (g - p["p"] <= max_gap)
+            c = c.withColumn(m, F.when(F.col(m).isNotNull(), F.col(m))
+                             .when(ok, F.when(n.isNull(), p["v"]).otherwise(lin))).drop("_prev", "_next")
+            steps = (False, True)
+        else:
+            steps = (True, False) if method == "forward_fill" else (False, True)
+        for forward in steps:
+            c = fill(c, m, forward)
+    return c.drop("_own", "_chunk", "_g")
+
+
 def imputed_count(before: DataFrame, after: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """CLN11: nulls before minus nulls after, over all metrics (one row)."""
     def nulls(df):
@@ -320,12 +362,13 @@ def resample(df: DataFrame, key: Sequence[str], time_col: str, metrics: Sequence
 
 
 def clean_pipeline(df: DataFrame, key, order, metrics: Sequence[str], scaling: bool = True,
-                   impute_missing: bool = True, outliers: bool = False) -> DataFrame:
+                   impute_missing: bool = True, outliers: bool = False,
+                   chunk_rows=None) -> DataFrame:
     """CLN19: linear imputation -> z-score outliers at 4.0 -> standard scaling
-    fitted on the cleaned data itself."""
+    fitted on the cleaned data itself (`chunk_rows`: skew-safe imputation)."""
     out = df
     if impute_missing:
-        out = impute(out, key, order, metrics, "interpolate")
+        out = impute(out, key, order, metrics, "interpolate", chunk_rows=chunk_rows)
     if outliers:
         out = remove_outliers(out, key, metrics, "zscore", 4.0).select(*df.columns)
     if scaling:

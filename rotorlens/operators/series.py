@@ -137,3 +137,20 @@ def resolve_chunk_rows(df: DataFrame, key: Sequence[str], chunk_rows, target: in
         return chunk_rows
     biggest = df.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
     return target if biggest > target else None
+
+
+def carry_first(df: DataFrame, key: Sequence[str], col: str, out: str,
+                chunk_col: str = "_chunk", pos_col: str = "_g") -> DataFrame:
+    """Mirror of `carry_last`: the next non-null value of `col` at or after
+    each owned row, across chunks (scan over one row per chunk)."""
+    own = df.filter("_own")
+    w_in = Window.partitionBy(*key, chunk_col).orderBy(F.col(pos_col).desc()).rowsBetween(
+        Window.unboundedPreceding, 0)
+    first_in = F.last(col, ignorenulls=True).over(w_in)
+    per_chunk = own.groupBy(*key, chunk_col).agg(
+        F.min_by(col, F.when(F.col(col).isNotNull(), F.col(pos_col))).alias("_firstv"))
+    carry = per_chunk.withColumn("_carry", F.last("_firstv", ignorenulls=True).over(
+        Window.partitionBy(*key).orderBy(F.col(chunk_col).desc())
+        .rowsBetween(Window.unboundedPreceding, -1)))
+    j = df.join(carry.select(*key, chunk_col, "_carry"), on=[*key, chunk_col], how="left")
+    return j.withColumn(out, F.coalesce(first_in, F.col("_carry"))).drop("_carry")

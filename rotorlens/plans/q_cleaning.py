@@ -336,3 +336,13 @@ def q_rolling_features_chunked(spark, sf):
 
 
 register("rolling_features_chunked", _rolling_sql())(q_rolling_features_chunked)
+
+
+def q_impute_linear_chunked(spark, sf):
+    """CLN8 through the skew-safe path (chunks of 7 rows, carries across
+    cuts); same values as impute_linear."""
+    out = cl.impute(ev_holes(spark, sf), K, EO, ["V"], "interpolate", 2, chunk_rows=7)
+    return out.select("E", "event_id", rnd("V").alias("V"))
+
+
+register("impute_linear_chunked", _impute_sql("interpolate", 2))(q_impute_linear_chunked)

@@ -160,7 +160,9 @@ def test_chunked_operators_equal_plain(spark):
     rows = []
     for e, n in ((1, 300), (2, 30)):
         v = RNG.normal(size=n) * 20 + 50
-        v[40:47] = np.nan
+        v[30:47] = np.nan    # crosses a chunk cut
+        v[100:160] = np.nan  # covers whole chunks
+        v[-3:] = np.nan      # trailing gap
         rows += [(e, i, None if np.isnan(x) else float(x), -1 if (x > 60) else 1)
                  for i, x in enumerate(v)]
     df = spark.createDataFrame(rows, "E long, i long, v double, ensemble_prediction int")
@@ -179,8 +181,10 @@ def test_chunked_operators_equal_plain(spark):
     same(ano.monitor(df, key, order, 10), ano.monitor(df, key, order, 10, chunk_rows=37))
     h = df.withColumn("health_score", F.coalesce("v", F.lit(0.0)))
     same(hl.health_trend(h, key, order, 10), hl.health_trend(h, key, order, 10, chunk_rows=23))
-    for m in ("forward_fill", "backward_fill"):
-        same(cl.impute(df, key, order, ["v"], m, 2), cl.impute(df, key, order, ["v"], m, 2, chunk_rows=19))
+    for m in ("forward_fill", "backward_fill", "interpolate"):
+        for gap in (2, None):
+            same(cl.impute(df, key, order, ["v"], m, gap),
+                 cl.impute(df, key, order, ["v"], m, gap, chunk_rows=19))
     same(cl.filter_moving_average(df.fillna(0.0), key, order, ["v"], 5),
          cl.filter_moving_average(df.fillna(0.0), key, order, ["v"], 5, chunk_rows=17))
 
