@@ -237,16 +237,16 @@ def remove_outliers(df: DataFrame, key: Sequence[str], metrics: Sequence[str],
 
 # -------------------------------------------------------------- filters --
 
-def moving_average_valid(df: DataFrame, key, order, col: str, w: int, out: str = "ma") -> DataFrame:
+def moving_average_valid(df: DataFrame, key, order, col: str, w: int, out: str = "ma",
+                         chunk_rows=None) -> DataFrame:
     """FN3: mean of each full window of w (rows before the w-th are dropped);
-    a series shorter than w is returned unchanged."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*key))
-    rn = F.row_number().over(series_window(key, order))
-    ma = F.avg(col).over(rows_frame(key, order, -(w - 1), 0))
-    t = df.withColumn("_n", n).withColumn("_rn", rn).withColumn(out, ma)
-    t = t.filter((F.col("_n") < w) | (F.col("_rn") >= w))
-    return t.withColumn(out, F.when(F.col("_n") < w, F.col(col)).otherwise(F.col(out))) \
-            .drop("_n", "_rn")
+    a series shorter than w is returned unchanged. `chunk_rows`: per
+    (machine, chunk) with a halo of w-1 rows."""
+    t, wk, wo, was_chunked = _positions(df, key, order, w - 1, 0, chunk_rows)
+    t = t.withColumn(out, F.avg(col).over(rows_frame(wk, wo, -(w - 1), 0)))
+    t = t.filter((F.col("_n") < w) | (F.col("_pos") + 1 >= w))
+    t = t.withColumn(out, F.when(F.col("_n") < w, F.col(col)).otherwise(F.col(out)))
+    return _finish(t, was_chunked)
 
 
 def filter_moving_average(df: DataFrame, key, order, metrics: Sequence[str],
@@ -302,18 +302,41 @@ def savgol_weights(length: int = 11, order: int = 3) -> tuple[np.ndarray, np.nda
     return pinv[0], A @ pinv
 
 
+def _positions(df: DataFrame, key, order, back: int, fwd: int, chunk_rows):
+    """Rows with `_pos` (position in the series) and `_n` (series length),
+    plus the window key and order to use. With `chunk_rows` the series are
+    chunked with a halo of `back`/`fwd` rows and `_n` comes from a grouped
+    count, so no window spans a whole machine."""
+    from .series import chunked, resolve_chunk_rows
+    cr = resolve_chunk_rows(df, key, chunk_rows) if chunk_rows else None
+    if not cr:
+        out = (df.withColumn("_pos", F.row_number().over(series_window(key, order)) - 1)
+                 .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key))))
+        return out, list(key), list(order), False
+    c = chunked(df, key, order, back, fwd, cr)
+    n = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    c = c.join(n, on=list(key)).withColumn("_pos", F.col("_g"))
+    return c, [*key, "_chunk"], ["_g"], True
+
+
+def _finish(out: DataFrame, was_chunked: bool) -> DataFrame:
+    if was_chunked:
+        out = out.filter("_own").drop("_own", "_chunk", "_g")
+    return out.drop("_pos", "_n")
+
+
 def filter_savgol(df: DataFrame, key, order, metrics: Sequence[str], length: int = 11,
-                  polyorder: int = 3) -> DataFrame:
+                  polyorder: int = 3, chunk_rows=None) -> DataFrame:
     """CLN16: local polynomial smoothing as fixed weighted sums of lag/lead;
     the first and last length//2 rows use the polynomial fitted to the first
-    and last full window. Series must hold at least `length` rows."""
+    and last full window. Series must hold at least `length` rows.
+    `chunk_rows`: per (machine, chunk) with a halo of length-1 rows."""
     if length % 2 == 0:
         length += 1
     h = length // 2
     centre, edge = savgol_weights(length, polyorder)
-    w = series_window(key, order)
-    out = (df.withColumn("_pos", F.row_number().over(w) - 1)
-             .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key))))
+    out, wk, wo, was_chunked = _positions(df, key, order, length - 1, length - 1, chunk_rows)
+    w = series_window(wk, wo)
     pos, n = F.col("_pos"), F.col("_n")
 
     def at(m, off):  # value `off` rows after the current one
@@ -337,7 +360,7 @@ def filter_savgol(df: DataFrame, key, order, metrics: Sequence[str], length: int
             expr = expr.when(pos == n - h + t,
                              combo(m, edge[row], [j - row for j in range(length)]))
         out = out.withColumn(m, expr)
-    return out.drop("_pos", "_n")
+    return _finish(out, was_chunked)
 
 
 # ------------------------------------------------------------ resampling --

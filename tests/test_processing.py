@@ -209,3 +209,22 @@ def test_skew_safe_indexes_equal_plain(spark):
     y = mo.monitor_scores(df, st, ["E"], ["i"], skew_safe=True).select("E", "i", "idx") \
         .orderBy("E", "i").collect()
     assert x == y
+
+
+def test_chunked_edge_filters_equal_plain(spark):
+    rows = [(e, i, float(RNG.normal() * 5 + i * 0.1)) for e, n in ((1, 250), (2, 30), (3, 3))
+            for i in range(n)]
+    df = spark.createDataFrame(rows, "E long, i long, v double")
+    big = df.filter("E < 3")  # Savitzky-Golay needs >= 11 rows per series
+
+    def same(a, b):
+        a = a.orderBy("E", "i").toPandas()
+        b = b.orderBy("E", "i").toPandas()
+        assert list(a.columns) == list(b.columns) and len(a) == len(b)
+        for c in a.columns:
+            assert np.allclose(a[c].astype(float).fillna(-999), b[c].astype(float).fillna(-999)), c
+
+    same(cl.filter_savgol(big, ["E"], ["i"], ["v"]),
+         cl.filter_savgol(big, ["E"], ["i"], ["v"], chunk_rows=13))
+    same(cl.moving_average_valid(df, ["E"], ["i"], "v", 5),
+         cl.moving_average_valid(df, ["E"], ["i"], "v", 5, chunk_rows=7))
