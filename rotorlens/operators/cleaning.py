@@ -267,21 +267,40 @@ def filter_moving_average(df: DataFrame, key, order, metrics: Sequence[str],
     return out
 
 
-def filter_median(df: DataFrame, key, order, metrics: Sequence[str], size: int = 5) -> DataFrame:
+def filter_median(df: DataFrame, key, order, metrics: Sequence[str], size: int = 5,
+                  chunk_rows=None) -> DataFrame:
     """CLN15: centred running median; the edges are mirrored with the edge
     sample repeated (d c b a | a b c d). Only 2*(size//2) mirrored rows per
-    series are added; the median itself is a percentile over a row frame."""
+    series are added; the median itself is a percentile over a row frame.
+
+    `chunk_rows`: positions from the series index, and every row (mirrors
+    included) is copied into each chunk whose frames reach it."""
     h = size // 2
-    base = (df.withColumn("_pos", F.row_number().over(series_window(key, order)) - 1)
-              .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key))))
+    from .series import resolve_chunk_rows, series_index
+    cr = resolve_chunk_rows(df, key, chunk_rows) if chunk_rows else None
+    if cr:
+        base = series_index(df, key, order, out="_pos").join(
+            df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")), on=list(key))
+    else:
+        base = (df.withColumn("_pos", F.row_number().over(series_window(key, order)) - 1)
+                  .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key))))
     vals = [F.col(m) for m in metrics]
-    orig = base.select(*key, "_pos", *vals, F.lit(True).alias("_orig"))
+    orig = base.select(*key, "_pos", "_n", *vals, F.lit(True).alias("_orig"))
     head = base.filter(F.col("_pos") < h).select(
-        *key, (-F.col("_pos") - 1).alias("_pos"), *vals, F.lit(False).alias("_orig"))
+        *key, (-F.col("_pos") - 1).alias("_pos"), "_n", *vals, F.lit(False).alias("_orig"))
     tail = base.filter(F.col("_pos") >= F.col("_n") - h).select(
-        *key, (2 * F.col("_n") - 1 - F.col("_pos")).alias("_pos"), *vals, F.lit(False).alias("_orig"))
+        *key, (2 * F.col("_n") - 1 - F.col("_pos")).alias("_pos"), "_n", *vals,
+        F.lit(False).alias("_orig"))
     ext = orig.unionByName(head).unionByName(tail)
-    fr = Window.partitionBy(*key).orderBy("_pos").rowsBetween(-h, h)
+    wkey = list(key)
+    if cr:
+        p, n = F.col("_pos"), F.col("_n")
+        first = F.greatest(F.lit(0), F.ceil((p - cr + 1 - h) / cr)).cast("long")
+        last = F.least(F.floor((n - 1) / cr), F.floor((p + h) / cr)).cast("long")
+        ext = ext.withColumn("_chunk", F.explode(F.sequence(first, last)))
+        ext = ext.withColumn("_orig", F.col("_orig") & (F.col("_chunk") == F.floor(p / cr)))
+        wkey = [*key, "_chunk"]
+    fr = Window.partitionBy(*wkey).orderBy("_pos").rowsBetween(-h, h)
     med = ext.select(*key, "_pos", "_orig",
                      *[F.percentile(m, 0.5).over(fr).alias(m) for m in metrics])
     med = med.filter("_orig").drop("_orig")

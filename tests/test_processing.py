@@ -228,3 +228,12 @@ def test_chunked_edge_filters_equal_plain(spark):
          cl.filter_savgol(big, ["E"], ["i"], ["v"], chunk_rows=13))
     same(cl.moving_average_valid(df, ["E"], ["i"], "v", 5),
          cl.moving_average_valid(df, ["E"], ["i"], "v", 5, chunk_rows=7))
+
+
+def test_chunked_median_equals_plain(spark):
+    rows = [(e, i, float(RNG.normal())) for e, n in ((1, 120), (2, 9), (3, 2)) for i in range(n)]
+    df = spark.createDataFrame(rows, "E long, i long, v double")
+    a = cl.filter_median(df, ["E"], ["i"], ["v"], 5).orderBy("E", "i").toPandas()
+    for c in (7, 3):
+        b = cl.filter_median(df, ["E"], ["i"], ["v"], 5, chunk_rows=c).orderBy("E", "i").toPandas()
+        assert len(a) == len(b) and np.allclose(a["v"], b["v"])
