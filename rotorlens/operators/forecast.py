@@ -22,13 +22,25 @@ CONFIDENCE_LEVEL = 0.95
 MULTI_HORIZONS = [2, 6, 12, 24, 48]
 
 
-def _step_seconds(df: DataFrame, key, time_col) -> DataFrame:
-    """FCT2: the series' constant spacing in seconds, else one hour."""
-    w = series_window(key, [time_col])
-    gap = F.unix_micros(F.col(time_col).cast("timestamp")) - \
-        F.unix_micros(F.lag(time_col).over(w).cast("timestamp"))
-    g = df.select(*key, gap.alias("_gap")).groupBy(*key).agg(
-        F.min("_gap").alias("_gmin"), F.max("_gap").alias("_gmax"), F.count("_gap").alias("_ng"))
+def _step_seconds(df: DataFrame, key, time_col, bucket_s: float = 3600.0) -> DataFrame:
+    """FCT2: the series' constant spacing in seconds, else one hour.
+
+    Gaps are taken inside (key, hour bucket) windows, and between buckets
+    from a window over the small per-bucket table (first time minus the
+    previous bucket's last time), so no window spans a whole machine."""
+    t = F.unix_micros(F.col(time_col).cast("timestamp"))
+    s = df.select(*key, t.alias("_t")).withColumn("_b", F.floor(F.col("_t") / (bucket_s * 1e6)))
+    s = s.withColumn("_gap", F.col("_t") - F.lag("_t").over(
+        Window.partitionBy(*key, "_b").orderBy("_t")))
+    per_b = s.groupBy(*key, "_b").agg(
+        F.min("_gap").alias("_mn"), F.max("_gap").alias("_mx"), F.count("_gap").alias("_c"),
+        F.min("_t").alias("_first"), F.max("_t").alias("_last"))
+    per_b = per_b.withColumn("_cross", F.col("_first") - F.lag("_last").over(
+        Window.partitionBy(*key).orderBy("_b")))
+    g = per_b.groupBy(*key).agg(
+        F.least(F.min("_mn"), F.min("_cross")).alias("_gmin"),
+        F.greatest(F.max("_mx"), F.max("_cross")).alias("_gmax"),
+        (F.sum("_c") + F.count("_cross")).alias("_ng"))
     const = (F.col("_gmin") == F.col("_gmax")) & (F.col("_ng") >= 2)
     return g.select(*key, F.when(const, F.col("_gmin") / 1e6).otherwise(3600.0).alias("step_s"))
 

@@ -237,3 +237,16 @@ def test_chunked_median_equals_plain(spark):
     for c in (7, 3):
         b = cl.filter_median(df, ["E"], ["i"], ["v"], 5, chunk_rows=c).orderBy("E", "i").toPandas()
         assert len(a) == len(b) and np.allclose(a["v"], b["v"])
+
+
+def test_forecast_spacing_check(spark):
+    from datetime import datetime, timedelta
+    from rotorlens.operators.forecast import _step_seconds
+    t0 = datetime(2024, 1, 1)
+    rows = [("daily", t0 + timedelta(days=i)) for i in range(10)]
+    rows += [("tenmin", t0 + timedelta(minutes=10 * i)) for i in range(40)]
+    rows += [("irregular", t0 + timedelta(minutes=m)) for m in (0, 10, 25, 40, 200)]
+    rows += [("two", t0), ("two", t0 + timedelta(hours=5))]
+    df = spark.createDataFrame(rows, "E string, T timestamp").withColumn("T", F.col("T").cast("timestamp_ntz"))
+    got = {r.E: r.step_s for r in _step_seconds(df, ["E"], "T").collect()}
+    assert got == {"daily": 86400.0, "tenmin": 600.0, "irregular": 3600.0, "two": 3600.0}
