@@ -73,7 +73,7 @@ def forecast_rolling(df: DataFrame, key: Sequence[str], time_col: str, value: st
 
 
 def forecast_arima(df: DataFrame, key: Sequence[str], time_col: str, value: str, horizon: int,
-                   confidence: float = CONFIDENCE_LEVEL) -> DataFrame:
+                   confidence: float = CONFIDENCE_LEVEL, chunk_rows=None) -> DataFrame:
     """FCT3, re-aimed: ARIMA(1,1,1) without constant fitted by two-stage
     least squares on the differences d_t = y_t - y_{t-1}:
       1. AR(1): phi0 = sum(d_t d_{t-1}) / sum(d_{t-1}^2), e_t = d_t - phi0 d_{t-1};
@@ -81,17 +81,30 @@ def forecast_arima(df: DataFrame, key: Sequence[str], time_col: str, value: str,
          eps = stage-2 residuals, sigma^2 = mean(eps^2).
     Forecast: A = phi d_T + theta eps_T, d_{T+k} = phi^(k-1) A, y_{T+k} =
     y_T + A (1 - phi^k)/(1 - phi); variance sigma^2 sum_{j<k} psi*_j^2 with
-    psi*_j = 1 + (phi + theta)(1 - phi^j)/(1 - phi). Not maximum likelihood."""
-    w = series_window(key, [time_col])
+    psi*_j = 1 + (phi + theta)(1 - phi^j)/(1 - phi). Not maximum likelihood.
+
+    The lags need 3 rows of history, so with `chunk_rows` each series is
+    chunked with a 3-row halo; sums and the last state use owned rows only."""
     s = df.select(*key, time_col, F.col(value).cast("double").alias("y"))
+    cr = None
+    if chunk_rows:
+        from .series import chunked, resolve_chunk_rows
+        cr = resolve_chunk_rows(s, key, chunk_rows)
+    if cr:
+        s = chunked(s, key, [time_col], 3, 0, cr)
+        w = series_window([*key, "_chunk"], ["_g"])
+    else:
+        s = s.withColumn("_own", F.lit(True))
+        w = series_window(key, [time_col])
     s = s.withColumn("d", F.col("y") - F.lag("y").over(w))
     s = s.withColumn("d1", F.lag("d").over(w))
-    st1 = s.groupBy(*key).agg((F.sum(F.col("d") * F.col("d1")) / F.sum(F.col("d1") * F.col("d1")))
-                              .alias("phi0"))
+    st1 = s.filter("_own").groupBy(*key).agg(
+        (F.sum(F.col("d") * F.col("d1")) / F.sum(F.col("d1") * F.col("d1"))).alias("phi0"))
     # (column names avoid "e": Spark resolves names case-insensitively)
     s = s.join(st1, on=list(key)).withColumn("res0", F.col("d") - F.col("phi0") * F.col("d1"))
     s = s.withColumn("e1", F.lag("res0").over(w))
-    ok = F.col("d").isNotNull() & F.col("d1").isNotNull() & F.col("e1").isNotNull()
+    ok = (F.col("_own") & F.col("d").isNotNull() & F.col("d1").isNotNull()
+          & F.col("e1").isNotNull())
 
     def ssum(c):
         return F.sum(F.when(ok, c))
@@ -108,7 +121,7 @@ def forecast_arima(df: DataFrame, key: Sequence[str], time_col: str, value: str,
     s = s.join(g, on=list(key))
     s = s.withColumn("eps", F.when(ok, F.col("d") - F.col("phi") * F.col("d1")
                                    - F.col("theta") * F.col("e1")))
-    last = s.groupBy(*key).agg(
+    last = s.filter("_own").groupBy(*key).agg(
         F.avg(F.col("eps") * F.col("eps")).alias("sigma2"),
         F.max_by(F.struct("y", "d", "eps"), time_col).alias("_l"), F.max(time_col).alias("_t"),
         F.max("phi").alias("phi"), F.max("theta").alias("theta"))  # constant per series

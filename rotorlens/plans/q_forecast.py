@@ -135,3 +135,12 @@ register("forecast_evaluate",
          f"JOIN m USING (E) GROUP BY j.E) SELECT E, {r('mae')} AS mae, {r('rmse')} AS rmse, {r('mape')} "
          f"AS mape, {r('CASE WHEN sst > 0 THEN 1.0 - ssr / sst ELSE 0.0 END')} AS r2 FROM m JOIN tt USING (E)")(
     q_forecast_evaluate)
+
+
+def q_forecast_arima_chunked(spark, sf):
+    """FCT3 through the skew-safe path (chunks of 50 days, 3-row halo);
+    same values as forecast_arima."""
+    return _out(fc.forecast_arima(order_series(spark, sf), K, "T", "V", 12, chunk_rows=50), 3)
+
+
+register("forecast_arima_chunked", _arima_sql())(q_forecast_arima_chunked)
