@@ -220,9 +220,17 @@ def cooldown(cands: DataFrame, minutes: int = COOLDOWN_MINUTES, time_col: str =
                        F.col(time_col), f"{int(minutes)} minutes", chunk_rows=chunk_rows)
 
 
-def assign_ids(alerts: DataFrame, order: Sequence[str] = ("T", "ord")) -> DataFrame:
+def assign_ids(alerts: DataFrame, order: Sequence[str] = ("T", "ord"),
+               skew_safe: bool = False) -> DataFrame:
     """ALR8: `alert_<E>_<n:06d>`, a running number per machine (a global
-    counter would need one task)."""
+    counter would need one task). `skew_safe` numbers with the bucketed
+    series index instead of one window per machine."""
+    if skew_safe:
+        from .series import series_index
+        t = series_index(alerts, ["E"], list(order), out="_n")
+        n = F.col("_n") + 1
+        return t.withColumn("alert_id", F.format_string(
+            "alert_%s_%06d", F.col("E").cast("string"), n)).drop("_n")
     w = Window.partitionBy("E").orderBy(*order)
     n = F.row_number().over(w)
     return alerts.withColumn("alert_id", F.format_string("alert_%s_%06d", F.col("E").cast("string"), n))

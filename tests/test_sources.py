@@ -89,3 +89,14 @@ def test_greedy_keep_chunked_equals_plain(spark):
                                                     chunk_rows=97).collect())
     assert plain == chunk
     assert [p for e, p in plain if e == 1] == greedy_python(list(xs), 25)
+
+
+def test_assign_ids_skew_safe(spark):
+    from datetime import datetime, timedelta
+    t0 = datetime(2024, 1, 1)
+    rows = [(1, t0 + timedelta(minutes=7 * i), i % 3) for i in range(300)] + \
+           [(2, t0 + timedelta(minutes=5 * i), 0) for i in range(10)]
+    df = spark.createDataFrame(rows, "E long, T timestamp, ord int")
+    a = sorted(tuple(r) for r in al.assign_ids(df).collect())
+    b = sorted(tuple(r) for r in al.assign_ids(df, skew_safe=True).collect())
+    assert a == b
