@@ -10,7 +10,7 @@ from ..model import E, LINEITEM_METRICS as LM, LINEITEM_ORDER as LO, lineitem_fe
 from ..operators import alerts as al
 from ..operators import monitor as mo
 from . import pipeline as pl
-from .registry import register
+from .registry import ORACLES, register
 from .sql import r, status
 
 K = [E]
@@ -276,3 +276,56 @@ def q_pipeline_alerts(spark, sf):
 
 
 register("pipeline_alerts")(q_pipeline_alerts)
+
+
+PIPE_THRESHOLDS = [("l_quantity", 40.0, 48.0), ("l_discount", 0.08, 0.095), ("l_tax", 0.06, 0.075)]
+
+
+def _pipeline_alerts_sql():
+    """Oracle of pipeline_alerts: the flagship scores, the per-sample
+    early-warning hits, the four candidate kinds, the greedy 2-day cooldown
+    (recursive CTE) and per-machine ids."""
+    from .q_core import _ensemble_sql, _health_sql, _li_base_sql
+    from .q_warning import _rolling_sql
+    from .sql import LI_METRICS, max_abs_z
+    rs = _rolling_sql()
+    ew_q = rs[:rs.index(" SELECT gs.E")] + \
+        " SELECT E, T, l_orderkey, l_linenumber, l_partkey, _xp, M, h, conf FROM p"
+    mpos = "CASE M " + " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(LI_METRICS)) + " END"
+    ordc = "T, l_orderkey, l_linenumber, l_partkey, l_extendedprice"
+    keys = "E, T, l_orderkey, l_linenumber, l_partkey, l_extendedprice"
+    thr = " UNION ALL ".join(
+        f"SELECT {keys}, {2 + LI_METRICS.index(m)} AS ord, 'threshold', CASE WHEN {m} > {c} THEN "
+        f"'critical' ELSE 'warning' END, CASE WHEN {m} > {c} THEN '{m} is at critical level: ' || "
+        f"printf('%.2f', {m}) ELSE '{m} is elevated: ' || printf('%.2f', {m}) END FROM h0 WHERE {m} > {w}"
+        for m, w, c in PIPE_THRESHOLDS)
+    base = _li_base_sql().replace("WITH ", "WITH RECURSIVE ", 1)
+    return (
+        f"{base}, h0 AS (SELECT *, {_health_sql()} AS hs, {_ensemble_sql()} = -1 AS anom, "
+        f"-{max_abs_z(LI_METRICS)} AS score FROM j), ew AS ({ew_q}), "
+        f"ewr AS (SELECT *, row_number() OVER (PARTITION BY E, T, l_orderkey, l_linenumber, l_partkey, "
+        f"_xp ORDER BY {mpos}) - 1 AS i FROM ew), "
+        f"cands AS (SELECT {keys}, 0 AS ord, 'health_score' AS alert_type, CASE WHEN hs < 30 THEN "
+        "'critical' ELSE 'warning' END AS severity, CASE WHEN hs < 30 THEN 'Equipment health critically "
+        "low: ' || printf('%.1f', hs) || '%' ELSE 'Equipment health warning: ' || printf('%.1f', hs) || "
+        f"'%' END AS message FROM h0 WHERE hs < 50 UNION ALL SELECT {keys}, 1, 'anomaly', CASE WHEN "
+        "score < -1 THEN 'critical' ELSE 'warning' END, 'Anomaly detected in sensor readings' FROM h0 "
+        f"WHERE anom UNION ALL {thr} UNION ALL SELECT E, T, l_orderkey, l_linenumber, l_partkey, _xp, "
+        f"{2 + len(LI_METRICS)} + i, 'early_warning', CASE WHEN h <= 6 THEN 'critical' WHEN h <= 24 THEN "
+        "'warning' ELSE 'info' END, CASE WHEN h <= 6 THEN 'EARLY WARNING: Anomaly predicted in ' WHEN h "
+        "<= 24 THEN 'Early Warning: Anomaly predicted in ' ELSE 'Advisory: Potential anomaly in ' END || "
+        "printf('%.1f', CAST(h AS DOUBLE)) || ' hours (Affected: ' || M || ', Confidence: ' || "
+        "printf('%.0f', conf * 100) || '%)' FROM ewr WHERE conf >= 0.5 AND h <= 48), "
+        f"x AS (SELECT *, row_number() OVER (PARTITION BY E, alert_type, severity ORDER BY {ordc}, ord) "
+        "AS rn FROM cands), "
+        "rc AS (SELECT E, alert_type, severity, rn, T, true AS kept, T AS last FROM x WHERE rn = 1 "
+        "UNION ALL SELECT x.E, x.alert_type, x.severity, x.rn, x.T, x.T >= rc.last + INTERVAL 2880 MINUTE, "
+        "CASE WHEN x.T >= rc.last + INTERVAL 2880 MINUTE THEN x.T ELSE rc.last END FROM rc JOIN x ON "
+        "x.E = rc.E AND x.alert_type = rc.alert_type AND x.severity = rc.severity AND x.rn = rc.rn + 1), "
+        "kept AS (SELECT x.* FROM x JOIN rc USING (E, alert_type, severity, rn) WHERE rc.kept), "
+        "ids AS (SELECT *, printf('alert_%s_%06d', CAST(E AS VARCHAR), row_number() OVER (PARTITION BY E "
+        f"ORDER BY {ordc}, ord)) AS alert_id FROM kept) "
+        "SELECT alert_id, E, T, alert_type, severity, message FROM ids")
+
+
+ORACLES["pipeline_alerts"] = _pipeline_alerts_sql()  # registered above without SQL
