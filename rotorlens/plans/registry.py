@@ -21,7 +21,18 @@ def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # any session (not only ours) must see UTC and ship the package
+            # to the executors before UDF-backed plans run
+            from ..session import ship_package
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        run.__doc__ = fn.__doc__
+        run.__name__ = getattr(fn, "__name__", name)
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
