@@ -31,9 +31,12 @@ def fit_all(df: DataFrame, key: Sequence[str], order: Sequence[str], metrics: Se
 
 def process_samples(df: DataFrame, params: DataFrame, key: Sequence[str], order: Sequence[str],
                     metrics: Sequence[str], weights: Mapping[str, float] | None = None,
-                    history: int = ew.HISTORY, with_warning: bool = True) -> DataFrame:
+                    history: int = ew.HISTORY, with_warning: bool = True,
+                    chunk_rows=None) -> DataFrame:
     """PIP1: one result row per sample - anomaly votes and score, health
-    score and status, and the early-warning result as of that sample."""
+    score and status, and the early-warning result as of that sample.
+    `chunk_rows` (N or "auto") runs the per-sample early warning on chunked
+    series (operators.series) for machines with very long histories."""
     j = ano.attach_params(df, params, key, metrics)
     d = ano.detect(j, None, key, metrics, attached=True)
     d = d.withColumn("anomaly_score", F.col("zscore_score"))
@@ -42,18 +45,20 @@ def process_samples(df: DataFrame, params: DataFrame, key: Sequence[str], order:
                                               for s in ("mean", "std", "q1", "q3", "iqr"))])
     if not with_warning:
         return h
-    return ew.warning_rolling(h, params, key, order, metrics, history=history)
+    return ew.warning_rolling(h, params, key, order, metrics, history=history,
+                              chunk_rows=chunk_rows)
 
 
 def pipeline_alerts(samples: DataFrame, key: Sequence[str], order: Sequence[str],
                     metrics: Sequence[str], thresholds: DataFrame,
-                    cooldown_minutes: int = al.COOLDOWN_MINUTES, time_col: str = "T") -> DataFrame:
+                    cooldown_minutes: int = al.COOLDOWN_MINUTES, time_col: str = "T",
+                    chunk_rows=None) -> DataFrame:
     """ALR6 + ALR7 + ALR8 on PIP1 output: candidates in per-sample order
     (health, anomaly, thresholds, early warnings), cooled down, numbered."""
     cands = al.candidates_one_pass(samples, key, order, metrics, thresholds,
                                    preds_col="predictions")
     seq = [c for c in order if c != time_col] + ["ord"]
-    kept = al.cooldown(cands, cooldown_minutes, time_col, seq)
+    kept = al.cooldown(cands, cooldown_minutes, time_col, seq, chunk_rows=chunk_rows)
     return al.assign_ids(kept, [time_col, *seq])
 
 
