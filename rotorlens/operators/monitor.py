@@ -60,9 +60,15 @@ def monitor_scores(df: DataFrame, stats: DataFrame, key: Sequence[str], order: S
                         F.when(F.col("health") > 30, rul).otherwise(F.lit(0).cast("bigint")))
 
 
-def monitor_history(scores: DataFrame, key: Sequence[str], rows: int = HISTORY_ROWS) -> DataFrame:
+def monitor_history(scores: DataFrame, key: Sequence[str], rows: int = HISTORY_ROWS,
+                    chunk_rows=None) -> DataFrame:
     """MON4: anomaly count, average health and max z over the last `rows`
-    samples (as the page shows them after each tick)."""
+    samples (as the page shows them after each tick). `chunk_rows`: per
+    (machine, chunk) with a halo of rows-1 samples."""
+    if chunk_rows:
+        from .series import on_chunks
+        return on_chunks(scores, key, ["idx"], rows - 1, 0,
+                         lambda d, k, o: monitor_history(d, k, rows), chunk_rows)
     w = Window.partitionBy(*key).orderBy("idx").rowsBetween(-(rows - 1), 0)
     return (scores.withColumn("window_anomalies", F.sum(F.col("is_anomaly").cast("int")).over(w)
                               .cast("bigint"))
@@ -82,10 +88,15 @@ def monitor_alerts(scores: DataFrame, key: Sequence[str], keep: int = ALERT_ROWS
 
 
 def monitor_early_warning(scores: DataFrame, key: Sequence[str], threshold: float = Z_THRESHOLD,
-                          window: int = EW_WINDOW) -> DataFrame:
+                          window: int = EW_WINDOW, chunk_rows=None) -> DataFrame:
     """MON6: with more than `window` samples seen, trend = (z_t - z_{t-9}) /
     10; a trend above 0.05 gives hours = clamp(int((thr - z)/(trend + .01)),
-    2, 48) and confidence = min(95, int(50 + 200 * trend))."""
+    2, 48) and confidence = min(95, int(50 + 200 * trend)). `chunk_rows`:
+    per (machine, chunk) with a halo of window-1 samples."""
+    if chunk_rows:
+        from .series import on_chunks
+        return on_chunks(scores, key, ["idx"], window - 1, 0,
+                         lambda d, k, o: monitor_early_warning(d, k, threshold, window), chunk_rows)
     w = Window.partitionBy(*key).orderBy("idx")
     trend = (F.col("z_score") - F.lag("z_score", window - 1).over(w)) / float(window)
     t = scores.withColumn("_trend", F.when(F.col("idx") >= window, trend))
