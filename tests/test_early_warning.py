@@ -75,3 +75,21 @@ def test_rolling_equals_batch_at_each_row(spark):
         r = roll.iloc[end]
         assert abs(b.overall_risk_score - r.overall_risk_score) < 1e-6
         assert bool(b.has_warning) == bool(r.has_warning)
+
+
+def test_pipeline_chunked_equals_plain(spark):
+    from conftest import SF_SMALL
+    from rotorlens.model import LINEITEM_METRICS, LINEITEM_ORDER, lineitem_features
+    from rotorlens.operators import alerts as al
+    from rotorlens.plans import pipeline as pl
+    f = lineitem_features(spark, SF_SMALL)
+    p = pl.fit_all(f, ["E"], LINEITEM_ORDER, LINEITEM_METRICS)
+    cols = ["E", "T", "l_orderkey", "l_linenumber", "l_partkey", "overall_risk_score", "has_warning"]
+    a = pl.process_samples(f, p, ["E"], LINEITEM_ORDER, LINEITEM_METRICS).select(*cols)
+    b = pl.process_samples(f, p, ["E"], LINEITEM_ORDER, LINEITEM_METRICS, chunk_rows=500).select(*cols)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    th = al.thresholds_table(spark, [("l_quantity", 40.0, 48.0, False)])
+    s = pl.process_samples(f, p, ["E"], LINEITEM_ORDER, LINEITEM_METRICS)
+    x = pl.pipeline_alerts(s, ["E"], LINEITEM_ORDER, LINEITEM_METRICS, th, 2880)
+    y = pl.pipeline_alerts(s, ["E"], LINEITEM_ORDER, LINEITEM_METRICS, th, 2880, chunk_rows=50)
+    assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
