@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, packing, pii
+from . import decontam, packing, pii, urlfilter
 from .common import table
 from .registry import register
 
@@ -23,3 +23,9 @@ def op2_decontamination(spark, sf):
 def op9_packing(spark, sf):
     """Every document's tokens in packed sequences."""
     return packing.query(table(spark, sf, "documents"))
+
+
+@register("op5_url_filter", urlfilter.ORACLE_SQL)
+def op5_url_filter(spark, sf):
+    """A verdict on every page's url."""
+    return urlfilter.query(table(spark, sf, "pages"))
