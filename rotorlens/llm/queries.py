@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, packing, pii, urlfilter
+from . import decontam, packing, pii, topk, urlfilter
 from .common import table
 from .registry import register
 
@@ -29,3 +29,9 @@ def op9_packing(spark, sf):
 def op5_url_filter(spark, sf):
     """A verdict on every page's url."""
     return urlfilter.query(table(spark, sf, "pages"))
+
+
+@register("op10_topk", topk.ORACLE_SQL)
+def op10_topk(spark, sf):
+    """The ten best partners of every hundredth vector."""
+    return topk.query(table(spark, sf, "embeddings"))
