@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, packing, pii, topk, urlfilter
+from . import decontam, jaccard, packing, pii, topk, urlfilter
 from .common import table
 from .registry import register
 
@@ -35,3 +35,9 @@ def op5_url_filter(spark, sf):
 def op10_topk(spark, sf):
     """The ten best partners of every hundredth vector."""
     return topk.query(table(spark, sf, "embeddings"))
+
+
+@register("op6_jaccard", jaccard.ORACLE_SQL)
+def op6_jaccard(spark, sf):
+    """Near-duplicate components of all documents."""
+    return jaccard.query(table(spark, sf, "documents"))
