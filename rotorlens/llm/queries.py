@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard, packing, pii, topk, urlfilter
+from . import decontam, htmltext, jaccard, packing, pii, topk, urlfilter, warc
 from .common import table
 from .registry import register
 
@@ -41,3 +41,15 @@ def op10_topk(spark, sf):
 def op6_jaccard(spark, sf):
     """Near-duplicate components of all documents."""
     return jaccard.query(table(spark, sf, "documents"))
+
+
+@register("op3_html_text")
+def op3_html_text(spark, sf):
+    """Visible text of every page."""
+    return htmltext.query(table(spark, sf, "pages"))
+
+
+@register("op4_warc", warc.ORACLE_SQL)
+def op4_warc(spark, sf):
+    """Every page written to archives, read back and assembled."""
+    return warc.query(table(spark, sf, "pages"))
