@@ -329,11 +329,18 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is their component's; of rows that repeat an id, one (the same each time)."""
+    """The rows of `docs` that are their component's smallest id. Rows that repeat an id and its text
+    count as one; rows without words or id stay as they are."""
     rows, _ = link_documents(docs, doc_id, text)
-    heads = rows.filter(f"component_id = {doc_id}").select(doc_id).distinct()
-    kept = docs.join(heads, doc_id, "left_semi").unionByName(docs.filter(F.col(doc_id).isNull()))
-    return kept.select(*docs.columns)
+    known = rows.filter(f"n_shingles > 0 AND {doc_id} IS NOT NULL")
+    others = known.filter(f"component_id <> {doc_id}").select(doc_id).distinct()
+    again = known.groupBy(doc_id).count().filter("count > 1").select(doc_id)
+    kept = docs.join(small_side(written(others, "others")), doc_id, "left_anti")
+    again = small_side(written(again, "again"))
+    once = kept.join(again, doc_id, "left_anti")
+    repeated = kept.join(again, doc_id, "left_semi")
+    one = repeated.groupBy(F.col(doc_id), F.xxhash64(text)).agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return once.select(*docs.columns).unionByName(one)
 
 
 def query(docs: DataFrame) -> DataFrame:

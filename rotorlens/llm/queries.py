@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, htmltext, jaccard, packing, pii, topk, urlfilter, warc
+from . import decontam, htmltext, jaccard, langid, packing, pii, topk, toxicity, urlfilter, warc
 from .common import table
 from .registry import register
 
@@ -53,3 +53,15 @@ def op3_html_text(spark, sf):
 def op4_warc(spark, sf):
     """Every page written to archives, read back and assembled."""
     return warc.query(table(spark, sf, "pages"))
+
+
+@register("op7_toxicity")
+def op7_toxicity(spark, sf):
+    """Category probabilities of every document."""
+    return toxicity.query(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@register("op8_langid")
+def op8_langid(spark, sf):
+    """Language of every document."""
+    return langid.query(table(spark, sf, "documents"))
