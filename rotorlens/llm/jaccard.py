@@ -17,7 +17,7 @@ For the rest ("open" texts):
    is verified once per pair;
 4. connected components of all verified links give each document's component.
 
-The suffix filter bounds the symmetric difference from below by two histograms of the sets' hashes.
+The suffix filter bounds the symmetric difference from below by a histogram of the sets' hashes.
 
 Defined results: null and empty texts (no words) have an empty set and link with nothing; fewer
 than n words make one n-gram; a null id links with nothing and gets a null component; repeated rows are
@@ -41,8 +41,8 @@ from .common import blocks, small_side, utf8, written
 SHARE = 3 / 16
 CHUNK = 512
 BLOCK = 1024
-BUCKET_ROWS = 4096
-BINS = 64
+BUCKET_ROWS = 16384
+BINS = 512
 
 
 def least_overlap(n, m, num: int, den: int):
@@ -113,10 +113,12 @@ def _tokens(text: str, n: int, share: float, num: int, den: int):
 
 
 def histogram(s: np.ndarray) -> bytes:
-    """Two histograms of a set by different bits of its hashes (counts above 255 wrap nowhere: 16 bit)."""
-    a = np.bincount((s >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS)
-    b = np.bincount((s >> np.uint64(20)).astype(np.int64) % BINS, minlength=BINS)
-    return np.minimum(np.concatenate([a, b]), 65535).astype("<u2").tobytes()
+    """Histogram of a set's hashes by some of their bits. Counts stop at 255, which can only lower differences."""
+    return np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def _histograms(col) -> np.ndarray:
+    return np.frombuffer(b"".join(col), np.uint8).reshape(-1, BINS).astype(np.int16)
 
 
 def _sets(text: str, n: int):
@@ -138,8 +140,7 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 def _difference(hist: np.ndarray, i: int, js: np.ndarray) -> np.ndarray:
     """Lower bound of the symmetric difference of set i and each of the sets js."""
-    d = np.abs(hist[js].astype(np.int32) - hist[i].astype(np.int32))
-    return np.maximum(d[:, :BINS].sum(1), d[:, BINS:].sum(1))
+    return np.abs(hist[js] - hist[i]).sum(1, dtype=np.int32)
 
 
 def _chunk_links(num: int, den: int):
@@ -147,7 +148,7 @@ def _chunk_links(num: int, den: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("node").sort_values(["unusual", "node"]).reset_index(drop=True)
         grams = [np.frombuffer(g, np.uint64) for g in pdf["grams"]]
-        hist = np.stack([np.frombuffer(h, "<u2") for h in pdf["hist"]])
+        hist = _histograms(pdf["hist"])
         n = np.array([len(g) for g in grams], np.int64)
         root = np.arange(len(n))
         node, out = pdf["node"].to_numpy(), []
@@ -171,7 +172,7 @@ def _block_pairs(num: int, den: int):
         pdf = pdf.sort_values("token", kind="stable")
         token = pdf["token"].to_numpy()
         node, label, n, pos, side = (pdf[c].to_numpy() for c in ("node", "label", "n", "pos", "side"))
-        hist = np.stack([np.frombuffer(h, "<u2") for h in pdf["hist"]])
+        hist = _histograms(pdf["hist"])
         cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
         found = []
         for lo, hi in zip(cuts[:-1], cuts[1:]):
@@ -264,18 +265,22 @@ def _open_pairs(prefixes: DataFrame, label: DataFrame, hists: DataFrame, num: in
     """Pairs of classes in different components that pass all filters, once each."""
     rows = prefixes.select("token", "node", "n", "pos").join(label, "node", "left") \
         .withColumn("label", F.coalesce("label", "node"))
+    # n-grams of the same texts mostly share their smallest class, so a group of them finds a pair once
     open_tokens = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
-                                            F.count("*").alias("size")).filter("lo <> hi").select("token", "size")
-    rows = written(rows.join(open_tokens, "token"), "open-rows")
-    total = rows.count()
-    buckets = max(1, -(-total // BUCKET_ROWS))
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
-    rows = rows.withColumn("nb", n_blocks).withColumn("block", block)
+                                            F.count("*").alias("size"), F.min("node").alias("lead")) \
+        .filter("lo <> hi").select("token", "size", "lead")
+    open_tokens = written(open_tokens, "open-tokens")
+    per_lead = open_tokens.filter(F.col("size") <= BLOCK).groupBy("lead").agg(F.sum("size").alias("lead_rows"))
+    buckets = max(1, -(-(open_tokens.agg(F.sum("size")).first()[0] or 0) // BUCKET_ROWS))
+    parts = F.ceil(F.coalesce("lead_rows", F.lit(1)) / (8 * BUCKET_ROWS)).cast("int")
+    small_key = F.pmod(F.xxhash64("lead", F.pmod(F.xxhash64("token"), parts)), F.lit(buckets))
+    open_tokens = open_tokens.join(per_lead, "lead", "left").select(
+        "token", F.ceil(F.col("size") / BLOCK).cast("int").alias("nb"),
+        F.when(F.col("size") <= BLOCK, small_key).otherwise(F.col("token")).alias("key"))
+    rows = rows.join(open_tokens, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     # an n-gram of several blocks: each block meets itself and every other one
     spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
-        "token", "node", "label", "n", "pos",
-        F.when(F.col("nb") == 1, F.pmod(F.xxhash64("token"), F.lit(buckets))).otherwise(F.col("token")).alias("key"),
+        "token", "node", "label", "n", "pos", "key",
         F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
         F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
     return (spread.join(hists, "node").groupBy("key", "x", "y")
