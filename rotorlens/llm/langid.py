@@ -146,19 +146,24 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     learn = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")) \
         .filter(F.crc32(F.col("id").cast("string").cast("binary")) % FOLDS != 0) \
         .filter("text IS NOT NULL AND lang IS NOT NULL")
-    names = [r["lang"] for r in learn.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
+    sizes = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    names = sorted(sizes)
     if len(names) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     empty = Model([], np.ones(DIM), np.zeros((0, DIM)), np.zeros(0, np.int64), np.zeros(0))
     if not names:
         return empty
-    names.sort()
     df = np.zeros(DIM + 1)
     for r in learn.select("text").mapInArrow(_frequencies, "feature bigint, n bigint").groupBy("feature").sum("n").collect():
         df[r[0]] = r[1]
     idf = np.log((1 + df[DIM]) / (1 + df[:DIM])) + 0.1
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = learn.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(1, sample // len(names)))
+    each = max(1, sample // len(names))
+    # the smallest hashes of a language, first by a share of the hash range that holds some four times as many
+    far = F.coalesce(*[F.when(F.col("lang") == n, min(1.0, (4 * each + 64) / c)) for n, c in sizes.items()])
+    w = Window.partitionBy("lang").orderBy("hash", "id")
+    picked = learn.withColumn("hash", F.xxhash64("id")) \
+        .filter(F.col("hash").cast("double") / 2.0 ** 64 + 0.5 <= far) \
+        .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= each)
     rows = picked.select("lang", "rank", "text").mapInArrow(
         _sample_counts, "lang string, rank int, features binary, counts binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["rank"], bytes(r["features"])))

@@ -24,7 +24,7 @@ import uuid
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -36,19 +36,11 @@ CRLF = "\r\n"
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: RFC 4648 alphabet (fixed value)
-BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # RFC 4648 (fixed value), for the SQL below
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 SHA-1: five hex digits are four base32 digits."""
-    hexed = F.sha1(payload)
-
-    def digits(i: Column) -> Column:
-        v = F.conv(F.substr(hexed, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        return F.concat(*[F.substr(F.lit(BASE32), F.floor(v / 32 ** k).cast("int") % 32 + 1, F.lit(1))
-                          for k in (3, 2, 1, 0)])
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), digits), "")
+def base32(digest: bytes) -> str:
+    return base64.b32encode(digest).decode()
 
 
 def _record(kind: str, rid: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -73,7 +65,7 @@ def _write_records(batches):
                 near = [*target, ("WARC-Concurrent-To", f"<urn:uuid:{ids[0]}>")]
                 head = (f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}"
                         f"Content-Length: {len(body)}{END}").encode()
-                http = [*target, ("WARC-Payload-Digest", "sha1:" + r["digest"]),
+                http = [*target, ("WARC-Payload-Digest", "sha1:" + base32(bytes.fromhex(r["digest"]))),
                         ("Content-Type", "application/http; msgtype=response")]
                 if r["revisit"]:
                     first = _record("revisit", ids[0], [*http, ("WARC-Profile", PROFILE)], head)
@@ -100,11 +92,11 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
     """Write every row's three records below `path`. Payloads of fewer than `least_bytes` are never revisits."""
     text = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), text.alias("payload"))
-    light = rows.select("page_id", base32_sha1(F.col("payload")).alias("digest"),
-                        F.octet_length("payload").alias("bytes")).filter(F.col("bytes") >= least_bytes)
+    light = rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("bytes")).filter(
+        F.col("bytes") >= least_bytes)
     again = light.groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")) \
         .filter("n > 1").select("digest", "bytes", "first", F.lit(True).alias("again"))
-    rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("bytes", F.octet_length("payload"))
+    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload"))
     dealt = rows.join(small_side(again), ["digest", "bytes"], "left").select(
         "page_id", "url", "payload", "digest",
         (F.coalesce("again", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
@@ -142,7 +134,7 @@ def parse_records(data: bytes, with_payload: bool):
                "profile": h.get("warc-profile"), "stated_digest": h.get("warc-payload-digest", "").removeprefix("sha1:") or None}
         if kind == "response":
             body = block[block.find(b"\r\n\r\n") + 4:]
-            row |= {"payload_bytes": len(body), "payload_digest": base64.b32encode(hashlib.sha1(body).digest()).decode(),
+            row |= {"payload_bytes": len(body), "payload_digest": base32(hashlib.sha1(body).digest()),
                     "payload": body.decode("utf-8", "replace") if with_payload else None}
         elif kind == "revisit":  # its headers tell of the payload elsewhere
             m = re.search(rb"(?im)^content-length:\s*([0-9]+)", block)
