@@ -194,7 +194,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
              .mapInArrow(_item_words("t"), "id string, words binary").filter(F.length("words") > 0))
     total = items.agg(F.sum(F.length("words")) / 8).first()[0] or 0
     n_blocks = max(1, -int(-total // block_words))
-    kinds = {f.name: f for f in docs.schema.fields}
+    kinds, whole = {f.name: f for f in docs.schema.fields}, list(docs.columns)
     schema = T.StructType([*(kinds[c] for c in keep), T.StructField(out, SPANS)])
     for b in range(n_blocks):
         part = items.filter(F.pmod(F.xxhash64("id", "words"), F.lit(n_blocks)) == b).collect()
@@ -202,7 +202,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         word = np.frombuffer(b"".join(bytes(r["words"]) for r in part), np.uint64)
         bc = spark.sparkContext.broadcast(build_index([r["id"] for r in part], counts, word, window, k))
         last = b == n_blocks - 1
-        cols = keep if last else list(docs.columns)
+        cols = keep if last else whole
         src = docs if b else docs.select(*dict.fromkeys([*keep, text])) if last else docs
         docs = src.mapInArrow(_scan(bc, text, out, cols, window, k, b > 0),
                               schema if last else T.StructType([*(kinds[c] for c in cols), T.StructField(out, SPANS)]))

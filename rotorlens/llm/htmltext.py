@@ -69,8 +69,7 @@ class Node:
         if not a:
             return False
         low = a.lower()
-        if "hidden" in low and (self.attr("hidden") is not None or self.attr("aria-hidden") == "true"
-                                or self.tag == "input" and self.attr("type") == "hidden"):
+        if "hidden" in low and (self.attr("hidden") is not None or self.tag == "input" and self.attr("type") == "hidden"):
             return True
         return "style" in low and NO_SHOW.search(self.attr("style") or "") is not None
 

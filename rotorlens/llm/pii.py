@@ -142,16 +142,16 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """`docs` with every span of the text replaced by its kind in brackets. Overlapping spans become one,
-    named after the first; null texts stay null."""
+    named after the first (of those, the longest); null texts stay null."""
     flagged, out = find_spans(docs, text, kinds)
     merged = F.aggregate(
-        F.array_sort(F.transform(out, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"),
-                                                         s["kind"].alias("kind")))),
+        F.array_sort(F.transform(out, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"),
+                                                         s["end"].alias("end"), s["kind"].alias("kind")))),
         F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>"),
         lambda a, s: F.when((F.size(a) > 0) & (s["start"] < F.element_at(a, -1)["end"]), F.concat(
             F.slice(a, 1, F.size(a) - 1), F.array(F.struct(
                 F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], s["end"]).alias("end"),
-                F.element_at(a, -1)["kind"].alias("kind"))))).otherwise(F.concat(a, F.array(s))))
+                F.element_at(a, -1)["kind"].alias("kind"))))).otherwise(F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))))
     t = F.col(text)
     cut = F.transform(F.array(merged), lambda m: F.concat(F.array_join(F.transform(m, lambda s, i: F.concat(
         F.substr(t, F.when(i == 0, 0).otherwise(m[i - 1]["end"]).cast("int") + 1,

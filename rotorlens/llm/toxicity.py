@@ -66,6 +66,8 @@ class Linear:
 
     def probability(self, doc, h, dense) -> np.ndarray:
         n = len(dense)
+        if np.isinf(self.bias):
+            return np.full(n, float(self.bias > 0))
         z = np.full(n, self.bias)
         if len(self.dense):
             z = z + dense @ self.dense
