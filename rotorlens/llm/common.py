@@ -68,7 +68,7 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return b, o - first
 
 
-def blocks(batch: pa.RecordBatch, text: str, max_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def blocks(batch: pa.RecordBatch, text: str, max_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch with at most `max_bytes` of text each (a longer text alone)."""
     _, o = utf8(batch.column(text))
     lo, n = 0, batch.num_rows

@@ -41,7 +41,7 @@ from .common import blocks, small_side, utf8, written
 SHARE = 3 / 16
 CHUNK = 512
 BLOCK = 1024
-BUCKET_ROWS = 16384
+BUCKET_ROWS = 8192
 BINS = 512
 
 
@@ -118,7 +118,7 @@ def histogram(s: np.ndarray) -> bytes:
 
 
 def _histograms(col) -> np.ndarray:
-    return np.frombuffer(b"".join(col), np.uint8).reshape(-1, BINS).astype(np.int16)
+    return np.frombuffer(b"".join(col), np.uint8).reshape(-1, BINS)
 
 
 def _sets(text: str, n: int):
@@ -140,7 +140,7 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 def _difference(hist: np.ndarray, i: int, js: np.ndarray) -> np.ndarray:
     """Lower bound of the symmetric difference of set i and each of the sets js."""
-    return np.abs(hist[js] - hist[i]).sum(1, dtype=np.int32)
+    return np.abs(hist[js].astype(np.int16) - hist[i]).sum(1, dtype=np.int32)
 
 
 def _chunk_links(num: int, den: int):
@@ -168,11 +168,13 @@ def _chunk_links(num: int, den: int):
 def _block_pairs(num: int, den: int):
     """Pairs of classes left by the filters, among the rows of some n-grams. Rows with `side` 0 lie in
     a block met with itself, sides 1 and 2 in two different blocks of one n-gram."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, hists: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("token", kind="stable")
         token = pdf["token"].to_numpy()
         node, label, n, pos, side = (pdf[c].to_numpy() for c in ("node", "label", "n", "pos", "side"))
-        hist = _histograms(pdf["hist"])
+        hists = hists.sort_values("node")
+        hist = _histograms(hists["hist"])
+        at = np.searchsorted(hists["node"].to_numpy(), node)
         cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
         found = []
         for lo, hi in zip(cuts[:-1], cuts[1:]):
@@ -187,7 +189,7 @@ def _block_pairs(num: int, den: int):
                 # equal up to here at most, and no more than what follows in either set
                 most = np.minimum(pos[i], pos[js]) + np.minimum(n[i] - pos[i], n[js] - pos[js])
                 js, need = js[most >= need], need[most >= need]
-                js = js[_difference(hist, i, js) <= n[i] + n[js] - 2 * need]
+                js = js[_difference(hist, at[i], at[js]) <= n[i] + n[js] - 2 * need]
                 if len(js):
                     found.append(np.stack([np.minimum(node[i], node[js]), np.maximum(node[i], node[js])], 1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
@@ -283,7 +285,10 @@ def _open_pairs(prefixes: DataFrame, label: DataFrame, hists: DataFrame, num: in
         "token", "node", "label", "n", "pos", "key",
         F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
         F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
-    return (spread.join(hists, "node").groupBy("key", "x", "y")
+    spread = written(spread, "open-rows")
+    group = ["key", "x", "y"]
+    there = written(spread.select(*group, "node").distinct().join(hists, "node"), "open-hists")
+    return (spread.groupBy(*group).cogroup(there.groupBy(*group))
             .applyInPandas(_block_pairs(num, den), "a bigint, b bigint").distinct())
 
 

@@ -34,13 +34,13 @@ BLANK = byte_class([(0x20, 0x20), (0x09, 0x0D)])
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("p", ())) < n:
-        m = max(n, 1 << 21) + 1
+        m = max(n, 1 << 20) + 1
         for key, base in (("p", _BASE), ("q", _BASE_INV)):
             a = np.full(m, base, U)
             a[0] = 1
             _powers[key] = np.multiply.accumulate(a)
     p, q = _powers["p"][:n], _powers["q"][:n]
-    if n > 1 << 22:  # a very long text: don't keep its tables
+    if n > 1 << 21:  # a very long text: don't keep its tables
         _powers.clear()
     return p, q
 

@@ -187,7 +187,7 @@ def _pack_partition(doc_id: str, text: str, path: str, end_id: int | None, tiers
         kind = None
         for b in batches:
             kind = b.column(doc_id).type
-            for rb in blocks(b, text):
+            for rb in blocks(b, text, 1 << 20):
                 for d, ids in zip(rb.column(doc_id).to_pylist(), enc.encode(rb.column(text))):
                     emit(packer.add(d, ids if end_id is None else np.append(ids, np.uint32(end_id))))
                 if rows:

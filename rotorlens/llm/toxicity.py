@@ -27,7 +27,7 @@ from . import ngrams as ng
 from .common import blocks, fresh, utf8
 
 #: Labelled documents at most that the models are fitted on.
-SAMPLE = 8000
+SAMPLE = 6000
 FOLDS = 5
 FEATURES = 384
 LEAST_DOCS = 4
