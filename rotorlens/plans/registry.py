@@ -27,6 +27,7 @@ def register(name: str, sql: str | None = None):
             # to the executors before UDF-backed plans run
             from ..session import ship_package
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
             ship_package(spark)
             return fn(spark, sf_dir)
 
