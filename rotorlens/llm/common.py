@@ -19,8 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """What every operator needs from a session: the package on the executors' path."""
+    """What every operator needs from a session: the package on the executors' path, and Arrow batches that
+    stay small with long texts."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -32,6 +34,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ARROW_ROWS = "2000"
+
 #: Rows of narrow keys (two longs) that may be broadcast: about 100 MB as a hash relation.
 BROADCAST_ROWS = 1_000_000
 
