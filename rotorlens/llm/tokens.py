@@ -43,7 +43,7 @@ _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHAR = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
 
 #: words kept per worker process; when there are more, it starts anew
-CACHE_WORDS = 500_000
+CACHE_WORDS = 120_000
 
 
 class Encoder:
