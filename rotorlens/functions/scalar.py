@@ -70,8 +70,15 @@ def nonzero(c, repl: float = 1.0) -> Column:
 
 
 def clamp(c, lo: float, hi: float) -> Column:
+    """`c` kept within [lo, hi]; null stays null (greatest and least alone would skip it)."""
     c = as_col(c)
-    return F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(lo)), F.lit(hi)))
+
+
+def reading(c) -> Column:
+    """A measured value with NaN as null: a reading that isn't there."""
+    c = as_col(c).cast("double")
+    return F.when(~F.isnan(c), c)
 
 
 def severity_level(h) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clamp, nonzero
+from ..functions.scalar import clamp, nonzero, reading
 from ..model import series_window
 from .baseline import head_rows, params_wide
 
@@ -33,7 +33,7 @@ def attach_params(df: DataFrame, params: DataFrame, key: Sequence[str],
 
 def abs_z(metric: str) -> Column:
     """|x - mean| / std with a zero std replaced by 1."""
-    return F.abs((F.col(metric) - F.col(f"{metric}_mean")) / nonzero(f"{metric}_std"))
+    return F.abs((reading(metric) - F.col(f"{metric}_mean")) / nonzero(f"{metric}_std"))
 
 
 def max_abs_z(metrics: Sequence[str]) -> Column:
@@ -53,8 +53,8 @@ def zscore_score(metrics: Sequence[str]) -> Column:
 
 def iqr_vote(metrics: Sequence[str], factor: float = IQR_FACTOR) -> Column:
     """ANO3: -1 when any metric leaves [q1 - k*iqr, q3 + k*iqr]."""
-    outs = [(F.col(m) < F.col(f"{m}_q1") - factor * F.col(f"{m}_iqr")) |
-            (F.col(m) > F.col(f"{m}_q3") + factor * F.col(f"{m}_iqr")) for m in metrics]
+    outs = [F.coalesce((reading(m) < F.col(f"{m}_q1") - factor * F.col(f"{m}_iqr")) |
+                       (reading(m) > F.col(f"{m}_q3") + factor * F.col(f"{m}_iqr")), F.lit(False)) for m in metrics]
     anyout = outs[0]
     for o in outs[1:]:
         anyout = anyout | o

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clamp, fmt_fixed, health_status
+from ..functions.scalar import clamp, fmt_fixed, health_status, reading
 from ..model import series_window
 from .anomaly import attach_params
 
@@ -47,10 +47,10 @@ def weight_of(metric: str, weights: Mapping[str, float]) -> float:
 
 def statistical_component(metric: str) -> Column:
     """HLT3: clamp(100 - 12.5 z^2, 0, 100); zero std: 100 if equal else 50."""
-    x, mu, sd = F.col(metric), F.col(f"{metric}_mean"), F.col(f"{metric}_std")
+    x, mu, sd = reading(metric), F.col(f"{metric}_mean"), F.col(f"{metric}_std")
     z = F.abs(x - mu) / sd
-    return (F.when(sd == 0, F.when(x == mu, F.lit(100.0)).otherwise(F.lit(50.0)))
-             .otherwise(clamp(100.0 - z * z * 12.5, 0.0, 100.0)))
+    return F.when(x.isNotNull(), F.when(sd == 0, F.when(x == mu, F.lit(100.0)).otherwise(F.lit(50.0)))
+                  .otherwise(clamp(100.0 - z * z * 12.5, 0.0, 100.0)))
 
 
 def heuristic_component(metric: str, value=None) -> Column:
@@ -73,21 +73,21 @@ def component(metric: str, calibrated: bool) -> Column:
     """HLT5 routing: baseline -> statistical; uncalibrated -> heuristic;
     calibrated but unknown metric -> 75."""
     if not calibrated:
-        return heuristic_component(metric)
-    return (F.when(F.col(f"{metric}_mean").isNull(), F.lit(UNKNOWN_SCORE))
-             .otherwise(statistical_component(metric)))
+        return F.when(reading(metric).isNotNull(), heuristic_component(metric))
+    return F.when(reading(metric).isNotNull(), F.when(F.col(f"{metric}_mean").isNull(), F.lit(UNKNOWN_SCORE))
+                  .otherwise(statistical_component(metric)))
 
 
 def score_from_components(metrics: Sequence[str], weights: Mapping[str, float]) -> Column:
-    """HLT6: weighted mean of the component columns `comp_<m>`, clamped."""
-    num = None
-    den = 0.0
+    """HLT6: weighted mean of the component columns `comp_<m>` that aren't null, clamped; null without any."""
+    num, den = F.lit(0.0), F.lit(0.0)
     for m in metrics:
         w = weight_of(m, weights)
-        t = F.col(f"comp_{m}") * w
-        num = t if num is None else num + t
-        den += w
-    return clamp(num / den, 0.0, 100.0) if den > 0 else clamp(num, 0.0, 100.0)
+        c = F.col(f"comp_{m}")
+        num = num + F.coalesce(c * w, F.lit(0.0))
+        den = den + F.when(c.isNotNull(), w).otherwise(0.0)
+    there = F.coalesce(*[F.col(f"comp_{m}") for m in metrics]).isNotNull()
+    return F.when(there, clamp(F.when(den > 0, num / den).otherwise(num), 0.0, 100.0))
 
 
 def health_score(df: DataFrame, params: DataFrame | None, key: Sequence[str],
@@ -103,7 +103,7 @@ def health_score(df: DataFrame, params: DataFrame | None, key: Sequence[str],
     for m in metrics:
         out = out.withColumn(f"comp_{m}", component(m, calibrated))
     out = (out.withColumn("health_score", score_from_components(metrics, weights))
-              .withColumn("status", health_status("health_score")))
+              .withColumn("status", F.when(F.col("health_score").isNotNull(), health_status("health_score"))))
     drop = [c for c in out.columns if c not in df.columns and
             any(c == f"{m}_mean" or c == f"{m}_std" for m in metrics)]
     if not keep_components:

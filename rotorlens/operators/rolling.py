@@ -26,29 +26,30 @@ def ema_frame_length(span: int) -> int:
     return int(math.ceil(math.log(EMA_CUTOFF) / math.log(decay)))
 
 
-def ema(col: str, key, order, span: int = ROLLING_WINDOW) -> Column:
-    """ROL7: bias-adjusted exponential mean with alpha = 2/(span+1).
+def add_ema(df: DataFrame, col: str, key, order, out: str, span: int = ROLLING_WINDOW) -> DataFrame:
+    """ROL7: add `out`, the bias-adjusted exponential mean of `col` with alpha = 2/(span+1).
 
-    Nulls keep their position's decay but add no weight. The frame holds
-    the last `ema_frame_length(span)` rows (about 195 for span 10), folded
-    with `aggregate` from newest to oldest.
+    A null adds no weight, and as it decays numerator and denominator alike, it repeats the
+    mean before it. So means are formed at the readings that are there, over the last
+    `ema_frame_length(span)` of them however many rows these are back: what lies further
+    is below EMA_CUTOFF of the newest reading's weight.
     """
     decay = 1.0 - 2.0 / (span + 1.0)
-    L = ema_frame_length(span)
-    fr = rows_frame(key, order, -(L - 1), 0)
-    vals = F.collect_list(F.struct(F.col(col).alias("v"))).over(fr)
-    rev = F.reverse(vals)
-    init = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"), F.lit(1.0).alias("w"))
+    w = series_window(key, order)
+    df = df.withColumn("_row", F.row_number().over(w)).withColumn("_there", F.col(col).isNotNull())
+    fr = rows_frame([*key, "_there"], order, -(ema_frame_length(span) - 1), 0)
+    df = df.withColumn("_vals", F.when(F.col("_there"), F.collect_list(
+        F.struct(F.col(col).alias("v"), F.col("_row").alias("g"))).over(fr)))
+    init = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"), F.lit(0).alias("g"))
 
     def step(acc, x):
-        has = x["v"].isNotNull()
-        return F.struct(
-            (acc["num"] + F.when(has, acc["w"] * x["v"]).otherwise(0.0)).alias("num"),
-            (acc["den"] + F.when(has, acc["w"]).otherwise(0.0)).alias("den"),
-            (acc["w"] * decay).alias("w"))
+        fade = F.pow(F.lit(decay), (x["g"] - acc["g"]).cast("double"))
+        return F.struct((acc["num"] * fade + x["v"]).alias("num"), (acc["den"] * fade + 1.0).alias("den"), x["g"].alias("g"))
 
-    res = F.aggregate(rev, init, step)
-    return F.when(res["den"] > 0, res["num"] / res["den"])
+    mean = F.aggregate("_vals", init, step, lambda acc: acc["num"] / acc["den"])
+    df = df.withColumn("_mean", F.when(F.col("_there"), mean))
+    last = F.last("_mean", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn(out, last).drop("_row", "_there", "_vals", "_mean")
 
 
 def rolling_features(df: DataFrame, key: Sequence[str], order: Sequence[str],
@@ -95,7 +96,7 @@ def _rolling(df, key, order, metrics, window, with_ema, fill_prefix=None):
         out = out.withColumn(f"{m}_pct_change",
                              F.when(prev != 0, F.col("_f") / prev - 1.0)).drop("_f")
         if with_ema:
-            out = out.withColumn(f"{m}_ema", ema(m, key, order, window))
+            out = add_ema(out, m, key, order, f"{m}_ema", window)
         out = out.withColumn(
             f"{m}_zscore",
             (F.col(m) - F.col(f"{m}_rolling_mean")) / (F.col(f"{m}_rolling_std") + 1e-10))

@@ -130,13 +130,8 @@ AUTO_CHUNK_ROWS = 2_000_000
 
 
 def resolve_chunk_rows(df: DataFrame, key: Sequence[str], chunk_rows, target: int = AUTO_CHUNK_ROWS):
-    """`chunk_rows="auto"`: measure the largest series (one small aggregate)
-    and cut series into `target`-row chunks only when some machine holds more
-    rows than that; otherwise keep one window per machine."""
-    if chunk_rows != "auto":
-        return chunk_rows
-    biggest = df.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
-    return target if biggest > target else None
+    """Rows per chunk: `"auto"` stands for `target`, whatever the data."""
+    return target if chunk_rows == "auto" else chunk_rows
 
 
 def carry_first(df: DataFrame, key: Sequence[str], col: str, out: str,
