@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import reading
 from ..model import M, V, series_window, to_long
 from .baseline import tail_rows
 
@@ -166,7 +167,7 @@ def series_trends(df: DataFrame, key: Sequence[str], order: Sequence[str],
     t = tail_rows(df, key, order, history).withColumn("_o", F.struct(*order))
     long = to_long(t, [*key, "_o"], metrics)
     x = (F.row_number().over(series_window([*key, M], ["_o"])) - 1).cast("double")
-    long = long.filter(F.col(V).isNotNull()).withColumn("_x", x)
+    long = long.withColumn(V, reading(V)).filter(F.col(V).isNotNull()).withColumn("_x", x)
     return long.groupBy(*key, M).agg(
         F.count(V).alias("n"), F.regr_slope(V, "_x").alias("slope"),
         F.regr_intercept(V, "_x").alias("intercept"), F.avg(V).alias("mean_hist"),
@@ -223,25 +224,42 @@ def history_summary(df: DataFrame, key: Sequence[str], order: Sequence[str], tim
 
 # ------------------------------------------------------ rolling (EW11) ---
 
-def _frame_sums(df: DataFrame, key, order, metrics, history, has_index: bool = False):
-    """Exact frame sums of y and g*y (g = row index) per metric: running
-    decimal sums minus the same sums `history` rows back, O(1) per row.
+Y, SUM = "decimal(20,10)", "decimal(36,10)"
+Y_LIMIT = 9.0e9  # scaled readings stop here: ten billion times the baseline's size
 
-    y is held with 8 decimals (12 integer digits), g below 10^10; every
-    intermediate type is chosen so no decimal operation drops digits."""
+
+def _scale(m: str) -> Column:
+    """The power of ten of a metric's baseline (1 without one), so that any unit fits the decimals."""
+    size = F.greatest(F.abs(F.col(f"{m}__mean")), F.col(f"{m}__std"))
+    return F.coalesce(F.when(size > 0, F.pow(F.lit(10.0), F.floor(F.log10(size)).cast("double"))), F.lit(1.0))
+
+
+def _frame_sums(df: DataFrame, key, order, metrics, history):
+    """Frame sums per metric over the last `history` rows: `_fc` readings there are, `_fs` rank of the
+    first of them, exact `_fy` sum(y) and `_fgy` sum(rank * y), with y the reading in units of its
+    `_u`: running sums minus the same sums `history` rows back, O(1) per row. `_cur` is the newest reading."""
     w = series_window(key, order)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = df if has_index else df.withColumn("_g", (F.row_number().over(w) - 1).cast("long"))
+    out = df.select("*", *[reading(m).alias(f"_r_{m}") for m in metrics], *[_scale(m).alias(f"_u_{m}") for m in metrics])
+    out = out.select("*", *[F.least(F.greatest(F.col(f"_r_{m}") / F.col(f"_u_{m}"), F.lit(-Y_LIMIT)), F.lit(Y_LIMIT))
+                            .cast(Y).alias(f"_y0_{m}") for m in metrics])
+    # greatest and least skip nulls
+    out = out.select("*", *[F.when(F.col(f"_r_{m}").isNotNull(), F.col(f"_y0_{m}")).alias(f"_y_{m}") for m in metrics])
+    out = out.select("*", *[F.count(f"_y_{m}").over(run).alias(f"_c_{m}") for m in metrics])
     sums = []
     for m in metrics:
-        y = F.col(m).cast("decimal(20,8)")
-        gy = y * F.col("_g").cast("decimal(10,0)")
-        sums += [F.sum(y).over(run).cast("decimal(36,8)").alias(f"_sy_{m}"),
-                 F.sum(gy).over(run).cast("decimal(36,8)").alias(f"_sgy_{m}")]
+        y = F.col(f"_y_{m}")
+        sums += [F.sum(y).over(run).cast(SUM).alias(f"_sy_{m}"),
+                 F.sum(y * (F.col(f"_c_{m}") - 1).cast("decimal(10,0)")).over(run).cast(SUM).alias(f"_sgy_{m}"),
+                 F.last(f"_r_{m}", ignorenulls=True).over(run).alias(f"_cur_{m}")]
     out = out.select("*", *sums)
-    zero = F.lit(0).cast("decimal(36,8)")
-    frames = [(F.col(f"_{s}_{m}") - F.coalesce(F.lag(f"_{s}_{m}", history).over(w), zero))
-              .alias(f"_f{s[1:]}_{m}") for m in metrics for s in ("sy", "sgy")]
+    zero = F.lit(0).cast(SUM)
+    frames = []
+    for m in metrics:
+        before = F.coalesce(F.lag(f"_c_{m}", history).over(w), F.lit(0))
+        frames += [before.alias(f"_fs_{m}"), (F.col(f"_c_{m}") - before).alias(f"_fc_{m}")]
+        frames += [(F.coalesce(F.col(f"_{s}_{m}"), zero) - F.coalesce(F.lag(f"_{s}_{m}", history).over(w), zero))
+                   .alias(f"_f{s[1:]}_{m}") for s in ("sy", "sgy")]
     return out.select("*", *frames)
 
 
@@ -252,10 +270,10 @@ def warning_rolling(df: DataFrame, params: DataFrame, key: Sequence[str], order:
                     chunk_rows: int | None = None) -> DataFrame:
     """EW11: EW2-EW10 as of every sample (the live loop's view), wide form.
 
-    For the frame of the last n = min(history, g+1) rows ending at row g,
-    with x = 0..n-1: Sx = n(n-1)/2, n*Sxx - Sx^2 = n^2(n^2-1)/12 and
-    Sxy = S(g*y) - start*S(y). The slope numerator n*Sxy - Sx*Sy is formed
-    in exact decimals, so a flat frame gives a slope of exactly 0.
+    For the n readings in the frame of the last `history` rows (nulls and NaN aren't readings),
+    with x = 0..n-1: Sx = n(n-1)/2, n*Sxx - Sx^2 = n^2(n^2-1)/12 and Sxy = S(rank*y) - start*S(y). The
+    slope numerator n*Sxy - Sx*Sy is formed in exact decimals of the metric's own scale, so
+    a flat frame gives a slope of exactly 0 in any unit.
 
     With `chunk_rows`, each series is cut into chunks that carry the
     previous `history` rows as a halo (operators.series): running sums
@@ -267,45 +285,41 @@ def warning_rolling(df: DataFrame, params: DataFrame, key: Sequence[str], order:
     pw = params.groupBy(*key).agg(*[F.max(F.when(F.col(M) == m, F.col(s))).alias(f"{m}__{s}")
                                     for m in metrics for s in stats])
     j = df.join(pw, on=list(key), how="left")
-    if chunk_rows == "auto":
-        from .series import resolve_chunk_rows
-        chunk_rows = resolve_chunk_rows(df, key, chunk_rows)
+    from .series import chunked, resolve_chunk_rows
+    chunk_rows = resolve_chunk_rows(df, key, chunk_rows)
     if chunk_rows:
-        from .series import chunked
         j = chunked(j, key, order, history, 0, chunk_rows)
-        j = _frame_sums(j, [*key, "_chunk"], ["_g"], metrics, history, has_index=True)
+        j = _frame_sums(j, [*key, "_chunk"], ["_g"], metrics, history)
         j = j.filter("_own")  # halo rows only fed the frame sums
     else:
         j = _frame_sums(j, key, order, metrics, history)
-    j = j.withColumn("_nl", F.least(F.col("_g") + 1, F.lit(history)))
-    j = j.withColumn("_n", F.col("_nl").cast("double"))
-    n, nl = F.col("_n"), F.col("_nl")
-    start = (F.col("_g") - nl + 1).cast("decimal(11,0)")
-    sx_l = (nl * (nl - 1) / 2).cast("long")
-    j = j.withColumn("_den", (n * n * (n * n - 1.0)) / 12.0)
-    den = F.col("_den")
-    sx = sx_l.cast("double")
     # Materialise the per-metric line first so the prediction expressions
     # below refer to plain columns (keeps the analysed plan small).
+    j = j.select("*", *[F.col(f"_fc_{m}").cast("double").alias(f"_n_{m}") for m in metrics])
     slopes = []
     for m in metrics:
-        fy = F.col(f"_fy_{m}").cast("decimal(26,8)")
-        sxy = (F.col(f"_fgy_{m}") - fy * start).cast("decimal(28,8)")
-        num = (nl.cast("decimal(6,0)") * sxy
-               - sx_l.cast("decimal(12,0)") * fy.cast("decimal(24,8)"))
-        slopes.append(F.when(den > 0, num.cast("double") / den).otherwise(0.0).alias(f"_b_{m}"))
+        n, nl = F.col(f"_n_{m}"), F.col(f"_fc_{m}")
+        fy = F.col(f"_fy_{m}").cast("decimal(26,10)")
+        sxy = (F.col(f"_fgy_{m}") - fy * F.col(f"_fs_{m}").cast("decimal(11,0)")).cast("decimal(28,10)")
+        sx = (nl * (nl - 1) / 2).cast("decimal(12,0)")
+        num = nl.cast("decimal(6,0)") * sxy - sx * fy.cast("decimal(24,10)")
+        den = (n * n * (n * n - 1.0)) / 12.0
+        slopes.append(F.when(den > 0, num.cast("double") / den * F.col(f"_u_{m}")).otherwise(0.0).alias(f"_b_{m}"))
     j = j.select("*", *slopes)
-    j = j.select("*", *[((F.col(f"_fy_{m}").cast("double") - F.col(f"_b_{m}") * sx) / n)
-                        .alias(f"_a_{m}") for m in metrics],
-                 *[(F.col(f"_fy_{m}").cast("double") / n).alias(f"_mh_{m}") for m in metrics])
-    ok = n >= min_samples
+    total = {m: F.col(f"_fy_{m}").cast("double") * F.col(f"_u_{m}") for m in metrics}
+    j = j.select("*", *[F.when(F.col(f"_n_{m}") > 0, (total[m] - F.col(f"_b_{m}") * F.col(f"_n_{m}")
+                                                      * (F.col(f"_n_{m}") - 1) / 2) / F.col(f"_n_{m}")).alias(f"_a_{m}")
+                        for m in metrics],
+                 *[F.when(F.col(f"_n_{m}") > 0, total[m] / F.col(f"_n_{m}")).alias(f"_mh_{m}") for m in metrics])
+    ok = {m: F.col(f"_n_{m}") >= min_samples for m in metrics}
     j = add_predictions(j, [prediction_spec(
-        f"_p_{m}", n, F.col(f"_b_{m}"), F.col(f"_a_{m}"), F.col(m), F.col(f"{m}__mean"),
-        F.col(f"{m}__std"), F.col(f"{m}__warn"), F.lit(m), ok, horizons, confidence_threshold)
+        f"_p_{m}", F.col(f"_n_{m}"), F.col(f"_b_{m}"), F.col(f"_a_{m}"), F.col(f"_cur_{m}"), F.col(f"{m}__mean"),
+        F.col(f"{m}__std"), F.col(f"{m}__warn"), F.lit(m), ok[m], horizons, confidence_threshold)
         for m in metrics])
-    degs = [F.when(ok, degradation_rate(n, F.col(f"_b_{m}"), F.col(f"_mh_{m}"))) for m in metrics]
-    ruls = [F.when(ok, remaining_life(n, F.col(f"_b_{m}"), F.col(f"_a_{m}"), F.col(m),
-                                      F.col(f"{m}__crit"))) for m in metrics]
+    degs = [F.when(ok[m], degradation_rate(F.col(f"_n_{m}"), F.col(f"_b_{m}"), F.col(f"_mh_{m}"))) for m in metrics]
+    ruls = [F.when(ok[m], remaining_life(F.col(f"_n_{m}"), F.col(f"_b_{m}"), F.col(f"_a_{m}"), F.col(f"_cur_{m}"),
+                                         F.col(f"{m}__crit"))) for m in metrics]
+    enough = F.array_max(F.array(*[F.col(f"_n_{m}") for m in metrics])) >= min_samples
     plist = F.filter(F.array(*[F.col(f"_p_{m}") for m in metrics]), lambda p: p.isNotNull())
     dl = F.filter(F.array(*degs), lambda d: d.isNotNull())
     avg_deg = F.when(F.size(dl) > 0, F.aggregate(dl, F.lit(0.0), lambda a, x: a + x) / F.size(dl))
@@ -315,8 +329,8 @@ def warning_rolling(df: DataFrame, params: DataFrame, key: Sequence[str], order:
         "*", (F.size("predictions") > 0).alias("has_warning"),
         F.array_min(F.transform("predictions", lambda p: p["predicted_time_hours"]))
         .alias("earliest_anomaly_hours"),
-        F.when(ok, risk_score(F.col("predictions"), F.col("degradation_rate"),
-                              F.col("remaining_useful_life_hours"))).otherwise(0.0)
+        F.when(enough, risk_score(F.col("predictions"), F.col("degradation_rate"),
+                                  F.col("remaining_useful_life_hours"))).otherwise(0.0)
         .alias("overall_risk_score"))
     drop = [c for c in out.columns if c.startswith("_") or "__" in c]
     return out.drop(*drop)
