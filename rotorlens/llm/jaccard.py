@@ -207,23 +207,35 @@ def _verify(num: int, den: int):
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """node, label (the smallest node of its component) for every node of the links: each round hooks
-    every node to the smallest label around it and follows labels once (min-label with jumping)."""
-    edges = links.select("a", "b").filter("a <> b")
-    edges = written(edges.union(edges.select("b", "a")).distinct(), f"{name}-edges")
-    label = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")),
-                    f"{name}-labels")
+    """node, label (the smallest node of its component) for every node of the links.
+
+    Each round every node hooks onto its smallest neighbour, the trees this makes are followed to their
+    roots, and the edges are contracted to edges between roots. At least half of the nodes of
+    a component that isn't done disappear each round, and most edges with them."""
+    def undirected(df: DataFrame) -> DataFrame:
+        return written(df.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                       .distinct(), f"{name}-edges")
+
+    edges, label = undirected(links.select("a", "b")), None
     while True:
-        near = edges.join(label, edges["b"] == label["node"]).groupBy(F.col("a").alias("node")) \
-            .agg(F.min("label").alias("near"))
-        hooked = label.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
-        up = hooked.select(F.col("node").alias("new"), F.col("new").alias("above"))
-        nxt = written(hooked.join(up, "new", "left").select(
-            "node", F.col("label").alias("old"), F.least("new", F.coalesce("above", "new")).alias("label")),
-            f"{name}-labels")
-        done = nxt.filter("old <> label").limit(1).count() == 0
-        label = nxt.select("node", "label")
-        if done:
+        both = edges.union(edges.select("b", "a"))
+        hook = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root")),
+                       f"{name}-hooks")
+        while True:
+            above = hook.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            hook = written(hook.join(above, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root"))
+                                                           .alias("moved")), f"{name}-hooks")
+            moved = hook.filter("moved").limit(1).count()
+            hook = hook.select("node", "root")
+            if not moved:
+                break
+        label = hook.withColumnRenamed("root", "label") if label is None else written(
+            label.join(hook.select(F.col("node").alias("label"), "root"), "label", "left")
+            .select("node", F.coalesce("root", "label").alias("label")), f"{name}-labels")
+        at_a = edges.join(hook.withColumnRenamed("node", "a"), "a").select(F.col("root").alias("ra"), "b")
+        edges = undirected(at_a.join(hook.withColumnRenamed("node", "b"), "b").select(
+            F.col("ra").alias("a"), F.col("root").alias("b")))
+        if not edges.limit(1).count():
             return label
 
 
