@@ -12,6 +12,8 @@ For the rest ("open" texts):
 2. each class joins the classes that share its most frequent prefix n-gram. Such a group is cut
    into chunks of at most `CHUNK` classes, each with the group's least unusual class as its pivot; a chunk
    verifies what its filters leave, skipping pairs that are connected already;
+   Then the least unusual class of each component that an n-gram meets is compared with those of the
+   other components there, in the same way: copies of one text mostly part by their most frequent n-gram;
 3. every prefix n-gram whose classes are not all connected yet is joined in block pairs: length,
    positional and suffix filters drop pairs, and what remains, between different components only,
    is verified once per pair;
@@ -265,6 +267,22 @@ def _home_chunks(prefixes: DataFrame) -> DataFrame:
     hold the home's pivot too."""
     home = prefixes.groupBy("node").agg(F.max_by("token", F.struct("df", "token")).alias("home"),
                                         F.first("unusual").alias("unusual"))
+    return _dealt(home)
+
+
+def _met_chunks(prefixes: DataFrame, label: DataFrame) -> DataFrame:
+    """home, chunk, node, unusual: at each n-gram whose classes are in several components, the least unusual
+    class of each. Of the n-grams between the same two outermost components that with most components stands for all."""
+    met = prefixes.join(label, "node", "left").groupBy("token", F.coalesce("label", "node").alias("label")) \
+        .agg(F.min(F.struct("unusual", "node")).alias("least"))
+    met = written(met, "met")
+    homes = met.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")) \
+        .filter("lo <> hi").groupBy("lo", "hi").agg(F.max_by("token", F.struct("k", "token")).alias("token"))
+    return _dealt(met.join(homes.select("token"), "token").select(F.col("token").alias("home"), "least.node", "least.unusual"))
+
+
+def _dealt(home: DataFrame) -> DataFrame:
+    """The classes of each home in chunks that each hold the home's pivot too."""
     size = home.groupBy("home").agg(F.count("*").alias("size"), F.min(F.struct("unusual", "node")).alias("pivot")) \
         .filter("size > 1")
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
@@ -331,9 +349,13 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = written(src.join(small_side(written(open_docs.distinct(), "open")), ["doc_id", "th"], "left_semi").select("t")
                    .mapInArrow(_sets("t", n), "node bigint, grams binary, hist binary").dropDuplicates(["node"]), "sets")
 
-    near = written(_home_chunks(prefixes).join(sets, "node").groupBy("home", "chunk")
-                   .applyInPandas(_chunk_links(num, den), "a bigint, b bigint"), "near-links")
+    def linked_in(chunks: DataFrame) -> DataFrame:
+        return chunks.join(sets, "node").groupBy("home", "chunk").applyInPandas(_chunk_links(num, den), "a bigint, b bigint")
+
+    near = written(linked_in(_home_chunks(prefixes)), "near-links")
     label = components(near, "near")
+    near = written(near.unionByName(linked_in(_met_chunks(prefixes, label))), "met-links")
+    label = components(near, "met")
     pairs = written(_open_pairs(prefixes, label, sets.select("node", "hist"), num, den), "pairs")
     far = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a") \
         .join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b") \
