@@ -22,9 +22,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document with the smallest id stays."""
+    """Of each component of near duplicates (five-word Jaccard of 0.8 and more), the document with the
+    smallest id stays."""
     prepare(spark)
-    return jaccard.keep_one(docs.select(*COLUMNS))
+    return jaccard.keep_one(docs.select(*COLUMNS), n=5, num=80, den=100)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

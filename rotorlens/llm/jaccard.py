@@ -372,10 +372,13 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out, links
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, num: int = 90,
+             den: int = 100) -> DataFrame:
     """The rows of `docs` that are their component's smallest id. Rows that repeat an id and its text
     count as one; rows without words or id stay as they are."""
-    rows, _ = link_documents(docs, doc_id, text)
+    # the counted share keeps its ratio to the prefixes' share; the first part must be positive longs
+    share = min(SHARE * 10 * (den - num) / den, 15 / 32)
+    rows, _ = link_documents(docs, doc_id, text, n, num, den, share)
     known = rows.filter(f"n_shingles > 0 AND {doc_id} IS NOT NULL")
     others = known.filter(f"component_id <> {doc_id}").select(doc_id).distinct()
     again = known.groupBy(doc_id).count().filter("count > 1").select(doc_id)

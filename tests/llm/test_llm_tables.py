@@ -195,6 +195,27 @@ def test_pipeline_stages(spark):
         before = after
 
 
+def test_near_copies_of_the_pipeline(spark):
+    import corpus_pipeline as cp
+    from test_llm_text import shingles, similar_texts
+    rng = random.Random(5)
+    base = [f"v{i}" for i in range(200)]
+    texts = similar_texts() + [" ".join(base), " ".join(base[:170]), " ".join(base + [f"x{i}" for i in range(30)])]
+    texts += [" ".join(f"e{rng.randrange(9999)}" if i % 50 == 20 else w for i, w in enumerate(base))]
+    sets, comp = [shingles(t, 5) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if a and 100 * a >= 80 * b and comp[i] != comp[j]:
+                lo, hi = sorted((comp[i], comp[j]))
+                comp = [lo if c == hi else c for c in comp]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r["doc_id"] for r in cp.one_of_each(spark, docs, SF_SMALL).collect()}
+    assert got == {i for i in range(len(texts)) if comp[i] == i}
+    assert not got & set(range(len(texts) - 3, len(texts)))
+
+
 @pytest.mark.parametrize("name", ["op1_pii", "op2_decontamination", "op4_warc", "op5_url_filter", "op6_jaccard", "op10_topk"])
 def test_queries_match_their_sql(spark, name):
     import __spark_entry__ as se
