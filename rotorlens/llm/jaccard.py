@@ -337,10 +337,20 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     per_class = named.groupBy("node", "n", "n_first").agg(F.min(F.struct("doc_id", "th")).alias("rep"),
                                                           F.count("*").alias("copies"))
     per_class = written(per_class.select("node", "n", "n_first", "rep", "copies"), "per-class")
-    copies = named.join(per_class.filter("copies > 1").select("node", "rep"), "node") \
-        .filter(F.struct("doc_id", "th") != F.col("rep")).select("doc_id", "th").distinct()
-    firsts = src.filter("doc_id IS NOT NULL").join(small_side(written(copies, "copies")), ["doc_id", "th"], "left_anti")
-    tokens = firsts.select("t").mapInArrow(_tokens("t", n, share, num, den), "token bigint, node bigint")
+    several = named.join(per_class.filter("copies > 1").select("node", "rep"), "node") \
+        .groupBy("doc_id", "th").agg(F.first(F.struct("doc_id", "th") == F.col("rep")).alias("is_rep"), F.count("*").alias("k"))
+    several = written(several.filter("NOT is_rep OR k > 1"), "copies")
+    firsts = src.filter("doc_id IS NOT NULL").join(small_side(several.select("doc_id", "th")), ["doc_id", "th"], "left_anti")
+    # a class whose own row is repeated gives its n-grams once
+    again = small_side(several.filter("is_rep").select("doc_id", "th"))
+    repeated = src.join(again, ["doc_id", "th"], "left_semi")
+
+    def tokens_of(df: DataFrame) -> DataFrame:
+        return df.select("t").mapInArrow(_tokens("t", n, share, num, den), "token bigint, node bigint")
+
+    tokens = tokens_of(firsts)
+    if again.limit(1).count():
+        tokens = tokens.unionByName(tokens_of(repeated).distinct())
     prefixes = written(_prefixes(per_class, tokens, share, num, den), "prefixes")
     shared = prefixes.groupBy("token").count().filter("count > 1").select("token")
     prefixes = written(prefixes.join(shared, "token"), "prefixes")

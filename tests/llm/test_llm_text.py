@@ -204,6 +204,22 @@ def test_jaccard_edges(spark):
     assert jaccard.query(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_link_in_block_pairs(spark, monkeypatch):
+    dealt = jaccard._dealt
+    monkeypatch.setattr(jaccard, "_dealt", lambda home: dealt(home).limit(0))     # all links come from the block pairs
+    rng = random.Random(3)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        texts += [" ".join(base), " ".join(base[:60] + ["new", "words"] + base[62:])]
+    _, comp = near_components(texts)
+    assert comp == [i - i % 2 for i in range(24)]
+    df = frame(spark, texts)
+    df = df.unionByName(df.filter("doc_id % 2 = 0")).unionByName(df.filter("doc_id % 3 = 0")).unionByName(df.filter("doc_id = 5"))
+    got = jaccard.query(df).collect()
+    assert len(got) == df.count() and all(r["component_id"] == comp[r["doc_id"]] for r in got)
+
+
 def test_encoder_equals_tokenizer():
     enc = Encoder(packing.default_tokenizer())
     texts = ["", None, "it's a DON'T ''s x<|endoftext|>y", "Ünïcode ÀÉ × ÷ 12½ ²", "日本語 テスト İstanbul", "a\x0bb\x1cc", "'re'll 'x ''",
