@@ -34,14 +34,18 @@ SPACED = frozenset("article blockquote dl fieldset figure footer form h1 h2 h3 h
 #: start tags that end an open <p>
 ENDS_P = BLOCK - {"body", "html", "li", "dd", "dt", "tr", "caption"} | {"li", "dd", "dt"}
 #: start tag -> open tags it ends, up to the border
+PARTS = {"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
-        "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
-        "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
-        "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
-        "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
+        "tr": (PARTS - {"tbody", "thead", "tfoot"}, {"table", "template"}), "td": ({"td", "th", "caption", "colgroup"}, {"table", "tr", "template"}),
+        "th": ({"td", "th", "caption", "colgroup"}, {"table", "tr", "template"}),
+        "thead": (PARTS, {"table", "template"}), "tbody": (PARTS, {"table", "template"}), "tfoot": (PARTS, {"table", "template"}),
+        "caption": (PARTS, {"table", "template"}), "colgroup": (PARTS, {"table", "template"}),
         "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"})}
 #: open tags that a <p> or an end tag can't reach through
 SCOPE = frozenset({"td", "th", "table", "button", "caption"})
+#: elements that hold table parts only; what else stands directly in them goes in front of the table
+FRAME = frozenset("table tbody thead tfoot tr".split())
+IN_FRAME = frozenset(PARTS | {"col", "style", "script", "template"})
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</?([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>"""
                    r"""|</?([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|[^<]++|<""", re.S)
@@ -78,9 +82,21 @@ def build(html: str) -> Node:
     """Tree of a page. Text is a string among a node's kids."""
     root = Node("#root")
     stack, open_tags, at, n = [root], Counter(), 0, len(html)
+    around: list[Node] = []     # parents of the open tables; an open table is its parent's last kid
 
     def pop():
-        open_tags[stack.pop().tag] -= 1
+        tag = stack.pop().tag
+        open_tags[tag] -= 1
+        if tag == "table":
+            around.pop()
+
+    def add(kid: Node | str) -> None:
+        """Put a kid into the innermost open element, or in front of the table if that takes parts only."""
+        if around and stack[-1].tag in FRAME and not open_tags["template"] \
+                and (kid.strip(" \t\n\r\f") if isinstance(kid, str) else kid.tag not in IN_FRAME):
+            around[-1].kids.insert(len(around[-1].kids) - 1, kid)
+        else:
+            stack[-1].kids.append(kid)
 
     def close(tags, border) -> None:
         """End the open elements among `tags`, up to the innermost border, with all inside them."""
@@ -103,16 +119,22 @@ def build(html: str) -> Node:
         tag = m[1] or m[3]
         if tag is None:
             if not first.startswith("<") or first == "<":
-                stack[-1].kids.append(first)
+                if stack[-1].tag == "colgroup" and first.strip(" \t\n\r\f"):
+                    pop()
+                add(first)
             continue
         tag = tag.lower()
         if first[1] == "/":
             if tag == "p" and not open_tags["p"]:
-                stack[-1].kids.append(Node("p"))
+                add(Node("p"))
+            elif tag == "table" and around:
+                while stack[-1].tag != "table":
+                    pop()
+                pop()
             elif open_tags[tag]:
-                close({tag}, () if tag in SCOPE or tag in ("body", "html") else SCOPE - {tag})
+                close({tag}, {"table"} if tag in SCOPE else () if tag in ("body", "html") else SCOPE - {tag})
             elif tag == "br":
-                stack[-1].kids.append(Node("br"))
+                add(Node("br"))
             continue
         attrs = m[2] if m[1] else m[4] or ""
         if tag in ENDS_P and open_tags["p"]:
@@ -125,8 +147,26 @@ def build(html: str) -> Node:
             close({"head"}, ())
         elif open_tags["head"] and tag in BLOCK and stack[-1].tag == "head":
             pop()
+        if stack[-1].tag == "colgroup" and tag not in ("col", "template"):
+            pop()
+        if around and tag in PARTS and not open_tags["template"]:
+            # what was put in front of the table ends where the table goes on
+            i = len(stack) - 1
+            while stack[i].tag not in FRAME and stack[i].tag not in PARTS:
+                i -= 1
+            while stack[i].tag in FRAME and len(stack) > i + 1:
+                pop()
+        elif around and stack[-1].tag in FRAME and not open_tags["template"]:
+            if tag == "form":    # an empty element here
+                continue
+            if tag == "table":
+                while stack[-1].tag != "table":
+                    pop()
+                pop()
         node = Node(tag, attrs)
-        stack[-1].kids.append(node)
+        add(node)
+        if tag == "table":
+            around.append(stack[-1])
         if tag in VOID or attrs.endswith("/") and tag in ("svg", "path", "rect", "circle", "use"):
             continue
         if tag in RAW:

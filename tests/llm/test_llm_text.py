@@ -310,6 +310,17 @@ def test_html_keeps_all_visible_words(spark):
         assert strip(got[r["page_id"]]) == strip(plain)
 
 
+@pytest.mark.parametrize("html,want", [
+    ("<table><tr><form><td>a<td>b</form></tr><tr><td>c</table>", "a  b\nc"),
+    ("<table>one<tr>two<td>a</td>three</tr><b>four</b></table>five", "onetwothreefour\n\na\n\nfive"),
+    ("<table><div>x<tr><td>a</div></table>", "x\n\na"), ("<table><center>x</center><tbody><a>y<tr><td>a</table>", "x\ny\n\na"),
+    ("<table><colgroup>w<tr><td>a<table><tr><td>b</td></tr>q</table>c<td>d</table>e", "w\n\naq  d\n\nb\n\nc\n\ne"),
+    ("<table><caption>t<tr><td>a</table>", "t\n\na"), ("<table><tr><td>a<tr><table><tr><td>b</table>", "a\n\nb"),
+    ("<table><tr><td><template><tr>no</template>a</table>", "a")])
+def test_html_tables_keep_what_is_not_in_cells(html, want):
+    assert htmltext.page_text(html)[0] == want
+
+
 def test_words_of_sliced_columns():
     col = pa.array(["zero", None, "b c", "", "d"]).slice(1, 4)
     s, e, doc, h = ng.words(*utf8(col), ng.ALNUM)
