@@ -23,20 +23,29 @@ from .common import blocks
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math "
-                   "datalist title".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas "
+                   "datalist title annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body center details dialog dd dir div dl dt fieldset figcaption figure "
                   "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section "
                   "summary table caption tr ul".split())
 #: a blank line before and after
 SPACED = frozenset("article blockquote dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre "
                    "section table ul".split())
+#: start tags that leave the head open
+HEAD = frozenset("meta title link base basefont bgsound script style noscript noframes template head html".split())
+#: parts of a drawing that aren't drawn themselves
+NOT_DRAWN = frozenset("defs symbol metadata desc clippath mask pattern marker".split())
+#: start tags that end a drawing or formula, except inside the elements of it that hold text
+LEAVES = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu "
+                   "meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDS_TEXT = frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())
 #: start tags that end an open <p>
 ENDS_P = BLOCK - {"body", "html", "li", "dd", "dt", "tr", "caption"} | {"li", "dd", "dt"}
 #: start tag -> open tags it ends, up to the border
 PARTS = {"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
-        "tr": (PARTS - {"tbody", "thead", "tfoot"}, {"table", "template"}), "td": ({"td", "th", "caption", "colgroup"}, {"table", "tr", "template"}),
+        "tr": (PARTS - {"tbody", "thead", "tfoot"}, {"table", "template"}),
+        "td": ({"td", "th", "caption", "colgroup"}, {"table", "tr", "template"}),
         "th": ({"td", "th", "caption", "colgroup"}, {"table", "tr", "template"}),
         "thead": (PARTS, {"table", "template"}), "tbody": (PARTS, {"table", "template"}), "tfoot": (PARTS, {"table", "template"}),
         "caption": (PARTS, {"table", "template"}), "colgroup": (PARTS, {"table", "template"}),
@@ -82,6 +91,7 @@ def build(html: str) -> Node:
     """Tree of a page. Text is a string among a node's kids."""
     root = Node("#root")
     stack, open_tags, at, n = [root], Counter(), 0, len(html)
+    head_ahead = True
     around: list[Node] = []     # parents of the open tables; an open table is its parent's last kid
 
     def pop():
@@ -119,8 +129,10 @@ def build(html: str) -> Node:
         tag = m[1] or m[3]
         if tag is None:
             if not first.startswith("<") or first == "<":
-                if stack[-1].tag == "colgroup" and first.strip(" \t\n\r\f"):
-                    pop()
+                if first.strip(" \t\n\r\f"):
+                    head_ahead = False
+                    if stack[-1].tag in ("colgroup", "head"):
+                        pop()
                 add(first)
             continue
         tag = tag.lower()
@@ -145,8 +157,17 @@ def build(html: str) -> Node:
             close({"a"}, SCOPE)
         elif tag == "body" and open_tags["head"]:
             close({"head"}, ())
-        elif open_tags["head"] and tag in BLOCK and stack[-1].tag == "head":
+        elif stack[-1].tag == "head" and tag not in HEAD:
             pop()
+        foreign = open_tags["svg"] or open_tags["math"]
+        if foreign and tag in LEAVES:
+            close({"svg", "math"}, HOLDS_TEXT)
+        if tag == "head":
+            if not head_ahead:
+                continue
+            head_ahead = False
+        elif tag not in HEAD:
+            head_ahead = False
         if stack[-1].tag == "colgroup" and tag not in ("col", "template"):
             pop()
         if around and tag in PARTS and not open_tags["template"]:
@@ -167,7 +188,8 @@ def build(html: str) -> Node:
         add(node)
         if tag == "table":
             around.append(stack[-1])
-        if tag in VOID or attrs.endswith("/") and tag in ("svg", "path", "rect", "circle", "use"):
+        if tag in VOID or attrs.endswith("/") and (
+                tag in ("svg", "math", "path", "rect", "circle", "use") or foreign and not open_tags["foreignobject"]):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+>?", re.I).search(html, at)
@@ -236,6 +258,20 @@ class Page:
             self.newline()
 
 
+def _drawn(svg: Node) -> list[Node]:
+    """The elements of a drawing that show text."""
+    out, todo = [], list(reversed(svg.kids))
+    while todo:
+        k = todo.pop()
+        if isinstance(k, str) or k.hidden() or k.tag in NOT_DRAWN:
+            continue
+        if k.tag in ("text", "foreignobject"):
+            out.append(k)
+        else:
+            todo.extend(reversed(k.kids))
+    return out
+
+
 def _rows(table: Node) -> list[list[Node]]:
     """Cells by row of a table itself, not of tables inside its cells."""
     rows, todo = [], list(reversed(table.kids))
@@ -326,6 +362,10 @@ def render(root: Node) -> list[str]:
                 page.verbatim([x.rstrip() for x in body.split("\n")] if body.strip() else [])
                 page.block(True)
                 continue
+            if tag == "svg":
+                for k in reversed(_drawn(node)):
+                    work += [("text", " "), ("node", k), ("text", " ")]
+                continue
             if tag == "table":
                 rows = _rows(node)
                 captions = [k for k in node.kids if isinstance(k, Node) and k.tag == "caption"]

@@ -321,6 +321,17 @@ def test_html_tables_keep_what_is_not_in_cells(html, want):
     assert htmltext.page_text(html)[0] == want
 
 
+@pytest.mark.parametrize("html,want", [
+    ("<head><title>T</title>Hello <b>world</b>", "Hello world"), ("<head><title>T</title><a href=x>one <p>two", "one\n\ntwo"),
+    ("<html><head><meta charset=u><my-app><div>in</div></my-app></head><body>out", "in\nout"),
+    ("<head>\n<style>p{}</style>\n<noscript>no</noscript><script>x</script></head><body>b", "b"), ("<body>a<head>b</head>c", "abc"),
+    ("a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> b", "a x=2 b"),
+    ("a<svg><title>no</title><defs><text>no</text></defs><g>no<line x=1 /><text>North <tspan>7</tspan></text></g>"
+     "<text>South</text></svg>b", "a North 7 South b"), ("<svg><defs/><text>in</text><p>out", "in\n\nout")])
+def test_html_head_ends_and_drawings_show_text(html, want):
+    assert htmltext.page_text(html)[0] == want
+
+
 def test_words_of_sliced_columns():
     col = pa.array(["zero", None, "b c", "", "d"]).slice(1, 4)
     s, e, doc, h = ng.words(*utf8(col), ng.ALNUM)
