@@ -149,6 +149,15 @@ def test_toxicity_chain(spark):
     assert toxicity.query(docs.limit(0), labels).count() == 0
 
 
+def test_labels_of_absent_documents_take_no_place(spark):
+    docs = spark.createDataFrame([(i, "you idiot" if i % 2 else "good day") for i in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)] + [(i, 1, 0) for i in range(1000, 5000)],
+                                   "doc_id bigint, quality int, toxic int")
+    chain = toxicity.train(docs, labels, sample=40)
+    scored, out = toxicity.score(docs, chain)
+    assert all((r[out]["toxic"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in scored.collect())
+
+
 def test_chain_uses_earlier_probabilities():
     rng = np.random.default_rng(1)
     n = 400
