@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, htmltext, jaccard, langid, packing, pii, topk, toxicity, urlfilter, warc
+from . import centroids, decontam, htmltext, jaccard, langid, packing, pii, sharding, topk, toxicity, urlfilter, warc, whitening
 from .common import table
 from .registry import register
 
@@ -65,3 +65,21 @@ def op7_toxicity(spark, sf):
 def op8_langid(spark, sf):
     """Language of every document."""
     return langid.query(table(spark, sf, "documents"))
+
+
+@register("op11_sharding", sharding.ORACLE_SQL)
+def op11_sharding(spark, sf):
+    """Every document's shard and slot."""
+    return sharding.query(table(spark, sf, "documents"))
+
+
+@register("op12_whitening")
+def op12_whitening(spark, sf):
+    """Every vector's whitened components."""
+    return whitening.query(table(spark, sf, "embeddings"))
+
+
+@register("op13_centroids", centroids.ORACLE_SQL)
+def op13_centroids(spark, sf):
+    """Every vector's cluster."""
+    return centroids.query(table(spark, sf, "embeddings"))
