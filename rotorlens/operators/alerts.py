@@ -3,20 +3,22 @@
 
 Candidates are row-local projections unioned by name. The cooldown is the
 only sequential step: an alert is kept when at least `gap` has passed since
-the last *kept* alert of the same (machine, type, severity). A candidate that
-follows a quiet stretch of at least `gap` is always kept, so each key's
-stream is cut into bursts at such gaps; bursts are independent and only the
-candidates inside one burst are folded, in order, in one row.
+the last *kept* alert of the same (machine, type, severity). Series that are too long for one
+task are cut into chunks, whose effect on the cooldown is composed by doubling (`greedy_keep`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import fmt_fixed
+from ..session import written
+from .series import chunked, resolve_chunk_rows, series_index
 
 # Default thresholds per metric (lower is bad only for the
 # health score) and the default cooldown.
@@ -146,63 +148,133 @@ def candidate_alerts(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def greedy_keep(df: DataFrame, key: Sequence[str], order: Sequence[str], pos: Column,
-                gap, start=None, chunk_rows: int | None = None) -> DataFrame:
+                gap, start=None, chunk_rows="auto") -> DataFrame:
     """Keep a row when `pos - last kept pos >= gap` (the first row is kept
     unless `start` is given, then it needs `pos - start >= gap`).
 
     `pos` is a timestamp (gap: interval string such as '15 minutes') or a
-    number (gap: number). Returns the kept rows only. With `chunk_rows`
-    the burst numbering runs per (key, chunk) with a one-row halo and a
-    carry of earlier chunks' burst counts (operators.series)."""
-    w = Window.partitionBy(*key).orderBy(*order)
+    number (gap: number) and must not fall along the order; rows without it are never kept. Returns the kept rows only.
+
+    Series that need no cut (operators.series) are folded as their task reads them in order. Others go through
+    `_entry_times`: what a chunk does to the time from which a row may be kept is a step function of that time; the
+    chunks' functions are composed by doubling, so each chunk learns its entry time in log2(chunks) steps and all chunks
+    are folded at once."""
     numeric = not isinstance(gap, str)
-    p = df.withColumn("_p", pos.cast("double") if numeric else pos.cast("timestamp"))
-    g = F.lit(float(gap)) if numeric else F.expr(f"INTERVAL {gap}")
+    gnum = float(gap) if numeric else float(_interval_micros(gap))
+    # positions as plain numbers: doubles, or epoch microseconds
+    pnum = pos.cast("double") if numeric else F.unix_micros(pos.cast("timestamp")).cast("double")
+    p = df.select(*df.columns, pnum.alias("_pn"), F.to_json(F.struct(*key)).alias("_key")).filter("_pn IS NOT NULL")
     if start is not None:
         # `start` acts as a kept row: nothing closer to it than `gap` can be
         # kept, and such rows never influence later decisions.
-        st = F.lit(float(start)) if numeric else F.lit(start).cast("timestamp")
-        p = p.filter(F.col("_p") >= st + g)
-    if chunk_rows == "auto":
-        from .series import resolve_chunk_rows
-        chunk_rows = resolve_chunk_rows(p, key, chunk_rows)
-    if chunk_rows:
-        from .series import carry_sum, chunked
-        c = chunked(p, key, order, 1, 0, chunk_rows)
-        prev = F.lag("_p").over(Window.partitionBy(*key, "_chunk").orderBy("_g"))
-        c = c.withColumn("_q", (prev.isNull() | (F.col("_p") >= prev + g)).cast("int"))
-        p = carry_sum(c, key, "_q", "_burst").drop("_own", "_chunk", "_g")
-    else:
-        prev = F.lag("_p").over(w)
-        quiet = prev.isNull() | (F.col("_p") >= prev + g)
-        p = p.withColumn("_q", quiet.cast("int"))
-        p = p.withColumn("_burst", F.sum("_q").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # Burst sizes: a burst of one row is kept outright, longer bursts go
-    # through a linear pass in order (one pandas group per burst).
-    p = p.withColumn("_bn", F.count(F.lit(1)).over(Window.partitionBy(*key, "_burst")))
-    single = p.filter(F.col("_bn") == 1).select(*df.columns)
-    multi = p.filter(F.col("_bn") > 1)
-    # positions as plain numbers for the pass: doubles, or epoch microseconds
-    pnum = F.col("_p") if numeric else F.unix_micros(F.col("_p"))
-    gnum = float(gap) if numeric else float(_interval_micros(gap))
-    multi = multi.select(*df.columns, pnum.cast("double").alias("_pn"),
-                         F.col("_burst").alias("_b"),
-                         *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)])
-    sort_cols = [f"_o{i}" for i in range(len(order))]
-    out_schema = df.schema
-
-    def fold(pdf):
-        pdf = pdf.sort_values(sort_cols, kind="mergesort")
-        keep, last = [], None
-        for v in pdf["_pn"].to_numpy():
-            ok = last is None or v >= last + gnum
-            keep.append(ok)
-            if ok:
-                last = v
-        return pdf.loc[keep, [f.name for f in out_schema.fields]]
-
-    kept = multi.groupBy(*key, "_b").applyInPandas(fold, out_schema)
-    return single.unionByName(kept)
+        st = F.lit(float(start)) if numeric else F.unix_micros(F.lit(start).cast("timestamp")).cast("double")
+        p = p.filter(F.col("_pn") >= st + gnum)
+    names = df.columns
+    cr = resolve_chunk_rows(p, ["_key"], chunk_rows)
+    if not cr:
+        def fold(batches):
+            last_key, ready = None, -np.inf
+            for pdf in batches:
+                keep = np.zeros(len(pdf), bool)
+                for i, (k, v) in enumerate(zip(pdf["_key"], pdf["_pn"])):
+                    if k != last_key:
+                        last_key, ready = k, -np.inf
+                    if v >= ready:
+                        keep[i], ready = True, v + gnum
+                yield pdf.loc[keep, names]
+
+        return p.repartition("_key").sortWithinPartitions("_key", *order).mapInPandas(fold, df.schema)
+
+    c = chunked(p, ["_key"], order, 0, 0, min(cr, FOLD_ROWS))
+    first = c.groupBy("_key").agg(F.min("_chunk").alias("_c0"))
+    c = written(c.join(first, "_key").withColumn("_k", F.col("_chunk") - F.col("_c0")).drop("_own", "_chunk", "_c0"), "cooldown")
+    entry = _entry_times(c, gnum)
+
+    def fold_chunk(pdf, entries):
+        ready, keep = entries["t"].iloc[0], []
+        pdf = pdf.sort_values("_g")
+        for v in pdf["_pn"]:
+            keep.append(v >= ready)
+            if keep[-1]:
+                ready = v + gnum
+        return pdf.loc[keep, names]
+
+    return c.groupBy("_key", "_k").cogroup(entry.groupBy("_key", "_k")).applyInPandas(fold_chunk, df.schema)
+
+
+#: rows of a chunk that the cooldown folds; its step function has at most as many steps
+FOLD_ROWS = 50_000
+
+
+def _entry_times(chunks: DataFrame, gap: float) -> DataFrame:
+    """_key, _k, t: from which time on a row of the key's k-th chunk may be kept, given the chunks before it.
+
+    A chunk maps that time t to the one behind it: if t lies beyond the chunk's last row it stays; else the first row
+    at or after t is kept, and the result is the last row kept from there plus the gap. The map is held as (breaks,
+    values): values[i] for breaks[i-1] < t <= breaks[i]. `step` holds the maps of `span` chunks from each
+    chunk on; entries of the first `span` chunks give those of the next `span`, then the maps are composed in pairs."""
+    def step_of(pdf):
+        p = np.sort(pdf["_pn"].to_numpy())
+        ready = np.full(len(p), p[-1] + gap)
+        if gap > 0:
+            nxt = np.searchsorted(p, p + gap)
+            for i in range(len(p) - 1, -1, -1):
+                ready[i] = ready[nxt[i]] if nxt[i] < len(p) else p[i] + gap
+        return pd.DataFrame([(pdf["_key"].iloc[0], pdf["_k"].iloc[0], *_squeezed(p, ready))], columns=STEP_COLUMNS)
+
+    def advance(entries, steps):
+        if not len(entries):
+            return pd.DataFrame(columns=["_key", "_k", "t"]).astype({"_k": "int64", "t": "float64"})
+        s, e = steps.iloc[0], entries.iloc[0]
+        return pd.DataFrame([(e["_key"], e["_k"], _apply(s["breaks"], s["values"], np.array([e["t"]]))[0])], columns=["_key", "_k", "t"])
+
+    def compose(first, then):
+        if not len(first):
+            return pd.DataFrame(columns=STEP_COLUMNS).astype({"_k": "int64"})
+        f = first.iloc[0]
+        if not len(then):
+            return pd.DataFrame([tuple(f[STEP_COLUMNS])], columns=STEP_COLUMNS)
+        g = then.iloc[0]
+        # beyond the first map's breaks the time stays, so the second map's own breaks hold there
+        later = g["breaks"] > (f["breaks"][-1] if len(f["breaks"]) else -np.inf)
+        breaks = np.concatenate([f["breaks"], g["breaks"][later]])
+        values = np.concatenate([_apply(g["breaks"], g["values"], f["values"]), g["values"][later]])
+        return pd.DataFrame([(f["_key"], f["_k"], *_squeezed(breaks, values))], columns=STEP_COLUMNS)
+
+    on = ("_key", "_k")
+    step = written(chunks.groupBy(*on).applyInPandas(step_of, STEP), "cooldown-steps")
+    count = step.agg(F.max("_k")).first()[0]
+    entry = step.filter("_k = 0").select("_key", "_k", F.lit(float("-inf")).alias("t"))
+    span = 1
+    while count is not None and span <= count:
+        there = step.select("_key", (F.col("_k") + span).alias("_k"))
+        known = entry.groupBy(*on).cogroup(step.groupBy(*on)).applyInPandas(advance, "_key string, _k bigint, t double") \
+            .withColumn("_k", F.col("_k") + span)
+        entry = written(entry.unionByName(known.join(step.select(*on), list(on), "left_semi")), "cooldown-entries")
+        if 2 * span <= count:
+            then = step.withColumn("_k", F.col("_k") - span)
+            step = written(step.groupBy(*on).cogroup(then.groupBy(*on)).applyInPandas(compose, STEP), "cooldown-steps")
+        span *= 2
+    return entry
+
+
+STEP_COLUMNS = ["_key", "_k", "breaks", "values"]
+STEP = "_key string, _k bigint, breaks array<double>, values array<double>"
+
+
+def _squeezed(breaks: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A step function without breaks between equal values, and one break of equal ones (the first counts)."""
+    first = np.concatenate([[True], breaks[1:] != breaks[:-1]]) if len(breaks) else np.zeros(0, bool)
+    breaks, values = breaks[first], values[first]
+    last = np.concatenate([values[1:] != values[:-1], [True]]) if len(breaks) else np.zeros(0, bool)
+    return breaks[last], values[last]
+
+
+def _apply(breaks: np.ndarray, values: np.ndarray, t: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(breaks, t)
+    out = np.array(t, float)
+    out[at < len(breaks)] = np.asarray(values)[at[at < len(breaks)]]
+    return out
 
 
 def _interval_micros(gap: str) -> int:
@@ -213,7 +285,7 @@ def _interval_micros(gap: str) -> int:
 
 
 def cooldown(cands: DataFrame, minutes: int = COOLDOWN_MINUTES, time_col: str = "T",
-             seq: Sequence[str] = ("ord",), chunk_rows: int | None = None) -> DataFrame:
+             seq: Sequence[str] = ("ord",), chunk_rows="auto") -> DataFrame:
     """ALR7: per (E, alert_type, severity) keep an alert only when at least
     `minutes` passed since the last kept one; same-time order by `seq`."""
     return greedy_keep(cands, ["E", "alert_type", "severity"], [time_col, *seq],
@@ -221,19 +293,12 @@ def cooldown(cands: DataFrame, minutes: int = COOLDOWN_MINUTES, time_col: str =
 
 
 def assign_ids(alerts: DataFrame, order: Sequence[str] = ("T", "ord"),
-               skew_safe: bool = False) -> DataFrame:
+               chunk_rows="auto") -> DataFrame:
     """ALR8: `alert_<E>_<n:06d>`, a running number per machine (a global
-    counter would need one task). `skew_safe` numbers with the bucketed
-    series index instead of one window per machine."""
-    if skew_safe:
-        from .series import series_index
-        t = series_index(alerts, ["E"], list(order), out="_n")
-        n = F.col("_n") + 1
-        return t.withColumn("alert_id", F.format_string(
-            "alert_%s_%06d", F.col("E").cast("string"), n)).drop("_n")
-    w = Window.partitionBy("E").orderBy(*order)
-    n = F.row_number().over(w)
-    return alerts.withColumn("alert_id", F.format_string("alert_%s_%06d", F.col("E").cast("string"), n))
+    counter would need one task)."""
+    t = series_index(alerts, ["E"], list(order), "_n", chunk_rows)
+    return t.withColumn("alert_id", F.format_string(
+        "alert_%s_%06d", F.col("E").cast("string"), F.col("_n") + 1)).drop("_n")
 
 
 def apply_actions(alerts: DataFrame, actions: DataFrame) -> DataFrame:

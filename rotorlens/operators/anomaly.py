@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clamp, nonzero, reading
 from ..model import series_window
 from .baseline import head_rows, params_wide
+from .series import on_chunks, series_index
 
 # Default z-score threshold, IQR fence factor, monitor levels.
 ZSCORE_THRESHOLD = 3.0
@@ -104,33 +105,27 @@ def detect(df: DataFrame, params: DataFrame, key: Sequence[str], metrics: Sequen
 
 def anomaly_report(df: DataFrame, params: DataFrame, key: Sequence[str], order: Sequence[str],
                    metrics: Sequence[str], methods: Sequence[str] = ("zscore", "iqr"),
-                   skew_safe: bool = False, **kw) -> DataFrame:
+                   chunk_rows="auto", **kw) -> DataFrame:
     """ANO9: per row index (0-based within the machine), votes, score,
-    ensemble and flag. `skew_safe` numbers rows with the bucketed series
-    index (operators.series) instead of one window per machine."""
+    ensemble and flag."""
     d = detect(df, params, key, metrics, methods, **kw)
-    if skew_safe:
-        from .series import series_index
-        return series_index(d, key, order, out="index")
-    idx = (F.row_number().over(series_window(key, order)) - 1).cast("bigint")
-    return d.withColumn("index", idx)
+    return series_index(d, key, order, "index", chunk_rows)
 
 
 def monitor(report: DataFrame, key: Sequence[str], order: Sequence[str],
             window: int = 10, alert_threshold: float = 0.5,
             vote_col: str = "ensemble_prediction", score_col: str | None = None,
-            chunk_rows: int | None = None) -> DataFrame:
+            chunk_rows="auto") -> DataFrame:
     """ANO10: rolling anomaly rate and mean score over the last `window` rows
     (fewer at the start), alert flag and level.
 
-    With no forest fitted the reference's score falls back to 0; pass
-    `score_col` to average a real score instead. `chunk_rows` runs the
-    windows per (machine, chunk) with a halo (operators.series).
+    Without a forest the score is 0; pass `score_col` to average a real score instead.
     """
-    if chunk_rows:
-        from .series import on_chunks
-        return on_chunks(report, key, order, window - 1, 0, lambda d, k, o: monitor(
-            d, k, o, window, alert_threshold, vote_col, score_col), chunk_rows)
+    return on_chunks(report, key, order, window - 1, 0, lambda d, k, o: _monitor(
+        d, k, o, window, alert_threshold, vote_col, score_col), chunk_rows)
+
+
+def _monitor(report, key, order, window, alert_threshold, vote_col, score_col) -> DataFrame:
     w = series_window(key, order).rowsBetween(-(window - 1), 0)
     score = F.col(score_col) if score_col else F.lit(0.0)
     rate = F.avg(F.when(F.col(vote_col) == -1, 1.0).otherwise(0.0)).over(w)

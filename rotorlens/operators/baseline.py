@@ -11,11 +11,13 @@ falls back to a shuffle join (with skew splitting) otherwise.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import M, V, series_window, to_long
+from . import quantiles
 
 # Quantiles every fit computes; linear interpolation as NumPy's default.
 QUANTILES = {"p5": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95, "p99": 0.99}
@@ -37,22 +39,25 @@ def tail_rows(df: DataFrame, key: Sequence[str], order: Sequence[str], n: int) -
 
 
 def fit_long(long: DataFrame, key: Sequence[str], pct: float = 95.0,
-             m: str = M, v: str = V, approx: bool = False) -> DataFrame:
+             m: str = M, v: str = V, rows: int | None = None) -> DataFrame:
     """Statistics per (key, metric) of a long table; nulls are dropped.
 
-    `approx=True` swaps the exact percentile (which keeps every value of a
-    group) for `percentile_approx`, for whole-history fits of huge groups.
+    `rows` is the most rows a group can have, if known. Quantiles of groups that
+    one task can sort come with the other statistics, else by exact selection.
     """
     probs = list(QUANTILES.values()) + [pct / 100.0]
-    if approx:
-        qs = F.percentile_approx(v, probs, 10000)
+    there = long.filter(F.col(v).isNotNull())
+    if rows is None:
+        rows = quantiles.largest_group(there, [*key, m])
+    stats = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
+             F.stddev_samp(v).alias("std_samp"), F.min(v).alias("min"), F.max(v).alias("max")]
+    if rows <= quantiles.LIMIT:
+        g = there.groupBy(*key, m).agg(*stats, F.percentile(v, probs).alias("_q"))
     else:
-        qs = F.percentile(v, probs)
-    g = (long.filter(F.col(v).isNotNull())
-             .groupBy(*key, m)
-             .agg(F.count(v).alias("n"), F.avg(v).alias("mean"),
-                  F.stddev_pop(v).alias("std"), F.stddev_samp(v).alias("std_samp"),
-                  F.min(v).alias("min"), F.max(v).alias("max"), qs.alias("_q")))
+        q = quantiles.exact_quantiles(there, [*key, m], v, probs).select(
+            *[F.col(c).alias(f"_k_{c}") for c in (*key, m)], F.col("q").alias("_q"))
+        on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*key, m)]
+        g = there.groupBy(*key, m).agg(*stats).join(q, reduce(lambda a, b: a & b, on))
     sel = [F.col("_q")[i].alias(name) for i, name in enumerate(QUANTILES)]
     g = g.select(*key, m, "n", "mean", "std", "std_samp", "min", "max", *sel,
                  F.col("_q")[len(QUANTILES)].alias("warn"))
@@ -65,7 +70,7 @@ def fit_baseline(df: DataFrame, key: Sequence[str], order: Sequence[str],
     """PIP3/ANO1/HLT1/EW1: fit on the first n rows of each machine (all rows
     when n is None). Output: (key..., M, n, mean, std, ..., warn, crit)."""
     src = head_rows(df, key, order, n) if n else df
-    return fit_long(to_long(src, list(key), metrics), key, pct)
+    return fit_long(to_long(src, list(key), metrics), key, pct, rows=n)
 
 
 def fit_stats(df: DataFrame, key: Sequence[str], metrics: Sequence[str]) -> DataFrame:

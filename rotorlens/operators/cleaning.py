@@ -9,27 +9,36 @@ a plan with several of these columns sorts each partition once.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import nonzero
-from ..model import rows_frame, series_window
+from ..model import M, V, rows_frame, series_window, to_long
+from . import quantiles
+from .quantiles import largest_group
+from .series import carry, chunked, join_on, on_chunks, resolve_chunk_rows, series_index
 
 SCALERS = ("standard", "minmax", "robust")
 IMPUTERS = ("forward_fill", "backward_fill", "interpolate", "mean", "median")
 
 
-def _fit(df: DataFrame, key: Sequence[str], metrics: Sequence[str], approx: bool) -> DataFrame:
-    """All scaler parameters per key in one aggregate (wide)."""
+def _fit(df: DataFrame, key: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """All scaler parameters per key (wide): one aggregate, and exact quantiles, which come from the same aggregate
+    where no group is too large to be sorted by one task."""
+    probs = [0.25, 0.5, 0.75]
+    sorted_at_once = largest_group(df, key) <= quantiles.LIMIT
     aggs = []
     for m in metrics:
-        q = (F.percentile_approx(m, [0.25, 0.5, 0.75], 10000) if approx
-             else F.percentile(m, [0.25, 0.5, 0.75]))
         aggs += [F.avg(m).alias(f"{m}__mean"), F.stddev_pop(m).alias(f"{m}__std"),
-                 F.min(m).alias(f"{m}__min"), F.max(m).alias(f"{m}__max"), q.alias(f"{m}__q")]
+                 F.min(m).alias(f"{m}__min"), F.max(m).alias(f"{m}__max")]
+        if sorted_at_once:
+            aggs.append(F.percentile(m, probs).alias(f"{m}__q"))
     g = df.groupBy(*key).agg(*aggs) if key else df.agg(*aggs)
+    if not sorted_at_once:
+        g = _with_quantiles(df, g, key, metrics, probs, {m: f"{m}__q" for m in metrics})
     sel = list(key)
     for m in metrics:
         sel += [f"{m}__mean", f"{m}__std", f"{m}__min", f"{m}__max",
@@ -38,10 +47,21 @@ def _fit(df: DataFrame, key: Sequence[str], metrics: Sequence[str], approx: bool
     return g.select(*sel)
 
 
-def fit_scaler(df: DataFrame, key: Sequence[str], metrics: Sequence[str],
-               approx: bool = False) -> DataFrame:
+def _with_quantiles(df: DataFrame, g: DataFrame, key, metrics, probs, names: dict[str, str]) -> DataFrame:
+    """Adds each metric's quantiles (an array, under the name given) to `g`, which has a row per key."""
+    long = to_long(df, list(key), metrics)
+    q = quantiles.exact_quantiles(long, [*key, M], V, probs)
+    wide = [F.max(F.when(F.col(M) == m, F.col("q"))).alias(names[m]) for m in metrics]
+    q = q.groupBy(*[F.col(k).alias(f"_k_{k}") for k in key]).agg(*wide) if key else q.agg(*wide)
+    if not key:
+        return g.crossJoin(F.broadcast(q))  # one row each
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key]
+    return g.join(q, reduce(lambda a, b: a & b, on), "left").drop(*[f"_k_{k}" for k in key])
+
+
+def fit_scaler(df: DataFrame, key: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """CLN1-3 fit: one row per key (a single global row when key is empty)."""
-    return _fit(df, key, metrics, approx)
+    return _fit(df, key, metrics)
 
 
 def _join(df, params, key):
@@ -83,120 +103,75 @@ def inverse_scale(df: DataFrame, params: DataFrame, key: Sequence[str], metrics:
 
 # ------------------------------------------------------------ imputation --
 
-def _ffill(c: str, key, order, limit) -> Column:
-    lo = Window.unboundedPreceding if limit is None else -limit
-    return F.last(c, ignorenulls=True).over(rows_frame(key, order, lo, 0))
-
-
-def _bfill(c: str, key, order, limit) -> Column:
-    # Reverse the order so the frame is a running one (a frame reaching to
-    # unbounded following would be recomputed for every row).
-    rev = [F.col(o).desc() for o in order]
-    lo = Window.unboundedPreceding if limit is None else -limit
-    return F.last(c, ignorenulls=True).over(series_window(key, rev).rowsBetween(lo, 0))
-
-
-def _interp(c: str, key, order, limit) -> Column:
-    """Linear by position; trailing gaps take the last value; only the first
-    `limit` nulls after a value are filled."""
-    pos = F.col("_pos")
-    valid = F.when(F.col(c).isNotNull(), F.struct(pos.alias("p"), F.col(c).alias("v")))
-    prev = F.last(valid, ignorenulls=True).over(
-        series_window(key, order).rowsBetween(Window.unboundedPreceding, 0))
-    rev = [F.col(o).desc() for o in order]
-    nxt = F.last(valid, ignorenulls=True).over(
-        series_window(key, rev).rowsBetween(Window.unboundedPreceding, 0))
-    return prev, nxt
+def _nearest(df: DataFrame, key, order, metrics, chunk_rows) -> tuple[DataFrame, list[str]]:
+    """For every row its position `_at`, and per metric the nearest reading at or before (`_prev_<m>`) and at or after it
+    (`_next_<m>`), as structs of position and value. Returns the frame and the columns to drop."""
+    cr = resolve_chunk_rows(df, key, chunk_rows)
+    there = lambda m, at: F.when(F.col(m).isNotNull(), F.struct(F.col(at).alias("p"), F.col(m).alias("v")))
+    names = {m: (f"_prev_{m}", f"_next_{m}") for m in metrics}
+    drop = [n for pair in names.values() for n in pair] + ["_at"]
+    if cr:
+        c = chunked(df, key, order, 0, 0, cr).withColumns({f"_v_{m}": there(m, "_g") for m in metrics})
+        c = carry(c, key, {f"_v_{m}": names[m][0] for m in metrics}, {f"_v_{m}": names[m][1] for m in metrics})
+        return c.withColumn("_at", F.col("_g")), [*drop, "_own", "_chunk", "_g", *[f"_v_{m}" for m in metrics]]
+    w = series_window(key, order)
+    up = w.rowsBetween(Window.unboundedPreceding, 0)
+    # the reversed order makes this a running frame too (one reaching to unbounded following is recomputed per row)
+    down = series_window(key, [F.col(o).desc_nulls_last() for o in order]).rowsBetween(Window.unboundedPreceding, 0)
+    c = df.withColumn("_at", F.row_number().over(w))
+    c = c.withColumns({names[m][0]: F.last(there(m, "_at"), ignorenulls=True).over(up) for m in metrics})
+    return c.withColumns({names[m][1]: F.last(there(m, "_at"), ignorenulls=True).over(down) for m in metrics}), drop
+
+
+def _filled(m: str, method: str, gap: int | None) -> Column:
+    """A null's value from the nearest readings. Each fill goes over at most `gap` rows (None: any number), and a
+    second one starts where the first ended."""
+    at, p, n = F.col("_at"), F.col(f"_prev_{m}"), F.col(f"_next_{m}")
+
+    def within(steps, reach):
+        return F.lit(True) if gap is None else steps <= reach
+
+    after = F.when(p.isNotNull() & within(at - p["p"], gap), p["v"])
+    before = F.when(n.isNotNull() & within(n["p"] - at, gap), n["v"])
+    if method == "forward_fill":
+        return F.coalesce(after, before)
+    if method == "backward_fill":
+        return F.coalesce(before, after)
+
+    def line(x):
+        return F.when(n.isNull(), p["v"]).otherwise(p["v"] + (n["v"] - p["v"]) * (x - p["p"]) / (n["p"] - p["p"]))
+
+    between = F.when(p.isNotNull() & within(at - p["p"], gap), line(at))
+    if gap is None:
+        return F.coalesce(between, before)
+    # then backwards from the next reading, then forwards from the last interpolated value
+    return F.coalesce(between, before, F.when(p.isNotNull() & (at - p["p"] <= 2 * gap), line(p["p"] + gap)))
 
 
 def impute(df: DataFrame, key: Sequence[str], order: Sequence[str], metrics: Sequence[str],
-           method: str = "forward_fill", max_gap: int | None = None,
-           chunk_rows: int | None = None) -> DataFrame:
+           method: str = "forward_fill", max_gap: int | None = None, chunk_rows="auto") -> DataFrame:
     """CLN6-CLN10: ffill then bfill / bfill then ffill / linear (+bfill,
     ffill) / series mean / series median, each fill limited to `max_gap`
     consecutive nulls where the method has a limit.
 
-    `chunk_rows` (limited forward/backward fills) runs the fills per
-    (machine, chunk) with a halo of `max_gap` rows on both sides."""
+    The fills of all metrics come from one look at the nearest readings on both sides; where series are cut
+    (operators.series), these are carried across chunks."""
     if method not in IMPUTERS:
         raise ValueError(f"Unknown imputation method: {method}")
-    if chunk_rows and method in ("forward_fill", "backward_fill", "interpolate"):
-        from .series import resolve_chunk_rows
-        cr = resolve_chunk_rows(df, key, chunk_rows)
-        if cr:
-            return _impute_chunked(df, key, order, metrics, method, max_gap, cr)
-    out = df
     if method in ("mean", "median"):
-        aggs = [(F.avg(m) if method == "mean" else F.percentile(m, 0.5)).alias(f"{m}__fill")
-                for m in metrics]
-        st = df.groupBy(*key).agg(*aggs) if key else df.agg(*aggs)
+        if method == "median":
+            fit = _fit(df, key, metrics)
+            st = fit.select(*key, *[F.col(f"{m}__median").alias(f"{m}__fill") for m in metrics])
+        else:
+            aggs = [F.avg(m).alias(f"{m}__fill") for m in metrics]
+            st = df.groupBy(*key).agg(*aggs) if key else df.agg(*aggs)
         j = _join(df, st, key)
         for m in metrics:
             j = j.withColumn(m, F.coalesce(F.col(m), F.col(f"{m}__fill")))
         return j.select(*df.columns)
-    if method == "interpolate":
-        out = out.withColumn("_pos", F.row_number().over(series_window(key, order)))
-        for m in metrics:
-            prev, nxt = _interp(m, key, order, max_gap)
-            out = out.withColumn("_prev", prev).withColumn("_next", nxt)
-            p, n = F.col("_prev"), F.col("_next")
-            lin = p["v"] + (n["v"] - p["v"]) * (F.col("_pos") - p["p"]) / (n["p"] - p["p"])
-            fill = F.when(n.isNull(), p["v"]).otherwise(lin)
-            ok = p.isNotNull()
-            if max_gap is not None:
-                ok = ok & (F.col("_pos") - p["p"] <= max_gap)
-            out = out.withColumn(m, F.when(F.col(m).isNotNull(), F.col(m))
-                                 .when(ok, fill)).drop("_prev", "_next")
-        out = out.drop("_pos")
-        steps = ("b", "f")
-    else:
-        steps = ("f", "b") if method == "forward_fill" else ("b", "f")
-    for s in steps:
-        for m in metrics:
-            fill = _ffill(m, key, order, max_gap) if s == "f" else _bfill(m, key, order, max_gap)
-            out = out.withColumn(m, fill)
-    return out
-
-
-def _impute_chunked(df, key, order, metrics, method, max_gap, chunk_rows):
-    """Fills and interpolation on chunked series: the nearest valid value
-    before / after each row (with its position) comes from in-chunk scans
-    plus carries across chunks, so every fill is exact without a halo."""
-    from .series import carry_first, carry_last, chunked
-    c = chunked(df, key, order, 0, 0, chunk_rows)
-    g = F.col("_g")
-
-    def nearest(c, m, forward):
-        vs = F.when(F.col(m).isNotNull(), F.struct(g.alias("p"), F.col(m).alias("v")))
-        c = c.withColumn("_vs", vs)
-        c = (carry_last if forward else carry_first)(c, key, "_vs", "_near")
-        return c.drop("_vs")
-
-    def fill(c, m, forward):
-        c = nearest(c, m, forward)
-        near = F.col("_near")
-        dist = (g - near["p"]) if forward else (near["p"] - g)
-        ok = near.isNotNull() if max_gap is None else near.isNotNull() & (dist <= max_gap)
-        return c.withColumn(m, F.when(F.col(m).isNotNull(), F.col(m)).when(ok, near["v"])) \
-                .drop("_near")
-
-    for m in metrics:
-        if method == "interpolate":
-            c = nearest(c, m, True).withColumnRenamed("_near", "_prev")
-            c = nearest(c, m, False).withColumnRenamed("_near", "_next")
-            p, n = F.col("_prev"), F.col("_next")
-            lin = p["v"] + (n["v"] - p["v"]) * (g - p["p"]) / (n["p"] - p["p"])
-            ok = p.isNotNull()
-            if max_gap is not None:
-                ok = ok & (g - p["p"] <= max_gap)
-            c = c.withColumn(m, F.when(F.col(m).isNotNull(), F.col(m))
-                             .when(ok, F.when(n.isNull(), p["v"]).otherwise(lin))).drop("_prev", "_next")
-            steps = (False, True)
-        else:
-            steps = (True, False) if method == "forward_fill" else (False, True)
-        for forward in steps:
-            c = fill(c, m, forward)
-    return c.drop("_own", "_chunk", "_g")
+    out, drop = _nearest(df, key, order, metrics, chunk_rows)
+    return out.withColumns({m: F.coalesce(F.col(m), _filled(m, method, max_gap)) for m in metrics}) \
+        .drop(*drop).select(*df.columns)
 
 
 def imputed_count(before: DataFrame, after: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -213,14 +188,13 @@ def imputed_count(before: DataFrame, after: DataFrame, metrics: Sequence[str]) -
 # ------------------------------------------------------------- outliers --
 
 def remove_outliers(df: DataFrame, key: Sequence[str], metrics: Sequence[str],
-                    method: str = "zscore", threshold: float = 3.0,
-                    approx: bool = False) -> DataFrame:
+                    method: str = "zscore", threshold: float = 3.0) -> DataFrame:
     """CLN12/CLN13: flag values with |z| > t (pop std, zero std -> 1) or
     outside [q1 - t*iqr, q3 + t*iqr]; replace them by the series median of
     all values. Adds `<m>_outlier` boolean columns."""
     if method not in ("zscore", "iqr"):
         raise ValueError(f"Unknown outlier method: {method}")
-    params = _fit(df, key, metrics, approx)
+    params = _fit(df, key, metrics)
     j = _join(df, params, key)
     for m in metrics:
         x = F.col(m)
@@ -238,10 +212,9 @@ def remove_outliers(df: DataFrame, key: Sequence[str], metrics: Sequence[str],
 # -------------------------------------------------------------- filters --
 
 def moving_average_valid(df: DataFrame, key, order, col: str, w: int, out: str = "ma",
-                         chunk_rows=None) -> DataFrame:
+                         chunk_rows="auto") -> DataFrame:
     """FN3: mean of each full window of w (rows before the w-th are dropped);
-    a series shorter than w is returned unchanged. `chunk_rows`: per
-    (machine, chunk) with a halo of w-1 rows."""
+    a series shorter than w is returned unchanged. Cut series have a halo of w-1 rows."""
     t, wk, wo, was_chunked = _positions(df, key, order, w - 1, 0, chunk_rows)
     t = t.withColumn(out, F.avg(col).over(rows_frame(wk, wo, -(w - 1), 0)))
     t = t.filter((F.col("_n") < w) | (F.col("_pos") + 1 >= w))
@@ -250,62 +223,56 @@ def moving_average_valid(df: DataFrame, key, order, col: str, w: int, out: str =
 
 
 def filter_moving_average(df: DataFrame, key, order, metrics: Sequence[str],
-                          window: int = 5, chunk_rows: int | None = None) -> DataFrame:
+                          window: int = 5, chunk_rows="auto") -> DataFrame:
     """CLN14: centred moving average with zero padding at the edges (the
-    'same' mode of a discrete convolution). `chunk_rows`: per (machine,
-    chunk) with a halo on both sides."""
+    'same' mode of a discrete convolution). Cut series have a halo on both sides."""
     before = window - 1 - (window - 1) // 2
     after = (window - 1) // 2
-    if chunk_rows:
-        from .series import on_chunks
-        return on_chunks(df, key, order, before, after,
-                         lambda d, k, o: filter_moving_average(d, k, o, metrics, window), chunk_rows)
-    fr = rows_frame(key, order, -before, after)
-    out = df
-    for m in metrics:
-        out = out.withColumn(m, F.coalesce(F.sum(m).over(fr), F.lit(0.0)) / float(window))
-    return out
+
+    def mean(d, k, o):
+        fr = rows_frame(k, o, -before, after)
+        return d.withColumns({m: F.coalesce(F.sum(m).over(fr), F.lit(0.0)) / float(window) for m in metrics})
+
+    return on_chunks(df, key, order, before, after, mean, chunk_rows)
 
 
 def filter_median(df: DataFrame, key, order, metrics: Sequence[str], size: int = 5,
-                  chunk_rows=None) -> DataFrame:
-    """CLN15: centred running median; the edges are mirrored with the edge
-    sample repeated (d c b a | a b c d). Only 2*(size//2) mirrored rows per
-    series are added; the median itself is a percentile over a row frame.
+                  chunk_rows="auto") -> DataFrame:
+    """CLN15: centred running median; the edges are mirrored with the edge sample repeated (d c b a | a b c d).
 
-    `chunk_rows`: positions from the series index, and every row (mirrors
-    included) is copied into each chunk whose frames reach it."""
+    The median is the middle of the sorted neighbours (lag and lead values), so no frame is collected twice. A neighbour
+    beyond an edge is the one at the mirrored position, which lies no more than size-1 rows from the row; a
+    series shorter than half a window is mirrored once. Nulls are left out, and the mean of the two middle
+    values is taken when an even number is left."""
     h = size // 2
-    from .series import resolve_chunk_rows, series_index
-    cr = resolve_chunk_rows(df, key, chunk_rows) if chunk_rows else None
-    if cr:
-        base = series_index(df, key, order, out="_pos").join(
-            df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")), on=list(key))
-    else:
-        base = (df.withColumn("_pos", F.row_number().over(series_window(key, order)) - 1)
-                  .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key))))
-    vals = [F.col(m) for m in metrics]
-    orig = base.select(*key, "_pos", "_n", *vals, F.lit(True).alias("_orig"))
-    head = base.filter(F.col("_pos") < h).select(
-        *key, (-F.col("_pos") - 1).alias("_pos"), "_n", *vals, F.lit(False).alias("_orig"))
-    tail = base.filter(F.col("_pos") >= F.col("_n") - h).select(
-        *key, (2 * F.col("_n") - 1 - F.col("_pos")).alias("_pos"), "_n", *vals,
-        F.lit(False).alias("_orig"))
-    ext = orig.unionByName(head).unionByName(tail)
-    wkey = list(key)
-    if cr:
-        p, n = F.col("_pos"), F.col("_n")
-        first = F.greatest(F.lit(0), F.ceil((p - cr + 1 - h) / cr)).cast("long")
-        last = F.least(F.floor((n - 1) / cr), F.floor((p + h) / cr)).cast("long")
-        ext = ext.withColumn("_chunk", F.explode(F.sequence(first, last)))
-        ext = ext.withColumn("_orig", F.col("_orig") & (F.col("_chunk") == F.floor(p / cr)))
-        wkey = [*key, "_chunk"]
-    fr = Window.partitionBy(*wkey).orderBy("_pos").rowsBetween(-h, h)
-    med = ext.select(*key, "_pos", "_orig",
-                     *[F.percentile(m, 0.5).over(fr).alias(m) for m in metrics])
-    med = med.filter("_orig").drop("_orig")
-    rest = [c for c in df.columns if c not in metrics]
-    return base.select(*rest, "_pos").join(med, on=[*key, "_pos"]).drop("_pos")
+    t, wk, wo, was_chunked = _positions(df, key, order, size - 1, size - 1, chunk_rows)
+    w = series_window(wk, wo)
+    pos, n = F.col("_pos"), F.col("_n")
+
+    def at(m, off):
+        return F.col(m) if off == 0 else F.lead(m, off).over(w) if off > 0 else F.lag(m, -off).over(w)
+
+    near = {m: {o: f"_{m}_{o + size}" for o in range(1 - size, size)} for m in metrics}
+    t = t.withColumns({near[m][o]: at(m, o) for m in metrics for o in near[m]})
+
+    def median(m):
+        def value(o):  # the row at this offset, mirrored into the series
+            out = F.col(near[m][o])
+            for d in range(1, abs(o) + 1):  # d rows beyond the edge: its mirror is 2d-1 rows back
+                back = o + (2 * d - 1) * (1 if o < 0 else -1)
+                beyond = pos + o == -d if o < 0 else pos + o == n - 1 + d
+                out = F.when(beyond, F.col(near[m][back])).otherwise(out)
+            return out
+
+        there = F.array_sort(F.filter(F.array(*[value(o) for o in range(-h, h + 1)]), lambda x: x.isNotNull()))
+        return there
+
+    t = t.withColumns({f"_sorted_{m}": median(m) for m in metrics})
+    for m in metrics:
+        v, k = F.col(f"_sorted_{m}"), F.size(f"_sorted_{m}")
+        lo, hi = F.get(v, F.floor((k - 1) / 2).cast("int")), F.get(v, F.floor(k / 2).cast("int"))
+        t = t.withColumn(m, F.when(k > 0, F.when(lo == hi, lo).otherwise((lo + hi) / 2)))
+    return _finish(t, was_chunked).select(*df.columns)
 
 
 def savgol_weights(length: int = 11, order: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -323,18 +290,16 @@ def savgol_weights(length: int = 11, order: int = 3) -> tuple[np.ndarray, np.nda
 
 def _positions(df: DataFrame, key, order, back: int, fwd: int, chunk_rows):
     """Rows with `_pos` (position in the series) and `_n` (series length),
-    plus the window key and order to use. With `chunk_rows` the series are
-    chunked with a halo of `back`/`fwd` rows and `_n` comes from a grouped
-    count, so no window spans a whole machine."""
-    from .series import chunked, resolve_chunk_rows
-    cr = resolve_chunk_rows(df, key, chunk_rows) if chunk_rows else None
+    plus the window key and order to use. Cut series have a halo of
+    `back`/`fwd` rows, and their first position and length come from a grouped aggregate."""
+    cr = resolve_chunk_rows(df, key, chunk_rows)
     if not cr:
         out = (df.withColumn("_pos", F.row_number().over(series_window(key, order)) - 1)
                  .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key))))
         return out, list(key), list(order), False
     c = chunked(df, key, order, back, fwd, cr)
-    n = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    c = c.join(n, on=list(key)).withColumn("_pos", F.col("_g"))
+    ends = c.filter("_own").groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("_g").alias("_g0"))
+    c = join_on(c, ends, key).withColumn("_pos", F.col("_g") - F.col("_g0")).drop("_g0")
     return c, [*key, "_chunk"], ["_g"], True
 
 
@@ -345,11 +310,12 @@ def _finish(out: DataFrame, was_chunked: bool) -> DataFrame:
 
 
 def filter_savgol(df: DataFrame, key, order, metrics: Sequence[str], length: int = 11,
-                  polyorder: int = 3, chunk_rows=None) -> DataFrame:
+                  polyorder: int = 3, chunk_rows="auto") -> DataFrame:
     """CLN16: local polynomial smoothing as fixed weighted sums of lag/lead;
     the first and last length//2 rows use the polynomial fitted to the first
-    and last full window. Series must hold at least `length` rows.
-    `chunk_rows`: per (machine, chunk) with a halo of length-1 rows."""
+    and last full window. A series of fewer than `length` rows is smoothed by the polynomial fitted to all its
+    rows (of degree rows-1 at most, which leaves up to polyorder+1 rows as they are).
+    Cut series have a halo of length-1 rows."""
     if length % 2 == 0:
         length += 1
     h = length // 2
@@ -378,8 +344,20 @@ def filter_savgol(df: DataFrame, key, order, metrics: Sequence[str], length: int
             row = length - h + t
             expr = expr.when(pos == n - h + t,
                              combo(m, edge[row], [j - row for j in range(length)]))
-        out = out.withColumn(m, expr)
-    return _finish(out, was_chunked)
+        out = out.withColumn(f"_few_{m}", F.array_sort(F.collect_list(
+            F.when(n < length, F.struct(pos.alias("p"), F.col(m).alias("v")))).over(Window.partitionBy(*wk))))
+        out = out.withColumn(m, F.when(n < length, _smoothed_whole(f"_few_{m}", pos, n, length, polyorder)).otherwise(expr))
+    return _finish(out, was_chunked).drop(*[f"_few_{m}" for m in metrics])
+
+
+def _smoothed_whole(series: str, pos: Column, n: Column, length: int, polyorder: int) -> Column:
+    """A row of a series of n < length rows (an array of them), on the polynomial fitted to all of them."""
+    weights = []
+    for rows in range(1, length):
+        A = np.vander(np.arange(rows, dtype=float), min(polyorder, rows - 1) + 1, increasing=True)
+        weights.append(F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in A @ np.linalg.pinv(A)]))
+    mine = F.get(F.get(F.array(*weights), (n - 1).cast("int")), pos.cast("int"))
+    return F.aggregate(F.zip_with(series, mine, lambda s, w: s["v"] * w), F.lit(0.0), lambda a, x: a + x)
 
 
 # ------------------------------------------------------------ resampling --
@@ -405,9 +383,9 @@ def resample(df: DataFrame, key: Sequence[str], time_col: str, metrics: Sequence
 
 def clean_pipeline(df: DataFrame, key, order, metrics: Sequence[str], scaling: bool = True,
                    impute_missing: bool = True, outliers: bool = False,
-                   chunk_rows=None) -> DataFrame:
+                   chunk_rows="auto") -> DataFrame:
     """CLN19: linear imputation -> z-score outliers at 4.0 -> standard scaling
-    fitted on the cleaned data itself (`chunk_rows`: skew-safe imputation)."""
+    fitted on the cleaned data itself."""
     out = df
     if impute_missing:
         out = impute(out, key, order, metrics, "interpolate", chunk_rows=chunk_rows)

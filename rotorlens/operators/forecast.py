@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..model import series_window
 from .baseline import tail_rows
+from .series import chunked, resolve_chunk_rows
 
 ROLLING_WINDOW = 24      # fixed value: rows of the rolling forecaster
 CONFIDENCE_LEVEL = 0.95
@@ -73,7 +74,7 @@ def forecast_rolling(df: DataFrame, key: Sequence[str], time_col: str, value: st
 
 
 def forecast_arima(df: DataFrame, key: Sequence[str], time_col: str, value: str, horizon: int,
-                   confidence: float = CONFIDENCE_LEVEL, chunk_rows=None) -> DataFrame:
+                   confidence: float = CONFIDENCE_LEVEL, chunk_rows="auto") -> DataFrame:
     """FCT3, re-aimed: ARIMA(1,1,1) without constant fitted by two-stage
     least squares on the differences d_t = y_t - y_{t-1}:
       1. AR(1): phi0 = sum(d_t d_{t-1}) / sum(d_{t-1}^2), e_t = d_t - phi0 d_{t-1};
@@ -83,13 +84,10 @@ def forecast_arima(df: DataFrame, key: Sequence[str], time_col: str, value: str,
     y_T + A (1 - phi^k)/(1 - phi); variance sigma^2 sum_{j<k} psi*_j^2 with
     psi*_j = 1 + (phi + theta)(1 - phi^j)/(1 - phi). Not maximum likelihood.
 
-    The lags need 3 rows of history, so with `chunk_rows` each series is
-    chunked with a 3-row halo; sums and the last state use owned rows only."""
+    The lags need 3 rows of history, so cut series have a halo of 3 rows; sums and the last
+    state use owned rows only."""
     s = df.select(*key, time_col, F.col(value).cast("double").alias("y"))
-    cr = None
-    if chunk_rows:
-        from .series import chunked, resolve_chunk_rows
-        cr = resolve_chunk_rows(s, key, chunk_rows)
+    cr = resolve_chunk_rows(s, key, chunk_rows)
     if cr:
         s = chunked(s, key, [time_col], 3, 0, cr)
         w = series_window([*key, "_chunk"], ["_g"])

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clamp, fmt_fixed, health_status, reading
 from ..model import series_window
 from .anomaly import attach_params
+from .series import on_chunks, series_index
 
 # Default component weights (normalised by their sum) and the
 # weight of a feature missing from the table.
@@ -113,20 +114,17 @@ def health_score(df: DataFrame, params: DataFrame | None, key: Sequence[str],
 
 def health_trend(df: DataFrame, key: Sequence[str], order: Sequence[str],
                  window: int = 10, score_col: str = "health_score",
-                 chunk_rows: int | None = None) -> DataFrame:
+                 chunk_rows="auto") -> DataFrame:
     """HLT7: (last - first) / count over the last `window` scores:
     > 1 improving, < -1 degrading, else stable (stable with < 2 scores)."""
-    if chunk_rows:
-        from .series import on_chunks
-        return on_chunks(df, key, order, window - 1, 0,
-                         lambda d, k, o: health_trend(d, k, o, window, score_col), chunk_rows)
-    w = series_window(key, order).rowsBetween(-(window - 1), 0)
-    first = F.first(score_col).over(w)
-    cnt = F.count(score_col).over(w)
-    slope = (F.col(score_col) - first) / cnt
-    trend = (F.when(cnt < 2, "stable").when(slope > 1, "improving")
-              .when(slope < -1, "degrading").otherwise("stable"))
-    return df.withColumn("trend", trend)
+    def trend(d, k, o):
+        w = series_window(k, o).rowsBetween(-(window - 1), 0)
+        cnt = F.count(score_col).over(w)
+        slope = (F.col(score_col) - F.first(score_col).over(w)) / cnt
+        return d.withColumn("trend", F.when(cnt < 2, "stable").when(slope > 1, "improving")
+                            .when(slope < -1, "degrading").otherwise("stable"))
+
+    return on_chunks(df, key, order, window - 1, 0, trend, chunk_rows)
 
 
 def recommendations(metrics: Sequence[str], status_col: str = "status") -> Column:
@@ -195,18 +193,12 @@ def health_history(df: DataFrame, params: DataFrame | None, key: Sequence[str],
 
 def remaining_steps(df: DataFrame, key: Sequence[str], order: Sequence[str],
                     score_col: str = "health_score", failure: float = 30.0,
-                    min_samples: int = 10, skew_safe: bool = False) -> DataFrame:
+                    min_samples: int = 10, chunk_rows="auto") -> DataFrame:
     """EW13: per series, steps until the fitted health line reaches
     `failure`; null with < min_samples, when not degrading (last >= first)
     or with a non-negative slope. The fit itself is a grouped aggregate
-    (partial aggregation splits a hot machine); `skew_safe` also takes the
-    positions from the bucketed series index."""
-    if skew_safe:
-        from .series import series_index
-        s = series_index(df, key, order, out="_x").withColumn("_x", F.col("_x").cast("double"))
-    else:
-        x = (F.row_number().over(series_window(key, order)) - 1).cast("double")
-        s = df.withColumn("_x", x)
+    (partial aggregation splits a hot machine)."""
+    s = series_index(df, key, order, "_x", chunk_rows).withColumn("_x", F.col("_x").cast("double"))
     first_last = [F.min_by(score_col, "_x").alias("first"), F.max_by(score_col, "_x").alias("last")]
     g = s.groupBy(*key).agg(F.count(score_col).alias("n"),
                             F.regr_slope(score_col, "_x").alias("slope"),

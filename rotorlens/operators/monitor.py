@@ -13,6 +13,7 @@ from ..functions.scalar import clamp, fmt_fixed
 from ..model import series_window
 from .alerts import greedy_keep
 from .baseline import head_rows
+from .series import on_chunks, series_index
 
 # Fixed values of the monitor.
 Z_THRESHOLD = 2.5
@@ -23,6 +24,8 @@ NOTIFY_EVERY = 50      # samples between notifications
 NOTIFY_START = -100    # index of the notional last notification
 RATE_LIMIT_SECONDS = 60
 EW_WINDOW = 10
+# exact running sums, so that a mean of equal readings is that reading
+HEALTH_SUM = "decimal(34,12)"
 
 
 def upload_stats(df: DataFrame, key: Sequence[str], order: Sequence[str], col: str = "rms",
@@ -39,17 +42,12 @@ def upload_stats(df: DataFrame, key: Sequence[str], order: Sequence[str], col: s
 
 def monitor_scores(df: DataFrame, stats: DataFrame, key: Sequence[str], order: Sequence[str],
                    col: str = "rms", threshold: float = Z_THRESHOLD,
-                   skew_safe: bool = False) -> DataFrame:
+                   chunk_rows="auto") -> DataFrame:
     """MON2 + MON3: z against the baseline, anomaly flag, health, failure
-    probability and remaining samples, plus the 0-based index (`skew_safe`:
-    bucketed series index instead of one window per machine)."""
+    probability and remaining samples, plus the 0-based index."""
     j = df.join(stats.select(*key, "baseline_mean", "baseline_std"), on=list(key), how="left")
     z = F.abs(F.col(col) - F.col("baseline_mean")) / F.greatest(F.col("baseline_std"), F.lit(1e-9))
-    if skew_safe:
-        from .series import series_index
-        j = series_index(j, key, order, out="idx")
-    else:
-        j = j.withColumn("idx", (F.row_number().over(series_window(key, order)) - 1).cast("bigint"))
+    j = series_index(j, key, order, "idx", chunk_rows)
     j = j.withColumn("z_score", z)
     h = clamp(100.0 - F.col("z_score") * 12.0, 0.0, 100.0)
     j = (j.withColumn("is_anomaly", F.col("z_score") > threshold)
@@ -61,19 +59,34 @@ def monitor_scores(df: DataFrame, stats: DataFrame, key: Sequence[str], order: S
 
 
 def monitor_history(scores: DataFrame, key: Sequence[str], rows: int = HISTORY_ROWS,
-                    chunk_rows=None) -> DataFrame:
+                    chunk_rows="auto") -> DataFrame:
     """MON4: anomaly count, average health and max z over the last `rows`
-    samples (as the page shows them after each tick). `chunk_rows`: per
-    (machine, chunk) with a halo of rows-1 samples."""
-    if chunk_rows:
-        from .series import on_chunks
-        return on_chunks(scores, key, ["idx"], rows - 1, 0,
-                         lambda d, k, o: monitor_history(d, k, rows), chunk_rows)
-    w = Window.partitionBy(*key).orderBy("idx").rowsBetween(-(rows - 1), 0)
-    return (scores.withColumn("window_anomalies", F.sum(F.col("is_anomaly").cast("int")).over(w)
-                              .cast("bigint"))
-                  .withColumn("window_avg_health", F.avg("health").over(w))
-                  .withColumn("window_max_z", F.max("z_score").over(w)))
+    samples (as the page shows them after each tick). Cut series have a halo of `rows` samples.
+
+    The maximum comes from blocks of `rows` samples: a frame is the end of one block and the beginning of the next, so it
+    is the larger of the running maximum from the first block's end and the one from the second block's
+    beginning. Counts and means are running sums less those `rows` samples back. No frame is read again per row."""
+    def page(d, k, o):
+        w = Window.partitionBy(*k).orderBy("idx")
+        past = w.rowsBetween(Window.unboundedPreceding, 0)
+        d = d.withColumn("_blk", F.floor(F.col("idx") / rows).cast("long"))
+        blk = Window.partitionBy(*k, "_blk")
+        d = d.withColumns({"_up": F.max("z_score").over(blk.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)),
+                           "_down": F.max("z_score").over(blk.orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)),
+                           "_a": F.sum(F.col("is_anomaly").cast("bigint")).over(past),
+                           "_h": F.sum(F.nanvl("health", F.lit(None)).cast("decimal(18,12)")).over(past).cast(HEALTH_SUM),
+                           "_c": F.count(F.nanvl("health", F.lit(None))).over(past)})
+
+        def less(c):  # the running sum less the one in front of the frame
+            return F.col(c) - F.coalesce(F.lag(c, rows).over(w), F.lit(0))
+
+        # a frame that begins where a block begins lies in that block alone
+        first = F.when(F.col("idx") % rows != rows - 1, F.lag("_down", rows - 1).over(w))
+        return d.withColumns({"window_anomalies": less("_a"),
+                              "window_avg_health": F.when(less("_c") > 0, less("_h").cast("double") / less("_c")),
+                              "window_max_z": F.greatest("_up", first)}).drop("_blk", "_up", "_down", "_a", "_h", "_c")
+
+    return on_chunks(scores, key, ["idx"], rows, 0, page, chunk_rows)
 
 
 def monitor_alerts(scores: DataFrame, key: Sequence[str], keep: int = ALERT_ROWS) -> DataFrame:
@@ -88,15 +101,15 @@ def monitor_alerts(scores: DataFrame, key: Sequence[str], keep: int = ALERT_ROWS
 
 
 def monitor_early_warning(scores: DataFrame, key: Sequence[str], threshold: float = Z_THRESHOLD,
-                          window: int = EW_WINDOW, chunk_rows=None) -> DataFrame:
+                          window: int = EW_WINDOW, chunk_rows="auto") -> DataFrame:
     """MON6: with more than `window` samples seen, trend = (z_t - z_{t-9}) /
     10; a trend above 0.05 gives hours = clamp(int((thr - z)/(trend + .01)),
-    2, 48) and confidence = min(95, int(50 + 200 * trend)). `chunk_rows`:
-    per (machine, chunk) with a halo of window-1 samples."""
-    if chunk_rows:
-        from .series import on_chunks
-        return on_chunks(scores, key, ["idx"], window - 1, 0,
-                         lambda d, k, o: monitor_early_warning(d, k, threshold, window), chunk_rows)
+    2, 48) and confidence = min(95, int(50 + 200 * trend)). Cut series have a halo of window-1 samples."""
+    return on_chunks(scores, key, ["idx"], window - 1, 0,
+                     lambda d, k, o: _early_warning(d, k, threshold, window), chunk_rows)
+
+
+def _early_warning(scores: DataFrame, key: Sequence[str], threshold: float, window: int) -> DataFrame:
     w = Window.partitionBy(*key).orderBy("idx")
     trend = (F.col("z_score") - F.lag("z_score", window - 1).over(w)) / float(window)
     t = scores.withColumn("_trend", F.when(F.col("idx") >= window, trend))

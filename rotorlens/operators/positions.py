@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import scratch_path
 
 #: rows a range holds at most, as far as the sampled range bounds are even
 RANGE_ROWS = 1_000_000
@@ -28,7 +28,7 @@ def sorted_table(df: DataFrame, order: Sequence[str | Column], name: str, rows:
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if rows is not None:
         ranges = max(ranges, -(-rows // range_rows))
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     # one file per task: their numbers are the ranges'
     df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).write \
         .option("maxRecordsPerFile", 0).parquet(path)
@@ -53,3 +53,11 @@ def with_position(table: DataFrame, out: str, key: Sequence[str] = ()) -> DataFr
     for k in key:
         on = on & F.col(k).eqNullSafe(F.col(named[k]))
     return table.join(offs, on).select(*table.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias(out))
+
+
+def with_global_position(table: DataFrame, out: str) -> DataFrame:
+    """Adds `out`: the row's position in a whole `sorted_table`. The offsets are one row per file, so this needs
+    no shuffle."""
+    offs = file_offsets(table).select(F.col("_part").alias("_p"), "_before")
+    return table.join(F.broadcast(offs), F.col("_part") == F.col("_p")).select(
+        *[c for c in table.columns if c not in ("_part", "_at")], (F.col("_before") + F.col("_at")).alias(out))

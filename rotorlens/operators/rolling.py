@@ -11,10 +11,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import rows_frame, series_window
+from .series import carry, chunked, resolve_chunk_rows
 
 ROLLING_WINDOW = 10  # fixed value: default window (snapshots)
 EMA_CUTOFF = 1e-17   # weights below this share of the newest are dropped
@@ -23,60 +24,69 @@ EMA_CUTOFF = 1e-17   # weights below this share of the newest are dropped
 def ema_frame_length(span: int) -> int:
     """Rows needed so that the oldest EMA weight is below EMA_CUTOFF."""
     decay = 1.0 - 2.0 / (span + 1.0)
-    return int(math.ceil(math.log(EMA_CUTOFF) / math.log(decay)))
+    return int(math.ceil(math.log(EMA_CUTOFF) / math.log(decay))) if decay > 0 else 1
 
 
-def add_ema(df: DataFrame, col: str, key, order, out: str, span: int = ROLLING_WINDOW) -> DataFrame:
-    """ROL7: add `out`, the bias-adjusted exponential mean of `col` with alpha = 2/(span+1).
+def _block(span: int) -> int:
+    """Rows of an EMA block: a power of two that is no shorter than the rows whose weights count."""
+    return 1 << (ema_frame_length(span) - 1).bit_length()
 
-    A null adds no weight, and as it decays numerator and denominator alike, it repeats the
-    mean before it. So means are formed at the readings that are there, over the last
-    `ema_frame_length(span)` of them however many rows these are back: what lies further
-    is below EMA_CUTOFF of the newest reading's weight.
-    """
-    decay = 1.0 - 2.0 / (span + 1.0)
-    w = series_window(key, order)
-    df = df.withColumn("_row", F.row_number().over(w)).withColumn("_there", F.col(col).isNotNull())
-    fr = rows_frame([*key, "_there"], order, -(ema_frame_length(span) - 1), 0)
-    df = df.withColumn("_vals", F.when(F.col("_there"), F.collect_list(
-        F.struct(F.col(col).alias("v"), F.col("_row").alias("g"))).over(fr)))
-    init = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"), F.lit(0).alias("g"))
 
-    def step(acc, x):
-        fade = F.pow(F.lit(decay), (x["g"] - acc["g"]).cast("double"))
-        return F.struct((acc["num"] * fade + x["v"]).alias("num"), (acc["den"] * fade + 1.0).alias("den"), x["g"].alias("g"))
+def _ema_at_readings(df: DataFrame, col: str, key, order, at: str, out: str, span: int) -> DataFrame:
+    """`out`: the bias-adjusted exponential mean with alpha = 2/(span+1) at the readings (neither null nor NaN) of `col`,
+    null elsewhere. `at` counts rows along the series.
 
-    mean = F.aggregate("_vals", init, step, lambda acc: acc["num"] / acc["den"])
-    df = df.withColumn("_mean", F.when(F.col("_there"), mean))
-    last = F.last("_mean", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn(out, last).drop("_row", "_there", "_vals", "_mean")
+    A weight is decay^(rows back). In a block of rows, sums of value * decay^-(place in the block), times
+    decay^place, are the weighted sums of the block's rows so far; the whole block before adds its sum with
+    another factor decay^block, and what lies further back is below EMA_CUTOFF of the reading's own weight."""
+    decay = 1.0 - 2.0 / (span + 1.0)
+    v, there = F.col(col).cast("double"), F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))
+    if decay == 0.0:
+        return df.withColumn(out, F.when(there, v))
+    B = _block(span)
+    df = df.withColumn("_blk", F.floor(F.col(at) / B).cast("long"))
+    up = F.pow(F.lit(decay), -(F.col(at) % B).cast("double"))
+    df = df.withColumns({"_x": F.when(there, v * up), "_o": F.when(there, up)})
+    here = Window.partitionBy(*key, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*key).orderBy("_blk").rangeBetween(-1, -1)
+    num, den = (F.sum(c).over(here) + F.coalesce(F.sum(c).over(before), F.lit(0.0)) * decay ** B for c in ("_x", "_o"))
+    return df.withColumn(out, F.when(there, num / den)).drop("_blk", "_x", "_o")
 
 
 def rolling_features(df: DataFrame, key: Sequence[str], order: Sequence[str],
                      metrics: Sequence[str], window: int = ROLLING_WINDOW,
-                     with_ema: bool = True, chunk_rows: int | None = None) -> DataFrame:
+                     with_ema: bool = True, chunk_rows="auto") -> DataFrame:
     """ROL1-ROL8 for every metric: rolling mean/std(sample)/min/max, diff,
     pct_change (on the forward-filled series; a zero predecessor gives
     null), ema and rolling z-score.
 
-    With `chunk_rows`, series are cut into chunks of that many rows with a
-    halo of the frame length (see operators.series), so a hot machine is
-    spread over many tasks; the forward fill uses a carry across chunks.
-    The values are identical either way."""
-    from .series import carry_last, chunked, resolve_chunk_rows
+    ROL7: a null or NaN adds no weight to the exponential mean and repeats the mean before it, however long the gap.
+    Series that are cut (operators.series) get the halo of the longest frame; the forward fill and the mean before a
+    gap are carried across chunks, so the values are the same."""
     chunk_rows = resolve_chunk_rows(df, key, chunk_rows)
-    if chunk_rows is None:
-        return _rolling(df, key, order, metrics, window, with_ema)
-    back = max(window - 1, ema_frame_length(window) - 1 if with_ema else 0, 1)
-    c = chunked(df, key, order, back, 0, chunk_rows)
-    k2 = [*key, "_chunk"]
-    for m in metrics:
-        c = carry_last(c, key, m, f"_ff_{m}")
-    out = _rolling(c, k2, ["_g"], metrics, window, with_ema, fill_prefix="_ff_")
-    return out.filter("_own").drop("_own", "_chunk", "_g", *[f"_ff_{m}" for m in metrics])
-
-
-def _rolling(df, key, order, metrics, window, with_ema, fill_prefix=None):
+    if not chunk_rows:
+        w = series_window(key, order)
+        out = _rolling(df.withColumn("_row", F.row_number().over(w)), key, order, metrics, window, with_ema, "_row")
+        if with_ema:
+            past = w.rowsBetween(Window.unboundedPreceding, 0)
+            out = out.withColumns({f"{m}_ema": F.last(f"_mean_{m}", ignorenulls=True).over(past) for m in metrics})
+        drop = ["_row"]
+    else:
+        back = max(window - 1, 2 * _block(window) - 1 if with_ema else 0, 1)
+        c = chunked(df, key, order, back, 0, chunk_rows)
+        c = carry(c, key, {m: f"_ff_{m}" for m in metrics})
+        out = _rolling(c, [*key, "_chunk"], ["_g"], metrics, window, with_ema, "_g", fill_prefix="_ff_")
+        if with_ema:  # a halo row's own frames aren't complete
+            out = out.withColumns({f"_mean_{m}": F.when(F.col("_own"), F.col(f"_mean_{m}")) for m in metrics})
+            out = carry(out, key, {f"_mean_{m}": f"{m}_ema" for m in metrics})
+        out = out.filter("_own")
+        drop = ["_own", "_chunk", "_g", *[f"_ff_{m}" for m in metrics]]
+    named = [f"{m}_{s}" for m in metrics for s in
+             ("rolling_mean", "rolling_std", "rolling_min", "rolling_max", "diff", "pct_change", *(["ema"] if with_ema else []), "zscore")]
+    return out.drop(*drop).select(*df.columns, *named)
+
+
+def _rolling(df, key, order, metrics, window, with_ema, at, fill_prefix=None):
     w = series_window(key, order)
     fr = rows_frame(key, order, -(window - 1), 0)
     out = df
@@ -96,7 +106,7 @@ def _rolling(df, key, order, metrics, window, with_ema, fill_prefix=None):
         out = out.withColumn(f"{m}_pct_change",
                              F.when(prev != 0, F.col("_f") / prev - 1.0)).drop("_f")
         if with_ema:
-            out = add_ema(out, m, key, order, f"{m}_ema", window)
+            out = _ema_at_readings(out, m, key, order, at, f"_mean_{m}", window)
         out = out.withColumn(
             f"{m}_zscore",
             (F.col(m) - F.col(f"{m}_rolling_mean")) / (F.col(f"{m}_rolling_std") + 1e-10))

@@ -1,151 +1,115 @@
-"""Skew-safe series windows.
-
-A window partitioned by machine runs each machine in one task; a machine that
-holds a large share of all rows would then stall the job. This module cuts
-every series into chunks of a fixed number of rows and copies the few rows a
-bounded frame needs across each cut (the halo), so window functions run per
-(machine, chunk) and give exactly the same values:
-
-1. `series_index`: the 0-based position of every row in its series, without
-   a per-machine window: row numbers inside (machine, time bucket) plus the
-   machine's row count in earlier buckets (a scan over the small count
-   table). Deterministic, so recomputed tasks agree.
-2. `chunked`: chunk = position // chunk_rows; each row is also copied into
-   the later chunks whose frames reach back to it (and the earlier chunks
-   whose frames reach forward to it); `_own` marks the original.
-3. `carry_last`: an unbounded forward fill made exact across chunks with a
-   carry from earlier chunks (a scan over the small chunk table).
+"""Series windows that survive a machine with a large share of all rows.
+
+A window partitioned by machine runs each machine in one task. That is used only where the largest series is
+counted to have at most CHUNK_ROWS rows. Longer ones are cut:
+
+1. `sorted_table` (operators.positions) writes the rows range-partitioned and sorted by (key, order), so every row has
+   a position in the whole table and a series is a run of positions;
+2. `chunked`: chunk = position // chunk_rows; each row is also copied into the later chunks whose frames reach back to
+   it and the earlier ones whose frames reach forward to it (the halo); `_own` marks the original;
+3. `carry` and `carry_sum`: what an unbounded frame needs from other chunks (the last or next value that is there, a
+   running sum) comes from a scan over one row per series and chunk.
+
+The values are the same either way; `chunk_rows` forces the cut at any size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .positions import sorted_table, with_global_position
+from .quantiles import largest_group
+
+#: rows of a series that one task may hold
+CHUNK_ROWS = 2_000_000
+
 
-def series_index(df: DataFrame, key: Sequence[str], order: Sequence[str],
-                 bucket: float = 3600.0, out: str = "_g") -> DataFrame:
-    """Add `out` = position of the row within its series (0-based).
-
-    The first order column is cut into buckets of width `bucket` (seconds
-    for timestamps, plain units for numbers). Positions are the row number
-    inside (key, bucket) plus the number of the key's rows in earlier
-    buckets (a running sum over the small per-bucket count table). Every
-    step is deterministic, so a recomputed task gives the same positions."""
-    lead = order[0]
-    dtype = df.schema[lead].dataType.typeName() if isinstance(lead, str) else "double"
-    v = F.col(lead)
-    if dtype.startswith("timestamp") or dtype == "date":
-        v = F.unix_micros(v.cast("timestamp")) / 1e6
-    b = F.floor(v / float(bucket)).cast("long")
-    t = df.withColumn("_b", b)
-    local = F.row_number().over(Window.partitionBy(*key, "_b").orderBy(*order)) - 1
-    t = t.withColumn("_loc", local.cast("long"))
-    counts = t.groupBy(*key, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    offs = counts.select(*key, "_b", F.coalesce(F.sum("_c").over(
-        Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_off"))
-    return (t.join(offs, on=[*key, "_b"]).withColumn(out, F.col("_off") + F.col("_loc"))
-             .drop("_b", "_loc", "_off"))
+def resolve_chunk_rows(df: DataFrame, key: Sequence[str], chunk_rows) -> int | None:
+    """Rows per chunk, or None if no series needs to be cut: with `"auto"`, if none has more than CHUNK_ROWS rows."""
+    if chunk_rows == "auto":
+        return CHUNK_ROWS if largest_group(df, key) > CHUNK_ROWS else None
+    return int(chunk_rows) if chunk_rows else None
+
+
+def join_on(df: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet; `other`'s key columns go."""
+    named = other.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+    return df.join(named, cond, how).drop(*[f"_on_{c}" for c in on])
+
+
+def series_index(df: DataFrame, key: Sequence[str], order: Sequence[str], out: str = "_g",
+                 chunk_rows="auto") -> DataFrame:
+    """Add `out` = position of the row within its series (0-based). Series that need no cut are numbered
+    by a window, others by their positions in the sorted table less their first."""
+    if not resolve_chunk_rows(df, key, chunk_rows):
+        w = Window.partitionBy(*key).orderBy(*order)
+        return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
+    g = with_global_position(sorted_table(df, [*key, *order], "series"), "_pos_")
+    first = g.groupBy(*key).agg(F.min("_pos_").alias("_first_"))
+    return join_on(g, first, key).withColumn(out, F.col("_pos_") - F.col("_first_")).drop("_pos_", "_first_")
 
 
 def chunked(df: DataFrame, key: Sequence[str], order: Sequence[str], back: int, fwd: int = 0,
-            chunk_rows: int = 1_000_000) -> DataFrame:
-    """Rows tagged with `_chunk` plus halo copies (`_own = false`) so that a
-    frame of `back` preceding and `fwd` following rows is complete for every
-    owned row inside its (key, _chunk) partition."""
-    g = series_index(df, key, order)
+            chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Rows with their position `_g` in the whole sorted table, `_chunk` and `_own`, with halo copies so that a frame of
+    `back` preceding and `fwd` following rows is complete for every owned row inside its (key, _chunk)
+    partition. Positions of a series are consecutive, but don't begin at 0."""
+    g = with_global_position(sorted_table(df, [*key, *order], "chunks"), "_g")
     C = int(chunk_rows)
-    c = F.floor(F.col("_g") / C).cast("long")
-    base = g.withColumn("_chunk", c).withColumn("_own", F.lit(True))
-    parts = [base]
-    # row g is needed by every later chunk c' with c'*C - back <= g, and by
-    # every earlier chunk c' whose last row + fwd >= g (a frame longer than
-    # a chunk copies a row into several chunks)
-    if back > 0:
-        last = F.floor((F.col("_g") + back) / C).cast("long")
-        parts.append(base.filter(last > F.col("_chunk")).withColumn(
-            "_chunk", F.explode(F.sequence(F.col("_chunk") + 1, last))).withColumn("_own", F.lit(False)))
-    if fwd > 0:
-        first = F.greatest(F.lit(0).cast("long"),
-                           F.ceil((F.col("_g") - fwd - (C - 1)) / C).cast("long"))
-        parts.append(base.filter(first < F.col("_chunk")).withColumn(
-            "_chunk", F.explode(F.sequence(first, F.col("_chunk") - 1))).withColumn("_own", F.lit(False)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def carry_last(df: DataFrame, key: Sequence[str], col: str, out: str,
-               chunk_col: str = "_chunk", pos_col: str = "_g") -> DataFrame:
-    """Exact unbounded forward fill of `col` over owned rows of a chunked
-    frame: the last non-null inside the chunk, else the last non-null of the
-    nearest earlier chunk (scan over one row per chunk)."""
+    # chunk c needs the rows from c*C - back to c*C + C-1 + fwd
+    first = F.greatest(F.lit(0), F.ceil((F.col("_g") - fwd - (C - 1)) / C)).cast("long")
+    last = F.floor((F.col("_g") + back) / C).cast("long")
+    return g.withColumn("_chunk", F.explode(F.sequence(first, last))) \
+        .withColumn("_own", F.col("_chunk") == F.floor(F.col("_g") / C))
+
+
+def carry(df: DataFrame, key: Sequence[str], back: Mapping[str, str] | None = None,
+          ahead: Mapping[str, str] | None = None) -> DataFrame:
+    """Unbounded fills over the owned rows of a chunked frame, for any number of columns at once. `back` maps a column
+    to the name of its last non-null value at or before the row, `ahead` to that of the next at or after it:
+    from the row's chunk, else from the nearest other chunk of the series that has one."""
+    back, ahead = dict(back or {}), dict(ahead or {})
+    there = lambda c: F.when(F.col(c).isNotNull(), F.col("_g"))
+    per = df.filter("_own").groupBy(*key, "_chunk").agg(
+        *[F.max_by(c, there(c)).alias(f"_l{i}") for i, c in enumerate(back)],
+        *[F.min_by(c, there(c)).alias(f"_f{i}") for i, c in enumerate(ahead)])
+    chunks = Window.partitionBy(*key)
+    earlier = chunks.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    later = chunks.orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = per.select(*key, "_chunk", *[F.last(f"_l{i}", ignorenulls=True).over(earlier).alias(f"_cl{i}") for i in range(len(back))],
+                         *[F.last(f"_f{i}", ignorenulls=True).over(later).alias(f"_cf{i}") for i in range(len(ahead))])
+    j = join_on(df, carried, [*key, "_chunk"], "left")
+    own = Window.partitionBy(*key, "_chunk")
+    up = own.orderBy("_g").rowsBetween(Window.unboundedPreceding, 0)
+    down = own.orderBy(F.desc("_g")).rowsBetween(Window.unboundedPreceding, 0)
+    filled = {out: F.coalesce(F.last(c, ignorenulls=True).over(up), F.col(f"_cl{i}")) for i, (c, out) in enumerate(back.items())}
+    filled |= {out: F.coalesce(F.last(c, ignorenulls=True).over(down), F.col(f"_cf{i}")) for i, (c, out) in enumerate(ahead.items())}
+    return j.withColumns(filled).drop(*[f"_cl{i}" for i in range(len(back))], *[f"_cf{i}" for i in range(len(ahead))])
+
+
+def carry_sum(df: DataFrame, key: Sequence[str], col: str, out: str) -> DataFrame:
+    """Running sum of `col` from the series' start over the owned rows of a chunked frame."""
     own = df.filter("_own")
-    w_in = Window.partitionBy(*key, chunk_col).orderBy(pos_col).rowsBetween(
-        Window.unboundedPreceding, 0)
-    last_in = F.last(col, ignorenulls=True).over(w_in)
-    per_chunk = own.groupBy(*key, chunk_col).agg(
-        F.max_by(col, F.when(F.col(col).isNotNull(), F.col(pos_col))).alias("_lastv"))
-    carry = per_chunk.withColumn("_carry", F.last("_lastv", ignorenulls=True).over(
-        Window.partitionBy(*key).orderBy(chunk_col).rowsBetween(Window.unboundedPreceding, -1)))
-    j = df.join(carry.select(*key, chunk_col, "_carry"), on=[*key, chunk_col], how="left")
-    return j.withColumn(out, F.coalesce(last_in, F.col("_carry"))).drop("_carry")
+    tot = own.groupBy(*key, "_chunk").agg(F.sum(col).alias("_tot"))
+    earlier = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = tot.select(*key, "_chunk", F.coalesce(F.sum("_tot").over(earlier), F.lit(0)).alias("_before"))
+    in_chunk = Window.partitionBy(*key, "_chunk").orderBy("_g").rowsBetween(Window.unboundedPreceding, 0)
+    j = join_on(own, before, [*key, "_chunk"], "left")
+    return j.withColumn(out, F.sum(col).over(in_chunk) + F.col("_before")).drop("_before")
 
 
 def on_chunks(df: DataFrame, key: Sequence[str], order: Sequence[str], back: int, fwd: int,
-              fn, chunk_rows: int | None) -> DataFrame:
-    """Run `fn(frame, key, order)` - an operator whose values depend only on
-    rows within `back` before and `fwd` after each row - per (key, chunk)
-    instead of per key; without `chunk_rows` it runs on the plain series
-    (`"auto"`: chunk only when a series is longer than AUTO_CHUNK_ROWS)."""
+              fn, chunk_rows="auto") -> DataFrame:
+    """Run `fn(frame, key, order)` - an operator whose values depend only on rows within `back` before and `fwd`
+    after each row - per (key, chunk) where series are cut, else on the plain series."""
     chunk_rows = resolve_chunk_rows(df, key, chunk_rows)
     if not chunk_rows:
         return fn(df, list(key), list(order))
     c = chunked(df, key, order, back, fwd, chunk_rows)
     out = fn(c, [*key, "_chunk"], ["_g"])
     return out.filter("_own").drop("_own", "_chunk", "_g")
-
-
-def carry_sum(df: DataFrame, key: Sequence[str], col: str, out: str,
-              chunk_col: str = "_chunk", pos_col: str = "_g") -> DataFrame:
-    """Exact running sum of `col` (from the series start) over owned rows
-    of a chunked frame: the sum inside the chunk plus the totals of all
-    earlier chunks (scan over one row per chunk)."""
-    own = df.filter("_own")
-    w_in = Window.partitionBy(*key, chunk_col).orderBy(pos_col).rowsBetween(
-        Window.unboundedPreceding, 0)
-    tot = own.groupBy(*key, chunk_col).agg(F.sum(col).alias("_tot"))
-    carry = tot.withColumn("_carry", F.coalesce(F.sum("_tot").over(
-        Window.partitionBy(*key).orderBy(chunk_col).rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)))
-    j = own.join(carry.select(*key, chunk_col, "_carry"), on=[*key, chunk_col], how="left")
-    return j.withColumn(out, F.sum(col).over(w_in) + F.col("_carry")).drop("_carry")
-
-
-AUTO_CHUNK_ROWS = 2_000_000
-
-
-def resolve_chunk_rows(df: DataFrame, key: Sequence[str], chunk_rows, target: int = AUTO_CHUNK_ROWS):
-    """Rows per chunk: `"auto"` stands for `target`, whatever the data."""
-    return target if chunk_rows == "auto" else chunk_rows
-
-
-def carry_first(df: DataFrame, key: Sequence[str], col: str, out: str,
-                chunk_col: str = "_chunk", pos_col: str = "_g") -> DataFrame:
-    """Mirror of `carry_last`: the next non-null value of `col` at or after
-    each owned row, across chunks (scan over one row per chunk)."""
-    own = df.filter("_own")
-    w_in = Window.partitionBy(*key, chunk_col).orderBy(F.col(pos_col).desc()).rowsBetween(
-        Window.unboundedPreceding, 0)
-    first_in = F.last(col, ignorenulls=True).over(w_in)
-    per_chunk = own.groupBy(*key, chunk_col).agg(
-        F.min_by(col, F.when(F.col(col).isNotNull(), F.col(pos_col))).alias("_firstv"))
-    carry = per_chunk.withColumn("_carry", F.last("_firstv", ignorenulls=True).over(
-        Window.partitionBy(*key).orderBy(F.col(chunk_col).desc())
-        .rowsBetween(Window.unboundedPreceding, -1)))
-    j = df.join(carry.select(*key, chunk_col, "_carry"), on=[*key, chunk_col], how="left")
-    return j.withColumn(out, F.coalesce(first_in, F.col("_carry"))).drop("_carry")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import reading
 from ..model import M, V, series_window, to_long
 from .baseline import tail_rows
+from .series import chunked, resolve_chunk_rows
 
 # Fixed values of the model.
 HORIZONS = [2, 6, 12, 24, 48]          # hours ahead
@@ -267,7 +268,7 @@ def warning_rolling(df: DataFrame, params: DataFrame, key: Sequence[str], order:
                     metrics: Sequence[str], history: int = HISTORY, min_samples: int = MIN_SAMPLES,
                     horizons: Sequence[int] = HORIZONS,
                     confidence_threshold: float = CONFIDENCE_THRESHOLD,
-                    chunk_rows: int | None = None) -> DataFrame:
+                    chunk_rows="auto") -> DataFrame:
     """EW11: EW2-EW10 as of every sample (the live loop's view), wide form.
 
     For the n readings in the frame of the last `history` rows (nulls and NaN aren't readings),
@@ -275,17 +276,14 @@ def warning_rolling(df: DataFrame, params: DataFrame, key: Sequence[str], order:
     slope numerator n*Sxy - Sx*Sy is formed in exact decimals of the metric's own scale, so
     a flat frame gives a slope of exactly 0 in any unit.
 
-    With `chunk_rows`, each series is cut into chunks that carry the
-    previous `history` rows as a halo (operators.series): running sums
-    restart at each chunk's halo, so the frame sums - and all results - are
-    unchanged while a hot machine spreads over many tasks."""
+    Cut series carry the previous `history` rows as a halo (operators.series); running sums restart
+    at each chunk's halo."""
     if history >= 10 ** 6:
         raise ValueError("history must stay below 10^6 rows")
     stats = ["mean", "std", "warn", "crit"]
     pw = params.groupBy(*key).agg(*[F.max(F.when(F.col(M) == m, F.col(s))).alias(f"{m}__{s}")
                                     for m in metrics for s in stats])
     j = df.join(pw, on=list(key), how="left")
-    from .series import chunked, resolve_chunk_rows
     chunk_rows = resolve_chunk_rows(df, key, chunk_rows)
     if chunk_rows:
         j = chunked(j, key, order, history, 0, chunk_rows)

@@ -32,11 +32,10 @@ def fit_all(df: DataFrame, key: Sequence[str], order: Sequence[str], metrics: Se
 def process_samples(df: DataFrame, params: DataFrame, key: Sequence[str], order: Sequence[str],
                     metrics: Sequence[str], weights: Mapping[str, float] | None = None,
                     history: int = ew.HISTORY, with_warning: bool = True,
-                    chunk_rows=None) -> DataFrame:
+                    chunk_rows="auto") -> DataFrame:
     """PIP1: one result row per sample - anomaly votes and score, health
     score and status, and the early-warning result as of that sample.
-    `chunk_rows` (N or "auto") runs the per-sample early warning on chunked
-    series (operators.series) for machines with very long histories."""
+    `chunk_rows` is that of the per-sample early warning (operators.series)."""
     j = ano.attach_params(df, params, key, metrics)
     d = ano.detect(j, None, key, metrics, attached=True)
     d = d.withColumn("anomaly_score", F.col("zscore_score"))
@@ -52,7 +51,7 @@ def process_samples(df: DataFrame, params: DataFrame, key: Sequence[str], order:
 def pipeline_alerts(samples: DataFrame, key: Sequence[str], order: Sequence[str],
                     metrics: Sequence[str], thresholds: DataFrame,
                     cooldown_minutes: int = al.COOLDOWN_MINUTES, time_col: str = "T",
-                    chunk_rows=None) -> DataFrame:
+                    chunk_rows="auto") -> DataFrame:
     """ALR6 + ALR7 + ALR8 on PIP1 output: candidates in per-sample order
     (health, anomaly, thresholds, early warnings), cooled down, numbered."""
     cands = al.candidates_one_pass(samples, key, order, metrics, thresholds,

@@ -209,8 +209,8 @@ def q_update_thresholds(spark, sf):
     """ALR13: replace defaults by thresholds measured on the data (p90 and
     p99 of event values under the name 'rms', a new 'value' row)."""
     ev = events_readings(spark, sf)
-    measured = ev.agg(F.percentile("V", 0.9).alias("warning"),
-                      F.percentile("V", 0.99).alias("critical"))
+    measured = exact_quantiles(ev, [], "V", [0.9, 0.99]).select(
+        F.col("q")[0].alias("warning"), F.col("q")[1].alias("critical"))
     upd = measured.select(F.explode(F.array(
         F.struct(F.lit("rms").alias("M"), "warning", "critical", F.lit(False).alias("lower_is_bad")),
         F.struct(F.lit("value").alias("M"), "warning", "critical",

@@ -444,7 +444,7 @@ def q_anomaly_report_skew_safe(spark, sf):
     """ANO9 with the bucketed (skew-safe) row index; same rows as
     anomaly_report."""
     f, p, j = li_attached(spark, sf)
-    rep = ano.anomaly_report(j, None, K, LO, LM, attached=True, skew_safe=True)
+    rep = ano.anomaly_report(j, None, K, LO, LM, attached=True, chunk_rows=100)
     return rep.select("E", "index", "T", F.col("zscore_prediction").cast("int"),
                       F.col("iqr_prediction").cast("int"), rnd("zscore_score").alias("anomaly_score"),
                       F.col("ensemble_prediction").cast("int"), "is_anomaly")

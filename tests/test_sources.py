@@ -98,5 +98,5 @@ def test_assign_ids_skew_safe(spark):
            [(2, t0 + timedelta(minutes=5 * i), 0) for i in range(10)]
     df = spark.createDataFrame(rows, "E long, T timestamp, ord int")
     a = sorted(tuple(r) for r in al.assign_ids(df).collect())
-    b = sorted(tuple(r) for r in al.assign_ids(df, skew_safe=True).collect())
+    b = sorted(tuple(r) for r in al.assign_ids(df, chunk_rows=37).collect())
     assert a == b
