@@ -25,6 +25,7 @@ an empty table gives no rows; other columns aren't read.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from decimal import Decimal
 from functools import reduce
 
@@ -33,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
 from .common import written
 from .vectors import integers, widest
 
@@ -127,18 +129,18 @@ def _distances(dim: int, centroids: list[list[int]]):
     return run
 
 
-def _between(after: list[float] | None, upto: list[float] | None) -> Column:
-    """Rows of each cluster with after < expiry <= upto."""
-    k = len(after or upto)
-    each = []
-    for c in range(k):
-        cond = F.col("cluster") == c
-        if after is not None:
-            cond = cond & (F.col("expiry") > after[c])
-        if upto is not None:
-            cond = cond & (F.col("expiry") <= upto[c])
-        each.append(cond)
-    return reduce(lambda a, b: a | b, each)
+def _popped(before: list[float], upto: list[float], newest: int) -> Column:
+    """Rows whose expiry their cluster's drift has reached since the last round: the newest run has not been
+    popped yet, the others up to `before`. Each cluster's rows lie together in a file, in the order of expiry."""
+    return reduce(lambda a, b: a | b, [
+        (F.col("cluster") == c) & (F.col("expiry") <= u) & ((F.col("run") == newest) | (F.col("expiry") > a))
+        for c, (a, u) in enumerate(zip(before, upto))])
+
+
+def _live(drift: list[float], newest: int) -> Column:
+    """Rows that have not been popped."""
+    return (F.col("run") == newest) | reduce(lambda a, b: a | b, [
+        (F.col("cluster") == c) & (F.col("expiry") > d) for c, d in enumerate(drift)])
 
 
 def _moved(old: list[list[int]], new: list[list[int]]) -> list[float]:
@@ -160,21 +162,22 @@ def cluster(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     shape = f"id {kind}, cluster int, distance bigint"
     if not centroids:
         return base.sparkSession.createDataFrame([], shape).withColumnRenamed("id", vec_id), centroids, []
-    k = len(centroids)
-    drift, before, sums, runs, popped = [0.0] * k, [0.0] * k, np.zeros((k, dim + 1), object), [], []
+    k, spark = len(centroids), base.sparkSession
+    drift, before, sums, popped = [0.0] * k, [0.0] * k, np.zeros((k, dim + 1), object), []
+    # a round reads all runs but writes no more files than the first one, else their number grows with every round
+    files = base.rdd.getNumPartitions()
+    heap = f"{checkpoint_dir(spark).rstrip('/')}/heap-{uuid.uuid4().hex}"
+    pushed = f"id {kind}, x array<bigint>, cluster int, expiry double, was int"
     for r in range(rounds + 1):
         if r:
-            # the newest run has not been popped yet, the others up to the drift of the round before
-            parts = [run.filter(_between(None if s == r - 1 else before, drift)) for s, run in runs]
-            expired = reduce(DataFrame.unionByName, parts).select("id", "x", "cluster")
+            expired = spark.read.schema(f"{pushed}, run int").parquet(heap).filter(_popped(before, drift, r - 1)) \
+                .select("id", "x", "cluster").coalesce(files)
         else:
             expired = base.withColumn("cluster", F.lit(-1))
-        pushed = expired.mapInArrow(_measure(dim, centroids, drift), f"id {kind}, x array<bigint>, cluster int, expiry double, was int")
-        run = written(pushed.sortWithinPartitions("cluster", "expiry"), f"heap-{r}")
-        n = run.count()
-        popped.append(n)
-        if n:
-            runs.append((r, run))
+        expired.mapInArrow(_measure(dim, centroids, drift), pushed).sortWithinPartitions("cluster", "expiry") \
+            .write.parquet(f"{heap}/run={r}")
+        run = spark.read.schema(pushed).parquet(f"{heap}/run={r}")
+        popped.append(run.count())
         if r == rounds:
             break
         for row in run.filter("cluster <> was").select("x", "cluster", "was").mapInArrow(
@@ -183,8 +186,8 @@ def cluster(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
         after = [[int(s) // int(total[0]) for s in total[1:]] if total[0] else c for total, c in zip(sums, centroids)]
         grown = _moved(centroids, after)
         before, drift, centroids = drift, [d + g for d, g in zip(drift, grown)], after
-    live = [run if s == rounds else run.filter(_between(drift, None)) for s, run in runs]
-    out = reduce(DataFrame.unionByName, live).select("id", "x", "cluster").mapInArrow(_distances(dim, centroids), shape)
+    out = spark.read.schema(f"{pushed}, run int").parquet(heap).filter(_live(drift, rounds)) \
+        .select("id", "x", "cluster").mapInArrow(_distances(dim, centroids), shape)
     return out.withColumnRenamed("id", vec_id), centroids, popped
 
 
