@@ -16,7 +16,9 @@ For the rest ("open" texts):
    other components there, in the same way: copies of one text mostly part by their most frequent n-gram;
 3. every prefix n-gram whose classes are not all connected yet is joined in block pairs: length,
    positional and suffix filters drop pairs, and what remains, between different components only,
-   is verified once per pair;
+   is verified once per pair, at the first prefix n-gram that both sets hold. The group that finds a link
+   skips what it connects from then on, so it returns fewer links than it has components. Sets of more than
+   LONG n-grams aren't sent to the groups; their pairs are verified afterwards;
 4. connected components of all verified links give each document's component.
 
 The suffix filter bounds the symmetric difference from below by a histogram of the sets' hashes.
@@ -45,6 +47,8 @@ CHUNK = 512
 BLOCK = 1024
 BUCKET_ROWS = 8192
 BINS = 512
+#: sets of more n-grams are known in block pairs by their histogram only
+LONG = 256
 
 
 def least_overlap(n, m, num: int, den: int):
@@ -167,35 +171,56 @@ def _chunk_links(num: int, den: int):
     return run
 
 
-def _block_pairs(num: int, den: int):
-    """Pairs of classes left by the filters, among the rows of some n-grams. Rows with `side` 0 lie in
-    a block met with itself, sides 1 and 2 in two different blocks of one n-gram."""
-    def run(pdf: pd.DataFrame, hists: pd.DataFrame) -> pd.DataFrame:
+def _block_links(num: int, den: int):
+    """Links between classes in different components, among the rows of some n-grams; only those that connect
+    what isn't connected yet in the group, so at most one less than its components. Rows with `side` 0 lie in a block met with itself,
+    sides 1 and 2 in two different blocks of one n-gram.
+
+    A pair is compared at the first prefix n-gram that both sets hold, so nothing in front of it is in
+    both. Pairs with a set of more than LONG n-grams come out unverified (`sure` false), once per group."""
+    def run(pdf: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("token", kind="stable")
         token = pdf["token"].to_numpy()
-        node, label, n, pos, side = (pdf[c].to_numpy() for c in ("node", "label", "n", "pos", "side"))
-        hists = hists.sort_values("node")
-        hist = _histograms(hists["hist"])
-        at = np.searchsorted(hists["node"].to_numpy(), node)
+        node, n, pos, side = (pdf[c].to_numpy() for c in ("node", "n", "pos", "side"))
+        names, label = np.unique(pdf["label"].to_numpy(), return_inverse=True)
+        root = np.arange(len(names))
+        there = there.sort_values("node")
+        grams = [None if g is None else np.frombuffer(g, np.uint64) for g in there["grams"]]
+        hist = _histograms([h if g is None else histogram(g) for g, h in zip(grams, there["hist"])])
+        prefix = [None if g is None else p.tolist() for g, p in zip(grams, there["prefix"])]
+        at = np.searchsorted(there["node"].to_numpy(), node)
         cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
-        found = []
+        links, unsure = [], set()
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             rows = np.arange(lo, hi)
             left = rows[side[rows] < 2] if side[lo:hi].any() else rows[:-1]
+            front: dict[int, frozenset] = {}  # a row's prefix n-grams in front of this one
+
+            def in_front(i):
+                if i not in front:
+                    p = prefix[at[i]]
+                    front[i] = frozenset(p[:p.index(token[i])])
+                return front[i]
+
             for i in left:
                 js = rows[side[rows] == 2] if side[i] else np.arange(i + 1, hi)
-                js = js[label[js] != label[i]]
+                js = js[root[label[js]] != root[label[i]]]
                 if not len(js):
                     continue
                 need = least_overlap(n[i], n[js], num, den)
-                # equal up to here at most, and no more than what follows in either set
-                most = np.minimum(pos[i], pos[js]) + np.minimum(n[i] - pos[i], n[js] - pos[js])
-                js, need = js[most >= need], need[most >= need]
+                keep = np.minimum(n[i] - pos[i], n[js] - pos[js]) >= need
+                js, need = js[keep], need[keep]
                 js = js[_difference(hist, at[i], at[js]) <= n[i] + n[js] - 2 * need]
-                if len(js):
-                    found.append(np.stack([np.minimum(node[i], node[js]), np.maximum(node[i], node[js])], 1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(pairs, columns=["a", "b"])
+                for j in js:
+                    if root[label[i]] == root[label[j]]:
+                        continue
+                    a, b = grams[at[i]], grams[at[j]]
+                    if a is None or b is None:
+                        unsure.add((min(node[i], node[j]), max(node[i], node[j]), False))
+                    elif in_front(i).isdisjoint(in_front(j)) and linked(a, b, num, den):
+                        root[root == root[label[j]]] = root[label[i]]
+                        links.append((node[i], node[j], True))
+        return pd.DataFrame(links + sorted(unsure), columns=["a", "b", "sure"]).astype({"a": "int64", "b": "int64", "sure": bool})
     return run
 
 
@@ -293,8 +318,8 @@ def _dealt(home: DataFrame) -> DataFrame:
     return dealt.unionByName(pivots)
 
 
-def _open_pairs(prefixes: DataFrame, label: DataFrame, hists: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of classes in different components that pass all filters, once each."""
+def _open_links(prefixes: DataFrame, label: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b, sure: links between different components, and unverified pairs of them that pass all filters."""
     rows = prefixes.select("token", "node", "n", "pos").join(label, "node", "left") \
         .withColumn("label", F.coalesce("label", "node"))
     # n-grams of the same texts mostly share their smallest class, so a group of them finds a pair once
@@ -317,9 +342,14 @@ def _open_pairs(prefixes: DataFrame, label: DataFrame, hists: DataFrame, num: in
         F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
     spread = written(spread, "open-rows")
     group = ["key", "x", "y"]
-    there = written(spread.select(*group, "node").distinct().join(hists, "node"), "open-hists")
+    ordered = prefixes.filter(F.col("n") <= LONG).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("p")) \
+        .select("node", F.col("p.token").alias("prefix"))
+    short = F.length("grams") <= 8 * LONG
+    known = sets.join(ordered, "node", "left").select("node", F.when(short, F.col("grams")).alias("grams"),
+                                                      F.when(~short, F.col("hist")).alias("hist"), "prefix")
+    there = written(spread.select(*group, "node").distinct().join(known, "node"), "open-sets")
     return (spread.groupBy(*group).cogroup(there.groupBy(*group))
-            .applyInPandas(_block_pairs(num, den), "a bigint, b bigint").distinct())
+            .applyInPandas(_block_links(num, den), "a bigint, b bigint, sure boolean"))
 
 
 def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, num: int = 90,
@@ -366,11 +396,11 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     label = components(near, "near")
     near = written(near.unionByName(linked_in(_met_chunks(prefixes, label))), "met-links")
     label = components(near, "met")
-    pairs = written(_open_pairs(prefixes, label, sets.select("node", "hist"), num, den), "pairs")
-    far = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a") \
+    open_links = written(_open_links(prefixes, label, sets, num, den), "open-links")
+    far = open_links.filter("NOT sure").select("a", "b").distinct().join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a") \
         .join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b") \
         .select("a", "b", "ga", "gb").mapInArrow(_verify(num, den), "a bigint, b bigint")
-    links = written(near.unionByName(far), "links")
+    links = written(near.unionByName(open_links.filter("sure").select("a", "b")).unionByName(far), "links")
 
     label = components(links, "all")
     labelled = rows.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
