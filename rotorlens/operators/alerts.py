@@ -31,7 +31,7 @@ DEFAULT_THRESHOLDS = [
 ]
 COOLDOWN_MINUTES = 15
 ALERT_COLUMNS = ["E", "T", "ord", "alert_type", "severity", "message", "source_value",
-                 "threshold", "metric"]
+                 "threshold", "metric", "metadata"]
 
 
 def thresholds_table(spark: SparkSession, rows=None) -> DataFrame:
@@ -55,7 +55,7 @@ def _cand(df, key_cols, order_cols, ord_: int, kind: str, severity: Column, mess
         *key_cols, *order_cols, F.lit(ord_).alias("ord"), F.lit(kind).alias("alert_type"),
         severity.alias("severity"), message.alias("message"),
         source.cast("double").alias("source_value"), threshold.cast("double").alias("threshold"),
-        metric.cast("string").alias("metric"))
+        metric.cast("string").alias("metric"), _no_metadata())
 
 
 def check_health(df: DataFrame, key_cols, order_cols, score_col: str = "health_score",
@@ -104,7 +104,7 @@ def check_thresholds(df: DataFrame, key_cols, order_cols, metrics: Sequence[str]
     return j.filter(is_crit | is_warn).select(
         *key_cols, *order_cols, F.col("_ord").alias("ord"), F.lit("threshold").alias("alert_type"),
         sev.alias("severity"), msg.alias("message"), v.alias("source_value"),
-        F.when(is_crit, c).otherwise(w).alias("threshold"), F.col("M").alias("metric"))
+        F.when(is_crit, c).otherwise(w).alias("threshold"), F.col("M").alias("metric"), _no_metadata())
 
 
 def check_prediction(df: DataFrame, key_cols, order_cols, hours_col: str,
@@ -120,8 +120,9 @@ def check_prediction(df: DataFrame, key_cols, order_cols, hours_col: str,
 def check_early_warning(df: DataFrame, key_cols, order_cols, preds_col: str = "predictions",
                         ord_base: int = 100) -> DataFrame:
     """ALR5: one alert per prediction with confidence >= 0.5 and hours <= 48
-    (critical <= 6, warning <= 24, info <= 48)."""
-    ex = df.select(*key_cols, *order_cols, F.posexplode(preds_col).alias("_i", "_p"))
+    (critical <= 6, warning <= 24, info <= 48). `metadata` is a JSON object of the hours, the confidence, the
+    affected metrics and the sample's risk score (if `df` has one)."""
+    ex = df.select(*key_cols, *order_cols, _risk(df).alias("_risk"), F.posexplode(preds_col).alias("_i", "_p"))
     p = F.col("_p")
     h, conf = p["predicted_time_hours"], p["confidence"]
     sev = F.when(h <= 6, "critical").when(h <= 24, "warning").otherwise("info")
@@ -135,7 +136,22 @@ def check_early_warning(df: DataFrame, key_cols, order_cols, preds_col: str = "p
     return ex.filter(ok).select(
         *key_cols, *order_cols, (F.col("_i") + ord_base).alias("ord"),
         F.lit("early_warning").alias("alert_type"), sev.alias("severity"), msg.alias("message"),
-        h.alias("source_value"), conf.alias("threshold"), p["metric"].alias("metric"))
+        h.alias("source_value"), conf.alias("threshold"), p["metric"].alias("metric"),
+        _metadata(p, F.col("_risk")).alias("metadata"))
+
+
+def _no_metadata() -> Column:
+    return F.lit(None).cast("string").alias("metadata")
+
+
+def _risk(df: DataFrame) -> Column:
+    return F.col("overall_risk_score") if "overall_risk_score" in df.columns else F.lit(None).cast("double")
+
+
+def _metadata(p: Column, risk: Column) -> Column:
+    """What an early warning says of itself, as JSON."""
+    return F.to_json(F.struct(p["predicted_time_hours"].cast("double").alias("predicted_hours"), p["confidence"].alias("confidence"),
+                              F.array(p["metric"]).alias("affected_metrics"), risk.cast("double").alias("risk_score")))
 
 
 def candidate_alerts(parts: Sequence[DataFrame]) -> DataFrame:
@@ -343,10 +359,14 @@ def alert_counts(alerts: DataFrame) -> DataFrame:
     return alerts.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+def expired(as_of: Column, days: int = 7) -> Column:
+    """True for resolved alerts that are older than `as_of - days`."""
+    return F.col("resolved") & (F.col("T") <= as_of - F.expr(f"INTERVAL {int(days)} DAYS"))
+
+
 def expire_alerts(alerts: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     """ALR14: drop resolved alerts older than `as_of - days`."""
-    cut = as_of - F.expr(f"INTERVAL {int(days)} DAYS")
-    return alerts.filter(~F.col("resolved") | (F.col("T") > cut))
+    return alerts.filter(~expired(as_of, days))
 
 
 def recent_alerts(alerts: DataFrame, n: int = 100) -> DataFrame:
@@ -362,16 +382,17 @@ def candidates_one_pass(df: DataFrame, key_cols, order_cols, metrics: Sequence[s
     """ALR1-ALR6 in a single scan of the scored rows: every check becomes a
     nullable struct of one array, exploded once - the same rows, columns and
     per-sample order as the union of the check_* functions, without reading
-    the input four times. The thresholds table (one row per metric) is read
-    into the plan as literals."""
-    th = {r["M"]: r for r in thresholds.collect()}  # bounded: one row per metric
+    the input four times. The thresholds (one row per metric) come as a map in one row."""
+    th = thresholds.agg(F.map_from_entries(F.collect_list(F.struct("M", F.struct("warning", "critical", "lower_is_bad")))).alias("_th"))
+    columns = df.columns
+    df = df.crossJoin(F.broadcast(th))  # one row
 
-    def item(ord_, kind, sev, msg, src, thr, metric, cond):
+    def item(ord_, kind, sev, msg, src, thr, metric, cond, metadata=None):
         return F.when(cond, F.struct(
             ord_.cast("int").alias("ord") if isinstance(ord_, Column) else F.lit(ord_).alias("ord"),
             F.lit(kind).alias("alert_type"), sev.alias("severity"), msg.alias("message"),
             src.cast("double").alias("source_value"), thr.cast("double").alias("threshold"),
-            metric.cast("string").alias("metric")))
+            metric.cast("string").alias("metric"), _no_metadata() if metadata is None else metadata.alias("metadata")))
 
     h = F.col(score_col)
     crit_h = h < health_critical
@@ -386,24 +407,22 @@ def candidates_one_pass(df: DataFrame, key_cols, order_cols, metrics: Sequence[s
                       F.lit("Anomaly detected in sensor readings"), s, F.lit(None), F.lit(None),
                       F.col(flag_col)))
     for i, m in enumerate(metrics):
-        if m not in th:
-            continue
-        r = th[m]
+        r = F.element_at("_th", F.lit(m))  # null for a metric without thresholds
         v = F.col(m).cast("double")
         w, c = r["warning"], r["critical"]
 
         def bad(x):
-            return (v < x) if r["lower_is_bad"] else (v > x)
+            return F.coalesce(F.when(r["lower_is_bad"], v < x).otherwise(v > x), F.lit(False))
 
-        is_c = bad(F.lit(c)) if c is not None else F.lit(False)
-        is_w = bad(F.lit(w)) if w is not None else F.lit(False)
+        is_c, is_w = bad(c), bad(w)
         items.append(item(2 + i, "threshold", F.when(is_c, "critical").otherwise("warning"),
                           F.when(is_c, F.concat(F.lit(f"{m} is at critical level: "), fmt_fixed(v, 2)))
                           .otherwise(F.concat(F.lit(f"{m} is elevated: "), fmt_fixed(v, 2))), v,
-                          F.when(is_c, F.lit(c)).otherwise(F.lit(w)), F.lit(m), is_c | is_w))
+                          F.when(is_c, c).otherwise(w), F.lit(m), is_c | is_w))
     arr = F.array(*items)
-    if preds_col and preds_col in df.columns:
+    if preds_col and preds_col in columns:
         base = 2 + len(metrics)
+        risk = F.col("overall_risk_score") if "overall_risk_score" in columns else F.lit(None).cast("double")
 
         def ew_item(p, i):
             hrs, conf = p["predicted_time_hours"], p["confidence"]
@@ -414,7 +433,7 @@ def candidates_one_pass(df: DataFrame, key_cols, order_cols, metrics: Sequence[s
             msg = F.concat(head, fmt_fixed(hrs, 1), F.lit(" hours (Affected: "), p["metric"],
                            F.lit(", Confidence: "), fmt_fixed(conf * 100.0, 0), F.lit("%)"))
             return item(i + base, "early_warning", sev, msg, hrs, conf, p["metric"],
-                        hrs.isNotNull() & (conf >= 0.5) & (hrs <= 48))
+                        hrs.isNotNull() & (conf >= 0.5) & (hrs <= 48), _metadata(p, risk))
 
         arr = F.concat(arr, F.transform(preds_col, ew_item))
     return (df.select(*key_cols, *order_cols, F.explode(F.filter(arr, lambda x: x.isNotNull()))

@@ -16,40 +16,59 @@ from pyspark.sql import functions as F
 
 from ..model import series_window
 from .baseline import tail_rows
-from .series import chunked, resolve_chunk_rows
+from .series import chunked, on_chunks, resolve_chunk_rows
 
 ROLLING_WINDOW = 24      # fixed value: rows of the rolling forecaster
 CONFIDENCE_LEVEL = 0.95
 MULTI_HORIZONS = [2, 6, 12, 24, 48]
 
 
-def _step_seconds(df: DataFrame, key, time_col, bucket_s: float = 3600.0) -> DataFrame:
-    """FCT2: the series' constant spacing in seconds, else one hour.
-
-    Gaps are taken inside (key, hour bucket) windows, and between buckets
-    from a window over the small per-bucket table (first time minus the
-    previous bucket's last time), so no window spans a whole machine."""
-    t = F.unix_micros(F.col(time_col).cast("timestamp"))
-    s = df.select(*key, t.alias("_t")).withColumn("_b", F.floor(F.col("_t") / (bucket_s * 1e6)))
-    s = s.withColumn("_gap", F.col("_t") - F.lag("_t").over(
-        Window.partitionBy(*key, "_b").orderBy("_t")))
-    per_b = s.groupBy(*key, "_b").agg(
-        F.min("_gap").alias("_mn"), F.max("_gap").alias("_mx"), F.count("_gap").alias("_c"),
-        F.min("_t").alias("_first"), F.max("_t").alias("_last"))
-    per_b = per_b.withColumn("_cross", F.col("_first") - F.lag("_last").over(
-        Window.partitionBy(*key).orderBy("_b")))
-    g = per_b.groupBy(*key).agg(
-        F.least(F.min("_mn"), F.min("_cross")).alias("_gmin"),
-        F.greatest(F.max("_mx"), F.max("_cross")).alias("_gmax"),
-        (F.sum("_c") + F.count("_cross")).alias("_ng"))
-    const = (F.col("_gmin") == F.col("_gmax")) & (F.col("_ng") >= 2)
-    return g.select(*key, F.when(const, F.col("_gmin") / 1e6).otherwise(3600.0).alias("step_s"))
-
-
-def future_times(last: Column, step_s: Column, k: Column) -> Column:
-    """FCT2: last + k * step."""
-    micros = F.unix_micros(last.cast("timestamp")) + (k * step_s * 1e6).cast("long")
-    return F.timestamp_micros(micros).cast("timestamp_ntz")
+def _pace(df: DataFrame, key, time_col, chunk_rows="auto") -> DataFrame:
+    """FCT2: how the times of a series go on, as `pace`: (months, at_end) if all lie on the first or all on the last day of
+    their month, equally many months apart; else `seconds` if equally far apart; else `business` if they are the working days (Monday to
+    Friday) in turn; else, and for fewer than three times, an hour."""
+    def with_previous(d, k, o):
+        return d.withColumn("_prev", F.lag("_t").over(series_window(k, o)))
+
+    s = df.select(*key, F.col(time_col).cast("timestamp_ntz").alias("_t"))
+    s = on_chunks(s, key, ["_t"], 1, 0, with_previous, chunk_rows)
+    t, prev, there = F.col("_t"), F.col("_prev"), F.col("_prev").isNotNull()
+    micros = F.unix_micros(t.cast("timestamp"))
+    gap = micros - F.unix_micros(prev.cast("timestamp"))
+    month = F.year("_t") * 12 + F.month("_t")
+    months = F.when(there, month - (F.year("_prev") * 12 + F.month("_prev")))
+    day = F.weekday("_prev")
+    working = (day < 5) & (F.datediff("_t", "_prev") == F.when(day == 4, 3).otherwise(1))
+    clock = F.pmod(micros, F.lit(86_400_000_000))
+    g = s.groupBy(*key).agg(
+        F.count("_prev").alias("n"), F.min(gap).alias("lo"), F.max(gap).alias("hi"), F.min(months).alias("m_lo"), F.max(months).alias("m_hi"),
+        F.bool_and(F.dayofmonth("_t") == 1).alias("first"), F.bool_and(t.cast("date") == F.last_day("_t")).alias("last"),
+        F.bool_and(F.when(there, working)).alias("working"), (F.min(clock) == F.max(clock)).alias("clock"))
+    enough = F.col("n") >= 2
+    monthly = enough & F.col("clock") & (F.col("m_lo") == F.col("m_hi")) & (F.col("m_lo") > 0) & (F.col("first") | F.col("last"))
+    even = enough & (F.col("lo") == F.col("hi")) & (F.col("lo") > 0)
+    business = enough & F.col("clock") & F.col("working") & ~even
+    return g.select(*key, F.struct(
+        F.when(monthly, F.col("m_lo")).otherwise(0).alias("months"), (monthly & F.col("last")).alias("at_end"),
+        (business & ~monthly).alias("business"), F.when(even, F.col("lo") / 1e6).otherwise(3600.0).alias("seconds")).alias("pace"))
+
+
+def _hourly() -> Column:
+    """The pace of a series with a value every hour."""
+    return F.struct(F.lit(0).alias("months"), F.lit(False).alias("at_end"), F.lit(False).alias("business"), F.lit(3600.0).alias("seconds"))
+
+
+def future_times(last: Column, pace: Column, k: Column) -> Column:
+    """FCT2: the k-th time behind the last one at the series' pace (see `_pace`)."""
+    t = last.cast("timestamp_ntz")
+    on_day = F.add_months(t, (pace["months"] * k).cast("int"))
+    day = F.when(pace["at_end"], F.last_day(on_day)).otherwise(on_day)
+    days = (k + 2 * F.floor((F.weekday(t) + k) / 5)).cast("int")
+    day = F.when(pace["months"] > 0, day).otherwise(F.date_add(t, days))
+    micros = F.unix_micros(last.cast("timestamp"))
+    calendar = F.unix_micros(day.cast("timestamp")) + F.pmod(micros, F.lit(86_400_000_000))
+    even = micros + (k * pace["seconds"] * 1e6).cast("long")
+    return F.timestamp_micros(F.when((pace["months"] > 0) | pace["business"], calendar).otherwise(even)).cast("timestamp_ntz")
 
 
 def forecast_rolling(df: DataFrame, key: Sequence[str], time_col: str, value: str,
@@ -61,14 +80,14 @@ def forecast_rolling(df: DataFrame, key: Sequence[str], time_col: str, value: st
         F.count(value).alias("_w"), F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std"),
         F.max_by(value, time_col).alias("_last"), F.min_by(value, time_col).alias("_first"),
         F.max(time_col).alias("_t"))
-    g = g.join(_step_seconds(df, key, time_col), on=list(key), how="left")
+    g = g.join(_pace(df, key, time_col), on=list(key), how="left")
     trend = (F.col("_last") - F.col("_first")) / F.col("_w")
     g = g.withColumn("_trend", trend)
-    out = g.select(*key, "_mean", "_std", "_trend", "_t", "step_s",
+    out = g.select(*key, "_mean", "_std", "_trend", "_t", "pace",
                    F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
     fc = F.col("_mean") + F.col("_trend") * F.col("step")
     return out.select(*key, F.col("step").cast("int").alias("step"),
-                      future_times(F.col("_t"), F.col("step_s"), F.col("step")).alias(time_col),
+                      future_times(F.col("_t"), F.col("pace"), F.col("step")).alias(time_col),
                       fc.alias("forecast"), (fc - 2 * F.col("_std")).alias("lower"),
                       (fc + 2 * F.col("_std")).alias("upper"))
 
@@ -123,7 +142,7 @@ def forecast_arima(df: DataFrame, key: Sequence[str], time_col: str, value: str,
         F.avg(F.col("eps") * F.col("eps")).alias("sigma2"),
         F.max_by(F.struct("y", "d", "eps"), time_col).alias("_l"), F.max(time_col).alias("_t"),
         F.max("phi").alias("phi"), F.max("theta").alias("theta"))  # constant per series
-    last = last.join(_step_seconds(df, key, time_col), on=list(key), how="left")
+    last = last.join(_pace(df, key, time_col), on=list(key), how="left")
     out = last.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
     phi, theta, k = F.col("phi"), F.col("theta"), F.col("step").cast("double")
     A = phi * F.col("_l.d") + theta * F.coalesce(F.col("_l.eps"), F.lit(0.0))
@@ -139,7 +158,7 @@ def forecast_arima(df: DataFrame, key: Sequence[str], time_col: str, value: str,
     z = NormalDist().inv_cdf(0.5 + confidence / 2.0)
     half = F.lit(z) * F.sqrt(F.col("sigma2") * cum)
     return out.select(*key, F.col("step").cast("int").alias("step"),
-                      future_times(F.col("_t"), F.col("step_s"), F.col("step")).alias(time_col),
+                      future_times(F.col("_t"), F.col("pace"), F.col("step")).alias(time_col),
                       F.col("_fc").alias("forecast"), (F.col("_fc") - half).alias("lower"),
                       (F.col("_fc") + half).alias("upper"))
 
@@ -160,7 +179,7 @@ def forecast_seasonal(df: DataFrame, key: Sequence[str], time_col: str, value: s
     sd = s.groupBy(*key).agg(F.stddev_samp(F.col("r") - F.col("season")).alias("rsd"))
     out = g.join(sd, on=list(key)).select(
         "*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
-    ft = future_times(F.col("_t"), F.lit(3600.0), F.col("step"))
+    ft = future_times(F.col("_t"), _hourly(), F.col("step"))
     out = out.withColumn(time_col, ft).withColumn("hod", F.hour(F.col(time_col).cast("timestamp")))
     out = out.join(season, on=[*key, "hod"], how="left")
     fx = F.unix_micros(F.col(time_col).cast("timestamp")) / 3.6e9

@@ -14,6 +14,7 @@ each (machine, metric) series. The same column builders serve two plans:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -225,42 +226,67 @@ def history_summary(df: DataFrame, key: Sequence[str], order: Sequence[str], tim
 
 # ------------------------------------------------------ rolling (EW11) ---
 
-Y, SUM = "decimal(20,10)", "decimal(36,10)"
-Y_LIMIT = 9.0e9  # scaled readings stop here: ten billion times the baseline's size
+def _frame_sums(df: DataFrame, key, order, at: str, metrics, history: int):
+    """Per metric, over the readings (finite numbers) of the last `history` rows: `_n_` how many, `_s_` the sum of y
+    and `_xy_` that of x * y, with x = 0.. a reading's rank and y = (reading - `_mid_`) / `_unit_` as a whole number;
+    `_cur_` is the newest reading. `at` counts rows along the series.
 
-
-def _scale(m: str) -> Column:
-    """The power of ten of a metric's baseline (1 without one), so that any unit fits the decimals."""
-    size = F.greatest(F.abs(F.col(f"{m}__mean")), F.col(f"{m}__std"))
-    return F.coalesce(F.when(size > 0, F.pow(F.lit(10.0), F.floor(F.log10(size)).cast("double"))), F.lit(1.0))
-
-
-def _frame_sums(df: DataFrame, key, order, metrics, history):
-    """Frame sums per metric over the last `history` rows: `_fc` readings there are, `_fs` rank of the
-    first of them, exact `_fy` sum(y) and `_fgy` sum(rank * y), with y the reading in units of its
-    `_u`: running sums minus the same sums `history` rows back, O(1) per row. `_cur` is the newest reading."""
+    Blocks of `history` rows: a frame is the end of one block and the beginning of the next, so its sums are a running sum
+    from the one's end, where the frame begins, and one from the other's beginning. The two blocks share a centre (the
+    first one's last reading) and a unit (10^-digits of the power of ten that covers their readings less the centre), so
+    any size of readings is held alike, and sums of longs are exact: equal readings give a slope of exactly 0."""
+    digits = int(math.floor(math.log10(4e18 / history ** 2)))
     w = series_window(key, order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = df.select("*", *[reading(m).alias(f"_r_{m}") for m in metrics], *[_scale(m).alias(f"_u_{m}") for m in metrics])
-    out = out.select("*", *[F.least(F.greatest(F.col(f"_r_{m}") / F.col(f"_u_{m}"), F.lit(-Y_LIMIT)), F.lit(Y_LIMIT))
-                            .cast(Y).alias(f"_y0_{m}") for m in metrics])
-    # greatest and least skip nulls
-    out = out.select("*", *[F.when(F.col(f"_r_{m}").isNotNull(), F.col(f"_y0_{m}")).alias(f"_y_{m}") for m in metrics])
-    out = out.select("*", *[F.count(f"_y_{m}").over(run).alias(f"_c_{m}") for m in metrics])
+    blk, by_blk = Window.partitionBy(*key, "_blk"), Window.partitionBy(*key).orderBy("_blk")
+    before, after = by_blk.rangeBetween(-1, -1), by_blk.rangeBetween(1, 1)
+    up = blk.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    down = blk.orderBy(*[F.col(o).desc_nulls_last() for o in order]).rowsBetween(Window.unboundedPreceding, 0)
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
+    finite = {m: F.when(F.abs(reading(m)) < float("inf"), reading(m)).alias(f"_r_{m}") for m in metrics}
+    out = df.select("*", F.floor(F.col(at) / history).cast("long").alias("_blk"), *finite.values())
+    stats = []
+    for m in metrics:
+        x = F.col(f"_r_{m}")
+        place = F.when(x.isNotNull(), F.col(at))
+        stats += [F.min_by(x, place).over(blk).alias(f"_first_{m}"), F.max_by(x, place).over(blk).alias(f"_last_{m}"),
+                  F.max_by(x, place).over(before).alias(f"_end_{m}"), F.last(x, ignorenulls=True).over(past).alias(f"_cur_{m}"),
+                  F.count(x).over(up).alias(f"_nc_{m}"), F.count(x).over(down).alias(f"_np_{m}")]
+        for name, part in (("here", blk), ("before", before), ("after", after)):
+            stats += [F.min(x).over(part).alias(f"_lo_{name}_{m}"), F.max(x).over(part).alias(f"_hi_{name}_{m}")]
+    out = out.select("*", *stats)
+
+    def unit(m, centre, parts):
+        far = F.greatest(*[F.abs(F.col(f"_{e}_{name}_{m}") - centre) for name in parts for e in ("lo", "hi")])
+        return F.when(far > 0, F.pow(F.lit(10.0), F.ceil(F.log10(far)).cast("double") - digits)).otherwise(1.0)
+
+    # as the second block of a frame, and as the first one of the next block's frames
+    out = out.select("*", *[F.coalesce(f"_end_{m}", f"_first_{m}").alias(f"_mid_{m}") for m in metrics])
+    out = out.select("*", *[unit(m, F.col(f"_mid_{m}"), ("before", "here")).alias(f"_unit_{m}") for m in metrics],
+                     *[unit(m, F.col(f"_last_{m}"), ("here", "after")).alias(f"_next_unit_{m}") for m in metrics])
+    whole = lambda m, centre, u: F.rint((F.col(f"_r_{m}") - F.col(centre)) / F.col(u)).cast("bigint")
+    out = out.select("*", *[whole(m, f"_mid_{m}", f"_unit_{m}").alias(f"_yc_{m}") for m in metrics],
+                     *[whole(m, f"_last_{m}", f"_next_unit_{m}").alias(f"_yp_{m}") for m in metrics])
     sums = []
     for m in metrics:
-        y = F.col(f"_y_{m}")
-        sums += [F.sum(y).over(run).cast(SUM).alias(f"_sy_{m}"),
-                 F.sum(y * (F.col(f"_c_{m}") - 1).cast("decimal(10,0)")).over(run).cast(SUM).alias(f"_sgy_{m}"),
-                 F.last(f"_r_{m}", ignorenulls=True).over(run).alias(f"_cur_{m}")]
-    out = out.select("*", *sums)
-    zero = F.lit(0).cast(SUM)
+        for c, part in (("c", up), ("p", down)):
+            y, rank = F.col(f"_y{c}_{m}"), F.col(f"_n{c}_{m}") - 1
+            sums += [F.sum(y).over(part).alias(f"_s{c}_{m}"), F.sum(y * rank).over(part).alias(f"_x{c}_{m}")]
+    # the frame's first row, if it lies in the block before; where a series begins inside that block, its first row
+    out = out.select("*", *sums, F.lag(at, history - 1).over(w).isNotNull().alias("_long"),
+                     (F.first("_blk").over(past) == F.col("_blk") - 1).alias("_begun"))
+
+    def earlier(c):
+        back = F.when(F.col("_long"), F.lag(c, history - 1).over(w)).when(F.col("_begun"), F.first(c).over(past))
+        return F.coalesce(F.when(F.col(at) % history != history - 1, back), F.lit(0))
+
+    out = out.select("*", *[earlier(f"_{c}_{m}").alias(f"_e{c}_{m}") for m in metrics for c in ("np", "sp", "xp")])
     frames = []
     for m in metrics:
-        before = F.coalesce(F.lag(f"_c_{m}", history).over(w), F.lit(0))
-        frames += [before.alias(f"_fs_{m}"), (F.col(f"_c_{m}") - before).alias(f"_fc_{m}")]
-        frames += [(F.coalesce(F.col(f"_{s}_{m}"), zero) - F.coalesce(F.lag(f"_{s}_{m}", history).over(w), zero))
-                   .alias(f"_f{s[1:]}_{m}") for s in ("sy", "sgy")]
+        n_p, s_p, x_p, n_c = (F.col(f"_{c}_{m}") for c in ("enp", "esp", "exp", "nc"))
+        s_c, x_c = F.coalesce(f"_sc_{m}", F.lit(0)), F.coalesce(f"_xc_{m}", F.lit(0))
+        # ranks of the first block count from its end
+        frames += [(n_p + n_c).alias(f"_n_{m}"), (s_p + s_c).alias(f"_s_{m}"),
+                   ((n_p - 1) * s_p - x_p + x_c + n_p * s_c).alias(f"_xy_{m}")]
     return out.select("*", *frames)
 
 
@@ -272,14 +298,10 @@ def warning_rolling(df: DataFrame, params: DataFrame, key: Sequence[str], order:
     """EW11: EW2-EW10 as of every sample (the live loop's view), wide form.
 
     For the n readings in the frame of the last `history` rows (nulls and NaN aren't readings),
-    with x = 0..n-1: Sx = n(n-1)/2, n*Sxx - Sx^2 = n^2(n^2-1)/12 and Sxy = S(rank*y) - start*S(y). The
-    slope numerator n*Sxy - Sx*Sy is formed in exact decimals of the metric's own scale, so
-    a flat frame gives a slope of exactly 0 in any unit.
+    with x = 0..n-1: Sx = n(n-1)/2 and n*Sxx - Sx^2 = n^2(n^2-1)/12; sums are those of `_frame_sums`.
 
     Cut series carry the previous `history` rows as a halo (operators.series); running sums restart
     at each chunk's halo."""
-    if history >= 10 ** 6:
-        raise ValueError("history must stay below 10^6 rows")
     stats = ["mean", "std", "warn", "crit"]
     pw = params.groupBy(*key).agg(*[F.max(F.when(F.col(M) == m, F.col(s))).alias(f"{m}__{s}")
                                     for m in metrics for s in stats])
@@ -287,28 +309,26 @@ def warning_rolling(df: DataFrame, params: DataFrame, key: Sequence[str], order:
     chunk_rows = resolve_chunk_rows(df, key, chunk_rows)
     if chunk_rows:
         j = chunked(j, key, order, history, 0, chunk_rows)
-        j = _frame_sums(j, [*key, "_chunk"], ["_g"], metrics, history)
+        j = _frame_sums(j, [*key, "_chunk"], ["_g"], "_g", metrics, history)
         j = j.filter("_own")  # halo rows only fed the frame sums
     else:
-        j = _frame_sums(j, key, order, metrics, history)
+        j = j.withColumn("_row", F.row_number().over(series_window(key, order)) - 1)
+        j = _frame_sums(j, key, order, "_row", metrics, history)
     # Materialise the per-metric line first so the prediction expressions
     # below refer to plain columns (keeps the analysed plan small).
-    j = j.select("*", *[F.col(f"_fc_{m}").cast("double").alias(f"_n_{m}") for m in metrics])
     slopes = []
     for m in metrics:
-        n, nl = F.col(f"_n_{m}"), F.col(f"_fc_{m}")
-        fy = F.col(f"_fy_{m}").cast("decimal(26,10)")
-        sxy = (F.col(f"_fgy_{m}") - fy * F.col(f"_fs_{m}").cast("decimal(11,0)")).cast("decimal(28,10)")
-        sx = (nl * (nl - 1) / 2).cast("decimal(12,0)")
-        num = nl.cast("decimal(6,0)") * sxy - sx * fy.cast("decimal(24,10)")
-        den = (n * n * (n * n - 1.0)) / 12.0
-        slopes.append(F.when(den > 0, num.cast("double") / den * F.col(f"_u_{m}")).otherwise(0.0).alias(f"_b_{m}"))
+        n = F.col(f"_n_{m}")
+        num = F.col(f"_xy_{m}").cast("decimal(19,0)") * n.cast("decimal(9,0)") \
+            - F.col(f"_s_{m}").cast("decimal(19,0)") * F.floor(n * (n - 1) / 2).cast("decimal(18,0)")
+        nd = n.cast("double")
+        den = (nd * nd * (nd * nd - 1.0)) / 12.0
+        slopes += [F.when(den > 0, num.cast("double") / den * F.col(f"_unit_{m}")).otherwise(0.0).alias(f"_b_{m}"),
+                   F.when(n > 0, F.col(f"_mid_{m}") + F.col(f"_s_{m}") / nd * F.col(f"_unit_{m}")).alias(f"_mh_{m}"),
+                   nd.alias(f"_nd_{m}")]
     j = j.select("*", *slopes)
-    total = {m: F.col(f"_fy_{m}").cast("double") * F.col(f"_u_{m}") for m in metrics}
-    j = j.select("*", *[F.when(F.col(f"_n_{m}") > 0, (total[m] - F.col(f"_b_{m}") * F.col(f"_n_{m}")
-                                                      * (F.col(f"_n_{m}") - 1) / 2) / F.col(f"_n_{m}")).alias(f"_a_{m}")
-                        for m in metrics],
-                 *[F.when(F.col(f"_n_{m}") > 0, total[m] / F.col(f"_n_{m}")).alias(f"_mh_{m}") for m in metrics])
+    j = j.drop(*[f"_n_{m}" for m in metrics]).withColumnsRenamed({f"_nd_{m}": f"_n_{m}" for m in metrics})
+    j = j.select("*", *[(F.col(f"_mh_{m}") - F.col(f"_b_{m}") * (F.col(f"_n_{m}") - 1) / 2).alias(f"_a_{m}") for m in metrics])
     ok = {m: F.col(f"_n_{m}") >= min_samples for m in metrics}
     j = add_predictions(j, [prediction_spec(
         f"_p_{m}", F.col(f"_n_{m}"), F.col(f"_b_{m}"), F.col(f"_a_{m}"), F.col(f"_cur_{m}"), F.col(f"{m}__mean"),

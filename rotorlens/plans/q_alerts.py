@@ -12,6 +12,8 @@ from ..operators import anomaly as ano
 from ..operators import baseline as bl
 from ..operators import health as hl
 from ..operators import warning as ew
+from ..operators.quantiles import exact_quantiles
+from ..session import written
 from .registry import register
 from .sql import EV_ORDER, ev_src, fit_cte, iqr_out, max_abs_z, r, stat_component, wide_cte
 
@@ -66,8 +68,8 @@ CANDS_SQL = (
     "'V' FROM sc WHERE V > 150.0)")
 
 
-def _cands_out(df):
-    return df.select("E", "T", "event_id", F.col("ord").cast("int"), "alert_type", "severity",
+def _cands_out(df, *more):
+    return df.select(*more, "E", "T", "event_id", F.col("ord").cast("int"), "alert_type", "severity",
                      "message", rnd("source_value").alias("source_value"),
                      rnd("threshold").alias("threshold"), "metric")
 
@@ -80,9 +82,11 @@ register("alert_candidates", f"WITH {SCORED_SQL}, {CANDS_SQL} SELECT {CANDS_COLS
 
 
 def kept_alerts(spark, sf):
-    """ALR7 + ALR8: cooldown of 15 minutes, then per-machine ids."""
-    kept = al.cooldown(candidates(spark, sf), COOLDOWN, "T", ["event_id", "ord"])
-    return al.assign_ids(kept, ["T", "event_id", "ord"])
+    """ALR7 + ALR8: cooldown of 15 minutes, then per-machine ids; written once for all that reads them."""
+    s = scored_events(spark, sf)
+    cands = al.candidates_one_pass(s, ["E"], ["T", "event_id"], ["V"], al.thresholds_table(spark, EV_THRESHOLDS))
+    kept = al.cooldown(cands, COOLDOWN, "T", ["event_id", "ord"])
+    return written(al.assign_ids(kept, ["T", "event_id", "ord"]), "alerts")
 
 
 KEPT_SQL = (
@@ -110,9 +114,7 @@ register("alert_cooldown_3d",
 
 register("alert_cooldown",
          f"WITH RECURSIVE {SCORED_SQL}, {CANDS_SQL}, {KEPT_SQL} SELECT alert_id, {CANDS_COLS} FROM ids")(
-    lambda spark, sf: _cands_out(kept_alerts(spark, sf)).join(
-        kept_alerts(spark, sf).select("E", "T", "event_id", "ord", "alert_id"),
-        ["E", "T", "event_id", "ord"]))
+    lambda spark, sf: _cands_out(kept_alerts(spark, sf), "alert_id"))
 
 
 def actions_for(alerts):
@@ -181,13 +183,9 @@ def q_expire_alerts(spark, sf):
     dropped; report kept and removed counts per machine."""
     m, _ = managed_alerts(spark, sf)
     as_of = m.agg(F.max("T").alias("_asof"))  # one row
-    j = m.crossJoin(as_of)
-    kept = al.expire_alerts(j, F.col("_asof"), 7)
-    tot = m.groupBy("E").agg(F.count(F.lit(1)).alias("total"))
-    k = kept.groupBy("E").agg(F.count(F.lit(1)).alias("kept"))
-    return tot.join(k, "E", "left").select(
-        "E", F.coalesce("kept", F.lit(0)).cast("bigint").alias("kept"),
-        (F.col("total") - F.coalesce("kept", F.lit(0))).cast("bigint").alias("removed"))
+    gone = al.expired(F.col("_asof"), 7)
+    return m.crossJoin(F.broadcast(as_of)).groupBy("E").agg(
+        F.count_if(~gone).cast("bigint").alias("kept"), F.count_if(gone).cast("bigint").alias("removed"))
 
 
 register("expire_alerts", f"{BASE_ALERTS}, mx AS (SELECT max(T) AS as_of_t FROM flagged) SELECT E, "

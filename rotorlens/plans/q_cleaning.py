@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..model import (E, EVENTS_ORDER as EO, LINEITEM_METRICS as LM, events_readings,
@@ -216,7 +218,12 @@ def _savgol_sql(length=11, order=3):
     def combo(weights, offs):
         return " + ".join(f"{at(o)} * {float(c)!r}" for c, o in zip(weights, offs) if c != 0.0)
 
-    cases = [f"WHEN pos >= {h} AND pos < n - {h} THEN {combo(centre, range(-h, h + 1))}"]
+    few = []  # series shorter than the window: the polynomial through all rows
+    for n in range(1, length):
+        A = np.vander(np.arange(n, dtype=float), min(order, n - 1) + 1)
+        few.append((A @ np.linalg.pinv(A)).tolist())
+    few = f"list_sum(list_transform(range(1, n + 1), lambda i: vs[i] * {few!r}[n][pos + 1][i]))"
+    cases = [f"WHEN n < {length} THEN {few}", f"WHEN pos >= {h} AND pos < n - {h} THEN {combo(centre, range(-h, h + 1))}"]
     for t in range(h):
         cases.append(f"WHEN pos = {t} THEN {combo(edge[t], [j - t for j in range(length)])}")
     for t in range(h):
@@ -224,7 +231,7 @@ def _savgol_sql(length=11, order=3):
         cases.append(f"WHEN pos = n - {h} + {t} THEN "
                      f"{combo(edge[row], [j - row for j in range(length)])}")
     return (f"WITH {ev_src()}, p AS (SELECT *, row_number() {w} - 1 AS pos, count(*) OVER "
-            f"(PARTITION BY E) AS n FROM src) SELECT E, event_id, "
+            f"(PARTITION BY E) AS n, list(V ORDER BY {EV_ORDER}) OVER (PARTITION BY E) AS vs FROM src) SELECT E, event_id, "
             f"{r('CASE ' + ' '.join(cases) + ' END')} AS V FROM p")
 
 
@@ -325,6 +332,40 @@ def _rolling_sql():
 register("rolling_features", _rolling_sql())(q_rolling_features)
 
 
+def q_rolling_features_gaps(spark, sf):
+    """ROL1-ROL8 over gaps that are longer than any frame: of 900 rows of a machine only 60 have a reading. The machines are
+    ten, so that they have many rows, and series are cut every 150."""
+    return round_doubles(rolling_features(_gappy(spark, sf), K, EO, ["V"], 10, chunk_rows=150).drop("T"))
+
+
+def _gappy(spark, sf):
+    ev = events_readings(spark, sf).select((F.col("E") % 10).alias("E"), "T", "event_id", "V")
+    w = Window.partitionBy("E").orderBy(*EO)
+    return ev.withColumn("V", F.when(F.row_number().over(w) % 900 < 60, F.col("V")))
+
+
+def _gaps_sql():
+    """The exponential mean as of the last reading, from the readings at most as many rows back as count."""
+    L, d = ema_frame_length(10), 1.0 - 2.0 / 11.0
+    w = f"PARTITION BY E ORDER BY {EV_ORDER}"
+    fr = f"({w} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
+    full = f"count(V) OVER {fr} = 10"
+    el = f"list(struct_pack(p := pos, v := V)) OVER ({w} ROWS BETWEEN {L - 1} PRECEDING AND CURRENT ROW)"
+    part = lambda v: (f"list_sum(list_transform(list_filter(el, lambda s: s.v IS NOT NULL), lambda s: pow({d!r}, pos - s.p) * {v}))")
+    return (f"WITH src0 AS (SELECT user_id % 10 AS E, ts AS T, event_id, value AS V FROM events), src1 AS (SELECT *, row_number() OVER ({w}) "
+            "AS pos FROM src0), src AS (SELECT E, T, event_id, pos, CASE WHEN pos % 900 < 60 THEN V END AS V FROM src1), "
+            f"a AS (SELECT *, CASE WHEN {full} THEN avg(V) OVER {fr} END AS rm, CASE WHEN {full} THEN stddev_samp(V) OVER {fr} END AS rs, "
+            f"CASE WHEN {full} THEN min(V) OVER {fr} END AS rmin, CASE WHEN {full} THEN max(V) OVER {fr} END AS rmax, V - lag(V) OVER ({w}) "
+            f"AS dv, last_value(V IGNORE NULLS) OVER ({w} ROWS UNBOUNDED PRECEDING) AS f, {el} AS el FROM src), "
+            f"b AS (SELECT *, lag(f) OVER ({w}) AS pf, CASE WHEN V IS NOT NULL THEN {part('s.v')} / {part('1.0')} END AS mean FROM a) "
+            f"SELECT E, event_id, {r('V')} AS V, {r('rm')} AS V_rolling_mean, {r('rs')} AS V_rolling_std, {r('rmin')} AS V_rolling_min, "
+            f"{r('rmax')} AS V_rolling_max, {r('dv')} AS V_diff, {r('CASE WHEN pf <> 0 THEN f / pf - 1.0 END')} AS V_pct_change, "
+            f"{r(f'last_value(mean IGNORE NULLS) OVER ({w} ROWS UNBOUNDED PRECEDING)')} AS V_ema, {r('(V - rm) / (rs + 1e-10)')} AS V_zscore FROM b")
+
+
+register("rolling_features_gaps", _gaps_sql())(q_rolling_features_gaps)
+
+
 def q_rolling_features_chunked(spark, sf):
     """ROL1-ROL8 through the skew-safe path: series cut into chunks of 25
     rows with a frame-long halo (tiny chunks so every series is cut many

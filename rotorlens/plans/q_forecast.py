@@ -3,6 +3,8 @@ hourly event means per event type (F5)."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..model import E, HOURLY_SQL, ORDERS_SQL, hourly_events, order_series, rnd
 from ..operators import forecast as fc
 from .registry import register
@@ -43,6 +45,25 @@ register("forecast_rolling", _rolling_sql(48) +
          f"{r('forecast + 2 * sd')} AS upper FROM fc")(q_forecast_rolling)
 
 
+def q_forecast_rolling_monthly(spark, sf):
+    """FCT1 + FCT2 on monthly revenue per priority: the times ahead are the beginnings of the next months."""
+    days = order_series(spark, sf)
+    m = days.groupBy("E", F.date_trunc("month", "T").cast("timestamp_ntz").alias("T")).agg(F.sum("V").alias("V"))
+    return _out(fc.forecast_rolling(m, K, "T", "V", 18, window=12), 3)
+
+
+register("forecast_rolling_monthly",
+         f"WITH d AS ({ORDERS_SQL}), s AS (SELECT E, date_trunc('month', T) AS T, sum(V) AS V FROM d GROUP BY 1, 2), t AS (SELECT * FROM s "
+         "QUALIFY row_number() OVER (PARTITION BY E ORDER BY T DESC) <= 12), g AS (SELECT E, count(V) AS w, avg(V) AS m, stddev_samp(V) AS "
+         "sd, arg_max(V, T) AS lastv, arg_min(V, T) AS firstv, max(T) AS lt FROM t GROUP BY E), mg AS (SELECT E, datediff('month', lag(T) OVER "
+         "(PARTITION BY E ORDER BY T), T) AS gap FROM s), mo AS (SELECT E, CASE WHEN min(gap) = max(gap) THEN min(gap) END AS months FROM mg "
+         "GROUP BY E), fc AS (SELECT E, CAST(k AS INTEGER) AS step, CAST(CASE WHEN months IS NULL THEN lt + to_hours(k) ELSE lt + "
+         "to_months(CAST(k * months AS INTEGER)) END AS TIMESTAMP) AS T, m + (lastv - firstv) / w * k AS forecast, sd FROM g JOIN mo "
+         "USING (E), range(1, 19) r(k)) "
+         f"SELECT E, step, T, {r('forecast', 3)} AS forecast, {r('forecast - 2 * sd', 3)} AS lower, {r('forecast + 2 * sd', 3)} AS upper FROM fc"
+         )(q_forecast_rolling_monthly)
+
+
 def q_forecast_arima(spark, sf):
     """FCT3: ARIMA(1,1,1) by two-stage least squares, 12 steps."""
     return _out(fc.forecast_arima(order_series(spark, sf), K, "T", "V", 12), 3)

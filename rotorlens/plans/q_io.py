@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from ..model import (E, LINEITEM_METRICS as LM, LINEITEM_ORDER as LO,
                      embedding_signals, events_readings, lineitem_features, rnd, round_doubles,
                      table)
+from ..functions.scalar import format_snapshot_ts
 from ..operators import baseline as bl
 from ..session import scratch_path
 from ..sinks import files as fs
 from ..sinks import messages as sm
 from ..sources import messages as msg
+from ..sources import snapshot_stream as ss
 from ..sources import snapshots as sn
+from ..streaming import streams as st
 from .registry import register
 from .sql import LI_ORDER, LI_METRICS, fit_cte, li_src, r
 
@@ -46,6 +49,47 @@ register("slice_snapshots", f"WITH {SNAP_SQL} SELECT s.E, snapshot, s.T, file_id
          "s.E = fi.E AND s.T = fi.T WHERE file_idx >= 5 AND file_idx < 15")(q_slice_snapshots)
 
 
+def written_snapshots(spark, sf, at):
+    """The embeddings as snapshot files: 16 lines of 4 channels each."""
+    s = embedding_signals(spark, sf)
+    t = (F.to_timestamp(F.lit(T0)) + F.make_interval(mins=F.col("snapshot") * 10)).cast("timestamp_ntz")
+    line = lambda i: F.array(*[F.get("samples", i + 16 * c) for c in range(4)])
+    ss.write_snapshots(s.select(format_snapshot_ts(t).alias("file"), F.transform(F.sequence(F.lit(0), F.lit(15)), line).alias("lines")), at)
+
+
+def _snapshot_files(rows):
+    return rows.select(F.col("T").cast("timestamp_ntz").alias("T"), "file", "channel", F.size("samples").cast("bigint").alias("n"),
+                       rnd(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+FILES_SQL = ("WITH s AS (SELECT TIMESTAMP '2004-02-12 10:32:39' + to_minutes(vec_id * 10) AS T, list_transform(embedding, "
+             "lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings) SELECT T, strftime(T, '%Y.%m.%d.%H.%M.%S') AS file, 'bearing' || c AS "
+             "channel, CAST(16 AS BIGINT) AS n, " + r("list_sum(x[16 * c - 15:16 * c])") + " AS total FROM s, range(1, 5) t(c)")
+
+
+def q_read_snapshots(spark, sf):
+    """SRC1: snapshot files, written from the embeddings and read back."""
+    at = scratch_path(spark, f"snapshots-{uuid.uuid4().hex}")
+    written_snapshots(spark, sf, at)
+    return _snapshot_files(sn.read_snapshots(spark, at))
+
+
+register("read_snapshots", FILES_SQL)(q_read_snapshots)
+
+
+def q_stream_snapshots(spark, sf):
+    """SRC4: the same files as a stream in the order of their names, a fifth of them per batch, restarted from the checkpoint
+    after every batch."""
+    at = scratch_path(spark, f"snapshot-stream-{uuid.uuid4().hex}")
+    written_snapshots(spark, sf, at + "/in")
+    files = max(1, -(-table(spark, sf, "embeddings").count() // 5))
+    st.run_in_steps(lambda: ss.stream_snapshots(spark, at + "/in", at + "/_checkpoint", files), at + "/out", at + "/_checkpoint")
+    return _snapshot_files(spark.read.parquet(at + "/out"))
+
+
+register("stream_snapshots", FILES_SQL)(q_stream_snapshots)
+
+
 def q_snapshot_at(spark, sf):
     """SRC3: the 4th snapshot of every machine, with its sample count."""
     return sn.snapshot_at(snapshots(spark, sf), 3).select(

@@ -42,20 +42,59 @@ def _ntz(df, *cols):
 
 
 def q_stream_resample(spark, sf):
-    """STR2: hourly mean value per event type, watermark 1 hour; the stream
-    emits the windows closed by the final watermark."""
+    """STR2: hourly mean value per event type, watermark 1 hour, the windows that are still open at the end included."""
     s = events_stream(spark, sf).withWatermark("T", "1 hour")
     agg = st.stream_resample(s, ["channel"], ["V"], "1 hour")
-    out = run(spark, agg, "resample")
+    at = scratch_path(spark, f"resample-{uuid.uuid4().hex}")
+    out = st.run_updates(agg, ["channel", "window_start", "window_end"], at + "/data", at + "/_checkpoint")
     return _ntz(out, "window_start", "window_end").select(
         "channel", "window_start", "window_end", rnd("V").alias("V"))
 
 
 register("stream_resample",
-         "WITH mx AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events), g AS (SELECT event_type AS "
-         "channel, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, avg(value) AS V FROM events GROUP BY "
-         "1, 2) SELECT channel, window_start, window_start + INTERVAL 1 HOUR AS window_end, round(V, 6) AS "
-         "V FROM g, mx WHERE window_start + INTERVAL 1 HOUR <= wm")(q_stream_resample)
+         "WITH g AS (SELECT event_type AS channel, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, avg(value) AS V FROM events "
+         "GROUP BY 1, 2) SELECT channel, window_start, window_start + INTERVAL 1 HOUR AS window_end, round(V, 6) AS "
+         "V FROM g")(q_stream_resample)
+
+
+def q_stream_resample_sliding(spark, sf):
+    """STR2: sums over two hours, every half hour."""
+    s = events_stream(spark, sf).withWatermark("T", "1 hour")
+    agg = st.stream_resample(s, ["channel"], ["V"], "2 hours", "30 minutes", "sum")
+    at = scratch_path(spark, f"sliding-{uuid.uuid4().hex}")
+    out = st.run_updates(agg, ["channel", "window_start", "window_end"], at + "/data", at + "/_checkpoint")
+    return _ntz(out, "window_start", "window_end").select("channel", "window_start", "window_end", rnd("V").alias("V"))
+
+
+register("stream_resample_sliding",
+         "WITH g AS (SELECT event_type AS channel, time_bucket(INTERVAL 30 MINUTE, ts) - to_minutes(30 * k) AS window_start, "
+         "sum(value) AS V FROM events, range(4) r(k) GROUP BY 1, 2) SELECT channel, window_start, window_start + INTERVAL 2 HOUR "
+         "AS window_end, round(V, 6) AS V FROM g")(q_stream_resample_sliding)
+
+# The part of the month in which an event arrives: every third one is a part late.
+ARRIVAL = "CAST(floor((dayofmonth(ts) - 1) * 4 / 31) AS INT) + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END"
+
+
+def q_late_rows(spark, sf):
+    """STR7: events that arrive in five files, some of them late; the query is stopped after two files and restarted."""
+    ev = events_readings(spark, sf).selectExpr("E", "T", "event_id", "V", ARRIVAL.replace("ts", "T") + " AS part")
+    at = scratch_path(spark, f"late-{uuid.uuid4().hex}")
+    schema = ev.schema
+    write = st.late_data_writer(at + "/out", "6 hours")
+    for parts in ((0, 1), (2, 3, 4)):
+        for p in parts:
+            ev.filter(F.col("part") == p).coalesce(1).write.mode("append").parquet(at + "/in")
+        st.run_batches(st.stream_table(spark, at + "/in", schema, files_per_trigger=1), write, at + "/_checkpoint")
+    sides = [(st.read_on_time, False), (st.read_late, True)]
+    out = [f(spark, at + "/out").select("E", "T", "event_id", F.lit(late).alias("late")) for f, late in sides]
+    return out[0].unionByName(out[1])
+
+
+register("late_rows",
+         f"WITH a AS (SELECT user_id AS E, ts AS T, event_id, {ARRIVAL} AS part FROM events), n AS (SELECT part, max(T) AS newest "
+         "FROM a GROUP BY part), s AS (SELECT part, max(newest) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 "
+         "PRECEDING) AS seen FROM n) SELECT E, T, event_id, coalesce(T < seen - INTERVAL 6 HOUR, false) AS late FROM a JOIN s "
+         "USING (part)")(q_late_rows)
 
 
 def flags(spark, sf):

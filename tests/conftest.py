@@ -14,7 +14,7 @@ SF_MID = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from rotorlens.session import get_session
-    s = get_session("local[4]", 8, app_name="rotorlens-tests")
+    s = get_session("local[4]", 4, app_name="rotorlens-tests")
     s.sparkContext.setLogLevel("ERROR")
     if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rotorlens-test-ckpt-"))
