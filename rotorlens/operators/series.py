@@ -55,12 +55,15 @@ def series_index(df: DataFrame, key: Sequence[str], order: Sequence[str], out: s
 
 
 def chunked(df: DataFrame, key: Sequence[str], order: Sequence[str], back: int, fwd: int = 0,
-            chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+            chunk_rows: int = CHUNK_ROWS, in_series: bool = False) -> DataFrame:
     """Rows with their position `_g` in the whole sorted table, `_chunk` and `_own`, with halo copies so that a frame of
     `back` preceding and `fwd` following rows is complete for every owned row inside its (key, _chunk)
-    partition. Positions of a series are consecutive, but don't begin at 0."""
+    partition. Positions of a series are consecutive, but begin at 0 only with `in_series`, which takes another join."""
     g = with_global_position(sorted_table(df, [*key, *order], "chunks"), "_g")
     C = int(chunk_rows)
+    if in_series:
+        first = g.groupBy(*key).agg(F.min("_g").alias("_first_"))
+        g = join_on(g, first, key).withColumn("_g", F.col("_g") - F.col("_first_")).drop("_first_")
     # chunk c needs the rows from c*C - back to c*C + C-1 + fwd
     first = F.greatest(F.lit(0), F.ceil((F.col("_g") - fwd - (C - 1)) / C)).cast("long")
     last = F.floor((F.col("_g") + back) / C).cast("long")

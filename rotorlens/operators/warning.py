@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import reading
 from ..model import M, V, series_window, to_long
 from .baseline import tail_rows
-from .series import chunked, resolve_chunk_rows
+from .series import chunked, join_on, resolve_chunk_rows
 
 # Fixed values of the model.
 HORIZONS = [2, 6, 12, 24, 48]          # hours ahead
@@ -300,15 +300,44 @@ def warning_rolling(df: DataFrame, params: DataFrame, key: Sequence[str], order:
     For the n readings in the frame of the last `history` rows (nulls and NaN aren't readings),
     with x = 0..n-1: Sx = n(n-1)/2 and n*Sxx - Sx^2 = n^2(n^2-1)/12; sums are those of `_frame_sums`.
 
-    Cut series carry the previous `history` rows as a halo (operators.series); running sums restart
-    at each chunk's halo."""
+    Cut series (operators.series) are cut between blocks and carry the block before as a halo."""
     stats = ["mean", "std", "warn", "crit"]
+    chunk_rows = resolve_chunk_rows(df, key, chunk_rows)
+    settings = (history, min_samples, horizons, confidence_threshold, chunk_rows)
+    if len(metrics) > WIDE_METRICS:
+        return _warning_of_many(df, params, key, order, metrics, settings)
     pw = params.groupBy(*key).agg(*[F.max(F.when(F.col(M) == m, F.col(s))).alias(f"{m}__{s}")
                                     for m in metrics for s in stats])
-    j = df.join(pw, on=list(key), how="left")
-    chunk_rows = resolve_chunk_rows(df, key, chunk_rows)
+    j = _lines(df.join(pw, on=list(key), how="left"), key, order, metrics, {m: F.lit(m) for m in metrics}, *settings)
+    out = _combined(j, *[F.array(*[F.col(f"_{c}_{m}") for m in metrics]) for c in ("p", "deg", "rul", "n")], min_samples)
+    drop = [c for c in out.columns if c.startswith("_") or "__" in c]
+    return out.drop(*drop)
+
+
+#: more metrics than this are taken one per row, which keeps the plan small
+WIDE_METRICS = 12
+
+
+def _warning_of_many(df: DataFrame, params: DataFrame, key, order, metrics, settings) -> DataFrame:
+    """The same with a row per sample and metric, gathered again per sample (at most one row per metric)."""
+    place = F.array_position(F.array(*[F.lit(m) for m in metrics]), F.col(M))
+    long = df.select(*key, F.struct(*order).alias("_o"), *[F.col(m).cast("double").alias(m) for m in metrics]) \
+        .unpivot([*key, "_o"], list(metrics), M, "v")
+    fitted = params.select(*key, M, *[F.col(s).alias(f"v__{s}") for s in ("mean", "std", "warn", "crit")])
+    j = _lines(join_on(long, fitted, [*key, M], "left"), [*key, M], ["_o"], ["v"], {"v": F.col(M)}, *settings)
+    per = j.groupBy(*key, "_o").agg(F.array_sort(F.collect_list(F.struct(
+        place.alias("i"), F.col("_p_v").alias("p"), F.col("_deg_v").alias("deg"), F.col("_rul_v").alias("rul"), F.col("_n_v").alias("n")))).alias("_all"))
+    back = join_on(df.withColumn("_o", F.struct(*order)), per, [*key, "_o"], "left")
+    out = _combined(back, *[F.col(f"_all.{c}") for c in ("p", "deg", "rul", "n")], settings[1])
+    return out.drop("_o", "_all")
+
+
+def _lines(j: DataFrame, key, order, metrics, names, history, min_samples, horizons, confidence_threshold, chunk_rows) -> DataFrame:
+    """Adds per metric its prediction `_p_`, `_deg_` (degradation rate), `_rul_` (remaining life) and `_n_` (readings).
+    `j` holds each metric's baseline as `<m>__mean` and so on."""
     if chunk_rows:
-        j = chunked(j, key, order, history, 0, chunk_rows)
+        # whole blocks, at their places in the series, so that sums and units are those of the uncut series
+        j = chunked(j, key, order, 2 * history, 0, -(-chunk_rows // history) * history, in_series=True)
         j = _frame_sums(j, [*key, "_chunk"], ["_g"], "_g", metrics, history)
         j = j.filter("_own")  # halo rows only fed the frame sums
     else:
@@ -332,23 +361,24 @@ def warning_rolling(df: DataFrame, params: DataFrame, key: Sequence[str], order:
     ok = {m: F.col(f"_n_{m}") >= min_samples for m in metrics}
     j = add_predictions(j, [prediction_spec(
         f"_p_{m}", F.col(f"_n_{m}"), F.col(f"_b_{m}"), F.col(f"_a_{m}"), F.col(f"_cur_{m}"), F.col(f"{m}__mean"),
-        F.col(f"{m}__std"), F.col(f"{m}__warn"), F.lit(m), ok[m], horizons, confidence_threshold)
+        F.col(f"{m}__std"), F.col(f"{m}__warn"), names[m], ok[m], horizons, confidence_threshold)
         for m in metrics])
-    degs = [F.when(ok[m], degradation_rate(F.col(f"_n_{m}"), F.col(f"_b_{m}"), F.col(f"_mh_{m}"))) for m in metrics]
+    degs = [F.when(ok[m], degradation_rate(F.col(f"_n_{m}"), F.col(f"_b_{m}"), F.col(f"_mh_{m}"))).alias(f"_deg_{m}") for m in metrics]
     ruls = [F.when(ok[m], remaining_life(F.col(f"_n_{m}"), F.col(f"_b_{m}"), F.col(f"_a_{m}"), F.col(f"_cur_{m}"),
-                                         F.col(f"{m}__crit"))) for m in metrics]
-    enough = F.array_max(F.array(*[F.col(f"_n_{m}") for m in metrics])) >= min_samples
-    plist = F.filter(F.array(*[F.col(f"_p_{m}") for m in metrics]), lambda p: p.isNotNull())
-    dl = F.filter(F.array(*degs), lambda d: d.isNotNull())
+                                         F.col(f"{m}__crit"))).alias(f"_rul_{m}") for m in metrics]
+    return j.select("*", *degs, *ruls)
+
+
+def _combined(j: DataFrame, preds: Column, degs: Column, ruls: Column, ns: Column, min_samples: int) -> DataFrame:
+    """A sample's warning from arrays with an entry per metric."""
+    dl = F.filter(degs, lambda d: d.isNotNull())
     avg_deg = F.when(F.size(dl) > 0, F.aggregate(dl, F.lit(0.0), lambda a, x: a + x) / F.size(dl))
-    out = j.select("*", plist.alias("predictions"), avg_deg.alias("degradation_rate"),
-                   F.array_min(F.array(*ruls)).alias("remaining_useful_life_hours"))
-    out = out.select(
+    out = j.select("*", F.filter(preds, lambda p: p.isNotNull()).alias("predictions"), avg_deg.alias("degradation_rate"),
+                   F.array_min(ruls).alias("remaining_useful_life_hours"), (F.array_max(ns) >= min_samples).alias("_enough"))
+    return out.select(
         "*", (F.size("predictions") > 0).alias("has_warning"),
         F.array_min(F.transform("predictions", lambda p: p["predicted_time_hours"]))
         .alias("earliest_anomaly_hours"),
-        F.when(enough, risk_score(F.col("predictions"), F.col("degradation_rate"),
-                                  F.col("remaining_useful_life_hours"))).otherwise(0.0)
-        .alias("overall_risk_score"))
-    drop = [c for c in out.columns if c.startswith("_") or "__" in c]
-    return out.drop(*drop)
+        F.when(F.col("_enough"), risk_score(F.col("predictions"), F.col("degradation_rate"),
+                                            F.col("remaining_useful_life_hours"))).otherwise(0.0)
+        .alias("overall_risk_score")).drop("_enough")

@@ -19,7 +19,10 @@ from ..operators import alerts as al
 from ..operators import anomaly as ano
 from ..operators import baseline as bl
 from ..operators import health as hl
+from ..operators import signals as sg
 from ..operators import warning as ew
+from ..operators.series import join_on
+from ..session import written
 
 
 def fit_all(df: DataFrame, key: Sequence[str], order: Sequence[str], metrics: Sequence[str],
@@ -61,6 +64,23 @@ def pipeline_alerts(samples: DataFrame, key: Sequence[str], order: Sequence[str]
     return al.assign_ids(kept, [time_col, *seq])
 
 
+def batch_analysis(signals: DataFrame, key: Sequence[str], order: Sequence[str], thresholds: DataFrame, n: int = 100,
+                   samples: str = "samples", rate: float = sg.SAMPLING_RATE, alert_metrics: Sequence[str] | None = None,
+                   chunk_rows="auto") -> DataFrame:
+    """PIP2: the whole flow over stored snapshots: all features of each, the baseline of each machine's first `n`, then per
+    snapshot what `process_samples` gives, and `n_alerts`, the candidates it raises (thresholds are looked up for
+    `alert_metrics`, by default for all features)."""
+    features = written(sg.all_features(signals, samples, rate).drop(samples), "features")
+    known = set(signals.columns)
+    metrics = [f.name for f in features.schema.fields if f.name not in known]
+    features = features.withColumns({m: F.col(m).cast("double") for m in metrics})
+    params = fit_all(features, key, order, metrics, n=n)
+    scored = written(process_samples(features, params, key, order, metrics, chunk_rows=chunk_rows), "samples")
+    raised = al.candidates_one_pass(scored, key, order, alert_metrics or metrics, thresholds).groupBy(*key, *order).agg(F.count(F.lit(1)).alias("n_alerts"))
+    out = join_on(scored, raised, [*key, *order], "left")
+    return out.withColumn("n_alerts", F.coalesce("n_alerts", F.lit(0)).cast("bigint"))
+
+
 def latest_state(samples: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """PIP4: the newest sample's health, status and flags per machine
     (max_by over the order struct: a partial aggregate, no sort)."""

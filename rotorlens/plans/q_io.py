@@ -268,18 +268,14 @@ register("health_messages", _health_msg_sql())(q_health_messages)
 
 
 def q_batch_analysis(spark, sf):
-    """PIP2: snapshots [0, 40) of every machine -> time features -> baseline
-    on the first 20 -> anomaly votes and health per snapshot (rows-only;
-    each step has its own oracle)."""
-    from ..operators import signals as sg
+    """PIP2: every snapshot of every machine -> all features -> baseline on the first 20 -> per snapshot the votes, health
+    and early warning, and the number of alerts it raised (each step has its own SQL)."""
+    from ..operators import alerts as al
     from . import pipeline as pl
-    s = sn.slice_snapshots(snapshots(spark, sf), 0, 40)
-    mets = ["rms", "kurtosis", "peak_to_peak", "energy"]
-    tf = sg.time_domain(s).select("E", "T", "snapshot", "file_idx", *mets)
-    p = bl.fit_baseline(tf, K, ["T"], mets, n=20)
-    out = pl.process_samples(tf, p, K, ["T"], mets, with_warning=False)
-    return out.select("E", "file_idx", "T", "is_anomaly", rnd("health_score").alias("health_score"),
-                      "status")
+    s = snapshots(spark, sf)
+    t = pl.batch_analysis(s, K, ["T"], al.thresholds_table(spark), n=20, rate=20_000.0, alert_metrics=["rms", "kurtosis"])
+    return t.select("E", "T", "is_anomaly", rnd("health_score").alias("health_score"), "status", "has_warning",
+                    rnd("overall_risk_score").alias("overall_risk_score"), "n_alerts")
 
 
 register("batch_analysis")(q_batch_analysis)

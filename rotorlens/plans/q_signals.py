@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..model import EMBED_SQL, embedding_signals, round_doubles
 from ..operators import signals as sg
-from .registry import register
+from .registry import ORACLES, register
 from .sql import r
 
 CHANNELS = [f"bearing{i}" for i in range(1, 5)]
@@ -101,12 +101,27 @@ register("frequency_features", _freq_sql())(q_frequency_features)
 
 
 def q_envelope_features(spark, sf):
-    """SIG22-SIG24 (no SQL twin: checked against NumPy in the tests)."""
+    """SIG22-SIG24."""
     s = embedding_signals(spark, sf)
     return round_doubles(sg.envelope_domain(s, rate=RATE).drop("samples"))
 
 
-register("envelope_features")(q_envelope_features)
+def _envelope_sql():
+    """The imaginary part of the analytic signal of an even number of samples by its kernel in time, 2/n * cot(pi * m / n) at
+    odd distances m; then the spectrum of the envelope by its definition."""
+    return (f"WITH s AS ({EMBED_SQL}), u AS (SELECT E, snapshot, len(samples) AS n, unnest(samples) AS x, generate_subscripts(samples, 1) - 1 "
+            "AS j FROM s), v AS (SELECT a.E, a.snapshot, a.n, a.j, sqrt(pow(any_value(a.x), 2) + pow(sum(CASE WHEN abs(a.j - b.j) % 2 = 1 THEN "
+            "b.x * 2 / a.n / tan(pi() * (a.j - b.j) / a.n) ELSE 0.0 END), 2)) AS x FROM u a JOIN u b ON a.snapshot = b.snapshot GROUP BY ALL), "
+            "k AS (SELECT snapshot, unnest(range(1, (len(samples) - 1) // 2 + 1)) AS k FROM s), "
+            "d AS (SELECT v.E, v.snapshot, v.n, k.k, sqrt(pow(sum(x * cos(2 * pi() * j * k.k / n)), 2) + pow(sum(x * sin(2 * pi() * j * k.k "
+            "/ n)), 2)) AS mag FROM v JOIN k USING (snapshot) GROUP BY v.E, v.snapshot, v.n, k.k), "
+            "m AS (SELECT E, snapshot, avg(x) AS mean, stddev_pop(x) AS std, max(x) AS max, sqrt(avg(x * x)) AS rms FROM v GROUP BY ALL), "
+            f"p AS (SELECT E, snapshot, arg_max(k, mag) * {float(RATE)!r} / any_value(n) AS f, sum(mag * mag) AS tot FROM d GROUP BY ALL) "
+            f"SELECT E, snapshot, {r('mean')} AS envelope_mean, {r('std')} AS envelope_std, {r('max')} AS envelope_max, {r('rms')} AS "
+            f"envelope_rms, {r('f')} AS envelope_dominant_freq, {r('tot')} AS envelope_total_power FROM m JOIN p USING (E, snapshot)")
+
+
+register("envelope_features", _envelope_sql())(q_envelope_features)
 
 
 def q_all_features(spark, sf):
@@ -115,7 +130,8 @@ def q_all_features(spark, sf):
     return round_doubles(sg.all_features(s, rate=RATE).drop("samples"))
 
 
-register("all_features")(q_all_features)
+register("all_features", f"SELECT * FROM ({ORACLES['time_features']}) JOIN ({ORACLES['frequency_features']}) USING (E, snapshot) JOIN "
+         f"({ORACLES['envelope_features']}) USING (E, snapshot)")(q_all_features)
 
 
 MC_FEATS = ["rms", "kurtosis", "peak_to_peak", "mean", "std"]
