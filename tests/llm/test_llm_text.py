@@ -220,6 +220,28 @@ def test_repeated_rows_link_in_block_pairs(spark, monkeypatch):
     assert len(got) == df.count() and all(r["component_id"] == comp[r["doc_id"]] for r in got)
 
 
+@pytest.mark.parametrize("long", [256, 10])
+def test_near_copies_of_a_short_text(spark, monkeypatch, long):
+    """Links come out of a large group as a forest, whether or not its sets are known there."""
+    dealt = jaccard._dealt
+    monkeypatch.setattr(jaccard, "_dealt", lambda home: dealt(home).limit(0))
+    monkeypatch.setattr(jaccard, "BLOCK", 100)
+    monkeypatch.setattr(jaccard, "LONG", long)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(350):
+        w = list(base)
+        for _ in range(rng.randrange(1, 3)):
+            w[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(w))
+    _, comp = near_components(texts)
+    rows, found = jaccard.link_documents(frame(spark, texts))
+    assert {r["doc_id"]: r["component_id"] for r in rows.collect()} == dict(enumerate(comp))
+    if long == 256:
+        assert found.count() < 2 * len(texts)
+
+
 def test_encoder_equals_tokenizer():
     enc = Encoder(packing.default_tokenizer())
     texts = ["", None, "it's a DON'T ''s x<|endoftext|>y", "Ünïcode ÀÉ × ÷ 12½ ²", "日本語 テスト İstanbul", "a\x0bb\x1cc", "'re'll 'x ''",
