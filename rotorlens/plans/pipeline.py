@@ -68,14 +68,15 @@ def batch_analysis(signals: DataFrame, key: Sequence[str], order: Sequence[str],
                    samples: str = "samples", rate: float = sg.SAMPLING_RATE, alert_metrics: Sequence[str] | None = None,
                    chunk_rows="auto") -> DataFrame:
     """PIP2: the whole flow over stored snapshots: all features of each, the baseline of each machine's first `n`, then per
-    snapshot what `process_samples` gives, and `n_alerts`, the candidates it raises (thresholds are looked up for
-    `alert_metrics`, by default for all features)."""
+    snapshot what `process_samples` gives, and `n_alerts`, the candidates it raises. Early warnings and thresholds
+    are those of `alert_metrics`, by default all features."""
     features = written(sg.all_features(signals, samples, rate).drop(samples), "features")
     known = set(signals.columns)
     metrics = [f.name for f in features.schema.fields if f.name not in known]
     features = features.withColumns({m: F.col(m).cast("double") for m in metrics})
     params = fit_all(features, key, order, metrics, n=n)
-    scored = written(process_samples(features, params, key, order, metrics, chunk_rows=chunk_rows), "samples")
+    scored = written(process_samples(features, params, key, order, metrics, with_warning=False), "scores")
+    scored = written(ew.warning_rolling(scored, params, key, order, alert_metrics or metrics, chunk_rows=chunk_rows), "samples")
     raised = al.candidates_one_pass(scored, key, order, alert_metrics or metrics, thresholds).groupBy(*key, *order).agg(F.count(F.lit(1)).alias("n_alerts"))
     out = join_on(scored, raised, [*key, *order], "left")
     return out.withColumn("n_alerts", F.coalesce("n_alerts", F.lit(0)).cast("bigint"))

@@ -85,7 +85,7 @@ def kept_alerts(spark, sf):
     """ALR7 + ALR8: cooldown of 15 minutes, then per-machine ids; written once for all that reads them."""
     s = scored_events(spark, sf)
     cands = al.candidates_one_pass(s, ["E"], ["T", "event_id"], ["V"], al.thresholds_table(spark, EV_THRESHOLDS))
-    kept = al.cooldown(cands, COOLDOWN, "T", ["event_id", "ord"])
+    kept = written(al.cooldown(written(cands, "candidates"), COOLDOWN, "T", ["event_id", "ord"]), "kept")
     return written(al.assign_ids(kept, ["T", "event_id", "ord"]), "alerts")
 
 

@@ -94,16 +94,3 @@ def test_pipeline_chunked_equals_plain(spark):
     y = pl.pipeline_alerts(s, ["E"], LINEITEM_ORDER, LINEITEM_METRICS, th, 2880, chunk_rows=50)
     assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
 
-
-def test_many_metrics_give_the_same_warnings(spark, monkeypatch):
-    from conftest import SF_SMALL
-    from rotorlens.model import LINEITEM_METRICS, LINEITEM_ORDER, lineitem_features
-    f = lineitem_features(spark, SF_SMALL)
-    p = bl.fit_baseline(f, ["E"], LINEITEM_ORDER, LINEITEM_METRICS, n=100)
-    out = []
-    for wide in (12, 2):
-        monkeypatch.setattr(ew, "WIDE_METRICS", wide)
-        w = ew.warning_rolling(f, p, ["E"], LINEITEM_ORDER, LINEITEM_METRICS, history=60)
-        out.append(sorted(str(r) for r in w.select(*f.columns, "predictions", "degradation_rate", "has_warning", "remaining_useful_life_hours",
-                                                   "overall_risk_score").collect()))
-    assert out[0] == out[1]

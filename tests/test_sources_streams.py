@@ -1,4 +1,4 @@
-"""Snapshot streams, late rows and open windows over restarts; topics; steps of the calendar; readings of any size."""
+"""Snapshot streams, late rows and open windows over restarts; topics; steps of the calendar."""
 
 import os
 import random
@@ -10,9 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rotorlens.operators import baseline as bl
 from rotorlens.operators import forecast as fc
-from rotorlens.operators import warning as ew
 from rotorlens.sources import messages as msg
 from rotorlens.sources import snapshot_stream as ss
 from rotorlens.sources import snapshots as sn
@@ -115,37 +113,3 @@ def test_times_without_a_step_go_on_hourly(spark):
         out = fc.forecast_rolling(df, ["E"], "T", "v", 2, window=3).orderBy("step").collect()
         assert [r["T"] for r in out] == [max(r[1] for r in rows) + timedelta(hours=h) for h in (1, 2)]
 
-
-@pytest.mark.parametrize("unit", [1.0, 1e-9, 1e13])
-def test_rolling_warning_of_any_size(spark, unit):
-    rng = np.random.default_rng(3)
-    v = rng.normal(size=400).round(2) + np.linspace(0, 3, 400).round(2)
-    v[60:90] = 5.25                    # flat frames
-    v[200] = 1e12                      # far above the baseline
-    v[[10, 300, 301]] = np.nan
-    rows = [(1, i, None if i == 11 else float(x * unit)) for i, x in enumerate(v)]
-    df = spark.createDataFrame(rows, "E long, i long, v double")
-    params = bl.fit_baseline(df, ["E"], ["i"], ["v"], n=50)
-    h = 20
-    plain, cut = (ew._frame_sums(d, k, o, at, ["v"], h).select("i", "_n_v", "_mid_v", "_s_v", "_xy_v", "_unit_v").orderBy("i").collect()
-                  for d, k, o, at in ((df.withColumn("a", F.col("i")), ["E"], ["i"], "a"), (df.withColumn("a", F.col("i") + 13), ["E"], ["i"], "a")))
-    values = [x for _, _, x in rows]
-    for r, c in zip(plain, cut):
-        frame = np.array([x for x in values[max(0, r["i"] - h + 1):r["i"] + 1] if x is not None and np.isfinite(x)])
-        for got in (r, c):
-            assert got["_n_v"] == len(frame)
-            if len(frame) < 2:
-                continue
-            n, y = got["_n_v"], got["_s_v"] * got["_unit_v"]
-            slope = (n * got["_xy_v"] - n * (n - 1) // 2 * got["_s_v"]) / (n * n * (n * n - 1) / 12) * got["_unit_v"]
-            want = np.polyfit(np.arange(n) - (n - 1) / 2, frame / np.abs(frame).max(), 1)[0] * np.abs(frame).max()
-            assert abs(slope - want) <= 1e-9 * np.ptp(frame) + 1e-15 * np.abs(frame).max() * n
-            if np.ptp(frame) == 0:
-                assert slope == 0.0
-            assert abs(got["_mid_v"] + y / n - frame.mean()) <= 1e-12 * np.abs(frame).max()
-    out = [ew.warning_rolling(df, params, ["E"], ["i"], ["v"], history=h, chunk_rows=c).select("i", "degradation_rate", "has_warning")
-           .orderBy("i").collect() for c in (None, 37)]
-    for a, b in zip(*out):
-        assert a["has_warning"] == b["has_warning"]
-        assert (a["degradation_rate"] is None) == (b["degradation_rate"] is None)
-        assert a["degradation_rate"] is None or abs(a["degradation_rate"] - b["degradation_rate"]) <= 1e-9 * (1 + abs(a["degradation_rate"]))
