@@ -1,4 +1,4 @@
-"""Streaming queries (STR2-STR6): each runs a Structured Streaming job over
+"""Streaming queries (STR2-STR8, SNK6, PIP6): each runs a Structured Streaming job over
 the events table (file source, trigger availableNow) into a Parquet table in
 the shared scratch folder, and returns that table. Oracles are the batch
 twins in SQL."""
@@ -9,13 +9,17 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..model import E, EVENTS_ORDER as EO, events_readings, rnd
+from ..model import E, EVENTS_ORDER as EO, LINEITEM_METRICS as LM, LINEITEM_ORDER as LO, events_readings, lineitem_features, rnd
 from ..operators import alerts as al
 from ..operators import baseline as bl
-from ..session import scratch_path
+from ..session import scratch_path, written
+from ..sinks.messages import to_alert_messages
+from ..streaming import batches as sb
 from ..streaming import streams as st
+from . import pipeline as pl, q_io  # noqa: F401 (registers alert_messages)
 from .q_alerts import CANDS_SQL, EV_THRESHOLDS, KEPT_SQL, SCORED_SQL, WEAR_SQL, wear_events
-from .registry import register
+from .q_monitor import PIPE_THRESHOLDS
+from .registry import ORACLES, register
 from .sql import EV_ORDER, ev_src, fit_cte, iqr_out, max_abs_z, wide_cte
 
 K = [E]
@@ -219,3 +223,97 @@ def _stream_ew_sql():
 
 
 register("stream_early_warning", _stream_ew_sql())(q_stream_early_warning)
+
+
+# ------------------------------------------- stateful micro-batches (batches.py) --
+
+def in_parts(spark, rows, part, parts, step, name, **kw):
+    """Rows that arrive part after part (`part` says when); after each part the query is stopped, and restarted for the
+    next. Returns the folder of the results."""
+    at = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    write = sb.stateful_writer(spark, at + "/out", step, **kw)
+    for p in range(parts):
+        rows.filter(part == p).write.mode("append").parquet(at + "/in")
+        st.run_batches(st.stream_table(spark, at + "/in", rows.schema), write, at + "/_checkpoint")
+    return at + "/out"
+
+
+QUARTER = "CAST(floor((dayofmonth(T) - 1) * 4 / 31) AS INT)"  # the part of the month
+
+
+def q_live_monitor(spark, sf):
+    """STR4, STR8: the rolling anomaly rate over four micro-batches with a restart before each; every 50th event is a reset
+    row instead of a reading."""
+    ev = events_readings(spark, sf)
+    p = bl.fit_baseline(ev, K, EO, ["V"], n=30)
+    voted = st.stream_anomaly_flags(ev, p, K, ["V"]).select("E", "T", "event_id", "ensemble_prediction").withColumn(
+        "op", F.expr("CASE WHEN event_id % 50 = 7 THEN 'reset' END"))
+    out = in_parts(spark, voted, F.expr(QUARTER), 4, sb.monitor_step(order=EO), "live-monitor")
+    return sb.read_results(spark, out, "monitor").select(
+        "E", "T", "event_id", rnd("window_anomaly_rate").alias("window_anomaly_rate"), "alert", "alert_level")
+
+
+register("live_monitor",
+         f"WITH {FLAGS_SQL}, s AS (SELECT *, sum(CASE WHEN event_id % 50 = 7 THEN 1 ELSE 0 END) OVER (PARTITION BY E ORDER BY T, "
+         "event_id ROWS UNBOUNDED PRECEDING) AS seg FROM fl), w AS (SELECT *, avg(CASE WHEN zv + iv < 0 THEN 1.0 ELSE 0.0 END) "
+         "OVER (PARTITION BY E, seg ORDER BY T, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS rate FROM s WHERE "
+         "event_id % 50 <> 7) SELECT E, T, event_id, round(rate, 6) AS window_anomaly_rate, rate >= 0.5 AS alert, CASE WHEN "
+         "rate >= 0.8 THEN 'critical' WHEN rate >= 0.5 THEN 'warning' WHEN rate >= 0.2 THEN 'info' ELSE 'normal' END AS "
+         "alert_level FROM w")(q_live_monitor)
+
+
+def q_live_early_warning(spark, sf):
+    """STR6: early warning as of every reading of the degrading series over four micro-batches with a restart before each."""
+    ev = wear_events(spark, sf).select("E", "T", "event_id", "V")
+    p = written(bl.fit_baseline(ev, K, EO, ["V"], n=30), "params")
+    out = in_parts(spark, written(ev, "wear"), F.expr(QUARTER), 4, sb.early_warning_step(p, ["V"], order=EO), "live-warning")
+    return sb.read_results(spark, out, "warnings").select(
+        "E", "T", "event_id", "has_warning", rnd("earliest_anomaly_hours").alias("earliest_anomaly_hours"),
+        rnd("overall_risk_score").alias("overall_risk_score"))
+
+
+register("live_early_warning",
+         f"SELECT E, T, event_id, has_warning, earliest_anomaly_hours, overall_risk_score FROM ({_stream_ew_sql()})")(
+    q_live_early_warning)
+
+YEAR_PART = "greatest(0, least(2, CAST(floor((year(T) - 1992) / 3) AS INT)))"
+
+
+def live_alerts_folder(spark, sf, callbacks=()):
+    f = lineitem_features(spark, sf)
+    p = written(bl.fit_baseline(f, K, LO, LM, n=100), "params")
+    th = al.thresholds_table(spark, [(m, w, c, False) for m, w, c in PIPE_THRESHOLDS])
+    step = sb.live_step(p, LM, th, minutes=2 * 24 * 60, order=LO, callbacks=callbacks)
+    return in_parts(spark, f, F.expr(YEAR_PART), 3, step, "live-alerts")
+
+
+def q_live_alerts(spark, sf):
+    """PIP6 with STR5 and STR6: the whole live flow over three micro-batches with a restart before each, early warnings
+    included; gives what `pipeline_alerts` gives."""
+    return sb.read_results(spark, live_alerts_folder(spark, sf), "alerts").select(
+        "alert_id", "E", "T", "alert_type", "severity", "message")
+
+
+register("live_alerts", ORACLES["pipeline_alerts"])(q_live_alerts)
+
+
+def q_notified_alerts(spark, sf):
+    """SNK6: each batch of kept alerts goes to two callbacks; the first one fails every time, the second still writes its
+    messages, under the batch's number."""
+    box = scratch_path(spark, f"outbox-{uuid.uuid4().hex}")
+
+    def broken(batch, epoch):
+        raise ValueError("no such receiver")
+
+    def outbox(batch, epoch):
+        to_alert_messages(batch).write.mode("overwrite").parquet(f"{box}/epoch={epoch}")
+
+    ev = events_readings(spark, sf)
+    p = bl.fit_baseline(ev, K, EO, ["V"], n=30)
+    scored = pl.process_samples(ev, p, K, EO, ["V"], with_warning=False)
+    cands = written(al.candidates_one_pass(scored, K, EO, ["V"], al.thresholds_table(spark, EV_THRESHOLDS), preds_col=None), "cands")
+    in_parts(spark, cands, F.expr(QUARTER), 4, sb.cooldown_step(order=EO, callbacks=[broken, outbox]), "notified")
+    return spark.read.parquet(box).select("topic", "payload")
+
+
+register("notified_alerts", ORACLES["alert_messages"])(q_notified_alerts)
