@@ -9,7 +9,8 @@ Kinds `email ip card phone` are reported whenever their validator holds; the sco
 further kinds `iban` and `national_id` must also reach `MIN_SCORE`.
 
 Defined results: null texts have no spans; repeated rows and null ids are judged each for itself;
-other columns are untouched (result columns get fresh names).
+other columns are untouched (result columns get fresh names); an empty table gives an empty one. Very long texts
+are judged whole.
 """
 
 from __future__ import annotations
@@ -97,34 +98,44 @@ def valid(kind: str, m: Column) -> Column:
 
 
 def _spans(text: Column, kind: Kind) -> Column:
-    """Confirmed spans of one kind, in order."""
+    """Confirmed spans of one kind, in order: about n log n steps for n matches."""
     pat = F.lit(kind.pattern)
     has = text.contains(kind.hint) if kind.hint else F.lit(True)
     none = F.array().cast(f"array<{SPAN}>")
     found = F.when(has, F.regexp_extract_all(text, pat, F.lit(0)))
     pieces = F.when(F.size(found) > 0, F.struct(found.alias("m"), F.split(text, kind.pattern, -1).alias("gap")))
 
-    def step(p: Column):
-        def run(acc: Column, i: Column) -> Column:
+    def spans(p: Column, starts: Column) -> Column:
+        def one(i: Column) -> Column:
             m, before, after = p["m"][i], p["gap"][i], p["gap"][i + 1]
-            start = acc["at"] + F.length(before)
-            end = start + F.length(m)
             near = F.lower(F.concat_ws(" ", F.substring(before, -CONTEXT_CHARS, CONTEXT_CHARS),
                                        F.substring(after, 1, CONTEXT_CHARS)))
             score = F.lit(kind.base) + F.when(near.rlike("|".join(kind.words)), CONTEXT_GAIN).otherwise(0.0)
             score = F.least(score, F.lit(1.0))
-            span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"),
+            span = F.struct(F.lit(kind.name).alias("kind"), starts[i].alias("start"), (starts[i] + F.length(m)).alias("end"),
                             score.alias("score"), m.alias("value")).cast(SPAN)
             ok = valid(kind.name, m) if kind.always else valid(kind.name, m) & (score >= MIN_SCORE)
-            return F.struct(end.alias("at"), F.when(ok, F.concat(acc["out"], F.array(span)))
-                            .otherwise(acc["out"]).alias("out"))
-        return run
+            return F.when(ok, span)
+        return F.filter(F.transform(F.sequence(F.lit(0), F.size(p["m"]) - 1), one), lambda s: s.isNotNull())
 
-    # transform over a one-element array binds the pieces, so that the patterns run once
-    one = F.transform(F.array(pieces), lambda p: F.aggregate(
-        F.sequence(F.lit(0), F.size(p["m"]) - 1), F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out")),
-        step(p), lambda acc: acc["out"]))
-    return F.when(F.size(found) > 0, one[0]).otherwise(none)
+    # transform over a one-element array binds a value, so that it is formed once
+    bound = F.transform(F.array(pieces), lambda p: F.transform(F.array(_starts(p)), lambda s: spans(p, s))[0])
+    return F.when(F.size(found) > 0, bound[0]).otherwise(none)
+
+
+def _starts(p: Column) -> Column:
+    """Where the matches start: running sums of what lies before them."""
+    steps = F.transform(F.sequence(F.lit(0), F.size(p["m"]) - 1), lambda i: (
+        F.length(p["gap"][i]) + F.coalesce(F.length(F.get(p["m"], i - 1)), F.lit(0))).cast("bigint"))
+    return _running(steps, lambda x, y: x + F.coalesce(y, F.lit(0).cast("bigint")))
+
+
+def _running(values: Column, combine) -> Column:
+    """Running results of an associative `combine(value, earlier one or null)` over a non-empty array, by doubling: no array
+    grows entry by entry."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values))).cast("int"))
+    return F.aggregate(rounds, values, lambda acc, k: F.transform(
+        acc, lambda x, i: combine(x, F.get(acc, i - F.call_function("shiftleft", F.lit(1), k)))))
 
 
 def find_spans(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> tuple[DataFrame, str]:
@@ -144,21 +155,22 @@ def redact(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS)
     """`docs` with every span of the text replaced by its kind in brackets. Overlapping spans become one,
     named after the first (of those, the longest); null texts stay null."""
     flagged, out = find_spans(docs, text, kinds)
-    merged = F.aggregate(
-        F.array_sort(F.transform(out, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"),
-                                                         s["end"].alias("end"), s["kind"].alias("kind")))),
-        F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>"),
-        lambda a, s: F.when((F.size(a) > 0) & (s["start"] < F.element_at(a, -1)["end"]), F.concat(
-            F.slice(a, 1, F.size(a) - 1), F.array(F.struct(
-                F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], s["end"]).alias("end"),
-                F.element_at(a, -1)["kind"].alias("kind"))))).otherwise(F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))))
     t = F.col(text)
-    cut = F.transform(F.array(merged), lambda m: F.concat(F.array_join(F.transform(m, lambda s, i: F.concat(
-        F.substr(t, F.when(i == 0, 0).otherwise(m[i - 1]["end"]).cast("int") + 1,
-                 (s["start"] - F.when(i == 0, 0).otherwise(m[i - 1]["end"])).cast("int")),
-        F.lit("["), F.upper(s["kind"]), F.lit("]"))), ""),
-        F.substr(t, F.element_at(m, -1)["end"].cast("int") + 1)))[0]
-    return flagged.withColumn(text, F.when(F.size(out) > 0, cut).otherwise(t)).select(*docs.columns)
+    ordered = F.array_sort(F.transform(out, lambda s: F.struct(
+        s["start"].alias("start"), (-s["end"]).alias("less"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def cut(s: Column, reach: Column) -> Column:
+        # reach[i]: where the spans up to i end; a span that begins there or later begins a new cut
+        before = lambda i: F.coalesce(F.get(reach, i - 1), F.lit(0).cast("bigint"))
+        firsts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: s[i]["start"] >= before(i))
+        return F.concat(F.array_join(F.transform(firsts, lambda i: F.concat(
+            F.substr(t, before(i).cast("int") + 1, (s[i]["start"] - before(i)).cast("int")),
+            F.lit("["), F.upper(s[i]["kind"]), F.lit("]"))), ""),
+            F.substr(t, F.element_at(reach, -1).cast("int") + 1))
+
+    new = F.transform(F.array(ordered), lambda s: F.transform(F.array(_running(
+        F.transform(s, lambda x: x["end"]), F.greatest)), lambda reach: cut(s, reach))[0])[0]
+    return flagged.withColumn(text, F.when(F.size(out) > 0, new).otherwise(t)).select(*docs.columns)
 
 
 def _count(kind: str) -> Column:
@@ -166,7 +178,7 @@ def _count(kind: str) -> Column:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """Per document: counts of the base kinds, digest of the base spans, all spans, their scores."""
+    """Per document: counts of the base kinds, digest of the base spans, all spans."""
     flagged, out = find_spans(docs.select("doc_id", "text"))
     spans = flagged.select("doc_id", F.col(out).alias("s"))
     base = F.filter("s", lambda s: s["kind"].isin(*BASE))

@@ -79,6 +79,30 @@ def test_pii_random(spark):
         assert got[i] == hashlib.sha256(",".join(base_spans(t)).encode()).hexdigest(), t
 
 
+def test_pii_many_spans_and_no_rows(spark):
+    text = "".join(f"ä a{i}@b.cd 10.0.0.{i % 300} " for i in range(50000))  # 2 MB
+    got = pii.query(frame(spark, [text, "a@b.cd", "a@b.cd"])).collect()
+    want = base_spans(text)
+    assert got[0]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+    assert got[0]["n_email"] == 50000 and got[1][1:] == got[2][1:]
+    assert pii.query(frame(spark, [])).collect() == [] and pii.redact(frame(spark, [])).collect() == []
+
+
+def test_redaction_of_overlapping_spans(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["1.2.3.4", "@a.b", "x", " ", "+1 555 0000 000", "4041894974608795", "é"]) for _ in range(30)) for _ in range(60)]
+    flagged, out = pii.find_spans(frame(spark, texts))
+    spans = {r["doc_id"]: sorted((s["start"], -s["end"], s["kind"]) for s in r[out]) for r in flagged.collect()}
+    got = {r["doc_id"]: r["text"] for r in pii.redact(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        want, at = "", 0
+        for start, end, kind in spans[i]:
+            if start >= at:
+                want += t[at:start] + f"[{kind.upper()}]"
+            at = max(at, -end)
+        assert got[i] == want + t[at:], t
+
+
 def test_redaction(spark):
     df = frame(spark, ["mail a.b@c.de and 10.0.0.1!", None, "none", "+1 (988) 555-2485x", "1.2.3.4@a.b"])
     out = {r["doc_id"]: r for r in pii.redact(df).collect()}
