@@ -3,6 +3,8 @@ and over early-warning results of lineitem."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..model import (E, EVENTS_ORDER as EO, LINEITEM_METRICS as LM, LINEITEM_ORDER as LO,
@@ -13,8 +15,9 @@ from ..operators import baseline as bl
 from ..operators import health as hl
 from ..operators import warning as ew
 from ..operators.quantiles import exact_quantiles
-from ..session import written
-from .registry import register
+from ..session import scratch_path, written
+from ..sinks import files as fs
+from .registry import ORACLES, register
 from .sql import EV_ORDER, ev_src, fit_cte, iqr_out, max_abs_z, r, stat_component, wide_cte
 
 K = [E]
@@ -81,6 +84,17 @@ register("alert_candidates", f"WITH {SCORED_SQL}, {CANDS_SQL} SELECT {CANDS_COLS
     lambda spark, sf: _cands_out(candidates(spark, sf)))
 
 
+def q_saved_thresholds(spark, sf):
+    """SNK5: the thresholds saved and loaded, then the candidates they raise."""
+    path = scratch_path(spark, f"thresholds-{uuid.uuid4().hex}")
+    fs.save_params({"thresholds": al.thresholds_table(spark, EV_THRESHOLDS)}, {"cooldown_minutes": 15}, path)
+    loaded, _ = fs.load_params(spark, path, ["thresholds"])
+    return _cands_out(al.candidates_one_pass(scored_events(spark, sf), ["E"], ["T", "event_id"], ["V"], loaded["thresholds"]))
+
+
+register("saved_thresholds", ORACLES["alert_candidates"])(q_saved_thresholds)
+
+
 def kept_alerts(spark, sf):
     """ALR7 + ALR8: cooldown of 15 minutes, then per-machine ids; written once for all that reads them."""
     s = scored_events(spark, sf)
