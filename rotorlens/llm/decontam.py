@@ -9,7 +9,9 @@ Items of fewer than `window` words have no complete window; each is one span as
 its own n-gram (only the lengths that occur are hashed).
 
 The benchmark's index is broadcast in blocks of at most `block_words` words: one block for usual
-benchmarks, otherwise one pass over the documents per block, which adds to the rows' spans.
+benchmarks, otherwise one pass over the documents per block, which adds to the rows' spans and is
+written before the next one. A block holds each distinct window once, with the list of its items, so a line
+that many items share costs its places plus its items, not their product.
 
 Defined results: null and empty texts have no words and no spans; repeated rows and null ids are
 judged each for itself; an empty benchmark hits nothing; items with null text or no words never
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import ngrams as ng
-from .common import blocks, fresh, utf8
+from .common import blocks, fresh, utf8, written
 
 K = 7
 SPANS = T.StructType([
@@ -58,16 +60,52 @@ def fingerprints(g: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(high == g)
 
 
+@dataclass
+class Windows:
+    """The distinct windows of one length, sorted by hash: where one of each stands among the words, and the items of each
+    (those of window c are items[start[c]:start[c + 1]])."""
+
+    key: np.ndarray
+    place: np.ndarray
+    start: np.ndarray
+    items: np.ndarray
+
+    def match(self, index_word: np.ndarray, word: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the places `at` where a window begins whose words are all equal, and which window."""
+        if not len(self.key) or not len(at):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        h = ng.grams(word, n)[at]
+        c = np.minimum(np.searchsorted(self.key, h), len(self.key) - 1)
+        hit = self.key[c] == h
+        at, c = at[hit], c[hit]
+        same = np.ones(len(at), bool)
+        for i in range(n):
+            same &= word[at + i] == index_word[self.place[c] + i]
+        return at[same], c[same]
+
+    def items_of(self, windows: np.ndarray) -> np.ndarray:
+        return np.unique(np.concatenate([self.items[self.start[c]:self.start[c + 1]] for c in np.unique(windows)]))
+
+
+def _windows(h: np.ndarray, at: np.ndarray, item: np.ndarray) -> Windows:
+    """From the windows' hashes, places and items."""
+    order = np.lexsort((item, h))
+    h, at, item = h[order], at[order], item[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    pair = new.copy()
+    pair[1:] |= item[1:] != item[:-1]
+    return Windows(h[new], at[new].astype(np.int32), np.append(np.flatnonzero(new[pair]), pair.sum()).astype(np.int32), item[pair].astype(np.int32))
+
+
 @dataclass
 class Index:
-    """A block of benchmark items: words, item of each word, fingerprints and short items."""
+    """A block of benchmark items: its words, its distinct fingerprints, and its distinct windows by length."""
 
     ids: list[str | None]
     word: np.ndarray
-    item: np.ndarray
-    fp: np.ndarray          # sorted fingerprints
-    at: np.ndarray          # their places among the words
-    short: dict[int, tuple[np.ndarray, np.ndarray]]  # length -> sorted hashes, items
+    fp: np.ndarray          # sorted
+    windows: dict[int, Windows]
 
 
 def build_index(ids: list[str | None], counts: np.ndarray, word: np.ndarray, window: int, k: int) -> Index:
@@ -75,59 +113,37 @@ def build_index(ids: list[str | None], counts: np.ndarray, word: np.ndarray, win
     item = np.repeat(np.arange(len(ids)), counts)
     g = ng.grams(word, k)
     at = fingerprints(g, window - k + 1)
-    whole = item[at] == item[at + k - 1] if len(at) else np.zeros(0, bool)
-    at = at[whole]
-    at = at[counts[item[at]] >= window]
-    order = np.argsort(g[at], kind="stable")
-    short = {}
-    for n in np.unique(counts[(counts > 0) & (counts < window)]):
+    at = at[(item[at] == item[at + k - 1]) & (counts[item[at]] >= window)] if len(at) else at
+    h = ng.grams(word, window)
+    whole = np.flatnonzero(item[:len(h)] == item[len(item) - len(h):])
+    windows = {window: _windows(h[whole], whole, item[whole])}
+    for n in np.unique(counts[(counts > 0) & (counts < window)]).tolist():
         which = np.flatnonzero(counts == n)
-        h = ng.grams(word, int(n))[ends[which] - n]
-        o = np.argsort(h, kind="stable")
-        short[int(n)] = (h[o], which[o])
-    return Index(ids, word, item, g[at][order], at[order], short)
-
-
-def _lookup(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (place in h, place in the sorted keys) of equal hashes."""
-    lo = np.searchsorted(keys, h, "left")
-    hit = np.flatnonzero((lo < len(keys)) & (keys[np.minimum(lo, len(keys) - 1)] == h)) \
-        if len(keys) else np.zeros(0, np.int64)
-    lo = lo[hit]
-    n = np.searchsorted(keys, h[hit], "right") - lo
-    first = np.repeat(np.cumsum(n) - n, n)
-    return np.repeat(hit, n), np.repeat(lo, n) + np.arange(len(first)) - first
+        windows[n] = _windows(ng.grams(word, n)[ends[which] - n], ends[which] - n, which)
+    return Index(ids, word, np.unique(g[at]), windows)
 
 
 def find(index: Index, word: np.ndarray, doc: np.ndarray, window: int, k: int):
-    """(first word, length, item) of each occurring window; a window may come several times."""
+    """(first word, length, window) of each occurring window, by first word. Only places around a fingerprint of the
+    benchmark are looked at for complete windows; however many items hold a window, it is met once a place."""
     out = []
-    g = ng.grams(word, k)
-    at = fingerprints(g, window - k + 1)
-    p, q = _lookup(index.fp, g[at])
-    p, q = at[p], index.at[q]
-    reach = window - k
-    step = np.arange(-reach, window)
-    for lo in range(0, len(p), 1 << 16):
-        a = p[lo:lo + (1 << 16), None] + step
-        b = q[lo:lo + (1 << 16), None] + step
-        ok = (a >= 0) & (a < len(word)) & (b >= 0) & (b < len(index.word))
-        a, b = np.where(ok, a, 0), np.where(ok, b, 0)
-        ok &= (word[a] == index.word[b]) & (doc[a] == doc[p[lo:lo + (1 << 16), None]]) \
-            & (index.item[b] == index.item[q[lo:lo + (1 << 16), None]])
-        run = np.cumsum(np.pad(ok, ((0, 0), (1, 0))), axis=1)
-        row, s = np.nonzero(run[:, window:] - run[:, :-window] == window)
-        if len(row):
-            out.append(np.stack([p[lo + row] - reach + s, np.full(len(row), window),
-                                 index.item[q[lo + row]]]))
-    for n, (keys, items) in index.short.items():
-        h = ng.grams(word, n)
-        a, b = _lookup(keys, h)
-        same = doc[a] == doc[a + n - 1] if len(a) else np.zeros(0, bool)
-        if same.any():
-            out.append(np.stack([a[same], np.full(int(same.sum()), n), items[b[same]]]))
-    found = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
-    return np.unique(found, axis=1) if found.shape[1] else found
+    for n, known in index.windows.items():
+        if n == window:
+            g = ng.grams(word, k)
+            at = fingerprints(g, window - k + 1)
+            at = at[np.isin(g[at], index.fp)]
+            near = np.zeros(len(word) + 1, np.int64)      # places that begin a window around a fingerprint
+            np.add.at(near, np.maximum(at - (window - k), 0), 1)
+            np.add.at(near, at + 1, -1)
+            at = np.flatnonzero(np.cumsum(near) > 0)
+        else:
+            at = np.arange(len(word))
+        at = at[at + n <= len(word)]
+        at = at[doc[at] == doc[at + n - 1]]
+        at, c = known.match(index.word, word, at, n)
+        out.append(np.stack([at, np.full(len(at), n), c]))
+    found = np.concatenate(out, axis=1)
+    return found[:, np.argsort(found[0], kind="stable")]
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -156,10 +172,14 @@ def _scan(index_bc, text: str, out: str, keep: list[str], window: int, k: int, e
                         r["items"] = old["items"]
                 d = doc[s] if len(s) else s
                 for r in np.unique(d):
-                    mine = d == r if len(d) < 4096 else slice(*np.searchsorted(d, [r, r + 1]))
-                    a = s[mine] - first[r]
-                    names = {index.ids[i] for i in np.unique(item[mine])} - {None}
-                    rows[r]["spans"] = _merge(rows[r]["spans"] + list(zip(a.tolist(), (a + n[mine]).tolist())))
+                    mine = slice(*np.searchsorted(d, [r, r + 1]))
+                    a, length, which = s[mine] - first[r], n[mine], item[mine]
+                    reach = np.maximum.accumulate(a + length)
+                    cut = np.flatnonzero(np.append(True, a[1:] > reach[:-1]))
+                    spans = list(zip(a[cut].tolist(), reach[np.append(cut[1:], len(a)) - 1].tolist()))
+                    names = {index.ids[i] for m in np.unique(length).tolist()
+                             for i in index.windows[m].items_of(which[length == m]).tolist()} - {None}
+                    rows[r]["spans"] = _merge(rows[r]["spans"] + spans)
                     rows[r]["items"] = sorted(names.union(rows[r]["items"]))
                 for r in rows:
                     r["spans"] = [{"start": a, "end": b} for a, b in r["spans"]]
@@ -194,6 +214,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
              .mapInArrow(_item_words("t"), "id string, words binary").filter(F.length("words") > 0))
     total = items.agg(F.sum(F.length("words")) / 8).first()[0] or 0
     n_blocks = max(1, -int(-total // block_words))
+    if n_blocks > 1:
+        items = written(items, "benchmark")  # read once a block
     kinds, whole = {f.name: f for f in docs.schema.fields}, list(docs.columns)
     schema = T.StructType([*(kinds[c] for c in keep), T.StructField(out, SPANS)])
     for b in range(n_blocks):
@@ -206,6 +228,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         src = docs if b else docs.select(*dict.fromkeys([*keep, text])) if last else docs
         docs = src.mapInArrow(_scan(bc, text, out, cols, window, k, b > 0),
                               schema if last else T.StructType([*(kinds[c] for c in cols), T.StructField(out, SPANS)]))
+        if not last:
+            docs = written(docs, "decontamination")  # one block at a time in memory
+            bc.unpersist()
     return docs, out
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -156,6 +157,23 @@ def test_decontamination(spark, block_words):
     assert decontam.query(df.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("block_words", [4_000_000, 20_000])
+def test_a_line_that_all_items_share(spark, block_words):
+    rng = random.Random(4)
+    voc = [f"w{i}" for i in range(5000)]
+    text = lambda n: " ".join(rng.choice(voc) for _ in range(n))
+    line = text(20)
+    items = [(i, f"{text(12)} {line} {text(12)}") for i in range(2000)]
+    docs = [" ".join([line] * 400), "x " * 40 + line + " y" * 400, text(300), items[7][1], None]
+    t0 = time.time()
+    flagged, out = decontam.contamination(frame(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"),
+                                          keep=["doc_id"], block_words=block_words)
+    got = {r["doc_id"]: r[out] for r in flagged.collect()}
+    assert time.time() - t0 < 60
+    assert [len(got[i]["items"]) for i in range(5)] == [2000, 2000, 0, 2000, 0]
+    assert [[(s["start"], s["end"]) for s in got[i]["spans"]] for i in range(5)] == [[(0, 8000)], [(40, 60)], [], [(0, 44)], []]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=60), st.integers(1, 6))
 def test_fingerprints_reach_every_window(values, w):
