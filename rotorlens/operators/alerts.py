@@ -186,6 +186,8 @@ def greedy_keep(df: DataFrame, key: Sequence[str], order: Sequence[str], pos: Co
         st = F.lit(float(start)) if numeric else F.unix_micros(F.lit(start).cast("timestamp")).cast("double")
         p = p.filter(F.col("_pn") >= st + gnum)
     names = df.columns
+    if chunk_rows == "auto":  # what leads to the rows runs once, for the count and the fold
+        p = written(p, "greedy")
     cr = resolve_chunk_rows(p, ["_key"], chunk_rows)
     if not cr:
         def fold(batches):
