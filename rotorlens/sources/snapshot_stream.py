@@ -1,7 +1,7 @@
 """Snapshot files as a stream (SRC4): a Python data source whose offset is the name of the last file read.
 
 Names are times (`YYYY.MM.DD.HH.MM.SS`), so the order of names is that of time, whatever the files' modification times. A micro-batch
-holds the next `files` names behind the offset (0: all there are), each read by a task of its own through
+holds the next `files` names behind the offset (0: all there are), read by tasks of up to TASK_FILES files each through
 pyarrow's file systems (local paths, hdfs://, s3://, gs://). The offset lives in the query's checkpoint, so a restart goes on
 behind the last file and reads none twice. A file that appears later with an earlier name is not read.
 
@@ -27,6 +27,8 @@ from .snapshots import CHANNELS
 
 SCHEMA = "E string, T timestamp, file string, channel string, samples array<double>"
 NAME = re.compile(r"\d{4}(\.\d{2}){5}")
+#: files that one task reads at most, and the tasks over which fewer files are spread
+TASK_FILES, SPREAD = 256, 32
 
 
 def snapshot_time(name: str) -> datetime | None:
@@ -93,17 +95,19 @@ class SnapshotStreamReader(DataSourceStreamReader):
         return {"file": self.at}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [InputPartition(n) for n in _names(self.path) if start["file"] < n <= end["file"]]
+        names = [n for n in _names(self.path) if start["file"] < n <= end["file"]]
+        size = min(TASK_FILES, max(1, -(-len(names) // SPREAD)))
+        return [InputPartition(names[i:i + size]) for i in range(0, len(names), size)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        name = partition.value
         files, root = fs.FileSystem.from_uri(self.path)
-        with files.open_input_file(f"{root}/{name}") as f:
-            rows = [line.split("\t") for line in map(str.strip, f.read().decode().splitlines()) if line]
-        for i, channel in enumerate(self.channels):
-            samples = [float(r[i]) if i < len(r) else None for r in rows]
-            if any(s is not None for s in samples):
-                yield self.equipment, snapshot_time(name), name, channel, samples
+        for name in partition.value:
+            with files.open_input_file(f"{root}/{name}") as f:
+                rows = [line.split("\t") for line in map(str.strip, f.read().decode().splitlines()) if line]
+            for i, channel in enumerate(self.channels):
+                samples = [float(r[i]) if i < len(r) else None for r in rows]
+                if any(s is not None for s in samples):
+                    yield self.equipment, snapshot_time(name), name, channel, samples
 
 
 def stream_snapshots(spark: SparkSession, path: str, checkpoint: str | None = None, files: int = 0,

@@ -24,3 +24,17 @@ def test_greedy_keep_reads_its_rows_once(spark):
     numbered = al.assign_ids(kept, ["T", "ord"])
     assert sorted((r.E or 0, r.ord) for r in numbered.collect()) == [(e, i) for e in (0, 1) for i in (0, 15, 30)]
     assert seen.value == 80
+
+
+def test_snapshot_tasks_hold_many_files(tmp_path):
+    at = tmp_path / "in"
+    at.mkdir()
+    names = [(datetime(2024, 1, 1) + timedelta(minutes=i)).strftime("%Y.%m.%d.%H.%M.%S") for i in range(100)]
+    for i, n in enumerate(names):
+        (at / n).write_text(f"{i}\t1\n\n2\n")
+    reader = ss.SnapshotStreamReader({"path": str(at)})
+    parts = reader.partitions({"file": names[9]}, {"file": names[-1]})
+    assert len(parts) <= ss.SPREAD and [n for p in parts for n in p.value] == names[10:]
+    rows = [r for p in parts for r in reader.read(p)]
+    assert [r[2] for r in rows[::2]] == names[10:] and rows[0][4] == [10.0, 2.0] and rows[1][4] == [1.0, None]
+    assert reader.partitions({"file": names[-1]}, {"file": names[-1]}) == []
