@@ -38,3 +38,27 @@ def test_snapshot_tasks_hold_many_files(tmp_path):
     rows = [r for p in parts for r in reader.read(p)]
     assert [r[2] for r in rows[::2]] == names[10:] and rows[0][4] == [10.0, 2.0] and rows[1][4] == [1.0, None]
     assert reader.partitions({"file": names[-1]}, {"file": names[-1]}) == []
+
+
+def test_predictions_need_no_array_expressions(spark):
+    rows = [(30.0, 0.5, 10.0, 25.0, 12.0, 1.0, 26.0), (30.0, -0.5, 10.0, 5.0, 12.0, 1.0, 26.0), (30.0, 0.001, 10.0, 25.0, 12.0, 1.0, 26.0),
+            (30.0, 0.5, 10.0, 25.0, 12.0, None, 26.0), (30.0, 0.5, 10.0, 25.0, 12.0, 1.0, None), (10.0, 0.5, 10.0, 25.0, 12.0, 1.0, 26.0)]
+    df = spark.createDataFrame(rows, "n double, b double, a double, cur double, m double, s double, w double")
+    c = F.col
+    out = ew.add_prediction(df, "p", c("n"), c("b"), c("a"), c("cur"), c("m"), c("s"), c("w"), F.lit("v"), c("n") >= 20)
+    assert out.columns == [*df.columns, "p"]
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for r in out.collect():
+        want = None
+        higher = None if r.m is None else r.cur > r.m
+        if r.n >= 20 and r.w is not None and ((higher and r.b > 0) or (not higher and r.b <= 0)):
+            for h in ew.HORIZONS:
+                pred = r.a + r.b * (r.n + int(h * max(1.0, r.n / 24.0)))
+                prox = abs(r.cur - r.w) / (abs(pred - r.cur) + 0.001)
+                conf = 1.0 if r.s is None else min(1.0, abs(r.b) / (r.s + 0.001) * 0.5 + 0.5 / (prox + 1.0))
+                if (pred > r.w if higher else pred < -r.w) and conf >= ew.CONFIDENCE_THRESHOLD:
+                    want = (float(h), conf, pred)
+                    break
+        assert (r.p is None) == (want is None)
+        if want:
+            assert (r.p.predicted_time_hours, r.p.confidence, r.p.predicted_value) == want and r.p.metric == "v" and r.p.threshold == r.w
