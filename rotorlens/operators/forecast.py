@@ -53,6 +53,11 @@ def _pace(df: DataFrame, key, time_col, chunk_rows="auto") -> DataFrame:
         (business & ~monthly).alias("business"), F.when(even, F.col("lo") / 1e6).otherwise(3600.0).alias("seconds")).alias("pace"))
 
 
+def _step_seconds(df: DataFrame, key, time_col) -> DataFrame:
+    """Seconds between the times of an even series, else an hour, as `step_s`."""
+    return _pace(df, key, time_col).select(*key, F.col("pace")["seconds"].alias("step_s"))
+
+
 def _hourly() -> Column:
     """The pace of a series with a value every hour."""
     return F.struct(F.lit(0).alias("months"), F.lit(False).alias("at_end"), F.lit(False).alias("business"), F.lit(3600.0).alias("seconds"))
