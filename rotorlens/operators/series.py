@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .positions import sorted_table, with_global_position
+from .positions import RANGE_ROWS, sorted_table, with_global_position
 from .quantiles import largest_group
 
 #: rows of a series that one task may hold
@@ -71,14 +71,21 @@ def chunked(df: DataFrame, key: Sequence[str], order: Sequence[str], back: int,
         .withColumn("_own", F.col("_chunk") == F.floor(F.col("_g") / C))
 
 
-def carry(df: DataFrame, key: Sequence[str], back: Mapping[str, str] | None = None,
-          ahead: Mapping[str, str] | None = None) -> DataFrame:
+def tasks_for(rows: int, spark) -> int:
+    """Partitions of a chunked frame: as many as a shuffle has, more if they held over RANGE_ROWS / 4 rows. The number is
+    passed to `repartition`, as adaptive coalescing goes by compressed bytes: of columns that are mostly null, that is millions of rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-4 * rows // RANGE_ROWS))
+
+
+def carry(df: DataFrame, key: Sequence[str], back: Mapping[str, str] | None = None, ahead: Mapping[str, str] | None = None,
+          of: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """Unbounded fills over the owned rows of a chunked frame, for any number of columns at once. `back` maps a column
     to the name of its last non-null value at or before the row, `ahead` to that of the next at or after it:
-    from the row's chunk, else from the nearest other chunk of the series that has one."""
+    from the row's chunk, else from the nearest other chunk of the series that has one. `of` is a smaller frame to take
+    other chunks' values from (key, `_chunk`, `_g` and the columns), `tasks` the number of partitions of the result."""
     back, ahead = dict(back or {}), dict(ahead or {})
     there = lambda c: F.when(F.col(c).isNotNull(), F.col("_g"))
-    per = df.filter("_own").groupBy(*key, "_chunk").agg(
+    per = (df.filter("_own") if of is None else of).groupBy(*key, "_chunk").agg(
         *[F.max_by(c, there(c)).alias(f"_l{i}") for i, c in enumerate(back)],
         *[F.min_by(c, there(c)).alias(f"_f{i}") for i, c in enumerate(ahead)])
     chunks = Window.partitionBy(*key)
@@ -87,6 +94,8 @@ def carry(df: DataFrame, key: Sequence[str], back: Mapping[str, str] | None = No
     carried = per.select(*key, "_chunk", *[F.last(f"_l{i}", ignorenulls=True).over(earlier).alias(f"_cl{i}") for i in range(len(back))],
                          *[F.last(f"_f{i}", ignorenulls=True).over(later).alias(f"_cf{i}") for i in range(len(ahead))])
     j = join_on(df, carried, [*key, "_chunk"], "left")
+    if tasks:
+        j = j.repartition(tasks, *key, "_chunk")
     own = Window.partitionBy(*key, "_chunk")
     up = own.orderBy("_g").rowsBetween(Window.unboundedPreceding, 0)
     down = own.orderBy(F.desc("_g")).rowsBetween(Window.unboundedPreceding, 0)

@@ -181,3 +181,23 @@ def test_running_median_and_page_history(spark):
             part = z[max(0, r["idx"] - 9):r["idx"] + 1]
             assert r["window_max_z"] == part.max() and r["window_anomalies"] == (part > 3).sum()
             assert abs(r["window_avg_health"] - (100 - 12 * part).mean()) < 1e-9
+
+
+@pytest.mark.parametrize("window, chunk_rows", [(10, 25), (4, 300)])
+def test_cut_series_copy_rows_for_the_rolling_frame_only(spark, monkeypatch, window, chunk_rows):
+    seen = []
+
+    def spy(*args, **kw):
+        seen.append(series.chunked(*args, **kw))
+        return seen[-1]
+
+    monkeypatch.setattr(rolling, "chunked", spy)
+    n = 2000
+    rng = np.random.default_rng(2)
+    rows = [(None if i % 3 == 0 else i % 3, i, None if i % 1300 > 300 or i % 7 == 0 else float("nan") if i % 11 == 0 else float(rng.normal(5)),
+             float(rng.normal())) for i in range(n)]
+    df = spark.createDataFrame(rows, "E long, T long, a double, b double")
+    got = rolling.rolling_features(df, ["E"], ["T"], ["a", "b"], window, chunk_rows=chunk_rows).orderBy("T").toPandas()
+    want = rolling.rolling_features(df, ["E"], ["T"], ["a", "b"], window, chunk_rows=None).orderBy("T").toPandas()
+    pd.testing.assert_frame_equal(got, want, rtol=1e-9, atol=1e-9)
+    assert n <= seen[0].count() <= n * (1 + (window + 1) / chunk_rows) + 1
