@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..model import (E, EVENTS_ORDER as EO, LINEITEM_METRICS as LM, events_readings,
                      lineitem_features, rnd, round_doubles)
 from ..operators import cleaning as cl
 from ..operators.rolling import ema_frame_length, rolling_features
+from ..operators.series import series_index
 from .registry import register
 from .sql import EV_ORDER, LI_KEYS, LI_METRICS, ev_src, li_src, nz, r
 
@@ -340,8 +340,8 @@ def q_rolling_features_gaps(spark, sf):
 
 def _gappy(spark, sf):
     ev = events_readings(spark, sf).select((F.col("E") % 10).alias("E"), "T", "event_id", "V")
-    w = Window.partitionBy("E").orderBy(*EO)
-    return ev.withColumn("V", F.when(F.row_number().over(w) % 900 < 60, F.col("V")))
+    at = series_index(ev, K, EO, "_at")
+    return at.withColumn("V", F.when((F.col("_at") + 1) % 900 < 60, F.col("V"))).drop("_at")
 
 
 def _gaps_sql():

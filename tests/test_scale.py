@@ -201,3 +201,26 @@ def test_cut_series_copy_rows_for_the_rolling_frame_only(spark, monkeypatch, win
     want = rolling.rolling_features(df, ["E"], ["T"], ["a", "b"], window, chunk_rows=None).orderBy("T").toPandas()
     pd.testing.assert_frame_equal(got, want, rtol=1e-9, atol=1e-9)
     assert n <= seen[0].count() <= n * (1 + (window + 1) / chunk_rows) + 1
+
+
+def test_cut_series_are_dealt_to_tasks_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(series, "RANGE_ROWS", 800)
+    df = spark.createDataFrame([(i % 2, i, 1.0 * i if i % 90 < 6 else None) for i in range(3000)], "E long, T long, v double")
+    out = rolling.rolling_features(df, ["E"], ["T"], ["v"], 10, chunk_rows=50)
+    per = out.groupBy(F.spark_partition_id()).count().toPandas()["count"]  # long null runs: few bytes, but not few partitions
+    assert per.sum() == 3000 and len(per) >= 8 and per.max() <= 800
+
+
+def test_gaps_are_numbered_without_a_window_over_a_long_series(spark, monkeypatch):
+    from rotorlens.plans import q_cleaning
+    n = 4000
+    ev = spark.createDataFrame([(i, i % 20 * 10, 1.0 * i) for i in range(n)], "event_id long, E long, V double") \
+        .withColumn("T", F.timestamp_seconds(F.col("event_id") % 7))
+    monkeypatch.setattr(q_cleaning, "events_readings", lambda spark, sf: ev)
+    want = {r["event_id"]: r["V"] for r in q_cleaning._gappy(spark, None).collect()}
+    monkeypatch.setattr(series, "CHUNK_ROWS", 500)
+    cut = q_cleaning._gappy(spark, None)
+    assert "row_number" not in cut._jdf.queryExecution().toString()
+    assert {r["event_id"]: r["V"] for r in cut.collect()} == want and len(want) == n
+    at = sorted(range(n), key=lambda i: (i % 7, i))
+    assert want == {i: 1.0 * i if (k + 1) % 900 < 60 else None for k, i in enumerate(at)}
