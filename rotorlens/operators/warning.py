@@ -7,7 +7,7 @@ each (machine, metric) series. The same column builders serve two plans:
   (E, M) over the tail (a partial top-n keeps the shuffle at `history` rows
   per map task and machine), then one small aggregate per machine.
 * `warning_rolling` - as of every sample, in wide form: running sums over
-  the shared (E, order) window minus the same sums `history` rows back, so the
+  Arrow batches of the series in order minus the same sums `history` rows back, so the
   cost is O(rows), not O(rows x history), and all metrics of one sample are
   combined in the same row without another shuffle.
 """
@@ -16,13 +16,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.scalar import reading
 from ..model import M, V, series_window, to_long
 from .baseline import tail_rows
-from .series import chunked, resolve_chunk_rows
+from .positions import sorted_table, with_global_position
+from .series import resolve_chunk_rows
 
 # Fixed values of the model.
 HORIZONS = [2, 6, 12, 24, 48]          # hours ahead
@@ -238,43 +243,232 @@ def history_summary(df: DataFrame, key: Sequence[str], order: Sequence[str], tim
 
 # ------------------------------------------------------ rolling (EW11) ---
 
-Y, SUM = "decimal(20,10)", "decimal(36,10)"
 Y_LIMIT = 9.0e9  # scaled readings stop here: ten billion times the baseline's size
+BLOCK_ROWS = 20_000  # rows of a cut series that travel together, with one halo; a multiple of the chunk
+STATS = ["mean", "std", "warn", "crit"]
 
 
 def _scale(m: str) -> Column:
-    """The power of ten of a metric's baseline (1 without one), so that any unit fits the decimals."""
+    """The power of ten of a metric's baseline (1 if that is 0), so that any unit fits the whole numbers."""
     size = F.greatest(F.abs(F.col(f"{m}__mean")), F.col(f"{m}__std"))
     return F.coalesce(F.when(size > 0, F.pow(F.lit(10.0), F.floor(F.log10(size)).cast("double"))), F.lit(1.0))
 
 
-def _frame_sums(df: DataFrame, key, order, metrics, history):
-    """Frame sums per metric over the last `history` rows: `_fc` readings there are, `_fs` rank of the
-    first of them, exact `_fy` sum(y) and `_fgy` sum(rank * y), with y the reading in units of its
-    `_u`: running sums minus the same sums `history` rows back, O(1) per row. `_cur` is the newest reading."""
-    w = series_window(key, order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = df.select("*", *[reading(m).alias(f"_r_{m}") for m in metrics], *[_scale(m).alias(f"_u_{m}") for m in metrics])
-    out = out.select("*", *[F.least(F.greatest(F.col(f"_r_{m}") / F.col(f"_u_{m}"), F.lit(-Y_LIMIT)), F.lit(Y_LIMIT))
-                            .cast(Y).alias(f"_y0_{m}") for m in metrics])
-    # greatest and least skip nulls
-    out = out.select("*", *[F.when(F.col(f"_r_{m}").isNotNull(), F.col(f"_y0_{m}")).alias(f"_y_{m}") for m in metrics])
-    out = out.select("*", *[F.count(f"_y_{m}").over(run).alias(f"_c_{m}") for m in metrics])
-    sums = []
-    for m in metrics:
-        y = F.col(f"_y_{m}")
-        sums += [F.sum(y).over(run).cast(SUM).alias(f"_sy_{m}"),
-                 F.sum(y * (F.col(f"_c_{m}") - 1).cast("decimal(10,0)")).over(run).cast(SUM).alias(f"_sgy_{m}"),
-                 F.last(f"_r_{m}", ignorenulls=True).over(run).alias(f"_cur_{m}")]
-    out = out.select("*", *sums)
-    zero = F.lit(0).cast(SUM)
-    frames = []
-    for m in metrics:
-        before = F.coalesce(F.lag(f"_c_{m}", history).over(w), F.lit(0))
-        frames += [before.alias(f"_fs_{m}"), (F.col(f"_c_{m}") - before).alias(f"_fc_{m}")]
-        frames += [(F.coalesce(F.col(f"_{s}_{m}"), zero) - F.coalesce(F.lag(f"_{s}_{m}", history).over(w), zero))
-                   .alias(f"_f{s[1:]}_{m}") for s in ("sy", "sgy")]
-    return out.select("*", *frames)
+def _above(a, b):
+    """a > b in Spark's order, in which NaN is the largest value."""
+    return (a > b) | (np.isnan(a) & ~np.isnan(b))
+
+
+def _frame_sums(x: np.ndarray, unit: np.ndarray, first: np.ndarray, at: int, history: int):
+    """For the rows from `at` on of buffered readings x (metrics, rows; NaN: none), over the frame from row `first` to the row:
+    the readings there are (n), sum(y), sum((2 * rank - (n - 1)) * y) and the newest reading. y is the reading in units of
+    `unit` with ten decimals, as whole numbers in limbs (highest first), whose sums wrap at 2^64 but whose
+    differences over a frame don't: they are exact, and joined to doubles at last."""
+    there = ~np.isnan(x)
+    y = np.where(there, np.fmin(np.maximum(x / unit, -Y_LIMIT), Y_LIMIT), 0.0)
+    high = np.floor(y)
+    limbs, base = [high.astype(np.int64), np.rint((y - high) * 1e10).astype(np.int64)], 10 ** 10
+    if history > 40_000:  # smaller limbs, as history^2 / 2 of them must fit
+        base = 10 ** 5
+        limbs = [part for limb in limbs for part in (limb // base, limb % base)]
+
+    def running(v):
+        out = np.zeros((v.shape[0], v.shape[1] + 1), np.int64)
+        np.cumsum(v, axis=1, out=out[:, 1:])
+        return out
+
+    def framed(total):
+        return total[:, at + 1:] - total[:, first]
+
+    count = running(there)
+    n, before = framed(count), count[:, first]
+    sums, ranked = [], []
+    for limb in limbs:
+        total = framed(running(limb))
+        sums.append(total)
+        ranked.append(2 * (framed(running(limb * count[:, :-1])) - before * total) - (n - 1) * total)
+
+    def joined(parts):
+        for i in range(len(parts) - 1, 0, -1):
+            over = parts[i] // base
+            parts[i - 1] += over
+            parts[i] -= over * base
+        value = parts[0].astype(float)
+        for part in parts[1:]:
+            value = value * base + part
+        return value / 1e10 if base == 10 ** 5 else parts[0] + parts[1] / 1e10
+
+    newest = np.maximum.accumulate(np.where(there, np.arange(x.shape[1]), 0), axis=1)[:, at:]
+    current = np.where(n > 0, np.take_along_axis(x, newest, axis=1), np.nan)
+    return n.astype(float), joined(sums), joined(ranked), current
+
+
+def _first_hits(n, slope, intercept, current, fit, ok, horizons, least_confidence):
+    """EW5 of `prediction_spec` and `add_predictions` over arrays: hours (NaN: none), confidence and projected value."""
+    shape = n.shape
+    known = ok & (n > 0) & ~fit["mean_null"] & ~fit["warn_null"]
+    higher = _above(current, fit["mean"])
+    cond = np.flatnonzero(known & (higher == _above(slope, 0.0)))
+    n, slope, intercept, current, higher = (v.ravel()[cond] for v in (n, slope, intercept, current, higher))
+    warn, std = fit["warn"].ravel()[cond], fit["std"].ravel()[cond]
+    strength = np.abs(slope) / (std + 0.001)
+    per_hour = np.maximum(1.0, n / 24.0)
+    gap = np.abs(current - warn)
+    hours, confidence, value = (np.full(shape, np.nan) for _ in range(3))
+    open_ = np.ones(len(cond), bool)
+    for h in horizons:
+        there = intercept + slope * (n + np.trunc(int(h) * per_hour))
+        c = strength * 0.5 + (1.0 / (gap / (np.abs(there - current) + 0.001) + 1.0)) * 0.5
+        c = np.where(c < 1.0, c, 1.0)  # as least(): what is no number counts as 1
+        hit = open_ & np.where(higher, _above(there, warn), _above(-warn, there)) & (c >= least_confidence)
+        open_ &= ~hit
+        hours.ravel()[cond[hit]], confidence.ravel()[cond[hit]], value.ravel()[cond[hit]] = h, c[hit], there[hit]
+    return hours, confidence, value
+
+
+def _warned(x, unit, first, at: int, fit: dict, history: int, min_samples: int, horizons, least_confidence: float) -> dict:
+    """EW2-EW10 of the rows from `at` on (see `_frame_sums`). `fit` holds the machine's mean, std, warn and crit of every row and
+    metric, with `<stat>_null`. Arrays by output name; a masked value is null."""
+    with np.errstate(all="ignore"):
+        n, total, ranked, current = _frame_sums(x, unit, first, at, history)
+        u = unit[:, at:]
+        slope = np.where(n > 1, ranked * n / 2.0 / ((n * n * (n * n - 1.0)) / 12.0) * u, 0.0)
+        total = total * u
+        intercept = (total - slope * n * (n - 1) / 2) / n
+        mean = total / n
+        ok = n >= min_samples
+        hours, confidence, value = _first_hits(n, slope, intercept, current, fit, ok, horizons, least_confidence)
+        hit = ~np.isnan(hours)
+
+        # EW4 and its mean over the metrics that have one
+        rates, rated = np.where(mean != 0, slope / np.abs(mean) * 100.0, slope), ok & (n >= 5)
+        sum_rates, n_rates = np.zeros(n.shape[1]), rated.sum(axis=0)
+        # EW8, the least of those that are there
+        steps = (fit["crit"] - intercept) / slope - (n - 1)
+        left = steps / np.maximum(1.0, n / 24.0)
+        over = ~_above(fit["crit"], current)
+        life = np.where(over | ~_above(steps, 0.0), 0.0, np.where(left > 0, left, np.where(np.isnan(left), left, 0.0)))
+        lives = ok & (n > 0) & ~fit["crit_null"] & (over | _above(slope, 0.0))
+        least = np.full(n.shape[1], np.inf)
+        severity = np.zeros(n.shape[1])
+        weight = np.where(hours <= 6, SEVERITY_WEIGHTS["critical"], np.where(hours <= 24, SEVERITY_WEIGHTS["warning"], SEVERITY_WEIGHTS["info"]))
+        for i in range(len(n)):
+            sum_rates = np.where(rated[i], sum_rates + rates[i], sum_rates)
+            least = np.where(lives[i], np.fmin(least, life[i]), least)
+            severity = np.where(hit[i], severity + weight[i] * confidence[i], severity)
+        any_life = lives.any(axis=0)
+        least = np.where((lives & ~np.isnan(life)).any(axis=0), least, np.nan)
+        rate = sum_rates / n_rates
+
+        # EW10
+        worse = (n_rates > 0) & _above(rate, 0.0)
+        by_rate = np.where(worse, np.where(rate * 10.0 < 20.0, rate * 10.0, 20.0), 0.0)
+        by_life = np.where(any_life, np.where(least < 6, 30.0, np.where(least < 24, 15.0, np.where(least < 48, 5.0, 0.0))), 0.0)
+        risk = severity + by_rate + by_life
+        calm = ~hit.any(axis=0) & ((n_rates == 0) | (rate == 0))
+        risk = np.where((n.max(axis=0) >= min_samples) & ~calm, np.where(risk < 100.0, risk, 100.0), 0.0)
+    out = {"degradation_rate": (rate, n_rates == 0), "remaining_useful_life_hours": (least, ~any_life), "overall_risk_score": (risk, None),
+           "earliest_anomaly_hours": (np.fmin.reduce(hours, axis=0), ~hit.any(axis=0))}
+    for i in range(len(n)):
+        for name, v in (("h", hours), ("k", confidence), ("v", value), ("c", current), ("w", fit["warn"])):
+            out[f"_{name}_{i}"] = (v[i], ~hit[i])
+    return out
+
+
+def _doubles(table, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Columns as one matrix with a row each, and where they are null."""
+    columns = [table[c].combine_chunks() if isinstance(table[c], pa.ChunkedArray) else table[c] for c in names]
+    columns = [c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], pa.float64()) for c in columns]
+    return (np.stack([c.to_numpy(zero_copy_only=False).astype(float, copy=False) for c in columns]),
+            np.stack([c.is_null().to_numpy(zero_copy_only=False) for c in columns]))
+
+
+def _fit_of(table, metrics: Sequence[str]) -> dict:
+    unit, no_unit = _doubles(table, [f"{m}__unit" for m in metrics])
+    fit = {"unit": np.where(no_unit, 1.0, unit)}
+    for s in STATS:
+        fit[s], fit[f"{s}_null"] = _doubles(table, [f"{m}__{s}" for m in metrics])
+    return fit
+
+
+def _in_arrow(table, columns: Sequence[str], out: dict) -> pa.Table:
+    arrays = [pa.array(v, pa.float64(), mask=null) for v, null in out.values()]
+    return pa.Table.from_arrays([*(table[c] for c in columns), *arrays], names=[*columns, *out])
+
+
+def _over_series(df: DataFrame, pw: DataFrame, key, order, metrics, columns, schema, history, model) -> DataFrame:
+    """Series by series as their task reads them in order: batches of rows, after the rows that their frames reach back to."""
+    rank = F.row_number().over(series_window(key, order)).alias("_rn")
+    j = df.join(pw, on=list(key), how="left")
+    names = [f"_r{i}" for i in range(len(metrics))]
+    j = j.select(*columns, rank, *[reading(m).alias(c) for m, c in zip(metrics, names)],
+                 *[f"{m}__{s}" for m in metrics for s in (*STATS, "unit")])
+
+    def run(batches):
+        tail_x = tail_u = np.empty((len(metrics), 0))
+        held, rows = [], 0
+
+        def flush():
+            nonlocal tail_x, tail_u, held, rows
+            table, at = pa.Table.from_batches(held), tail_x.shape[1]
+            fit = _fit_of(table, metrics)
+            x = np.concatenate([tail_x, _doubles(table, names)[0]], axis=1)
+            unit = np.concatenate([tail_u, fit["unit"]], axis=1)
+            rn = table["_rn"].to_numpy()
+            first = at + np.arange(len(rn)) - np.minimum(rn - 1, history - 1)
+            out = _warned(x, unit, first, at, fit, history, *model)
+            back = max(0, x.shape[1] - (history - 1))
+            tail_x, tail_u, held, rows = x[:, back:], unit[:, back:], [], 0
+            return _in_arrow(table, columns, out).to_batches()
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= history:  # a long halo isn't gone through again for few rows
+                yield from flush()
+        if held:
+            yield from flush()
+
+    return j.mapInArrow(run, schema)
+
+
+def _over_chunks(df: DataFrame, pw: DataFrame, key, order, metrics, columns, schema, history, model, chunk_rows: int) -> DataFrame:
+    """Chunks of the sorted rows, each with the `history` rows before it. Neighbouring chunks are dealt to one task as a block, so that only a
+    block's halo is copied, and what a machine has been fitted goes once to each block that holds rows of it."""
+    block = chunk_rows * max(1, BLOCK_ROWS // chunk_rows) if chunk_rows <= BLOCK_ROWS else min(chunk_rows, max(BLOCK_ROWS, history))
+    g = with_global_position(sorted_table(df, [*key, *order], "chunks"), "_g")
+    spans = g.groupBy(*key).agg(F.min("_g").alias("_first"), F.max("_g").alias("_last"))
+    fitted = spans.join(pw, on=list(key), how="left").select(
+        "_first", *[f"{m}__{s}" for m in metrics for s in (*STATS, "unit")],
+        F.explode(F.sequence(F.floor(F.col("_first") / block), F.floor(F.col("_last") / block))).alias("_block"))
+    names = [f"_r{i}" for i in range(len(metrics))]
+    rows = g.select(*columns, "_g", *[reading(m).alias(c) for m, c in zip(metrics, names)],
+                    F.explode(F.sequence(F.floor(F.col("_g") / block), F.floor((F.col("_g") + history - 1) / block))).alias("_block"))
+    chunk = min(chunk_rows, block)
+
+    def run(rows: pa.Table, fitted: pa.Table) -> pa.Table:
+        if not fitted.num_rows:  # rows that another block's frames would reach back to, if it had any
+            return to_arrow_schema(schema).empty_table()
+        rows = rows.take(np.argsort(rows["_g"].to_numpy()))
+        firsts = fitted["_first"].to_numpy()
+        fitted = fitted.take(np.argsort(firsts))
+        firsts, fit = np.sort(firsts), _fit_of(fitted, metrics)
+        g = rows["_g"].to_numpy()
+        x = _doubles(rows, names)[0]
+        at, done = int(np.searchsorted(g, rows["_block"][0].as_py() * block)), []
+        own = rows.slice(at)
+        for begin in range(at, len(g), chunk):
+            lo, hi = max(0, begin - (history - 1)), min(begin + chunk, len(g))
+            series = np.maximum(np.searchsorted(firsts, g[lo:hi], "right") - 1, 0)
+            mine = series[begin - lo:]
+            first = np.maximum(firsts[mine], g[begin:hi] - (history - 1)) - g[lo]
+            done.append(_warned(x[:, lo:hi], fit["unit"][:, series], first, begin - lo, {k: v[:, mine] for k, v in fit.items()}, history, *model))
+        out = {k: (np.concatenate([d[k][0] for d in done]), None if done[0][k][1] is None else np.concatenate([d[k][1] for d in done]))
+               for k in done[0]}
+        return _in_arrow(own, columns, out)
+
+    return rows.groupBy("_block").cogroup(fitted.groupBy("_block")).applyInArrow(run, schema)
 
 
 def warning_rolling(df: DataFrame, params: DataFrame, key: Sequence[str], order: Sequence[str],
@@ -285,63 +479,36 @@ def warning_rolling(df: DataFrame, params: DataFrame, key: Sequence[str], order:
     """EW11: EW2-EW10 as of every sample (the live loop's view), wide form.
 
     For the n readings in the frame of the last `history` rows (nulls and NaN aren't readings),
-    with x = 0..n-1: Sx = n(n-1)/2, n*Sxx - Sx^2 = n^2(n^2-1)/12 and Sxy = S(rank*y) - start*S(y). The
-    slope numerator n*Sxy - Sx*Sy is formed in exact decimals of the metric's own scale, so
-    a flat frame gives a slope of exactly 0 in any unit.
+    with x = 0..n-1: n*Sxx - Sx^2 = n^2(n^2-1)/12, and the slope numerator n*Sxy - Sx*Sy is n/2 times
+    S((2x - (n-1)) * y), formed in whole numbers of the metric's own scale, so a flat frame gives a slope of exactly 0 in any unit.
+    Running sums over arrays less the sums before the frame: O(1) per row.
 
     Cut series carry the previous `history` rows as a halo (operators.series); running sums restart
     at each chunk's halo."""
     if history >= 10 ** 6:
         raise ValueError("history must stay below 10^6 rows")
-    stats = ["mean", "std", "warn", "crit"]
     pw = params.groupBy(*key).agg(*[F.max(F.when(F.col(M) == m, F.col(s))).alias(f"{m}__{s}")
-                                    for m in metrics for s in stats])
-    j = df.join(pw, on=list(key), how="left")
+                                    for m in metrics for s in STATS]).select("*", *[_scale(m).alias(f"{m}__unit") for m in metrics])
+    columns = [c for c in df.columns if not (c.startswith("_") or "__" in c)]
+    doubles = ["degradation_rate", "remaining_useful_life_hours", "overall_risk_score", "earliest_anomaly_hours",
+               *[f"_{x}_{i}" for i in range(len(metrics)) for x in "hkvcw"]]
+    schema = T.StructType([*(df.schema[c] for c in columns), *(T.StructField(c, T.DoubleType()) for c in doubles)])
+    model = (min_samples, list(horizons), confidence_threshold)
     chunk_rows = resolve_chunk_rows(df, key, chunk_rows)
     if chunk_rows:
-        j = chunked(j, key, order, history, 0, chunk_rows)
-        j = _frame_sums(j, [*key, "_chunk"], ["_g"], metrics, history)
-        j = j.filter("_own")  # halo rows only fed the frame sums
+        j = _over_chunks(df, pw, key, order, metrics, columns, schema, history, model, chunk_rows)
     else:
-        j = _frame_sums(j, key, order, metrics, history)
-    # Materialise the per-metric line first so the prediction expressions
-    # below refer to plain columns (keeps the analysed plan small).
-    j = j.select("*", *[F.col(f"_fc_{m}").cast("double").alias(f"_n_{m}") for m in metrics])
-    slopes = []
-    for m in metrics:
-        n, nl = F.col(f"_n_{m}"), F.col(f"_fc_{m}")
-        fy = F.col(f"_fy_{m}").cast("decimal(26,10)")
-        sxy = (F.col(f"_fgy_{m}") - fy * F.col(f"_fs_{m}").cast("decimal(11,0)")).cast("decimal(28,10)")
-        sx = (nl * (nl - 1) / 2).cast("decimal(12,0)")
-        num = nl.cast("decimal(6,0)") * sxy - sx * fy.cast("decimal(24,10)")
-        den = (n * n * (n * n - 1.0)) / 12.0
-        slopes.append(F.when(den > 0, num.cast("double") / den * F.col(f"_u_{m}")).otherwise(0.0).alias(f"_b_{m}"))
-    j = j.select("*", *slopes)
-    total = {m: F.col(f"_fy_{m}").cast("double") * F.col(f"_u_{m}") for m in metrics}
-    j = j.select("*", *[F.when(F.col(f"_n_{m}") > 0, (total[m] - F.col(f"_b_{m}") * F.col(f"_n_{m}")
-                                                      * (F.col(f"_n_{m}") - 1) / 2) / F.col(f"_n_{m}")).alias(f"_a_{m}")
-                        for m in metrics],
-                 *[F.when(F.col(f"_n_{m}") > 0, total[m] / F.col(f"_n_{m}")).alias(f"_mh_{m}") for m in metrics])
-    ok = {m: F.col(f"_n_{m}") >= min_samples for m in metrics}
-    j = add_predictions(j, [prediction_spec(
-        f"_p_{m}", F.col(f"_n_{m}"), F.col(f"_b_{m}"), F.col(f"_a_{m}"), F.col(f"_cur_{m}"), F.col(f"{m}__mean"),
-        F.col(f"{m}__std"), F.col(f"{m}__warn"), F.lit(m), ok[m], horizons, confidence_threshold)
-        for m in metrics])
-    degs = [F.when(ok[m], degradation_rate(F.col(f"_n_{m}"), F.col(f"_b_{m}"), F.col(f"_mh_{m}"))) for m in metrics]
-    ruls = [F.when(ok[m], remaining_life(F.col(f"_n_{m}"), F.col(f"_b_{m}"), F.col(f"_a_{m}"), F.col(f"_cur_{m}"),
-                                         F.col(f"{m}__crit"))) for m in metrics]
-    enough = F.array_max(F.array(*[F.col(f"_n_{m}") for m in metrics])) >= min_samples
-    plist = F.filter(F.array(*[F.col(f"_p_{m}") for m in metrics]), lambda p: p.isNotNull())
-    dl = F.filter(F.array(*degs), lambda d: d.isNotNull())
-    avg_deg = F.when(F.size(dl) > 0, F.aggregate(dl, F.lit(0.0), lambda a, x: a + x) / F.size(dl))
-    out = j.select("*", plist.alias("predictions"), avg_deg.alias("degradation_rate"),
-                   F.array_min(F.array(*ruls)).alias("remaining_useful_life_hours"))
-    out = out.select(
-        "*", (F.size("predictions") > 0).alias("has_warning"),
-        F.array_min(F.transform("predictions", lambda p: p["predicted_time_hours"]))
-        .alias("earliest_anomaly_hours"),
-        F.when(enough, risk_score(F.col("predictions"), F.col("degradation_rate"),
-                                  F.col("remaining_useful_life_hours"))).otherwise(0.0)
-        .alias("overall_risk_score"))
-    drop = [c for c in out.columns if c.startswith("_") or "__" in c]
-    return out.drop(*drop)
+        j = _over_series(df, pw, key, order, metrics, columns, schema, history, model)
+    preds = []
+    for i, m in enumerate(metrics):
+        h, feature = F.col(f"_h_{i}"), F.lit(m)
+        sev = severity_of(h)
+        preds.append(F.when(h.isNotNull(), F.struct(
+            feature.alias("metric"), h.alias("predicted_time_hours"), F.col(f"_k_{i}").alias("confidence"), sev.alias("severity"),
+            F.col(f"_c_{i}").alias("current_value"), F.col(f"_v_{i}").alias("predicted_value"), F.col(f"_w_{i}").alias("threshold"),
+            recommendations(sev, h, feature).alias("recommendations"))))
+    plist = F.filter(F.array(*preds), lambda p: p.isNotNull())
+    warned = F.col("earliest_anomaly_hours").isNotNull()
+    none = F.array().cast(j.select(plist.alias("p")).schema["p"].dataType)
+    return j.select(*columns, F.when(warned, plist).otherwise(none).alias("predictions"), "degradation_rate", "remaining_useful_life_hours",
+                    warned.alias("has_warning"), "earliest_anomaly_hours", "overall_risk_score")
