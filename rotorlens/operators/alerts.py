@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -192,16 +194,24 @@ def greedy_keep(df: DataFrame, key: Sequence[str], order: Sequence[str], pos: Co
     if not cr:
         def fold(batches):
             last_key, ready = None, -np.inf
-            for pdf in batches:
-                keep = np.zeros(len(pdf), bool)
-                for i, (k, v) in enumerate(zip(pdf["_key"], pdf["_pn"])):
-                    if k != last_key:
-                        last_key, ready = k, -np.inf
-                    if v >= ready:
-                        keep[i], ready = True, v + gnum
-                yield pdf.loc[keep, names]
-
-        return p.repartition("_key").sortWithinPartitions("_key", *order).mapInPandas(fold, df.schema)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                key = batch["_key"]
+                new = np.ones(batch.num_rows, bool)
+                new[0] = key[0].as_py() != last_key
+                new[1:] = pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
+                last_key = key[-1].as_py()
+                keep = []
+                for n, v in zip(new.tolist(), batch["_pn"].to_numpy().tolist()):
+                    if n:
+                        ready = -np.inf
+                    keep.append(v >= ready)
+                    if keep[-1]:
+                        ready = v + gnum
+                yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+
+        return p.repartition("_key").sortWithinPartitions("_key", *order).mapInArrow(fold, df.schema)
 
     c = chunked(p, ["_key"], order, 0, 0, min(cr, FOLD_ROWS))
     first = c.groupBy("_key").agg(F.min("_chunk").alias("_c0"))
@@ -314,6 +324,8 @@ def assign_ids(alerts: DataFrame, order: Sequence[str] = ("T", "ord"),
                chunk_rows="auto") -> DataFrame:
     """ALR8: `alert_<E>_<n:06d>`, a running number per machine (a global
     counter would need one task)."""
+    if chunk_rows == "auto":  # the cooldown runs once, for the count and the numbers
+        alerts = written(alerts, "numbered")
     t = series_index(alerts, ["E"], list(order), "_n", chunk_rows)
     return t.withColumn("alert_id", F.format_string(
         "alert_%s_%06d", F.col("E").cast("string"), F.col("_n") + 1)).drop("_n")

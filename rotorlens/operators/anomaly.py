@@ -32,13 +32,18 @@ def attach_params(df: DataFrame, params: DataFrame, key: Sequence[str],
     return df.join(params_wide(params, key, metrics, stats), on=list(key), how="left")
 
 
-def abs_z(metric: str) -> Column:
+def _reading(metric: str, prefix: str | None) -> Column:
+    """The metric's reading; with a prefix, it is a column already."""
+    return reading(metric) if prefix is None else F.col(prefix + metric)
+
+
+def abs_z(metric: str, prefix: str | None = None) -> Column:
     """|x - mean| / std with a zero std replaced by 1."""
-    return F.abs((reading(metric) - F.col(f"{metric}_mean")) / nonzero(f"{metric}_std"))
+    return F.abs((_reading(metric, prefix) - F.col(f"{metric}_mean")) / nonzero(f"{metric}_std"))
 
 
-def max_abs_z(metrics: Sequence[str]) -> Column:
-    zs = [abs_z(m) for m in metrics]
+def max_abs_z(metrics: Sequence[str], prefix: str | None = None) -> Column:
+    zs = [abs_z(m, prefix) for m in metrics]
     return zs[0] if len(zs) == 1 else F.greatest(*zs)
 
 
@@ -52,14 +57,13 @@ def zscore_score(metrics: Sequence[str]) -> Column:
     return -max_abs_z(metrics)
 
 
-def iqr_vote(metrics: Sequence[str], factor: float = IQR_FACTOR) -> Column:
+def iqr_vote(metrics: Sequence[str], factor: float = IQR_FACTOR, prefix: str | None = None) -> Column:
     """ANO3: -1 when any metric leaves [q1 - k*iqr, q3 + k*iqr]."""
-    outs = [F.coalesce((reading(m) < F.col(f"{m}_q1") - factor * F.col(f"{m}_iqr")) |
-                       (reading(m) > F.col(f"{m}_q3") + factor * F.col(f"{m}_iqr")), F.lit(False)) for m in metrics]
-    anyout = outs[0]
-    for o in outs[1:]:
-        anyout = anyout | o
-    return F.when(anyout, F.lit(-1)).otherwise(F.lit(1))
+    outs = [F.coalesce((_reading(m, prefix) < F.col(f"{m}_q1") - factor * F.col(f"{m}_iqr")) |
+                       (_reading(m, prefix) > F.col(f"{m}_q3") + factor * F.col(f"{m}_iqr")), F.lit(False)) for m in metrics]
+    # Over an array, as it ends the compiled stage there: the votes and the health score in one method are more than the JVM's
+    # compiler takes (8000 bytes), and then all of it runs uncompiled.
+    return F.when(F.exists(F.array(*outs), lambda out: out), F.lit(-1)).otherwise(F.lit(1))
 
 
 def ensemble_vote(votes: Sequence) -> Column:
@@ -82,20 +86,22 @@ def detect(df: DataFrame, params: DataFrame, key: Sequence[str], metrics: Sequen
     carry the `<metric>_<stat>` columns (one join shared by several scorers).
     """
     out = df if attached else attach_params(df, params, key, metrics)
+    out = out.select("*", *[reading(m).alias(f"_r_{m}") for m in metrics])
+    out = out.withColumn("_max_abs_z", max_abs_z(metrics, "_r_"))
     votes = []
     for m in methods:
         name = f"{m}_prediction"
         if m == "zscore":
-            out = out.withColumn(name, zscore_vote(metrics, z_threshold))
+            out = out.withColumn(name, F.when(F.col("_max_abs_z") > z_threshold, F.lit(-1)).otherwise(F.lit(1)))
         elif m == "iqr":
-            out = out.withColumn(name, iqr_vote(metrics, iqr_factor))
+            out = out.withColumn(name, iqr_vote(metrics, iqr_factor, "_r_"))
         elif m in ("kernel", "isolation_forest"):
             if name not in out.columns:
                 raise ValueError(f"method '{m}' needs a `{name}` column on the rows")
         else:
             raise ValueError(f"Unknown method: {m}")
         votes.append(name)
-    out = out.withColumn("zscore_score", zscore_score(metrics))
+    out = out.withColumn("zscore_score", -F.col("_max_abs_z")).drop("_max_abs_z", *[f"_r_{m}" for m in metrics])
     out = out.withColumn("ensemble_prediction", ensemble_vote(votes))
     out = out.withColumn("is_anomaly", F.col("ensemble_prediction") == -1)
     drop = [c for c in out.columns if any(c.startswith(f"{m}_") for m in metrics)

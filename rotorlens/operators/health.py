@@ -46,12 +46,20 @@ def weight_of(metric: str, weights: Mapping[str, float]) -> float:
     return weights.get(metric, UNKNOWN_WEIGHT)
 
 
+def with_deviations(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """The readings `_r_<m>`, and what `statistical_component` clamps: `_dev_<m>` = 100 - 12.5 z^2 (null for a zero std). Each is
+    a column once, as the compiled method gets too large for the JVM's compiler (8000 bytes) where they are repeated."""
+    df = df.select("*", *[reading(m).alias(f"_r_{m}") for m in metrics])
+    z = [F.when(F.col(f"{m}_std") != 0, F.abs(F.col(f"_r_{m}") - F.col(f"{m}_mean")) / F.col(f"{m}_std")) for m in metrics]
+    df = df.select("*", *[c.alias(f"_z_{m}") for m, c in zip(metrics, z)])
+    return df.select("*", *[(100.0 - F.col(f"_z_{m}") * F.col(f"_z_{m}") * 12.5).alias(f"_dev_{m}") for m in metrics]) \
+        .drop(*[f"_z_{m}" for m in metrics])
+
+
 def statistical_component(metric: str) -> Column:
-    """HLT3: clamp(100 - 12.5 z^2, 0, 100); zero std: 100 if equal else 50."""
-    x, mu, sd = reading(metric), F.col(f"{metric}_mean"), F.col(f"{metric}_std")
-    z = F.abs(x - mu) / sd
-    return F.when(x.isNotNull(), F.when(sd == 0, F.when(x == mu, F.lit(100.0)).otherwise(F.lit(50.0)))
-                  .otherwise(clamp(100.0 - z * z * 12.5, 0.0, 100.0)))
+    """HLT3: clamp(100 - 12.5 z^2, 0, 100); zero std: 100 if equal else 50. For rows of `with_deviations` that have a reading."""
+    x, mu, sd = F.col(f"_r_{metric}"), F.col(f"{metric}_mean"), F.col(f"{metric}_std")
+    return F.when(sd == 0, F.when(x == mu, F.lit(100.0)).otherwise(F.lit(50.0))).otherwise(clamp(F.col(f"_dev_{metric}"), 0.0, 100.0))
 
 
 def heuristic_component(metric: str, value=None) -> Column:
@@ -75,20 +83,23 @@ def component(metric: str, calibrated: bool) -> Column:
     calibrated but unknown metric -> 75."""
     if not calibrated:
         return F.when(reading(metric).isNotNull(), heuristic_component(metric))
-    return F.when(reading(metric).isNotNull(), F.when(F.col(f"{metric}_mean").isNull(), F.lit(UNKNOWN_SCORE))
+    return F.when(F.col(f"_r_{metric}").isNotNull(), F.when(F.col(f"{metric}_mean").isNull(), F.lit(UNKNOWN_SCORE))
                   .otherwise(statistical_component(metric)))
 
 
-def score_from_components(metrics: Sequence[str], weights: Mapping[str, float]) -> Column:
-    """HLT6: weighted mean of the component columns `comp_<m>` that aren't null, clamped; null without any."""
+def with_score(df: DataFrame, metrics: Sequence[str], weights: Mapping[str, float]) -> DataFrame:
+    """HLT6: `health_score`, the weighted mean of the component columns `comp_<m>` that aren't null, clamped; null without any."""
     num, den = F.lit(0.0), F.lit(0.0)
     for m in metrics:
         w = weight_of(m, weights)
         c = F.col(f"comp_{m}")
         num = num + F.coalesce(c * w, F.lit(0.0))
         den = den + F.when(c.isNotNull(), w).otherwise(0.0)
-    there = F.coalesce(*[F.col(f"comp_{m}") for m in metrics]).isNotNull()
-    return F.when(there, clamp(F.when(den > 0, num / den).otherwise(num), 0.0, 100.0))
+    # over an array, as in `anomaly.iqr_vote`: the compiled stage ends there
+    there = F.exists(F.array(*[F.col(f"comp_{m}") for m in metrics]), lambda c: c.isNotNull())
+    df = df.select("*", num.alias("_num"), den.alias("_den"), there.alias("_there"))
+    df = df.select("*", F.when(F.col("_den") > 0, F.col("_num") / F.col("_den")).otherwise(F.col("_num")).alias("_mean"))
+    return df.withColumn("health_score", F.when(F.col("_there"), clamp(F.col("_mean"), 0.0, 100.0))).drop("_num", "_den", "_there", "_mean")
 
 
 def health_score(df: DataFrame, params: DataFrame | None, key: Sequence[str],
@@ -101,10 +112,12 @@ def health_score(df: DataFrame, params: DataFrame | None, key: Sequence[str],
     calibrated = params is not None or attached
     out = df if attached or params is None else attach_params(df, params, key, metrics,
                                                                ("mean", "std"))
-    for m in metrics:
-        out = out.withColumn(f"comp_{m}", component(m, calibrated))
-    out = (out.withColumn("health_score", score_from_components(metrics, weights))
-              .withColumn("status", F.when(F.col("health_score").isNotNull(), health_status("health_score"))))
+    if calibrated:
+        out = with_deviations(out, metrics)
+    out = out.withColumns({f"comp_{m}": component(m, calibrated) for m in metrics}).drop(
+        *[f"{t}_{m}" for t in ("_r", "_dev") for m in metrics])
+    out = with_score(out, metrics, weights)
+    out = out.withColumn("status", F.when(F.col("health_score").isNotNull(), health_status("health_score")))
     drop = [c for c in out.columns if c not in df.columns and
             any(c == f"{m}_mean" or c == f"{m}_std" for m in metrics)]
     if not keep_components:

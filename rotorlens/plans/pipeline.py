@@ -21,7 +21,7 @@ from ..operators import baseline as bl
 from ..operators import health as hl
 from ..operators import signals as sg
 from ..operators import warning as ew
-from ..operators.series import join_on
+from ..operators.series import join_on, resolve_chunk_rows
 from ..session import written
 
 
@@ -39,6 +39,8 @@ def process_samples(df: DataFrame, params: DataFrame, key: Sequence[str], order:
     """PIP1: one result row per sample - anomaly votes and score, health
     score and status, and the early-warning result as of that sample.
     `chunk_rows` is that of the per-sample early warning (operators.series)."""
+    if with_warning:  # counted before the rows are joined and scored
+        chunk_rows = resolve_chunk_rows(df, key, chunk_rows)
     j = ano.attach_params(df, params, key, metrics)
     d = ano.detect(j, None, key, metrics, attached=True)
     d = d.withColumn("anomaly_score", F.col("zscore_score"))

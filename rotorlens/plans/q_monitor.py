@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..model import E, LINEITEM_METRICS as LM, LINEITEM_ORDER as LO, lineitem_features, rnd
 from ..operators import alerts as al
 from ..operators import monitor as mo
+from ..session import written
 from . import pipeline as pl
 from .registry import ORACLES, register
 from .sql import r, status
@@ -193,7 +194,7 @@ register("anomaly_timeline", f"{HEAD} SELECT E, idx, CAST(anom AS INTEGER) AS fl
 
 def samples(spark, sf):
     f = lineitem_features(spark, sf)
-    p = pl.fit_all(f, K, LO, LM, n=100)
+    p = written(pl.fit_all(f, K, LO, LM, n=100), "params")  # read by the scores and by the warnings
     return pl.process_samples(f, p, K, LO, LM)
 
 
